@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, mixing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from . import fingerprints, jaccard_join, line_dedup, mixing, pieces, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_pieces": pieces.op8_pieces,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLES = {"op4_quality_rules": quality_rules.ORACLE_SQL}
