@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("operators.aggregate",)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in MODULES:
+    _module = import_module(f"duskwatch.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
