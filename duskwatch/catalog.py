@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate",)
+MODULES = ("operators.aggregate", "functions.queries", "operators.detect")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
