@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import documents, lower_ascii, rest, words_of
+from .store import documents, rest, words_of
 
 BINS, BIN_BITS, LOW_BITS = 128, 7, 8
 _rng = random.Random(77)
@@ -24,6 +24,14 @@ _WALK_STEP = [_rng.randrange(BINS // 2) * 2 + 1 for _ in range(BINS)]
 _EMPTY = [((b - BINS // 2 + 1) << (64 - BIN_BITS)) - 1 for b in range(BINS)]
 
 
+#: Steps of a walk that are tried one by one before the whole walk is laid out.
+FIRST_STEPS = 8
+
+
+def _ints(values: list[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
@@ -46,10 +54,10 @@ def with_shingles(df: DataFrame, words: str, out: str) -> DataFrame:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the fingerprint of a text column as an array of ``BINS`` bytes (low bits minus 128).
 
-    Null, empty and blank texts get an empty array. Letters A-Z count as a-z.
+    Null, empty and blank texts get an empty array. Case is ignored.
     """
     w, s, arr, mins = f"{out}_w", f"{out}_s", f"{out}_a", f"{out}_m"
-    df = df.withColumn(w, F.transform(words_of(lower_ascii(F.col(text))), lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, F.transform(words_of(F.lower(text)), lambda x: F.xxhash64(x)))
     df = with_shingles(df, w, s)
     df = df.withColumn(arr, F.when(F.size(s) > 0, F.sort_array(F.concat(F.col(s), _longs(_EMPTY)))).otherwise(F.array().cast("array<bigint>")))
     bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS)
@@ -58,13 +66,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     first = F.zip_with(arr, F.slice(moved, 1, F.size(arr)), lambda x, y: F.when(y.isNull() | (bin_of(x) != bin_of(y)), x))
     df = df.withColumn(mins, F.array_compact(first))
     empty = _longs(_EMPTY)
-    start, step = _longs(_WALK_START), _longs(_WALK_STEP)
+    df = df.withColumn(mins, F.transform(mins, lambda x, b: F.nullif(x, F.get(empty, b))))
+    start, step = _ints(_WALK_START), _ints(_WALK_STEP)
+
+    def rest_of_walk(b: Column) -> Column:
+        walk = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.get(F.col(mins), (F.get(start, b) + j * F.get(step, b)).bitwiseAND(BINS - 1)))
+        return F.get(F.array_compact(walk), F.lit(0))
 
-    def donor(b: Column) -> Column:
-        walk = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: (F.get(start, b) + j * F.get(step, b)).bitwiseAND(BINS - 1).cast("int"))
-        return F.get(F.col(mins), F.get(F.filter(walk, lambda c: F.get(F.col(mins), c) != F.get(empty, c)), F.lit(0)))
+    def filled_bin(x: Column, b: Column) -> Column:
+        steps = [F.get(F.col(mins), F.get(_ints([(p + j * q) % BINS for p, q in zip(_WALK_START, _WALK_STEP, strict=True)]), b)) for j in range(FIRST_STEPS)]
+        return F.coalesce(x, *steps, rest_of_walk(b))
 
-    filled = F.transform(mins, lambda x, b: F.when(x == F.get(empty, b), donor(b)).otherwise(x))
+    filled = F.transform(mins, filled_bin)
     low = F.transform(filled, lambda x: (x.bitwiseAND((1 << LOW_BITS) - 1) - 128).cast("tinyint"))
     return df.withColumn(out, low).drop(w, s, arr, mins)
 
