@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate", "functions.queries", "operators.detect")
+MODULES = ("operators.aggregate", "functions.queries", "operators.detect", "operators.relate", "operators.decode")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
