@@ -37,7 +37,8 @@ BUCKETS = 64
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
 #: Points that a cell may have before it is split, pivots of a split and its levels.
 REGION, PIVOTS, LEVELS = 128, 8, 3
-BLOCK = 256
+#: Counts of the finer vectors that stand for whole sets in large joins; points and queries of a block.
+FINE, BLOCK, QUERIES = 256, 1024, 4096
 
 
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -234,50 +235,61 @@ def _split(points: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame
     return small, tight.unionByName(points)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are as similar as asked, by exact intersection."""
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            lists = part.column("set")
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            bucket = (lists.flatten().to_numpy().view(np.uint64) >> np.uint64(56)).astype(np.int64)
+            counts = np.bincount(np.repeat(np.arange(len(size)), size) * FINE + bucket, minlength=len(size) * FINE)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size), _binary(np.minimum(counts, 255).astype(np.uint8).reshape(-1, FINE))], ["node", "n", "fine"])
+
+
+def _close_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = _matrix(batch.column("x"), FINE), _matrix(batch.column("y"), FINE)
+        ok = pa.array(_close(x, y, batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy(), percent))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are as similar as asked: by finer vectors first, then by exact intersection."""
+    left, right = fine.select(F.col("node").alias("a"), F.col("n").alias("n_x"), F.col("fine").alias("x")), fine.select(F.col("node").alias("b"), F.col("n").alias("n_y"), F.col("fine").alias("y"))
+    pairs = cut(pairs.join(left, "a").join(right, "b").mapInArrow(lambda b: _close_pairs(b, percent), "a binary, b binary"))
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def _block_links(key: tuple, left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """Links of a block of a region with some of its points outside the largest component."""
+def _block_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Pairs that may link, of a block of a region and its points outside the largest component."""
     a, b = [], []
     if left.num_rows and right.num_rows:
-        names, labels = left.column("node").to_pylist(), left.column("label").to_pylist()
-        sets = left.column("set").combine_chunks()
-        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
-        flat, offsets = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
-        own = np.repeat(np.arange(len(names)), np.diff(offsets))
-        sizes = np.diff(offsets)
-        for node, label, query in zip(right.column("node").to_pylist(), right.column("label").to_pylist(), right.column("set"), strict=True):
-            q = np.sort(query.values.to_numpy())
-            hit = q[np.minimum(np.searchsorted(q, flat), len(q) - 1)] == flat
-            common = np.bincount(own[hit], minlength=len(names))
-            for i in np.flatnonzero(100 * common >= percent * (sizes + len(q) - common)):
-                if labels[i] != label:
-                    a.append(node)
-                    b.append(names[i])
+        left, right = left.combine_chunks().to_batches()[0], right.combine_chunks().to_batches()[0]
+        names, labels = left.column("node").to_pylist(), np.array(left.column("label").to_pylist(), object)
+        fine, n = _matrix(left.column("fine"), FINE), left.column("n").to_numpy()
+        queries = zip(right.column("node").to_pylist(), right.column("label").to_pylist(), _matrix(right.column("fine"), FINE), right.column("n").to_numpy(), strict=True)
+        for node, label, q, n_q in queries:
+            for i in np.flatnonzero(_close(fine, q[None, :], n, n_q, percent) & (labels != label)):
+                a.append(node)
+                b.append(names[i])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _rest_links(tight: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of regions that pivots could not split."""
+def _rest_pairs(tight: DataFrame, labels: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link components of regions that pivots could not split."""
     rows = tight.select("cell", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = rows.groupBy("cell", "label").count()
-    top = counts.groupBy("cell").agg(F.max(F.struct("count", "label"))["label"].alias("top"), F.sum("count").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-    rows = cut(rows.join(top, "cell"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    query = rows.where("label <> top")
-    few = query.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    query = query.join(few, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int"))
-    query = query.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    whole = rows.join(few, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    names = ["cell", "block", "part", "node", "label", "set"]
-    left, right = whole.join(sets, "node").select(names), cut(query.join(sets, "node").select(names))
+    top = counts.groupBy("cell").agg(F.max(F.struct("count", "label"))["label"].alias("top"), F.sum("count").alias("size"), F.max("count").alias("most")).where("most < size")
+    rows = cut(rows.join(top, "cell").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "parts": F.ceil((F.col("size") - F.col("most")) / QUERIES).cast("int")}))
+    names = ["cell", "block", "part", "node", "label", "n", "fine"]
+    query = rows.where("label <> top").withColumn("part", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = whole.join(fine, "node").select(names), cut(query.join(fine, "node").select(names))
     keys = ["cell", "block", "part"]
-    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(lambda key, x, y: _block_links(key, x, y, percent), "a binary, b binary")
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(lambda x, y: _block_links(x, y, percent), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -296,7 +308,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = cut(data.mapInArrow(lambda b: _points(b, k, percent, frequent), f"doc_id {kind}, n long, node binary, prefix array<bigint>, vec binary"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vec").alias("vec"))
     classes = cut(classes)
-    member = classes.select("node", F.explode("prefix").alias("cell"))
+    member = classes.select("node", F.explode("prefix").alias("cell")).repartition("cell")  # one exchange for counts and join
     sizes = member.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     points = cut(member.join(sizes, "cell").join(classes.select("node", "n", "vec"), "node").withColumn("home", F.lit(True)))
     columns = ["cell", "node", "n", "vec", "home"]
@@ -313,11 +325,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     nodes = nodes.union(tight.select("node")) if tight is not None else nodes
     wanted = cut(classes.join(nodes.distinct(), "node", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct())
-    sets = cut(keyed_rows(data, wanted, "doc_id", wanted.count()).select("text").mapInArrow(lambda b: _full_sets(b, k), "node binary, set array<bigint>").dropDuplicates(["node"]))
-    links = cut(_links(pairs, sets, percent))
+    sets = cut(keyed_rows(data, wanted, "doc_id", wanted.count()).select("text").mapInArrow(lambda b: _full_sets(b, k), "node binary, set array<bigint>"))
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # ids that repeat
+        sets = cut(sets.dropDuplicates(["node"]))
+    fine = cut(sets.mapInArrow(_fine, "node binary, n long, fine binary"))
+    links = cut(_links(pairs, sets, fine, percent))
     labels = components(links)
     if tight is not None:
-        more = cut(_rest_links(tight, labels, sets, percent))
+        more = cut(_links(cut(_rest_pairs(tight, labels, fine, percent)), sets, fine, percent))
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     labelled = classes.select("node", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
