@@ -224,7 +224,7 @@ ORACLES = {
     "triage_sample": f"WITH {SEC}, {_T}, h AS (SELECT *, date_trunc('hour', timestamp_utc) AS hour FROM f), c AS (SELECT priority, count(DISTINCT hour) AS hours FROM h GROUP BY 1), a AS (SELECT h.*, CASE h.priority WHEN 1 THEN 200 WHEN 2 THEN 200 WHEN 3 THEN 100 END AS quota, hours, row_number() OVER (PARTITION BY h.priority, hour ORDER BY row_id, pattern) AS nr FROM h JOIN c ON h.priority = c.priority), b AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY CASE WHEN priority > 1 THEN hour END, row_id, pattern) AS place FROM a WHERE priority = 1 OR (priority < 4 AND nr <= greatest(1, quota // hours))) SELECT row_id, pattern, CAST(priority AS BIGINT) AS priority FROM b WHERE place <= quota",
     "suspicious_event_ids": f"WITH {SEC} SELECT event_code, count(*) AS n FROM sec WHERE event_code IN ({', '.join(map(str, rules.FLAGGED_IDS))}) GROUP BY 1",
     "fe_lolbins": f"WITH {SEC}, l AS ({_LOL}) SELECT * FROM l WHERE indicator IS NOT NULL",
-    "lolbin_by_type": f"WITH {SEC}, l AS ({_LOL}) SELECT "binary", count(*) AS n FROM l WHERE indicator IS NOT NULL GROUP BY 1",
+    "lolbin_by_type": f"WITH {SEC}, l AS ({_LOL}) SELECT \"binary\", count(*) AS n FROM l WHERE indicator IS NOT NULL GROUP BY 1",
     "fe_web_attack_rules": f"WITH {SEC}, w AS (SELECT row_id, {_WEB} AS f, {_SCAN} AS scanner FROM sec) SELECT row_id, split_part(f, '|', 1) AS family, split_part(f, '|', 2) AS severity, scanner FROM w WHERE f IS NOT NULL OR scanner IS NOT NULL",
     "attacks_by_type": f"WITH {SEC}, w AS (SELECT split_part({_WEB}, '|', 1) AS family FROM sec) SELECT family, count(*) AS n FROM w WHERE family IS NOT NULL GROUP BY 1",
     "fe_account_mgmt": f"WITH {SEC}, {_ACC} SELECT row_id, event_code, action, target_user, CASE WHEN event_code IN (4728, 4732, 4756) AND ({' OR '.join(f'contains(lower(target_user), {_lit(g)})' for g in rules.PRIVILEGED_GROUPS)}) THEN 'CRITICAL' ELSE acc.severity END AS severity FROM sec JOIN acc USING (event_code)",
