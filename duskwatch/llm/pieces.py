@@ -75,14 +75,14 @@ def _long_words(batches: Iterator[pa.RecordBatch], ids: dict[str, int], ranks: d
 
 
 def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
-    """(word, ids, groups) for a table (word, groups) of distinct words."""
+    """(word, ids, groups) for a table (word, groups, length) of distinct words."""
     spark = words.sparkSession
     table = piece_table(model)
     ids = {p: i for i, p, _ in table}
     longest = max(len(p) for _, p, _ in table if not p.startswith("<0x"))
     pieces = spark.createDataFrame([(p, i, -score) for i, p, score in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)], "piece string, id int, rank double")
     ranks = {p: -score for _, p, score in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)}
-    short = words.where(F.length("word") <= LONG_WORD)
+    short = words.where(F.col("length") <= LONG_WORD)
     spans = short.select("word", "groups", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     spans = spans.select("word", "groups", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("n"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n")))
@@ -112,7 +112,7 @@ def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
         return F.get(F.transform(F.array(known), lambda k: F.when(F.size(k) > 0, k).otherwise(of_bytes(digits(s, e)))), F.lit(0))
 
     found = merged.select("word", F.flatten(F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), piece_ids)).alias("ids"), "groups")
-    long = words.where(F.length("word") > LONG_WORD).select("word", "groups").mapInArrow(lambda b: _long_words(b, ids, ranks), "word string, ids array<int>, groups array<int>")
+    long = words.where(F.col("length") > LONG_WORD).select("word", "groups").mapInArrow(lambda b: _long_words(b, ids, ranks), "word string, ids array<int>, groups array<int>")
     return found.unionByName(long)
 
 
@@ -146,7 +146,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     groups = max(1, -(-size // GROUP_BYTES))
     data = data.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     words = data.select("group", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    words = words.groupBy("word").agg(F.collect_set("group").alias("groups"))  # at most ``groups`` numbers
+    # the length as an aggregate: a filter on it stays above the exchange, so that both ways share it
+    words = words.groupBy("word").agg(F.collect_set("group").alias("groups"), F.max(F.length("word")).alias("length"))  # at most ``groups`` numbers
     coded = encode_words(words, model).select(F.explode("groups").alias("group"), "word", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = data.groupBy("group").cogroup(coded.groupBy("group"))
