@@ -16,13 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, documents, keyed_rows, words_of
+from .store import BROADCAST_ROWS, cut, documents, keyed_rows
 
 PERCENT = 80
 #: Lines of fewer words are always kept.
 LEAST_WORDS = 3
 #: A token in the prefixes of more classes than this counts as frequent.
-FREQUENT = 64
+FREQUENT = 256
 
 
 def _prefix_size(n: Column) -> Column:
@@ -31,8 +31,9 @@ def _prefix_size(n: Column) -> Column:
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.transform(words_of(F.lower("line")), lambda x: F.xxhash64(x)).alias("w"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+    words = F.split(F.btrim("line", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")  # of a blank line one empty word, which is too few
+    lines = lines.select("doc_id", "line_no", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
     lines = with_shingles(lines, "w", "s")
     own = F.when(F.size("w") >= LEAST_WORDS, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
     lines = lines.select("doc_id", "line_no", own.alias("set"))
@@ -48,12 +49,12 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     wanted = cut(wanted.select("d1").distinct())
     n = wanted.count()
     firsts = cut(keyed_rows(classes, wanted, "d1", n).select(F.col("rank.doc_id").alias("doc_id")).distinct())
-    lines = line_sets(keyed_rows(docs, firsts, "doc_id", firsts.count())).where("n > 0").select("d1", "set")
+    lines = line_sets(keyed_rows(docs, firsts, "doc_id", firsts.count())).select("d1", "set")
     return cut(keyed_rows(lines, wanted, "d1", n).dropDuplicates(["d1"]))
 
 
 def _reordered(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Entries (cell, d1, pos, n, rank) with frequent tokens moved to the end of the order."""
+    """Entries (cell, d1, pos) with frequent tokens moved to the end of the order."""
     frequent = cut(entries.where(F.col("members") > FREQUENT).select("cell", "members").distinct())
     if frequent.isEmpty():
         return entries
@@ -62,13 +63,12 @@ def _reordered(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
     tokens = _sets_of(docs, classes, moved).select("d1", F.explode("set").alias("cell")).join(frequent, "cell", "left")
     by_rarity = W.partitionBy("d1").orderBy(F.coalesce("members", F.lit(0)), "cell")
     tokens = tokens.withColumn("pos", F.row_number().over(by_rarity) - 1)
-    meta = classes.select("d1", "n", "rank")
-    fresh = cut(tokens.join(meta, "d1").where(F.col("pos") < _prefix_size(F.col("n"))).select("cell", "d1", "pos", "n", "rank"))
+    fresh = cut(tokens.join(classes.select("d1", "n"), "d1").where(F.col("pos") < _prefix_size(F.col("n"))).select("cell", "d1", "pos"))
     cells = cut(fresh.select("cell").distinct())
     stay = classes.join(_broadcast(moved, n_moved), "d1", "left_anti")
-    old = keyed_rows(stay.select("d1", "n", "rank", F.posexplode("prefix").alias("pos", "cell")), cells, "cell", cells.count())
-    rest = entries.join(_broadcast(moved, n_moved), "d1", "left_anti").select("cell", "d1", "pos", "n", "rank")
-    return _shared(rest.unionByName(old.select("cell", "d1", "pos", "n", "rank")).distinct().unionByName(fresh))
+    old = keyed_rows(stay.select("d1", F.posexplode("prefix").alias("pos", "cell")), cells, "cell", cells.count())
+    rest = entries.join(_broadcast(moved, n_moved), "d1", "left_anti").select("cell", "d1", "pos")
+    return _shared(rest.unionByName(old.select("cell", "d1", "pos")).distinct().unionByName(fresh))
 
 
 def _broadcast(df: DataFrame, n: int) -> DataFrame:
@@ -103,10 +103,11 @@ def later_matches(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     sets = line_sets(docs)
-    lines = cut(sets.where("n > 0").select("doc_id", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), _prefix_size(F.col("n"))).alias("prefix")))
+    # a filter on n before the write would be pushed below the sets and compute them twice
+    lines = cut(sets.select("doc_id", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix"))).where("n > 0")
     classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    entries = classes.select("d1", "n", "rank", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos", "n", "rank")
-    entries = _reordered(_shared(entries), classes, docs)
+    entries = classes.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
+    entries = cut(_reordered(_shared(entries), classes, docs).join(classes.select("d1", "n", "rank"), "d1"))
     first = entries.groupBy("cell").agg(F.min(F.struct("rank", "d1", "n", "pos")).alias("f"))
     pairs = entries.join(first, "cell").where((F.col("d1") != F.col("f.d1")) & _may_match(F.col("n"), F.col("f.n"), F.col("pos"), F.col("f.pos")))
     pairs = cut(pairs.select(F.col("d1").alias("a"), F.col("f.d1").alias("b")).distinct())
