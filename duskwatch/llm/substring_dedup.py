@@ -24,14 +24,16 @@ _UNIT = re.compile(r"[^\n.!?…]+[.!?…]*")
 SPAN = "struct<start:bigint,`end`:bigint,words:bigint,keeper:bigint>"
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit of a text; the end is exclusive and leaves out blanks."""
-    for m in _UNIT.finditer(text):
+def units(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(ord, start, end, words, digest) of each unit of a text; the end is exclusive and leaves out blanks.
+
+    Units that are passed over have their place in the order, so a passage never runs on across one."""
+    for k, m in enumerate(_UNIT.finditer(text)):
         own = m.group().split()
         if len(own) >= UNIT_WORDS:
             start, end = m.span()
             lead = len(m.group()) - len(m.group().lstrip())
-            yield start + lead, end - (len(m.group()) - len(m.group().rstrip())), len(own), blake2b(" ".join(own).lower().encode(), digest_size=16).digest()
+            yield k, start + lead, end - (len(m.group()) - len(m.group().rstrip())), len(own), blake2b(" ".join(own).lower().encode(), digest_size=16).digest()
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,9 +43,9 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             rows, cols = [], ([], [], [], [], [])
             for i, text in enumerate(part.column(1).to_pylist()):
-                for k, (start, end, words, digest) in enumerate(units(text or "")):
+                for unit in units(text or ""):
                     rows.append(i)
-                    for col, v in zip(cols, (k, start, end, words, digest), strict=True):
+                    for col, v in zip(cols, unit, strict=True):
                         col.append(v)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)

@@ -185,6 +185,14 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.remove(docs, substring_dedup.repeated_passages(docs)).columns == docs.columns
 
 
+def test_substring_dedup_keeps_what_lies_between(spark):
+    head, foot = "this header stands at the top of both documents, eleven words.", "this footer stands at the end of both of the documents, twelve."
+    between = "\n".join(f"own{i} line{i}" for i in range(500))
+    d = spark.createDataFrame([(1, f"{head}\nother\n{foot}", None, None, 0), (2, f"{head}\n{between}\n{foot}", None, None, 0)], SCHEMA)
+    out = {r.doc_id: r.text for r in substring_dedup.remove(d, substring_dedup.repeated_passages(d)).collect()}
+    assert between in out[2] and out[1] == f"{head}\nother\n{foot}"
+
+
 @pytest.mark.parametrize("region", [128, 2])
 def test_jaccard_join(docs, none, rows, region, monkeypatch):
     monkeypatch.setattr(jaccard_join, "REGION", region)
