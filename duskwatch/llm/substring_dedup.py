@@ -1,9 +1,11 @@
 """Substring dedup: lines and their sentences are hashed, repeated ones are removed but for their first place.
 
-Units are sentences within lines (a paragraph is a line); each is normalised (lower case, single
-blanks) and its digest grouped over the whole corpus. The earliest by (doc_id, offset) keeps its place.
-Repeated units that follow one another make a passage; passages of ``PASSAGE_WORDS`` words or more
-are removed, with their original offsets (code points) and the document that keeps the text.
+Sentences within lines (a paragraph is a line) are normalised (lower case, single blanks). A sentence of
+``UNIT_WORDS`` words or more is a unit; a shorter one is joined with those after it, and with those before
+it, to units of ``JOINED_WORDS`` words. Digests of units are grouped over the whole corpus, and the earliest
+by (doc_id, offset) keeps its place. Repeated units that follow one another make a passage; passages of
+``PASSAGE_WORDS`` words or more are removed, with their original offsets (code points) and the document that
+keeps the text. A whole line that repeats an earlier whole line goes whatever its length.
 """
 
 from __future__ import annotations
@@ -18,53 +20,99 @@ from pyspark.sql import functions as F
 
 from .store import cut, documents
 
-#: Units of fewer words are passed over; a passage of repeated units has at least PASSAGE_WORDS words.
-UNIT_WORDS, PASSAGE_WORDS = 3, 20
-_UNIT = re.compile(r"[^\n.!?…]+[.!?…]*")
+#: Shorter sentences are joined to units of JOINED_WORDS; a passage of repeated units has at least PASSAGE_WORDS words.
+UNIT_WORDS, JOINED_WORDS, PASSAGE_WORDS = 3, 8, 20
+_UNIT = re.compile(r"[^\n.!?…]+[.!?…]*|[.!?…]+")
 SPAN = "struct<start:bigint,`end`:bigint,words:bigint,keeper:bigint>"
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(ord, start, end, words, digest) of each unit of a text; the end is exclusive and leaves out blanks.
-
-    Units that are passed over have their place in the order, so a passage never runs on across one."""
-    for k, m in enumerate(_UNIT.finditer(text)):
-        own = m.group().split()
-        if len(own) >= UNIT_WORDS:
-            start, end = m.span()
-            lead = len(m.group()) - len(m.group().lstrip())
-            yield k, start + lead, end - (len(m.group()) - len(m.group().rstrip())), len(own), blake2b(" ".join(own).lower().encode(), digest_size=16).digest()
+def _digest(words: list[str], kind: bytes) -> bytes:
+    return blake2b(" ".join(words).lower().encode(), digest_size=16, person=kind).digest()
+
+
+def _line_units(own: list[tuple[int, int, int, list[str]]]) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
+    """Units of one line, from its sentences (place of the first word, start, end, words)."""
+    joined = set()
+    for i, (_, _, _, words) in enumerate(own):
+        if len(words) >= UNIT_WORDS:
+            joined.add((i, i))
+            continue
+        for step in (1, -1):
+            n, j = len(words), i
+            while n < JOINED_WORDS and 0 <= j + step < len(own):
+                j += step
+                n += len(own[j][3])
+            if n >= JOINED_WORDS:
+                joined.add((min(i, j), max(i, j)))
+    for i, j in joined:
+        words = own[i][3] if i == j else [w for x in own[i : j + 1] for w in x[3]]
+        yield own[i][0], own[i][1], own[j][2], len(words), False, _digest(words, b"" if i == j else b"joined")
+    words = [w for x in own for w in x[3]]
+    if len(words) < PASSAGE_WORDS:  # the units of a longer line cover it
+        yield own[0][0], own[0][1], own[-1][2], len(words), True, _digest(words, b"line")
+
+
+def units(text: str) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
+    """(ord, start, end, words, line, digest) of each unit of a text, and of each line of fewer than
+    ``PASSAGE_WORDS`` words; ord is the place of its first word, the end is exclusive and leaves out blanks."""
+    at = offset = 0
+    for line in text.split("\n"):
+        own = []
+        for m in _UNIT.finditer(line):
+            words = m.group().split()
+            if words:
+                start, end = m.span()
+                own.append((at, offset + start + len(m.group()) - len(m.group().lstrip()), offset + end - len(m.group()) + len(m.group().rstrip()), words))
+                at += len(words)
+        if own:
+            yield from _line_units(own)
+        offset += len(line) + 1
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "ord", "start", "end", "words", "digest"]
+    names = ["doc_id", "ord", "start", "end", "words", "line", "digest"]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            rows, cols = [], ([], [], [], [], [])
+            rows, cols = [], ([], [], [], [], [], [])
             for i, text in enumerate(part.column(1).to_pylist()):
                 for unit in units(text or ""):
                     rows.append(i)
                     for col, v in zip(cols, unit, strict=True):
                         col.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
 
+def spans_of(own: list[dict], least: int) -> list[dict]:
+    """Passages of ``least`` words or more of sorted repeated units, and the whole lines outside of them."""
+
+    def runs(some: list[dict], gap: int) -> list[dict]:
+        spans: list[dict] = []
+        to = -1
+        for u in some:
+            if spans and u["ord"] <= to - gap:
+                to = max(to, u["ord"] + u["words"])
+                spans[-1]["end"] = max(spans[-1]["end"], u["end"])
+                spans[-1]["words"] = to - spans[-1]["ord"]
+            else:
+                to = u["ord"] + u["words"]
+                spans.append({k: u[k] for k in ("ord", "start", "end", "words", "keeper")})
+        return spans
+
+    out, lines, at = [], runs([u for u in own if u["line"]], 1), 0
+    for run in runs(own, 0):
+        inside = []
+        while at < len(lines) and lines[at]["ord"] < run["ord"] + run["words"]:
+            inside.append(lines[at])
+            at += 1
+        out += [run] if run["words"] >= least else inside
+    return [{k: s[k] for k in ("start", "end", "words", "keeper")} for s in out]
+
+
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for own in batch.column(1).to_pylist():
-            spans: list[dict] = []
-            to = -2
-            for u in own:
-                if u["ord"] == to + 1:
-                    spans[-1]["end"] = u["end"]
-                    spans[-1]["words"] += u["words"]
-                else:
-                    spans.append({"start": u["start"], "end": u["end"], "words": u["words"], "keeper": u["keeper"]})
-                to = u["ord"]
-            out.append([s for s in spans if s["words"] >= least])
+        out = [spans_of(own, least) for own in batch.column(1).to_pylist()]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("keeper", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
@@ -77,11 +125,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     than doc_id and text are not read.
     """
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(data.mapInArrow(_unit_rows, "doc_id long, ord int, start int, `end` int, words int, digest binary"))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start")
+    rows = cut(data.mapInArrow(_unit_rows, "doc_id long, ord int, start int, `end` int, words int, line boolean, digest binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "end")
     many = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = rows.join(many, "digest").where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start") > F.col("first"))
-    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("ord", "start", "end", "words", F.col("first.doc_id").alias("keeper")))).alias("us"))
+    # what overlaps its own first place stays, else nothing would keep the text
+    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("start") >= F.col("first.end"))
+    later = rows.join(many, "digest").where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "end") > F.col("first")).where(apart)
+    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("ord", "start", "end", "words", "line", F.col("first.doc_id").alias("keeper")))).alias("us"))
     return found.mapInArrow(lambda b: _merge(b, PASSAGE_WORDS), f"doc_id long, spans array<{SPAN}>").where(F.size("spans") > 0)
 
 

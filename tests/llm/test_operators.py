@@ -193,6 +193,22 @@ def test_substring_dedup_keeps_what_lies_between(spark):
     assert between in out[2] and out[1] == f"{head}\nother\n{foot}"
 
 
+def test_substring_dedup_of_short_lines_and_sentences(spark):
+    shout = " ".join(f"w{i}!!" for i in range(30))
+    license = "Licensed under the terms that are given in the file named so"
+    laugh = " ".join(["ha!"] * 40)
+    texts = [
+        f"{license}\nown text of one\n{shout}", f"own text of two\n{license}\nmore of two. {shout}", " ".join(reversed(shout.split())), laugh,
+        f"a b\n{license} or not", "x. y\na b\nz",
+    ]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text for r in substring_dedup.remove(d, substring_dedup.repeated_passages(d)).collect()}
+    assert out[0] == texts[0] and out[1].split() == "own text of two more of two.".split()
+    assert out[2] == texts[2]  # the same words, but in an order of their own
+    assert out[3].split() == ["ha!"] * substring_dedup.JOINED_WORDS  # the first place stays whole
+    assert out[4] == texts[4] and out[5].split() == ["x.", "y", "z"]
+
+
 @pytest.mark.parametrize("region", [128, 2])
 def test_jaccard_join(docs, none, rows, region, monkeypatch):
     monkeypatch.setattr(jaccard_join, "REGION", region)
