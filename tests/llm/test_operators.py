@@ -174,6 +174,13 @@ def test_classifiers(spark, module, label, folds, held):
     assert len({r.score for r in module.classify(docs.limit(5), labels.limit(0)).collect()}) >= 1
 
 
+def test_toxicity_is_fitted_whole(monkeypatch):
+    steps = []
+    monkeypatch.setattr(toxicity, "_step", lambda net, ids, rows, y, weight: steps.append(len(y)) or {k: np.zeros_like(x) for k, x in net.p.items()})
+    toxicity.train([f"word{i}" for i in range(100)], np.arange(100) % 2 * 1.0)
+    assert sum(steps) == 8 * 80 and toxicity.SAMPLE == 6000  # eight passes over four fifths
+
+
 def test_substring_dedup(spark, docs, none):
     passage = "this is a passage of many words that is found in two documents. it goes on for some more words than the limit asks for."
     d = spark.createDataFrame([(1, "A start here. " + passage, None, None, 0), (2, "Another one begins. " + passage + " And it ends alone.", None, None, 0), (3, "short. short. short.", None, None, 0), (4, None, None, None, None)], SCHEMA)
