@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, documents, keyed_rows
+from .store import BROADCAST_ROWS, cut, documents, keyed_rows, text_digests, with_found
 
 PERCENT = 80
 #: Lines of fewer words are always kept.
@@ -30,18 +30,18 @@ def _prefix_size(n: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+    """(doc_id, k1, k2, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
+    lines = docs.select("doc_id", *text_digests(), F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
     words = F.split(F.btrim("line", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")  # of a blank line one empty word, which is too few
-    lines = lines.select("doc_id", "line_no", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
+    lines = lines.select("doc_id", "k1", "k2", "line_no", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
     lines = with_shingles(lines, "w", "s")
     own = F.when(F.size("w") >= LEAST_WORDS, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
-    lines = lines.select("doc_id", "line_no", own.alias("set"))
+    lines = lines.select("doc_id", "k1", "k2", "line_no", own.alias("set"))
     return lines.withColumns({"n": F.size("set"), "d1": F.xxhash64("set"), "d2": F.xxhash64(F.lit(7), "set")})
 
 
 def _rank() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "line_no")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -95,16 +95,16 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the lines to remove, each once.
+    """(doc_id, k1, k2, line_no) of the lines to remove, each once.
 
     Null and empty texts, blank lines and lines of fewer than ``LEAST_WORDS`` words lose nothing. Rows
-    that repeat an id and its text count as one document and lose the same lines. Documents without an
-    id rank last. An empty table gives an empty table; columns other than doc_id and text are not read.
+    that repeat an id and its text count as one document and lose the same lines;
+    the digests k1 and k2 of the text tell it from others. Documents without an id rank last. An empty table gives an empty table; columns other than doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
     sets = line_sets(docs)
     # a filter on n before the write would be pushed below the sets and compute them twice
-    lines = cut(sets.select("doc_id", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix"))).where("n > 0")
+    lines = cut(sets.select("doc_id", "k1", "k2", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix"))).where("n > 0")
     classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     entries = classes.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
     entries = cut(_reordered(_shared(entries), classes, docs).join(classes.select("d1", "n", "rank"), "d1"))
@@ -121,13 +121,13 @@ def later_matches(docs: DataFrame) -> DataFrame:
     nodes = more.select(F.col("a").alias("d1")).union(more.select("b"))
     gone = cut(gone.union(_similar(more, _sets_of(docs, classes, nodes))).distinct())
     firsts = classes.select("d1", "d2", "rank").join(gone.select(F.col("a").alias("d1"), F.lit(True).alias("gone")), "d1", "left")
-    hit = lines.select("doc_id", "line_no", "d1", "d2").join(firsts, ["d1", "d2"])
-    return hit.where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "line_no").distinct()
+    hit = lines.select("doc_id", "k1", "k2", "line_no", "d1", "d2").join(firsts, ["d1", "d2"])
+    return hit.where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): numbers of the lines to remove, from 0, of the documents that lose some."""
-    return later_matches(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    """(doc_id, k1, k2, removed): numbers of the lines to remove, from 0, of the documents that lose some."""
+    return later_matches(docs).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -135,8 +135,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A document whose lines all go keeps an empty text.
     """
-    found = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    both = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    both = with_found(docs, removed_lines(docs).withColumnRenamed("removed", "_removed"))
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i))
     both = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     both = both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
@@ -146,8 +145,6 @@ def remove(docs: DataFrame) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines and the numbers of those removed."""
     docs = documents(spark, sf_dir)
-    found = removed_lines(docs).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    both = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    both = with_found(docs.select("doc_id", "text"), removed_lines(docs)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -38,6 +38,18 @@ def keyed_rows(df: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFra
     return df.join(keys, df[key].eqNullSafe(F.col("_key")), "left_semi")
 
 
+def text_digests() -> list[Column]:
+    """k1 and k2, two digests of the text: with doc_id they tell rows apart whose texts differ."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
+
+
+def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the further columns of ``found`` (doc_id, k1, k2, ...) for rows of equal id and text, else null."""
+    own = found.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), *[c for c in found.columns if c not in ("doc_id", "k1", "k2")])
+    k1, k2 = text_digests()
+    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")) & (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").drop("_id", "_k1", "_k2")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut, documents
+from .store import cut, documents, text_digests, with_found
 
 #: Shorter sentences are joined to units of JOINED_WORDS; a passage of repeated units has at least PASSAGE_WORDS words.
 UNIT_WORDS, JOINED_WORDS, PASSAGE_WORDS = 3, 8, 20
@@ -70,18 +70,18 @@ def units(text: str) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "ord", "start", "end", "words", "line", "digest"]
+    names = ["doc_id", "k1", "k2", "ord", "start", "end", "words", "line", "digest"]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows, cols = [], ([], [], [], [], [], [])
-            for i, text in enumerate(part.column(1).to_pylist()):
+            for i, text in enumerate(part.column(3).to_pylist()):
                 for unit in units(text or ""):
                     rows.append(i)
                     for col, v in zip(cols, unit, strict=True):
                         col.append(v)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows, pa.int64())) for c in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
 
 def spans_of(own: list[dict], least: int) -> list[dict]:
@@ -112,27 +112,28 @@ def spans_of(own: list[dict], least: int) -> list[dict]:
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [spans_of(own, least) for own in batch.column(1).to_pylist()]
+        out = [spans_of(own, least) for own in batch.column(3).to_pylist()]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("keeper", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], ["doc_id", "k1", "k2", "spans"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) of the rows with something to remove; spans are sorted and don't overlap.
+    """(doc_id, k1, k2, spans) of the rows with something to remove; spans are sorted and don't overlap.
 
-    Null and empty texts have no units. Rows that repeat an id and its text count as one document; rows
-    without an id rank last and are grouped as one. An empty table gives an empty table; columns other
+    Null and empty texts have no units. Rows that repeat an id and its text count as one document,
+    told from others by the digests k1 and k2 of the text; rows without an id rank last. An empty table gives an empty table; columns other
     than doc_id and text are not read.
     """
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(data.mapInArrow(_unit_rows, "doc_id long, ord int, start int, `end` int, words int, line boolean, digest binary"))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "end")
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_digests(), "text")
+    rows = cut(data.mapInArrow(_unit_rows, "doc_id long, k1 long, k2 long, ord int, start int, `end` int, words int, line boolean, digest binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "start", "end")
     many = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     # what overlaps its own first place stays, else nothing would keep the text
-    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("start") >= F.col("first.end"))
-    later = rows.join(many, "digest").where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "end") > F.col("first")).where(apart)
-    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("ord", "start", "end", "words", "line", F.col("first.doc_id").alias("keeper")))).alias("us"))
-    return found.mapInArrow(lambda b: _merge(b, PASSAGE_WORDS), f"doc_id long, spans array<{SPAN}>").where(F.size("spans") > 0)
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))
+    apart = other | (F.col("start") >= F.col("first.end"))
+    later = rows.join(many, "digest").where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "start", "end") > F.col("first")).where(apart)
+    found = later.groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.collect_set(F.struct("ord", "start", "end", "words", "line", F.col("first.doc_id").alias("keeper")))).alias("us"))
+    return found.mapInArrow(lambda b: _merge(b, PASSAGE_WORDS), f"doc_id long, k1 long, k2 long, spans array<{SPAN}>").where(F.size("spans") > 0)
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -143,8 +144,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
         stops = F.concat(F.transform(own, lambda s: s["start"]), F.array(F.length(text).cast("long")))
         return F.array_join(F.zip_with(cuts, stops, lambda a, b: F.substring(text, a["end"].cast("int") + 1, (b - a["end"]).cast("int"))), "")
 
-    own = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    both = docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    both = with_found(docs, spans.withColumnRenamed("spans", "_spans"))
     both = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans"))))
     both = both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
     return both.select(docs.columns)
@@ -154,8 +154,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what is removed, with offsets and the documents that keep it."""
     docs = documents(spark, sf_dir)
     spans = repeated_passages(docs)
-    rows = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    rows = rows.join(spans.withColumnRenamed("doc_id", "_id"), rows["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    rows = with_found(docs.select("doc_id", "text"), spans).select("doc_id", F.length("text").cast("long").alias("n_chars"), "spans")
     cuts = F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     return rows.select(
         "doc_id", "n_chars", F.size(cuts).cast("long").alias("n_removed"), F.aggregate(cuts, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),

@@ -261,6 +261,15 @@ def test_line_dedup(docs, none, rows, frequent, monkeypatch):
         assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_rows_without_id_are_told_apart(spark):
+    line = "this line of many words is found in more than one document and in none of them it is the very first line of all of them"
+    texts = [f"one own line here\n{line}", f"{line}\nsecond own line there\nmore of it", "third own line\nwith quite another text that is found nowhere else"]
+    d = spark.createDataFrame([(None, x, None, None, None) for x in [*texts, texts[2]]] + [(1, line, None, None, None)], SCHEMA)
+    want = sorted([texts[0].replace(line, ""), texts[1].replace(line, ""), texts[2], texts[2], line])
+    assert sorted(r.text.strip("\n") for r in substring_dedup.remove(d, substring_dedup.repeated_passages(d)).collect()) == sorted(x.strip("\n") for x in want)
+    assert sorted(r.text.strip("\n") for r in line_dedup.remove(d).collect()) == sorted(x.strip("\n") for x in want)
+
+
 def test_pieces(spark, docs, none, rows):
     import sentencepiece
 
