@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines.
 
-A line's tokens are its five-word shingles (of three or four words, all of them as one). Lines of equal
+A line's tokens are its five-word shingles (of one to four words, all of them as one). Lines of equal
 sets are one class, whose rank is that of its first line. Tokens are ordered by rarity: those that
 turn out frequent come last, by their count, the others by their hash. Two sets of similarity t share
 one of their first n - ceil(t n) + 1 tokens (prefix filter); sizes (length filter) and the places of the
@@ -16,11 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, documents, keyed_rows, text_digests, with_found
+from .store import BROADCAST_ROWS, cut, documents, keyed_rows, text_digests, with_found, words_of
 
 PERCENT = 80
-#: Lines of fewer words are always kept.
-LEAST_WORDS = 3
+#: Lines of fewer words are kept: every line with a word is compared.
+LEAST_WORDS = 1
 #: A token in the prefixes of more classes than this counts as frequent.
 FREQUENT = 256
 
@@ -29,13 +29,12 @@ def _prefix_size(n: Column) -> Column:
     return n - F.floor((n * PERCENT + 99) / 100).cast("int") + 1
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
+def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, k1, k2, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
     lines = docs.select("doc_id", *text_digests(), F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
-    words = F.split(F.btrim("line", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")  # of a blank line one empty word, which is too few
-    lines = lines.select("doc_id", "k1", "k2", "line_no", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
+    lines = lines.select("doc_id", "k1", "k2", "line_no", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w"))
     lines = with_shingles(lines, "w", "s")
-    own = F.when(F.size("w") >= LEAST_WORDS, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
+    own = F.when(F.size("w") >= least_words, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
     lines = lines.select("doc_id", "k1", "k2", "line_no", own.alias("set"))
     return lines.withColumns({"n": F.size("set"), "d1": F.xxhash64("set"), "d2": F.xxhash64(F.lit(7), "set")})
 
@@ -94,15 +93,15 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))).select("a").distinct()
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
+def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
     """(doc_id, k1, k2, line_no) of the lines to remove, each once.
 
-    Null and empty texts, blank lines and lines of fewer than ``LEAST_WORDS`` words lose nothing. Rows
+    Null and empty texts, blank lines and lines of fewer than ``least_words`` words lose nothing. Rows
     that repeat an id and its text count as one document and lose the same lines;
     the digests k1 and k2 of the text tell it from others. Documents without an id rank last. An empty table gives an empty table; columns other than doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
-    sets = line_sets(docs)
+    sets = line_sets(docs, least_words)
     # a filter on n before the write would be pushed below the sets and compute them twice
     lines = cut(sets.select("doc_id", "k1", "k2", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix"))).where("n > 0")
     classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
@@ -127,7 +126,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, removed): numbers of the lines to remove, from 0, of the documents that lose some."""
-    return later_matches(docs).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    return later_matches(docs, LEAST_WORDS).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def remove(docs: DataFrame) -> DataFrame:

@@ -261,6 +261,11 @@ def test_line_dedup(docs, none, rows, frequent, monkeypatch):
         assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    d = spark.createDataFrame([(1, "Read more\n\n}\nmore\n \nown text", None, None, 0), (2, "read  more\n\n}\n \nRead\nmore so", None, None, 0), (3, "}\n\n", None, None, 0)], SCHEMA)
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(d).collect()} == {2: [0, 2], 3: [0]}
+
+
 def test_rows_without_id_are_told_apart(spark):
     line = "this line of many words is found in more than one document and in none of them it is the very first line of all of them"
     texts = [f"one own line here\n{line}", f"{line}\nsecond own line there\nmore of it", "third own line\nwith quite another text that is found nowhere else"]
