@@ -1,132 +1,190 @@
 """Line dedup: an exact set-similarity join of lines.
 
 A line's tokens are its five-word shingles (of one to four words, all of them as one). Lines of equal
-sets are one class, whose rank is that of its first line. Tokens are ordered by rarity: those that
-turn out frequent come last, by their count, the others by their hash. Two sets of similarity t share
-one of their first n - ceil(t n) + 1 tokens (prefix filter); sizes (length filter) and the places of the
-shared token (positional filter) bound the similarity before full sets are intersected. A line goes
-if an earlier line, kept or not, is as similar as ``PERCENT``. Each class is first compared with the
-earliest of its cells; only classes that this leaves open meet all earlier ones.
+sets are one class, whose rank is that of its first line. In any fixed order of tokens two sets of
+similarity t share one of their first n - ceil(t n) + 1 (prefix filter); sizes (length filter) and the
+places of the shared token (positional filter) bound the similarity before full sets are intersected.
+A line goes if an earlier line, kept or not, is as similar as ``PERCENT``.
+
+1. The order of token hashes, which needs no count of all tokens, leaves the classes that share a token
+   of their prefixes with another class. In cells of ``FEW`` classes or less all are compared, in larger
+   ones each with the earliest.
+2. Classes of larger cells that this leaves open, and all of their cells, count their tokens and order
+   them by rarity; whatever then shares a token of its prefix is compared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, documents, keyed_rows, text_digests, with_found, words_of
+from .store import BROADCAST_ROWS, cut, discard, documents, keyed, keyed_rows, text_digests, unpacked, with_found, words_of
 
 PERCENT = 80
 #: Lines of fewer words are kept: every line with a word is compared.
 LEAST_WORDS = 1
-#: A token in the prefixes of more classes than this counts as frequent.
-FREQUENT = 256
+#: A class of more lines than a 1 / MANY of all, and than COPIES, enters the join as one row.
+MANY, COPIES = 1 << 16, 64
+#: Cells of more classes are first compared with their earliest class only, then by rarity.
+FEW = 16
 
 
-def _prefix_size(n: Column) -> Column:
-    return n - F.floor((n * PERCENT + 99) / 100).cast("int") + 1
+def _needed(n: Column) -> Column:
+    return F.floor((n * PERCENT + 99) / 100).cast("int")
 
 
-def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, k1, k2, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
-    lines = docs.select("doc_id", *text_digests(), F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "k1", "k2", "line_no", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w"))
-    lines = with_shingles(lines, "w", "s")
-    own = F.when(F.size("w") >= least_words, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
-    lines = lines.select("doc_id", "k1", "k2", "line_no", own.alias("set"))
-    return lines.withColumns({"n": F.size("set"), "d1": F.xxhash64("set"), "d2": F.xxhash64(F.lit(7), "set")})
+def _prefix_size(n: Column) -> Column:
+    return n - _needed(n) + 1
 
 
-def _rank() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "line_no")
+def _with_sets(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``lines`` with ``set``, the sorted distinct tokens of the column ``line``."""
+    lines = with_shingles(lines.withColumn("w", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x))), "w", "s")
+    own = F.when(F.size("w") >= least_words, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
+    return lines.withColumn("set", own).drop("w", "s", "line")
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d1, set) of the wanted classes, from the texts that hold their first lines."""
-    wanted = cut(wanted.select("d1").distinct())
-    n = wanted.count()
-    firsts = cut(keyed_rows(classes, wanted, "d1", n).select(F.col("rank.doc_id").alias("doc_id")).distinct())
-    lines = line_sets(keyed_rows(docs, firsts, "doc_id", firsts.count())).select("d1", "set")
-    return cut(keyed_rows(lines, wanted, "d1", n).dropDuplicates(["d1"]))
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *text_digests(), F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
 
 
-def _reordered(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Entries (cell, d1, pos) with frequent tokens moved to the end of the order."""
-    frequent = cut(entries.where(F.col("members") > FREQUENT).select("cell", "members").distinct())
-    if frequent.isEmpty():
-        return entries
-    moved = cut(entries.where(F.col("members") > FREQUENT).select("d1").distinct())
-    n_moved = moved.count()
-    tokens = _sets_of(docs, classes, moved).select("d1", F.explode("set").alias("cell")).join(frequent, "cell", "left")
-    by_rarity = W.partitionBy("d1").orderBy(F.coalesce("members", F.lit(0)), "cell")
-    tokens = tokens.withColumn("pos", F.row_number().over(by_rarity) - 1)
-    fresh = cut(tokens.join(classes.select("d1", "n"), "d1").where(F.col("pos") < _prefix_size(F.col("n"))).select("cell", "d1", "pos"))
-    cells = cut(fresh.select("cell").distinct())
-    stay = classes.join(_broadcast(moved, n_moved), "d1", "left_anti")
-    old = keyed_rows(stay.select("d1", F.posexplode("prefix").alias("pos", "cell")), cells, "cell", cells.count())
-    rest = entries.join(_broadcast(moved, n_moved), "d1", "left_anti").select("cell", "d1", "pos")
-    return _shared(rest.unionByName(old.select("cell", "d1", "pos")).distinct().unionByName(fresh))
+def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, k1, k2, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
+    return _with_sets(_lines(docs), least_words).withColumns({"n": F.size("set"), "d1": F.xxhash64("set"), "d2": F.xxhash64(F.lit(7), "set")})
 
 
-def _broadcast(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _rank() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "line_no")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of cells with two classes or more, with the number of them."""
+def _shared(entries: DataFrame, who: str) -> DataFrame:
+    """Entries (cell, ...) of the cells with more than one value of ``who``, and the cells' number of rows as ``members``."""
     dealt = entries.repartition("cell")  # one exchange for the counts and for the join
-    counts = dealt.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-    return cut(dealt.join(counts, "cell"))
+    many = dealt.groupBy("cell").agg(F.count("*").alias("members"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo < hi").select("cell", "members")
+    return dealt.join(many.hint("shuffle_hash"), "cell")
 
 
-def _may_match(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column) -> Column:
-    """Length filter, and positional filter: the tokens from the shared one on have to suffice."""
-    most = F.least(n_a - pos_a, n_b - pos_b) + F.least(pos_a, pos_b)
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT) & (most * (100 + PERCENT) >= (n_a + n_b) * PERCENT)
+def _may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Length filter, and positional filter: the tokens from the shared one on, and those before it that
+    any other class has (all but ``alone``), have to suffice."""
+    most = F.least(a["n"] - a["pos"], b["n"] - b["pos"]) + F.least(a["pos"] - a["alone"], b["pos"] - b["alone"])
+    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * PERCENT) & (most * (100 + PERCENT) >= (a["n"] + b["n"]) * PERCENT)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left, right = sets.select(F.col("d1").alias("a"), F.col("set").alias("x")), sets.select(F.col("d1").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") * 100 >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))).select("a").distinct()
+    """(o) of the later ones of the pairs (a, b) whose sets are similar."""
+    nodes = cut(pairs.select(F.col("a").alias("o")).union(pairs.select("b")).distinct())
+    own = keyed_rows(sets, nodes, "o", nodes.count())
+    left, right = own.select(F.col("o").alias("a"), F.col("set").alias("x")), own.select(F.col("o").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    enough = F.size(F.array_intersect("x", "y")) * (100 + PERCENT) >= PERCENT * (F.size("x") + F.size("y"))
+    return both.where(enough).select(F.col("a").alias("o")).distinct()
+
+
+def _sets(docs: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
+    """(o, set) of the first lines of the classes ``known`` (o, rank), each once."""
+    first = known.select("o", *[F.col(f"rank.{c}").alias(f"_{c}") for c in ("doc_id", "k1", "k2", "line_no")])
+    first = F.broadcast(first) if n_known <= BROADCAST_ROWS else first
+    lines = _lines(docs)
+    same = lines["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("line_no") == F.col("_line_no"))
+    once = lines.join(first, same).select("o", "line").groupBy("o").agg(F.first("line").alias("line"))
+    return cut(_with_sets(once).select("o", "set"))
+
+
+def _entries(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cell, d1, pos) of the prefixes under the order of hashes; sets of up to three tokens match equal sets only."""
+    bound = max(COPIES, lines.count() // MANY)
+    hot = classes.where(F.col("copies") > bound).select("d1", "d2")  # fewer than MANY classes
+    rows = lines.where("n > 3").select("d1", "d2", "prefix")
+    once = rows.join(F.broadcast(hot), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.first("prefix").alias("prefix"))
+    rows = rows.join(F.broadcast(hot), ["d1", "d2"], "left_anti").unionByName(once) if not hot.isEmpty() else rows
+    return rows.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
+
+
+def _pruned(pairs: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that all shared tokens of their prefixes still allow.
+
+    Of two sets, every common token up to the end of the prefix that ends first is in both prefixes. So
+    beyond those tokens only as many can be common as the smaller rest has.
+    """
+    own = entries.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("cell", "pos"))).alias("t")).join(known.select("o", "n", "last"), "o")
+    left, right = (own.select(*[F.col(c).alias(f"{c}_{x}") for c in own.columns]) for x in "ab")
+    both = pairs.join(left.withColumnRenamed("o_a", "a"), "a").join(right.withColumnRenamed("o_b", "b"), "b")
+    both = both.withColumn("common", F.array_intersect("t_a.cell", "t_b.cell"))
+    top = F.array_max("common")
+    for x, y in ("ab", "ba"):
+        seen = F.get(F.filter(f"t_{x}", lambda e: e["cell"] == top), F.lit(0))["pos"] + 1
+        both = both.withColumn(f"rest_{x}", F.col(f"n_{x}") - F.when(F.col(f"last_{x}") <= F.col(f"last_{y}"), _prefix_size(F.col(f"n_{x}"))).otherwise(seen))
+    most = F.size("common") + F.least("rest_a", "rest_b")
+    return cut(both.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b"))
+
+
+def _by_rarity(sets: DataFrame) -> DataFrame:
+    """(cell, o, n, pos, alone) of the prefixes of ``sets`` (o, set), their tokens ordered by how many of them have each."""
+    shared = _shared(sets.select("o", F.size("set").alias("n"), F.explode("set").alias("cell")).select("cell", "o", "n"), "o")
+    # tokens that one class alone has are its rarest: they come first and need no row of their own
+    own = shared.groupBy("o", "n").agg(F.sort_array(F.collect_list(F.struct("members", "cell"))).alias("t"))
+    placed = own.select("o", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("at", "u"))
+    placed = placed.select("u.cell", "o", "n", (F.col("alone") + F.col("at")).alias("pos"), "alone")
+    return cut(placed.where(F.col("pos") < _prefix_size(F.col("n"))))
+
+
+def _sides(late: DataFrame, early: DataFrame) -> DataFrame:
+    """(a, b) of entries of one cell, b before a, that sizes and places allow."""
+    names = ("o", "n", "pos", "alone")
+    a, b = ({c: F.col(f"{c}_{x}") for c in names} for x in "ab")
+    late, early = (t.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in names]) for t, x in ((late, "a"), (early, "b")))
+    met = late.join(early, "cell").where((b["o"] < a["o"]) & _may_match(a, b))
+    return cut(met.select(a["o"].alias("a"), b["o"].alias("b")).distinct())
 
 
 def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
-    """(doc_id, k1, k2, line_no) of the lines to remove, each once.
+    """(doc_id, k1, k2, line_no) of the lines to remove.
 
     Null and empty texts, blank lines and lines of fewer than ``least_words`` words lose nothing. Rows
     that repeat an id and its text count as one document and lose the same lines;
-    the digests k1 and k2 of the text tell it from others. Documents without an id rank last. An empty table gives an empty table; columns other than doc_id and text are not read.
+    the digests k1 and k2 of the text tell it from others. Documents without an id rank last. An empty table
+    gives an empty table; columns other than doc_id and text are not read. A very long text is taken line by
+    line, a very long line as one array of its tokens.
     """
     docs = docs.select("doc_id", "text")
     sets = line_sets(docs, least_words)
     # a filter on n before the write would be pushed below the sets and compute them twice
-    lines = cut(sets.select("doc_id", "k1", "k2", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix"))).where("n > 0")
-    classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    entries = classes.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
-    entries = cut(_reordered(_shared(entries), classes, docs).join(classes.select("d1", "n", "rank"), "d1"))
-    first = entries.groupBy("cell").agg(F.min(F.struct("rank", "d1", "n", "pos")).alias("f"))
-    pairs = entries.join(first, "cell").where((F.col("d1") != F.col("f.d1")) & _may_match(F.col("n"), F.col("f.n"), F.col("pos"), F.col("f.pos")))
-    pairs = cut(pairs.select(F.col("d1").alias("a"), F.col("f.d1").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("d1")).union(pairs.select("b"))
-    gone = cut(_similar(pairs, _sets_of(docs, classes, nodes)))
-    open_ = entries.join(gone.withColumnRenamed("a", "d1"), "d1", "left_anti")
-    late = open_.join(first.select("cell", F.col("f.d1").alias("f1")), "cell").where("d1 <> f1").select("cell", F.col("d1").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("rank").alias("rank_a"), "f1")
-    early = entries.select("cell", F.col("d1").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("rank").alias("rank_b"))
-    more = late.join(early, "cell").where((F.col("rank_b") < F.col("rank_a")) & (F.col("b") != F.col("f1")) & _may_match(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
-    more = cut(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    nodes = more.select(F.col("a").alias("d1")).union(more.select("b"))
-    gone = cut(gone.union(_similar(more, _sets_of(docs, classes, nodes))).distinct())
-    firsts = classes.select("d1", "d2", "rank").join(gone.select(F.col("a").alias("d1"), F.lit(True).alias("gone")), "d1", "left")
-    hit = lines.select("doc_id", "k1", "k2", "line_no", "d1", "d2").join(firsts, ["d1", "d2"])
-    return hit.where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no").distinct()
+    whole = cut(sets.select("doc_id", "k1", "k2", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix")))
+    lines = cut(whole.where("n > 0").drop("prefix", "n"))
+    classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.count("*").alias("copies")))
+    shared = cut(_shared(_entries(whole, classes), "d1").select("cell", "d1", "pos").distinct())
+    some = cut(shared.select("d1").distinct())
+    n_some = some.count()
+    sizes = keyed_rows(whole.select("d1", "d2", "n", F.element_at("prefix", -1).alias("last")), some, "d1", n_some)
+    sizes = cut(sizes.groupBy("d1", "d2").agg(F.max("n").alias("n"), F.max("last").alias("last")))
+    discard(whole)
+    # o numbers the classes in the order of their ranks
+    known = keyed_rows(classes, some, "d1", n_some).join(sizes, ["d1", "d2"])
+    known = cut(known.orderBy("rank").withColumn("o", F.monotonically_increasing_id()))
+    entries = cut(shared.join(known.select("d1", "o", "n"), "d1").select("cell", "o", "n", "pos", F.lit(0).alias("alone")))
+    first = cut(entries.groupBy("cell").agg(F.min(F.struct("o", "n", "pos", "alone")).alias("f"), F.count("*").alias("members")))
+    few = entries.join(first.where(F.col("members") <= FEW).select("cell"), "cell").select("cell", "o", "n", "pos", "alone")
+    early = few.unionByName(first.where(F.col("members") > FEW).select("cell", "f.*"))
+    pairs = _pruned(_sides(entries, early), entries, known)
+    many = entries.join(first.where(F.col("members") > FEW), "cell").select("cell", "o", (F.col("o") != F.col("f.o")).alias("open"))
+    nodes = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).union(many.select("o"))
+    sets = _sets(docs, keyed_rows(known, (wanted := cut(nodes.distinct())), "o", n_wanted := wanted.count()), n_wanted)
+    gone = cut(_similar(pairs, sets))
+    many = cut(many.join(gone.withColumn("_gone", F.lit(True)), "o", "left").select("cell", "o", (F.col("open") & F.col("_gone").isNull()).alias("open")))
+    open_ = many.where("open")
+    rest = _by_rarity(sets.join(many.join(open_.select("cell").distinct(), "cell", "left_semi").select("o").distinct(), "o", "left_semi"))
+    more = _sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest)
+    gone = cut(gone.union(_similar(more, sets)).distinct())
+    out = known.join(gone, "o", "left_semi").select("d1", "d2", F.lit(True).alias("gone"))
+    marked = classes.join(out, ["d1", "d2"], "left").where("copies > 1 OR gone").select("d1", "d2", "rank", "gone")
+    return lines.join(marked, ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, removed): numbers of the lines to remove, from 0, of the documents that lose some."""
-    return later_matches(docs, LEAST_WORDS).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    return later_matches(docs, LEAST_WORDS).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -134,16 +192,15 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A document whose lines all go keeps an empty text.
     """
-    both = with_found(docs, removed_lines(docs).withColumnRenamed("removed", "_removed"))
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i))
-    both = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    both = both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
-    return both.select(docs.columns)
+    both = with_found(keyed(docs), removed_lines(docs))
+    left = F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("removed", i))
+    return unpacked(both, docs.columns, F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines and the numbers of those removed."""
-    docs = documents(spark, sf_dir)
-    both = with_found(docs.select("doc_id", "text"), removed_lines(docs)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    both = with_found(docs.select(F.col("doc_id").alias("id"), *text_digests(), n_lines.alias("n_lines")), removed_lines(docs))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return both.select(F.col("id").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 20
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a temporary folder is set."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local master (tests) gets one temporary
+    folder for the process, and a cluster an error: its executors share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="duskwatch-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="duskwatch-"))
+    return _local[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,7 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` returned and that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def keyed_rows(df: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
@@ -43,11 +60,23 @@ def text_digests() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
 
 
-def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the further columns of ``found`` (doc_id, k1, k2, ...) for rows of equal id and text, else null."""
+def keyed(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, id, k1, k2, ...): whole rows of ``docs`` packed in one column, so that no name of theirs can
+    clash, beside their keys and the columns ``more``, which are worked out before any exchange."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), *text_digests(), *[c.alias(n) for n, c in more.items()])
+
+
+def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (id, k1, k2, ...) with the further columns of ``found`` (doc_id, k1, k2, ...) for equal id and text, else null."""
     own = found.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), *[c for c in found.columns if c not in ("doc_id", "k1", "k2")])
-    k1, k2 = text_digests()
-    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")) & (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").drop("_id", "_k1", "_k2")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    return rows.join(own, same, "left").drop("_id", "_k1", "_k2")
+
+
+def unpacked(rows: DataFrame, names: list[str], text: Column) -> DataFrame:
+    """The packed rows with a new ``text``; n_chars, where present, follows."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut, documents, text_digests, with_found
+from .store import cut, documents, keyed, text_digests, unpacked, with_found
 
 #: Shorter sentences are joined to units of JOINED_WORDS; a passage of repeated units has at least PASSAGE_WORDS words.
 UNIT_WORDS, JOINED_WORDS, PASSAGE_WORDS = 3, 8, 20
@@ -144,17 +144,15 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
         stops = F.concat(F.transform(own, lambda s: s["start"]), F.array(F.length(text).cast("long")))
         return F.array_join(F.zip_with(cuts, stops, lambda a, b: F.substring(text, a["end"].cast("int") + 1, (b - a["end"]).cast("int"))), "")
 
-    both = with_found(docs, spans.withColumnRenamed("spans", "_spans"))
-    both = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans"))))
-    both = both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
-    return both.select(docs.columns)
+    both = with_found(keyed(docs), spans)
+    return unpacked(both, docs.columns, F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("spans"))))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what is removed, with offsets and the documents that keep it."""
     docs = documents(spark, sf_dir)
-    spans = repeated_passages(docs)
-    rows = with_found(docs.select("doc_id", "text"), spans).select("doc_id", F.length("text").cast("long").alias("n_chars"), "spans")
+    keys = docs.select(F.col("doc_id").alias("id"), *text_digests(), F.length("text").cast("long").alias("n_chars"))  # the text itself stays out of the exchange
+    rows = with_found(keys, repeated_passages(docs)).withColumnRenamed("id", "doc_id")
     cuts = F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     return rows.select(
         "doc_id", "n_chars", F.size(cuts).cast("long").alias("n_removed"), F.aggregate(cuts, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duskwatch.llm import fingerprints, jaccard_join, line_dedup, mixing, pieces, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from duskwatch.llm import fingerprints, jaccard_join, line_dedup, mixing, pieces, quality_classifier, quality_rules, sharding, store, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,21 +246,55 @@ def test_jaccard_join(docs, none, rows, region, monkeypatch):
         assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("frequent", [64, 1])
-def test_line_dedup(docs, none, rows, frequent, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+@pytest.mark.parametrize("few,copies", [(16, 64), (1, 1)])
+def test_line_dedup(docs, none, rows, few, copies, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "COPIES", copies)
     got = {(r.doc_id, r.line_no) for r in line_dedup.later_matches(docs).collect()}
     texts = {r[0]: r[1] for r in rows if r[0] is not None}
     lines = [(i, n, shingles(line, 5, False)) for i in sorted(texts) for n, line in enumerate((texts[i] or "").split("\n")) if len(WORD.findall(line)) >= 3]
     lines += [(None, 0, shingles(rows[-2][1], 5, False))]
     want = {(i, n) for k, (i, n, x) in enumerate(lines) if any(100 * len(x & y) >= 80 * len(x | y) for _, _, y in lines[:k])}
     assert got == want
-    if frequent == 64:
+    if few == 16:
         assert line_dedup.later_matches(none).count() == 0
         out = line_dedup.remove(docs)
         assert out.columns == docs.columns and out.count() == len(rows)
 
 
+@pytest.mark.parametrize("few,most", [(16, 1 << 20), (1, 0)])
+def test_line_dedup_of_templates(spark, tmp_path, few, most, monkeypatch):
+    """The registered query over lines of one template, repeated rows, repeated ids and rows without id; with most = 0 nothing is broadcast."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", most)
+    rng = random.Random(8)
+    common = [f"word{i}" for i in range(40)]
+
+    def line():
+        w = list(common[: rng.randrange(6, 40)])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(30)}"
+        return " ".join(w)
+
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, texts[6]), (None, texts[0])]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect())
+    distinct = spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")
+    keys = {(r.doc_id, r.text): (r.k1, r.k2) for r in distinct.select("*", *store.text_digests()).collect()}
+    order = sorted(keys, key=lambda r: (r[0] is None, r[0] or 0, keys[r]))
+    before, want = [], {}
+    for row in order:
+        sets = [shingles(x, 5, False) for x in row[1].split("\n")]
+        want[row] = []
+        for k, x in enumerate(sets):
+            if any(100 * len(x & y) >= 80 * len(x | y) for y in before):
+                want[row].append(k)
+            before.append(x)
+    assert got == collections.Counter((r[0], r[1].count("\n") + 1, tuple(want[r])) for r in rows)
+
+
 def test_line_dedup_of_short_lines(spark):
     d = spark.createDataFrame([(1, "Read more\n\n}\nmore\n \nown text", None, None, 0), (2, "read  more\n\n}\n \nRead\nmore so", None, None, 0), (3, "}\n\n", None, None, 0)], SCHEMA)
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(d).collect()} == {2: [0, 2], 3: [0]}
