@@ -1,12 +1,17 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts fall into words at their blanks (no piece spans a word's border). The distinct words of the whole
-corpus are exploded into substrings of bounded length, which are equi-joined to the piece table
-(a broadcast of the model's fixed vocabulary); the edges are grouped by word and folded by a
-higher-order aggregate. The public model is of the merge (BPE) kind: the path of best score sum through
-its lattice is not what it encodes, so the fold applies the model's merges to the lattice, the
-best-ranked edge over two neighbouring symbols first, leftmost of equals; it gives the library's ids.
-Characters without a piece become their bytes. Words reach their documents by groups of texts.
+Texts fall into words at their blanks (no piece spans a word's border). Words are exploded into substrings
+of bounded length, which are equi-joined to the piece table (a broadcast of the model's fixed vocabulary);
+the edges are grouped by word and folded. The public model is of the merge (BPE) kind: the path of best
+score sum through its lattice is not what it encodes, so the fold applies the model's merges to the
+lattice, the best-ranked edge over two neighbouring symbols first, leftmost of equals; it gives the
+library's ids. Characters without a piece become their bytes.
+
+1. The words of the whole corpus are counted. The most frequent, ``DICTIONARY`` at most, are encoded once,
+   their edges grouped by a shuffle and folded by a higher-order aggregate.
+2. Texts are never exchanged: their words are exploded in order and joined to that dictionary, a broadcast
+   of bounded size. Edges of a word that it lacks are found by the same equi-join in the stream of words, where
+   they stand next to one another, so they are grouped and folded in place.
 """
 
 from __future__ import annotations
@@ -15,18 +20,18 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import documents
+from .store import cut, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longer words are merged by a heap in the task instead of the fold, whose cost grows with the square.
-LONG_WORD = 48
-#: Bytes of text of a group, about.
-GROUP_BYTES = 16 << 20
+#: Words of the broadcast dictionary at most, and their length; all other words are folded where they stand.
+DICTIONARY, DICTIONARY_CHARS = 1 << 18, 48
 WORD = "\n|▁+[^▁\n]*|[^▁\n]+"
+_BYTE = re.compile("<0x[0-9A-F]{2}>")
 
 
 def piece_table(model: str = MODEL) -> list[tuple[int, str, float]]:
@@ -43,52 +48,27 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(seen, F.lit(WORD), F.lit(0))
 
 
-def _merge_by_heap(word: str, rank: dict[str, float]) -> list[str]:
-    """The same merges for one long word, in time n log n."""
-    left, right, part = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1)), list(word)
-    heap = [(rank[a + b], i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if a + b in rank]
-    heapq.heapify(heap)
-    while heap:
-        _, i, whole = heapq.heappop(heap)
-        j = right[i]
-        if not part[i] or j >= len(word) or part[i] + part[j] != whole:
-            continue
-        part[i], part[j] = whole, ""
-        right[i] = right[j]
-        if right[j] < len(word):
-            left[right[j]] = i
-        for a, b in ((left[i], i), (i, right[i])):
-            if a >= 0 and b < len(word) and (both := part[a] + part[b]) in rank:
-                heapq.heappush(heap, (rank[both], a, both))
-    return [p for p in part if p]
-
-
-def _long_words(batches: Iterator[pa.RecordBatch], ids: dict[str, int], ranks: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    byte = [ids[f"<0x{b:02X}>"] for b in range(256)]
-    plain = {p: i for p, i in ids.items() if not re.fullmatch("<0x[0-9A-F]{2}>", p)}
-    for batch in batches:
-        out = []
-        for word in batch.column(0).to_pylist():
-            parts = _merge_by_heap(word, ranks)
-            out.append([k for p in parts for k in ([plain[p]] if p in plain else [byte[b] for b in p.encode()])])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["word", "ids", "groups"])
+def _pieces(spark: SparkSession, table: list[tuple[int, str, float]]) -> tuple[DataFrame, int]:
+    """(piece, id, rank) of all pieces but single bytes, and the length of the longest."""
+    own = [(p, i, -score) for i, p, score in table if not _BYTE.fullmatch(p)]
+    return F.broadcast(spark.createDataFrame(own, "piece string, id int, rank double")), max(len(p) for p, _, _ in own)
+
+
+def _edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """Rows of ``words`` with (s, n, piece, id, rank) for each piece in ``word`` and each of its characters; a null word keeps its row."""
+    spans = words.withColumn("s", F.explode_outer(F.when(F.col("word").isNotNull(), F.sequence(F.lit(0), F.length("word") - 1))))
+    spans = spans.withColumn("n", F.explode_outer(F.when(F.col("s").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s"))))))
+    spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n")))
+    return spans.join(pieces, "piece", "left").where("id IS NOT NULL OR n = 1 OR n IS NULL")
 
 
 def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
-    """(word, ids, groups) for a table (word, groups, length) of distinct words."""
-    spark = words.sparkSession
+    """(word, ids) for a table (word) of distinct words, by a fold whose cost grows with the square of a word's length."""
     table = piece_table(model)
     ids = {p: i for i, p, _ in table}
-    longest = max(len(p) for _, p, _ in table if not p.startswith("<0x"))
-    pieces = spark.createDataFrame([(p, i, -score) for i, p, score in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)], "piece string, id int, rank double")
-    ranks = {p: -score for _, p, score in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)}
-    short = words.where(F.col("length") <= LONG_WORD)
-    spans = short.select("word", "groups", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
-    spans = spans.select("word", "groups", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("n"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n")))
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR n = 1")
+    edges = _edges(words, *_pieces(words.sparkSession, table))
     edge = F.struct("rank", F.col("s").alias("s"), (F.col("s") + F.col("n")).alias("e"), "id")
-    grouped = edges.groupBy("word").agg(F.first("groups").alias("groups"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("every"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("every"))
     grouped = grouped.withColumn("many", F.filter("every", lambda x: x["e"] - x["s"] > 1))
 
     def merge(bounds: Column, _: Column) -> Column:
@@ -111,47 +91,128 @@ def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
         known = F.transform(F.filter("every", lambda x: (x["s"] == s) & (x["e"] == e)), lambda x: x["id"])
         return F.get(F.transform(F.array(known), lambda k: F.when(F.size(k) > 0, k).otherwise(of_bytes(digits(s, e)))), F.lit(0))
 
-    found = merged.select("word", F.flatten(F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), piece_ids)).alias("ids"), "groups")
-    long = words.where(F.col("length") > LONG_WORD).select("word", "groups").mapInArrow(lambda b: _long_words(b, ids, ranks), "word string, ids array<int>, groups array<int>")
-    return found.unionByName(long)
-
-
-def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of the texts of a group, from its words."""
-    column = words.column("ids").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    names = words.column("word").to_pylist()
-    flat, at = column.flatten().to_numpy().astype("<i4").tobytes(), 0
-    known = {}
-    for name, n in zip(names, column.value_lengths().to_pylist(), strict=True):
-        known[name] = flat[at : at + 4 * n]
-        at += 4 * n
-    find = re.compile(WORD).findall
-    packed = [b"".join([known[w] for w in find("▁" + t.replace(" ", "▁"))]) if t else b"" for t in docs.column("text").to_pylist()]
-    offsets = [0]
-    for p in packed:
-        offsets.append(offsets[-1] + len(p) // 4)
-    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
-    return pa.table({"doc_id": docs.column("doc_id"), "text": docs.column("text"), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
-
-
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    return merged.select("word", F.flatten(F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), piece_ids)).alias("ids"))
+
+
+def _dictionary(texts: DataFrame, most: int, model: str) -> DataFrame:
+    """(word, ids) of the words of ``texts`` that are frequent, ``most`` at most.
+
+    Words fall into classes by the logarithm of their count; whole classes are taken, the most frequent first.
+    """
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count("*").alias("n"))
+    counts = cut(counts.where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("grade")))
+    room, least = most, 1 << 30
+    for grade, n in counts.groupBy("grade").count().orderBy(F.desc("grade")).collect():  # a few hundred grades
+        if n > room:
+            break
+        room, least = room - n, grade
+    return cut(encode_words(counts.where(F.col("grade") >= least).select("word"), model))
+
+
+def _fold(s: list[int], n: list[int], rank: list[float], ids: list[int | None], chars: list[str], first_byte: int) -> list[int]:
+    """Ids of one word from its edges."""
+    size = max(a + b for a, b in zip(s, n))
+    known = {(a, a + b): (r, i) for a, b, r, i in zip(s, n, rank, ids) if i is not None}
+    end, start = list(range(1, size + 1)), list(range(-1, size))  # end of the symbol at a place; start of the one before it
+    heap = [(known[a, a + 2][0], a, a + 1, a + 2) for a in range(size - 1) if (a, a + 2) in known]
+    heapq.heapify(heap)
+    while heap:
+        _, a, m, e = heapq.heappop(heap)
+        if end[a] != m or m >= size or end[m] != e:
+            continue
+        end[a], end[m] = e, -1
+        if e < size:
+            start[e] = a
+        for x, y in ((start[a], a), (a, e)):
+            if x >= 0 and y < size and (x, end[y]) in known:
+                heapq.heappush(heap, (known[x, end[y]][0], x, y, end[y]))
+    out, a, byte = [], 0, {p: c for p, k, i, c in zip(s, n, ids, chars) if k == 1 and i is None}
+    while a < size:
+        out += [known[a, end[a]][1]] if (a, end[a]) in known else [first_byte + b for b in byte[a].encode()]
+        a = end[a]
+    return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], first_byte: int) -> Iterator[pa.RecordBatch]:
+    """Documents from rows of their words and edges, which come in order: a row with ``head`` begins a document."""
+
+    def words(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole words of the rows, and the number of ids of each row."""
+        lists = t.column("ids").combine_chunks()
+        sizes = np.asarray(lists.value_lengths().fill_null(0))
+        known = np.asarray(lists.flatten())
+        at, spelt = t.column("at").to_numpy(), t.column("s").is_valid().to_numpy()
+        begins = np.flatnonzero(spelt & ~np.concatenate(([False], spelt[:-1] & (at[1:] == at[:-1]) & ~t.column("head").to_numpy()[1:])))
+        rows = np.flatnonzero(spelt)
+        cols = [t.column(c).take(pa.array(rows)).to_pylist() for c in ("s", "n", "rank", "id", "piece")]
+        to = np.searchsorted(rows, begins)
+        folded = [_fold(*[c[i:j] for c in cols], first_byte) for i, j in zip(to, [*to[1:], len(rows)])]
+        length = sizes.copy()
+        length[begins] = [len(f) for f in folded]
+        flat = np.zeros(length.sum(), np.int32)
+        own = np.repeat(~spelt, length)
+        flat[own] = known
+        flat[~own] = np.fromiter((i for f in folded for i in f), np.int32)
+        return flat, length
+
+    def rows(doc: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays([*doc, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], ["doc_id", "text", "ids"])
+
+    left, doc, parts = None, None, []
+    while True:
+        batch = next(batches, None)
+        t = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        if t is None or not t.num_rows:
+            break
+        at, head = t.column("at").to_numpy(), t.column("head").to_numpy()
+        fresh = np.concatenate(([True], (at[1:] != at[:-1]) | head[1:]))
+        if ((at[1:] != at[:-1]) & (at[1:] != at[:-1] + 1) & ~head[1:]).any():
+            raise ValueError("the words of a text came out of order")
+        stop = t.num_rows if batch is None else int(np.flatnonzero(fresh)[-1])  # the last word may go on in the next batch
+        left, t, head = None if batch is None else t.slice(stop), t.slice(0, stop), head[:stop]
+        if stop:
+            flat, length = words(t)
+            ends = np.concatenate(([0], np.cumsum(length)))
+            heads = np.flatnonzero(head)
+            parts.append(flat[: ends[heads[0]] if len(heads) else len(flat)])
+            if len(heads):
+                if doc is not None:
+                    yield rows(doc, parts)
+                bounds = ends[heads].astype(np.int32)
+                if len(heads) > 1:
+                    whole = t.take(pa.array(heads[:-1])).combine_chunks()
+                    lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), pa.array(flat[bounds[0] : bounds[-1]]))
+                    yield pa.RecordBatch.from_arrays([whole.column("doc_id").combine_chunks(), whole.column("text").combine_chunks(), lists], ["doc_id", "text", "ids"])
+                last = t.slice(int(heads[-1]), 1)
+                doc, parts = [last.column(c).combine_chunks() for c in ("doc_id", "text")], [flat[bounds[-1] :]]
+        if batch is None:
+            break
+    if doc is not None:
+        yield rows(doc, parts)
+
+
+def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY) -> DataFrame:
     """(doc_id, text, ids) per row of ``docs``.
 
-    Null and empty texts get no ids. A text's own ``▁`` decodes as a blank, as in the library. Repeated rows give repeated rows, null ids stay null, an empty table
-    gives an empty table; columns other than doc_id and text are not read.
+    Null and empty texts get no ids. A text's own ``▁`` decodes as a blank, as in the library. Repeated rows give
+    repeated rows, null ids stay null, an empty table gives an empty table; columns other than doc_id and text
+    are not read. The ids of a very long text are gathered in one task; words of any length are folded.
     """
     data = docs.select("doc_id", "text")
-    size = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    data = data.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    words = data.select("group", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    # the length as an aggregate: a filter on it stays above the exchange, so that both ways share it
-    words = words.groupBy("word").agg(F.collect_set("group").alias("groups"), F.max(F.length("word")).alias("length"))  # at most ``groups`` numbers
-    coded = encode_words(words, model).select(F.explode("groups").alias("group"), "word", "ids")
+    table = piece_table(model)
+    first_byte = next(i for i, p, _ in table if p == "<0x00>")
+    coded = F.broadcast(_dictionary(data, dictionary, model))  # ``dictionary`` rows of words of DICTIONARY_CHARS at most
+    rows = data.select("doc_id", "text", F.posexplode_outer(_words(F.col("text"))).alias("at", "word"))
+    head = F.coalesce("at", F.lit(0)) == 0
+    rows = rows.select(*[F.when(head, F.col(c)).alias(c) for c in ("doc_id", "text")], F.coalesce("at", F.lit(0)).alias("at"), "word")
+    rows = rows.join(coded, "word", "left").select("doc_id", "text", "at", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
+    rows = _edges(rows, *_pieces(data.sparkSession, table))
+    begins = (F.col("at") == 0) & (F.coalesce("s", F.lit(0)) == 0) & (F.coalesce("n", F.lit(1)) == 1)
+    only = lambda c: F.when(begins, F.col(c)).alias(c)
+    rows = rows.select(only("doc_id"), only("text"), begins.alias("head"), "at", "ids", "s", "n", "rank", "id", F.when(F.col("id").isNull(), F.col("piece")).alias("piece"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = data.groupBy("group").cogroup(coded.groupBy("group"))
-    return both.applyInArrow(_assemble, f"doc_id {kind}, text string, ids array<int>")
+    return rows.mapInArrow(lambda b: _gathered(b, first_byte), f"doc_id {kind}, text string, ids array<int>")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +229,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """``coded`` with a column ``decoded``: the text of ``ids`` (null ids: empty)."""
     pieces = {i: p for i, p, _ in piece_table(model)}
-    table = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in (pieces.get(i, "") for i in range(max(pieces) + 1))]
+    table = [bytes([int(p[3:5], 16)]) if _BYTE.fullmatch(p) else p.replace("▁", " ").encode() for p in (pieces.get(i, "") for i in range(max(pieces) + 1))]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInArrow(lambda b: _decoded(b, table), f"{kind}, decoded string")
 

@@ -309,14 +309,19 @@ def test_rows_without_id_are_told_apart(spark):
     assert sorted(r.text.strip("\n") for r in line_dedup.remove(d).collect()) == sorted(x.strip("\n") for x in want)
 
 
-def test_pieces(spark, docs, none, rows):
+@pytest.mark.parametrize("dictionary", [pieces.DICTIONARY, 30, 0])
+def test_pieces(spark, docs, none, rows, dictionary):
+    """Ids equal the library's with a whole, a partial and an empty dictionary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    extra = spark.createDataFrame([(50, "naïve 漢字 \U0001f600  two\n\nlines " + "abc" * 40, None, None, 0)], SCHEMA)
-    both = docs.select("doc_id", "text").union(extra.select("doc_id", "text"))
-    for r in pieces.decode(pieces.encode(both)).collect():
+    texts = ["naïve 漢字 \U0001f600  two\n\nlines " + "abc" * 40, "", "\n", " ", "aaaa" * 700 + " b", "é" * 60 + "the " * 30000, "A" + "\U0001f600" * 70]
+    extra = spark.createDataFrame([(50, t, None, None, 0) for t in texts], SCHEMA)
+    both = docs.select("doc_id", "text").union(extra.select("doc_id", "text")).repartition(2)
+    got = pieces.decode(pieces.encode(both, dictionary=dictionary)).collect()
+    for r in got:
         assert r.ids == model.encode(r.text or "") and r.decoded == (r.text or "")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, map(tuple, both.collect())))
     assert pieces.encode(none).count() == 0
 
 
