@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate", "functions.queries", "operators.detect", "operators.relate", "operators.decode", "operators.findings", "sources.normalize")
+MODULES = ("operators.aggregate", "functions.queries", "operators.detect", "operators.relate", "operators.decode", "operators.findings", "sources.normalize", "sources.exports")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
