@@ -59,12 +59,21 @@ def classify(pairs: DataFrame) -> DataFrame:
     return j.withColumn("class", F.when(F.col("bad"), "HIGHLY_SUSPICIOUS").when(F.col("parent").isin(rules.RARE_PARENTS), "SUSPICIOUS").when(F.col("fine"), "EXPECTED").otherwise("UNUSUAL")).drop("bad", "fine")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder that the session names in spark.checkpoint.dir; kept in memory where it names none (tests)."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
 def forest(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Root and depth of each node, by doubling: each round follows the ancestor found so far to its own."""
     up = nodes.select("id").join(edge.select(F.col("child_id").alias("id"), "parent_id"), "id", "left")
     state = up.select("id", F.coalesce("parent_id", "id").alias("top"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
     while True:
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        state = stored(state)
         next_ = state.join(state.select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("depth").alias("more")), "top").select("id", F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("far") != F.col("top")).alias("moved"))
         if next_.where("moved").isEmpty():
             return state.select("id", F.col("top").alias("root"), "depth")
@@ -132,7 +141,8 @@ def time_gaps(ev: DataFrame, over: float = 900) -> DataFrame:
     days = edge.select(F.lead("day").over(W.orderBy("day")).alias("day"), "l")  # a row for each day
     first = inner.where("before_ts IS NULL").drop("before_ts", "before_type").join(days, "day").select("row_id", "timestamp_utc", "event_type", F.col("l.timestamp_utc").alias("before_ts"), F.col("l.event_type").alias("before_type"))
     both = inner.where("before_ts IS NOT NULL").select("row_id", "timestamp_utc", "event_type", "before_ts", "before_type").unionByName(first)
-    return both.withColumn("gap", F.round(seconds(F.col("timestamp_utc")) - seconds(F.col("before_ts")), 3)).where(F.col("gap") > over).select("row_id", "gap", "before_type", F.col("event_type").alias("after_type"))
+    micros = F.unix_micros("timestamp_utc") - F.unix_micros("before_ts")  # whole numbers: a difference of two doubles would round
+    return both.withColumn("gap", F.round(micros / 1e6, 3)).where(micros > int(over * 1_000_000)).select("row_id", "gap", "before_type", F.col("event_type").alias("after_type"))
 
 
 def bursts(hits: DataFrame, within: float = 21600, least: int = 3) -> DataFrame:
