@@ -96,6 +96,34 @@ def _pick_sql(name: str) -> str:
 SEC = "sec AS (SELECT {} FROM (SELECT *, {} AS k FROM events))".format(", ".join([*(f"{sql} AS {name}" for name, sql in PLAIN.items()), *map(_pick_sql, PICKS)]), K)
 
 
+#: The test events of a month are sparse; this view packs them into half a day, so that what happens within seconds occurs.
+START, FASTER = 1_704_067_200_000_000, 60
+DENSE = SEC.replace("(SELECT *, ", f"(SELECT * REPLACE (make_timestamp({START} + (epoch_us(ts) - {START}) // {FASTER}) AS ts), ")
+
+#: A beacon, a port scan and their clock, planted among the events: column: (value of a beacon's row, of a scan's row).
+PLANTS = {
+    "source_ip": ("'10.0.0.250'", "'10.0.0.251'"),
+    "dest_ip": ("'203.0.113.77'", "'10.1.1.9'"),
+    "dest_port": ("8443", "CAST(row_id % 1000 AS INT)"),
+    "process_name": ("'updater.exe'", "'scanner.exe'"),
+}
+CLOCK = "1704067200 + row_id * 60 + row_id % 3"
+_CASE = "CASE row_id % 50 WHEN 7 THEN {} WHEN 8 THEN {} ELSE {} END"
+PLANTED = SEC.replace("sec AS", "sec0 AS", 1) + ", sec AS (SELECT * REPLACE ({}, CASE WHEN row_id % 50 = 7 THEN make_timestamp(({}) * 1000000) ELSE timestamp_utc END AS timestamp_utc) FROM sec0)".format(", ".join(f"{_CASE.format(a, b, c)} AS {c}" for c, (a, b) in PLANTS.items()), CLOCK)
+
+
+def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``security_events`` at ``FASTER`` times the pace."""
+    micros = F.unix_micros("timestamp_utc") - START
+    return security_events(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros((F.lit(START) + (micros - F.pmod(micros, F.lit(FASTER))) / FASTER).cast("long")))
+
+
+def planted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``security_events`` with a beacon of nearly equal intervals and a scan of many ports."""
+    ev = security_events(spark, sf_dir)
+    return ev.withColumns({c: F.expr(_CASE.format(a, b, c)) for c, (a, b) in PLANTS.items()} | {"timestamp_utc": F.expr(f"CASE WHEN row_id % 50 = 7 THEN timestamp_seconds({CLOCK}) ELSE timestamp_utc END")})
+
+
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..adapters import SEC, page_hosts, security_events
+from ..adapters import PLANTED, SEC, page_hosts, planted_events, security_events
 from ..functions import scalars as S
 
 
@@ -31,7 +31,7 @@ def spikes_by_ratio(ev: DataFrame, k: int = 10) -> DataFrame:
     """The k fullest hours with more than twice the average."""
     h = hourly(ev)
     s = h.agg(F.avg("n").alias("mean"))
-    return h.join(F.broadcast(s)).where("n > 1.2 * mean").select("hour", "n", F.round(F.col("n") / F.col("mean"), 2).alias("ratio")).orderBy(F.desc("n"), "hour").limit(k)
+    return h.join(F.broadcast(s)).where("n > 2 * mean").select("hour", "n", F.round(F.col("n") / F.col("mean"), 2).alias("ratio")).orderBy(F.desc("n"), "hour").limit(k)
 
 
 def bounds(ev: DataFrame) -> DataFrame:
@@ -44,8 +44,12 @@ def entity_sets(ev: DataFrame, most: int = 100) -> DataFrame:
     kinds = {"user": "username", "ip": "source_ip", "host": "source_system", "process": "process_name"}
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in kinds.items()]))
     names = ev.select(pairs.alias("x")).select("x.*").where("name IS NOT NULL").distinct()
-    first = names.withColumn("at", F.row_number().over(W.partitionBy("kind").orderBy("name")))
-    return first.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("at") <= most, F.col("name")))), ",").alias("names"))
+    # the first of each of 256 parts hold the first of all: no task orders all names of a kind
+    part = W.partitionBy("kind", F.pmod(F.xxhash64("name"), F.lit(256))).orderBy("name")
+    first = names.withColumn("at", F.row_number().over(part)).where(F.col("at") <= most).drop("at")
+    first = first.withColumn("at", F.row_number().over(W.partitionBy("kind").orderBy("name"))).where(F.col("at") <= most)
+    listed = first.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    return names.groupBy("kind").agg(F.count("*").alias("n")).join(listed, "kind")
 
 
 def web_stats(ev: DataFrame) -> DataFrame:
@@ -202,10 +206,10 @@ QUERIES = {
     "attack_window": lambda s, d: attack_window(security_events(s, d), security_events(s, d).where("command_line LIKE '%lsass%' AND event_code = 1")),
     "conversations": _q(conversations),
     "port_distribution": _q(port_distribution),
-    "port_scan": lambda s, d: port_scan(security_events(s, d), 5),
+    "port_scan": lambda s, d: port_scan(planted_events(s, d), 20),
     "interval_stats": lambda s, d: interval_stats(security_events(s, d), ["username"]).select("username", "events", "gaps", F.round("mean", 4).alias("mean"), F.round("sigma", 4).alias("sigma")),
-    "beacon_conn": lambda s, d: beacons(security_events(s, d), ["source_ip", "dest_ip", "dest_port"], 5, 4, 0.9, 10),
-    "beacon_process": lambda s, d: beacons(security_events(s, d), ["process_name"], 5, 1, 1.2, 0, 1e9),
+    "beacon_conn": lambda s, d: beacons(planted_events(s, d), ["source_ip", "dest_ip", "dest_port"], 5, 4, 0.1, 10),
+    "beacon_process": lambda s, d: beacons(planted_events(s, d), ["process_name"], 5, 1, 0.3, 0, 1e9),
     "net_profile": _q(net_profile),
     "dns_dga": lambda s, d: dga(security_events(s, d).select("query_name").union(_hosts(s, d))),
     "dns_tunnel": lambda s, d: tunnel(security_events(s, d).select("query_name").union(_hosts(s, d))),
@@ -218,7 +222,7 @@ QUERIES = {
 ORACLES = {
     "event_type_dist": f"WITH {SEC} SELECT event_type, count(*) AS n, count(*) < 3 AS rare FROM sec GROUP BY 1",
     "hourly_spikes_sigma": f"WITH {SEC}, {_H}, s AS (SELECT avg(n) AS mean, stddev_pop(n) AS sigma FROM h) SELECT hour, n, round((n - mean) / sigma, 2) AS distance FROM h, s WHERE n > mean + 2 * sigma",
-    "hourly_spikes_ratio": f"WITH {SEC}, {_H}, s AS (SELECT avg(n) AS mean FROM h) SELECT hour, n, round(n / mean, 2) AS ratio FROM h, s WHERE n > 1.2 * mean ORDER BY n DESC, hour LIMIT 10",
+    "hourly_spikes_ratio": f"WITH {SEC}, {_H}, s AS (SELECT avg(n) AS mean FROM h) SELECT hour, n, round(n / mean, 2) AS ratio FROM h, s WHERE n > 2 * mean ORDER BY n DESC, hour LIMIT 10",
     "timeline_bounds": f"WITH {SEC} SELECT min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(*) AS n, round((epoch_us(max(timestamp_utc)) - epoch_us(min(timestamp_utc))) / 3600e6, 4) AS hours FROM sec",
     "entity_sets": f"WITH {SEC}, x AS (SELECT DISTINCT 'user' AS kind, username AS name FROM sec UNION SELECT 'ip', source_ip FROM sec UNION SELECT 'host', source_system FROM sec UNION SELECT 'process', process_name FROM sec), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) AS rk FROM x) SELECT kind, count(*) AS n, string_agg(name, ',' ORDER BY name) FILTER (rk <= 100) AS names FROM r GROUP BY 1",
     "os_indicators": f"WITH {SEC} SELECT source_system, CASE WHEN bool_or(file_path LIKE 'C:%') THEN 'Windows' ELSE '' END AS hints FROM sec GROUP BY 1",
@@ -229,10 +233,10 @@ ORACLES = {
     "attack_window": f"WITH {SEC}, w AS (SELECT min(timestamp_utc) - INTERVAL 30 MINUTE AS b, max(timestamp_utc) AS e FROM sec WHERE command_line LIKE '%lsass%' AND event_code = 1), f AS (SELECT kind, name, min(timestamp_utc) AS first FROM (SELECT 'user' AS kind, username AS name, timestamp_utc FROM sec UNION ALL SELECT 'process', process_name, timestamp_utc FROM sec UNION ALL SELECT 'ip', source_ip, timestamp_utc FROM sec UNION ALL SELECT 'service', service_name, timestamp_utc FROM sec) GROUP BY 1, 2) SELECT kind, name, first, first BETWEEN b AND e AS inside FROM f, w",
     "conversations": f"WITH {SEC} SELECT source_ip, dest_ip, count(*) AS n, count(DISTINCT dest_port) AS ports FROM sec GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20",
     "port_distribution": f"WITH {SEC} SELECT dest_port, count(*) AS n FROM sec GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
-    "port_scan": f"WITH {SEC} SELECT source_ip, dest_ip, count(DISTINCT dest_port) AS ports FROM sec GROUP BY 1, 2 HAVING count(DISTINCT dest_port) > 5",
+    "port_scan": f"WITH {PLANTED} SELECT source_ip, dest_ip, count(DISTINCT dest_port) AS ports FROM sec GROUP BY 1, 2 HAVING count(DISTINCT dest_port) > 20",
     "interval_stats": f"WITH {SEC}, {_GAPS.format('username', '')} SELECT username, events, gaps, round(mean, 4) AS mean, round(sigma, 4) AS sigma FROM s",
-    "beacon_conn": f"WITH {SEC}, {_GAPS.format('source_ip, dest_ip, dest_port', '')} SELECT source_ip, dest_ip, dest_port, events, round(mean, 4) AS mean, round(1 - sigma / mean, 4) AS regularity FROM s WHERE events >= 5 AND gaps >= 4 AND mean >= 10 AND sigma / mean < 0.9",
-    "beacon_process": f"WITH {SEC}, {_GAPS.format('process_name', '')} SELECT process_name, events, round(mean, 4) AS mean, round(1 - sigma / mean, 4) AS regularity FROM s WHERE events >= 5 AND gaps >= 1 AND mean < 1e9 AND sigma / mean < 1.2",
+    "beacon_conn": f"WITH {PLANTED}, {_GAPS.format('source_ip, dest_ip, dest_port', '')} SELECT source_ip, dest_ip, dest_port, events, round(mean, 4) AS mean, round(1 - sigma / mean, 4) AS regularity FROM s WHERE events >= 5 AND gaps >= 4 AND mean >= 10 AND sigma / mean < 0.1",
+    "beacon_process": f"WITH {PLANTED}, {_GAPS.format('process_name', '')} SELECT process_name, events, round(mean, 4) AS mean, round(1 - sigma / mean, 4) AS regularity FROM s WHERE events >= 5 AND gaps >= 1 AND mean < 1e9 AND sigma / mean < 0.3",
     "net_profile": f"WITH {SEC}, p AS (SELECT process_name, count(DISTINCT dest_ip) AS ips, count(DISTINCT dest_port) AS ports, min(timestamp_utc) AS first, max(timestamp_utc) AS last, bool_or(dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5')) AS outside FROM sec GROUP BY 1) SELECT process_name, ips, ports, first, last, CASE WHEN process_name IN ('svchost.exe', 'explorer.exe') AND outside THEN 'system process outside' WHEN process_name = 'mimikatz.exe' THEN 'attack tool' WHEN process_name IN ('cmd.exe', 'powershell.exe', 'certutil.exe', 'rundll32.exe', 'net.exe', 'mshta.exe') AND outside THEN 'tool outside' ELSE '' END AS reasons FROM p",
     "dns_dga": f"WITH {SEC}, {_HOSTS}, d AS (SELECT DISTINCT query_name FROM (SELECT query_name FROM sec UNION ALL SELECT query_name FROM q)), p AS (SELECT query_name, string_split(lower(query_name), '.')[-2] AS sld FROM d WHERE len(string_split(query_name, '.')) >= 2), m AS (SELECT *, {_ENT.format('sld')} AS e, length(regexp_replace(sld, '[^aeiou]', '', 'g')) AS v, length(regexp_replace(sld, '[^\\p{{L}}]', '', 'g')) AS le, length(regexp_replace(sld, '[^0-9]', '', 'g')) AS di, length(sld) AS n FROM p WHERE sld NOT IN ('com', 'net', 'org', 'edu', 'gov', 'co', 'io')), c AS (SELECT *, (e > 3.5)::INT + (n > 12)::INT + (v > 0 AND le - v > 0 AND ((le - v) / v > 4 OR (le - v) / v < 0.25))::INT + (di > n * 0.3)::INT AS marks FROM m) SELECT query_name, sld, round(e, 6) AS entropy, CAST(marks AS BIGINT) AS marks, marks >= 2 OR (e > 3.5 AND n > 12) AS suspect FROM c",
     "dns_tunnel": f"WITH {SEC}, {_HOSTS}, d AS (SELECT string_split(query_name, '.') AS p FROM (SELECT query_name FROM sec UNION ALL SELECT query_name FROM q)), x AS (SELECT array_to_string(p[-2:], '.') AS base, array_to_string(p[1:len(p) - 2], '.') AS sub FROM d WHERE len(p) >= 2), pe AS (SELECT base, sub, count(*) AS n, CASE WHEN sub <> '' THEN {_ENT.format('sub')} END AS e FROM x GROUP BY base, sub), g AS (SELECT base, CAST(sum(n) AS BIGINT) AS queries, count(*) FILTER (sub <> '') AS subs, sum(CASE WHEN length(sub) > 50 THEN n ELSE 0 END) AS lng, avg(e) AS e FROM pe GROUP BY 1), m AS (SELECT *, (lng > 0)::INT + (queries > 50)::INT + (queries > 10 AND subs / queries > 0.8)::INT + coalesce(e > 4, false)::INT AS marks FROM g) SELECT base, queries, subs, CAST(marks AS BIGINT) AS marks, CASE WHEN marks >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM m WHERE marks > 0",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..adapters import SEC, security_events, table
+from ..adapters import DENSE, SEC, dense_events, security_events, table
 
 
 def seconds(ts: Column) -> Column:
@@ -20,12 +20,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
     An equi join on buckets as wide as the interval: the right side stands in its own bucket, the left
     side is replicated to the buckets that its interval meets (three at most). No nested loop.
     """
-    width = max(before + after, 1)
-    right = right.withColumn("_bucket", F.floor(seconds(F.col(right_ts)) / width))
-    first, last = F.floor((seconds(F.col(left_ts)) - before) / width), F.floor((seconds(F.col(left_ts)) + after) / width)
+    width = int(max(before + after, 1) * 1_000_000)
+    bucket = lambda m: ((m - F.pmod(m, F.lit(width))) / width).cast("long")  # noqa: E731  whole microseconds: no border is missed by rounding
+    right = right.withColumn("_bucket", bucket(F.unix_micros(right_ts)))
+    first, last = bucket(F.unix_micros(left_ts) - int(before * 1_000_000)), bucket(F.unix_micros(left_ts) + int(after * 1_000_000))
     left = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
-    gap = seconds(F.col(right_ts)) - seconds(F.col(left_ts))
-    return left.join(right, [*keys, "_bucket"]).where(gap.between(-before, after)).drop("_bucket")
+    gap = F.unix_micros(right_ts) - F.unix_micros(left_ts)
+    return left.join(right, [*keys, "_bucket"]).where(gap.between(-int(before * 1_000_000), int(after * 1_000_000))).drop("_bucket")
 
 
 def asof_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def trees(ev: DataFrame) -> DataFrame:
     """One row for each tree: nodes, depth, edges, processes, users and span in seconds."""
     p = process_starts(ev)
     f = forest(edges(ev), p).join(p, "id")
-    t = f.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").cast("long").alias("max_depth"), F.countDistinct("process_name").alias("processes"), F.countDistinct("username").alias("users"), F.round(seconds(F.max("ts")) - seconds(F.min("ts")), 3).alias("span"))
+    t = f.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").cast("long").alias("max_depth"), F.countDistinct("process_name").alias("processes"), F.countDistinct("username").alias("users"), F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6, 3).alias("span"))
     return t.withColumn("edges", F.col("nodes") - 1)
 
 
@@ -112,13 +113,13 @@ def ancestors(ev: DataFrame, levels: int = 3) -> DataFrame:
 def sessions(ev: DataFrame, keys: list[str], gap: float = 1800) -> DataFrame:
     """Runs of events of a key without a pause over half an hour (a pause of just that stays inside)."""
     w = W.partitionBy(*keys).orderBy("timestamp_utc", "row_id")
-    e = ev.withColumn("fresh", F.coalesce((seconds(F.col("timestamp_utc")) - seconds(F.lag("timestamp_utc").over(w)) > gap).cast("int"), F.lit(1)))
+    e = ev.withColumn("fresh", F.coalesce((F.unix_micros("timestamp_utc") - F.unix_micros(F.lag("timestamp_utc").over(w)) > int(gap * 1_000_000)).cast("int"), F.lit(1)))
     return e.withColumn("session", F.sum("fresh").over(w))
 
 
 def session_table(ev: DataFrame) -> DataFrame:
     keys = ["source_system", "username"]
-    s = sessions(ev, keys, 43200).groupBy(*keys, "session")
+    s = sessions(ev, keys).groupBy(*keys, "session")
     out = s.agg(F.min("timestamp_utc").alias("start"), F.max("timestamp_utc").alias("end"), F.count("*").alias("n"), F.countDistinct("process_name").alias("processes"), F.countDistinct("dest_ip").alias("ips"))
     return out.withColumn("duration", (F.unix_micros("end") - F.unix_micros("start")) / 1e6)
 
@@ -127,7 +128,7 @@ def session_intent(ev: DataFrame) -> DataFrame:
     keys = ["source_system", "username"]
     low = F.lower("command_line")
     tags = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w)), F.lit(tag)) for tag, words in rules.INTENTS.items()]))
-    s = sessions(ev, keys, 43200).withColumn("tag", F.explode_outer(tags)).groupBy(*keys, "session").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("intent"))
+    s = sessions(ev, keys).withColumn("tag", F.explode_outer(tags)).groupBy(*keys, "session").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("intent"))
     return s.withColumn("intent", F.when(F.col("intent") == "", "UNKNOWN").otherwise(F.col("intent")))
 
 
@@ -145,19 +146,29 @@ def time_gaps(ev: DataFrame, over: float = 900) -> DataFrame:
     return both.withColumn("gap", F.round(micros / 1e6, 3)).where(micros > int(over * 1_000_000)).select("row_id", "gap", "before_type", F.col("event_type").alias("after_type"))
 
 
-def bursts(hits: DataFrame, within: float = 21600, least: int = 3) -> DataFrame:
-    """Groups of hits of a host: one starts at the first hit left and takes those within a time of its start."""
-    times = hits.groupBy("source_system", F.to_date("timestamp_utc").alias("day")).agg(F.sort_array(F.collect_list(seconds(F.col("timestamp_utc")))).alias("ts"))
-    kind = "array<struct<start:double,last:double,n:int>>"
+def bursts(hits: DataFrame, within: float = 60, least: int = 3) -> DataFrame:
+    """Groups of hits of a host: one starts at the first hit left and takes those within a time of its start.
+
+    A pause longer than ``within`` always ends a group, so runs of hits without one are grouped apart. Hits
+    fall into slots as wide as ``within``; only one row for each slot is ordered along a host's whole time.
+    """
+    width = int(within * 1_000_000)
+    m = F.unix_micros("timestamp_utc")
+    slots = hits.select("source_system", m.alias("m"), ((m - F.pmod(m, F.lit(width))) / width).cast("long").alias("slot")).groupBy("source_system", "slot").agg(F.sort_array(F.collect_list("m")).alias("ts"))
+    w = W.partitionBy("source_system").orderBy("slot")
+    before = F.lag(F.element_at("ts", -1)).over(w)
+    runs = slots.withColumn("run", F.sum(F.when(before.isNull() | (F.get("ts", F.lit(0)) - before > width), 1).otherwise(0)).over(w))
+    times = runs.groupBy("source_system", "run").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ts"))), lambda s: s["ts"])).alias("ts"))
+    kind = "array<struct<start:bigint,last:bigint,n:int>>"
 
     def step(acc: Column, t: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), t.alias("last"), (last["n"] + 1).alias("n"))))
         fresh = F.concat(acc, F.array(F.struct(t.alias("start"), t.alias("last"), F.lit(1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (t - last["start"] <= within), grown).otherwise(fresh)
+        return F.when((F.size(acc) > 0) & (t - last["start"] <= width), grown).otherwise(fresh)
 
     groups = times.select("source_system", F.explode(F.aggregate("ts", F.array().cast(kind), step)).alias("g"))
-    return groups.select("source_system", F.round("g.start", 3).alias("start"), F.round("g.last", 3).alias("last"), F.col("g.n").cast("long").alias("n")).where(F.col("n") >= least)
+    return groups.select("source_system", F.timestamp_micros("g.start").alias("start"), F.timestamp_micros("g.last").alias("last"), F.col("g.n").cast("long").alias("n")).where(F.col("n") >= least)
 
 
 def merge_windows(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,20 +182,32 @@ def merge_windows(spans: DataFrame, keys: list[str]) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, within: float) -> DataFrame:
     """For each left event, the event of the named host closest in time within some seconds; the signed gap stays."""
     j = interval_join(left, right, ["host"], "ts", "other_ts", within, within)
-    gap = seconds(F.col("other_ts")) - seconds(F.col("ts"))
+    gap = F.unix_micros("other_ts") - F.unix_micros("ts")
     best = W.partitionBy("id", "host").orderBy(F.abs(gap), "other_id")
-    return j.withColumn("nr", F.row_number().over(best)).where("nr = 1").select("id", "host", "other_id", F.round(gap, 3).alias("delta"))
+    return j.withColumn("nr", F.row_number().over(best)).where("nr = 1").select("id", "host", "other_id", F.round(gap / 1e6, 3).alias("delta"))
 
 
-def context(findings: DataFrame, events: DataFrame, within: float = 3600, k: int = 3) -> DataFrame:
+def context(findings: DataFrame, events: DataFrame, within: float = 30, k: int = 10) -> DataFrame:
     """The k nearest events before and after each finding on its host."""
     j = interval_join(findings, events, ["host"], "ts", "other_ts", within, within).where("other_id <> id")
-    gap = seconds(F.col("other_ts")) - seconds(F.col("ts"))
+    gap = F.unix_micros("other_ts") - F.unix_micros("ts")
     j = j.withColumn("side", F.when(gap < 0, "before").otherwise("after")).withColumn("gap", F.abs(gap))
     w = W.partitionBy("id", "side").orderBy("gap", "other_id")
     return j.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= k).select("id", "side", "other_id", F.col("nr").cast("long").alias("nr"))
 
 
+def cross_system(findings: DataFrame, events: DataFrame, within: float = 5, k: int = 10, parts: int = 16) -> DataFrame:
+    """The k events of other hosts closest in time to each finding. Events are dealt to ``parts`` by their id and
+    findings go to all of them, so that no task has all events of a time; each part keeps its own k first."""
+    found = findings.withColumnRenamed("host", "own").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    others = events.withColumnRenamed("host", "other").withColumn("part", F.pmod(F.xxhash64("other_id"), F.lit(parts)).cast("int"))
+    gap = F.abs(F.unix_micros("other_ts") - F.unix_micros("ts"))
+    j = interval_join(found, others, ["part"], "ts", "other_ts", within, within).where("own <> other").select("id", "part", "other_id", gap.alias("gap"))
+    for keys in (["id", "part"], ["id"]):
+        j = j.withColumn("nr", F.row_number().over(W.partitionBy(*keys).orderBy("gap", "other_id"))).where(F.col("nr") <= k).drop("nr")
+    return j.select("id", "other_id")
+
+
 def host_references(ev: DataFrame) -> DataFrame:
     """Pairs of hosts of which one's events name an address that is seen on the other as a source."""
     seen = ev.select(F.col("source_system").alias("target"), F.col("source_ip").alias("ip")).distinct()
@@ -204,8 +227,13 @@ def _ev(f):
     return lambda s, d: f(security_events(s, d))
 
 
+def _dense(f):
+    return lambda s, d: f(dense_events(s, d))
+
+
 def usn(s, d) -> DataFrame:
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("usn"), F.col("l_partkey").alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "OLD").otherwise("NEW").alias("reason"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    """A change journal; a day of the table stands for two minutes."""
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("usn"), F.col("l_partkey").alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "OLD").otherwise("NEW").alias("reason"), F.timestamp_seconds(F.unix_date(F.col("l_shipdate").cast("date")) * 120).alias("ts"))
 
 
 def renames(journal: DataFrame) -> DataFrame:
@@ -215,29 +243,29 @@ def renames(journal: DataFrame) -> DataFrame:
     return j.where("reason = 'NEW' AND old IS NOT NULL").select("file", "usn", "old", F.col("name").alias("new"))
 
 
-def staged_deletes(journal: DataFrame, days: int = 30) -> DataFrame:
-    """The first deletion of a name within some days of its creation."""
+def staged_deletes(journal: DataFrame, within: float = 3600) -> DataFrame:
+    """The first deletion of a name within an hour of its creation."""
     made = journal.where("reason = 'OLD'").select("name", F.col("ts").alias("made"), F.col("file").alias("made_in"), F.col("usn").alias("made_usn"))
     gone = journal.where("reason = 'NEW'").select("name", F.col("ts").alias("gone"), F.col("file").alias("gone_in"), F.col("usn").alias("gone_usn"))
-    j = interval_join(made, gone, ["name"], "made", "gone", 0, days * 86400)
+    j = interval_join(made, gone, ["name"], "made", "gone", 0, within)
     w = W.partitionBy("made_in", "made_usn").orderBy("gone", "gone_in", "gone_usn")
     return j.withColumn("nr", F.row_number().over(w)).where("nr = 1").select("made_in", "made_usn", "gone_in", "gone_usn")
 
 
 def rapid_ops(journal: DataFrame, least: int = 5) -> DataFrame:
-    return journal.groupBy(F.date_trunc("day", "ts").alias("at")).agg(F.count("*").alias("n"), F.count(F.when(F.col("name") % 7 == 0, 1)).alias("odd")).where((F.col("n") >= least) & (F.col("odd") >= 2))
+    return journal.groupBy(F.date_trunc("minute", "ts").alias("at")).agg(F.count("*").alias("n"), F.count(F.when(F.col("name") % 7 == 0, 1)).alias("odd")).where((F.col("n") >= least) & (F.col("odd") >= 2))
 
 
 _P = "p0 AS (SELECT row_id AS id, source_system AS host, timestamp_utc AS ts, process_id AS pid, parent_process_id AS ppid, event_code, process_name, username, row_number() OVER (PARTITION BY source_system, process_id, round_even(epoch_us(timestamp_utc) / 1e6, 0) ORDER BY event_code, row_id) AS nr FROM sec WHERE event_code IN (1, 4688)), p AS (SELECT * FROM p0 WHERE nr = 1), e AS (SELECT child_id, parent_id FROM (SELECT c.id AS child_id, q.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY q.ts DESC, q.id DESC) AS nr FROM p c JOIN p q ON c.host = q.host AND c.ppid = q.pid AND q.ts < c.ts) WHERE nr = 1)"
 _F = "f AS (SELECT id, id AS root, 0 AS depth FROM p WHERE id NOT IN (SELECT child_id FROM e) UNION ALL SELECT e.child_id, f.root, f.depth + 1 FROM f JOIN e ON e.parent_id = f.id)"
 _CLS = "CASE WHEN parent || '>' || child IN (" + ", ".join(f"'{p}>{c}'" for p, c in rules.BAD_PAIRS) + ") THEN 'HIGHLY_SUSPICIOUS' WHEN parent IN (" + ", ".join(f"'{p}'" for p in rules.RARE_PARENTS) + ") THEN 'SUSPICIOUS' WHEN parent || '>' || child IN (" + ", ".join(f"'{p}>{c}'" for c, ps in rules.EXPECTED_PARENTS.items() for p in ps) + ") THEN 'EXPECTED' ELSE 'UNUSUAL' END"
-_S = "a AS (SELECT *, coalesce((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id))) / 1e6 > 43200, true)::INT AS fresh FROM sec), b AS (SELECT *, sum(fresh) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id) AS session FROM a)"
-_U = "u AS (SELECT l_orderkey AS file, l_linenumber AS usn, l_partkey AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'OLD' ELSE 'NEW' END AS reason, l_shipdate::TIMESTAMP AS ts FROM lineitem)"
+_S = "a AS (SELECT *, coalesce((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id))) / 1e6 > 1800, true)::INT AS fresh FROM sec), b AS (SELECT *, sum(fresh) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id) AS session FROM a)"
+_U = "u AS (SELECT l_orderkey AS file, l_linenumber AS usn, l_partkey AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'OLD' ELSE 'NEW' END AS reason, make_timestamp(epoch_us(l_shipdate::TIMESTAMP) // 86400 * 120) AS ts FROM lineitem)"
 _HIT = "event_code IN (7045, 1102, 4720)"
 
 QUERIES = {
-    "sessionize": _ev(session_table),
-    "session_intent": _ev(session_intent),
+    "sessionize": _dense(session_table),
+    "session_intent": _dense(session_intent),
     "time_gaps": _ev(time_gaps),
     "proc_dedup": _ev(lambda ev: process_starts(ev).select("id", "host", "pid")),
     "proc_edges": _ev(edges),
@@ -247,11 +275,11 @@ QUERIES = {
     "tree_score": _ev(tree_scores),
     "ancestors": _ev(ancestors),
     "xsys_refs": _ev(host_references),
-    "xsys_nearest": _ev(lambda ev: nearest(_ids(_HIT)(ev).withColumn("host", F.concat(F.lit("host"), (F.col("id") % 7).cast("string"))), _others(ev), 1800)),
-    "ctx_before_after": _ev(lambda ev: context(_ids(_HIT)(ev), _others(ev))),
-    "ctx_cross_system": _ev(lambda ev: interval_join(ev.where(_HIT).select(F.col("row_id").alias("id"), F.lit(1).alias("one"), F.col("source_system").alias("own"), F.col("timestamp_utc").alias("ts")), ev.select(F.col("row_id").alias("other_id"), F.lit(1).alias("one"), F.col("source_system").alias("other"), F.col("timestamp_utc").alias("other_ts")), ["one"], "ts", "other_ts", 300, 300).where("own <> other").select("id", "other_id")),
-    "burst_groups": _ev(lambda ev: bursts(ev.where("command_line LIKE '%exe%'"))),
-    "hot_windows": _ev(lambda ev: interval_join(_ids(_HIT)(ev), _others(ev).withColumn("hit", F.lit(1)), ["host"], "ts", "other_ts", 3600, 5400).groupBy("id").agg(F.count("*").alias("n")).where("n >= 3")),
+    "xsys_nearest": _dense(lambda ev: nearest(_ids(_HIT)(ev).withColumn("host", F.concat(F.lit("host"), (F.col("id") % 7).cast("string"))), _others(ev), 5)),
+    "ctx_before_after": _dense(lambda ev: context(_ids(_HIT)(ev), _others(ev))),
+    "ctx_cross_system": _dense(lambda ev: cross_system(_ids(_HIT)(ev), _others(ev))),
+    "burst_groups": _dense(lambda ev: bursts(ev.where("command_line LIKE '%exe%'"))),
+    "hot_windows": _dense(lambda ev: interval_join(_ids(_HIT)(ev), _others(ev).withColumn("hit", F.lit(1)), ["host"], "ts", "other_ts", 30, 90).groupBy("id").agg(F.count("*").alias("n")).where("n >= 3")),
     "merge_windows": _ev(lambda ev: merge_windows(ev.where(_HIT).select("source_system", (F.unix_micros("timestamp_utc") / 1000000).cast("long").alias("begin"), (F.unix_micros("timestamp_utc") / 1000000 + 7200).cast("long").alias("end"), F.col("k").alias("n")), ["source_system"])),
     "usn_renames": lambda s, d: renames(usn(s, d)),
     "usn_staged_delete": lambda s, d: staged_deletes(usn(s, d)),
@@ -264,8 +292,8 @@ QUERIES = {
     "score_regression": lambda s, d: table(s, d, "orders").withColumn("before", F.lag("o_totalprice").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).where("before - o_totalprice > 1").select("o_orderkey", "o_custkey", F.round(F.col("before") - F.col("o_totalprice"), 2).cast("double").alias("drop")),
 }
 ORACLES = {
-    "sessionize": f"WITH {SEC}, {_S} SELECT source_system, username, CAST(session AS BIGINT) AS session, min(timestamp_utc) AS start, max(timestamp_utc) AS \"end\", count(*) AS n, count(DISTINCT process_name) AS processes, count(DISTINCT dest_ip) AS ips, (epoch_us(max(timestamp_utc)) - epoch_us(min(timestamp_utc))) / 1e6 AS duration FROM b GROUP BY 1, 2, 3",
-    "session_intent": f"WITH {SEC}, {_S}, t AS (SELECT source_system, username, session, " + ", ".join(f"bool_or({' OR '.join(f'contains(lower(command_line), {chr(39)}{w}{chr(39)})' for w in ws)}) AS {tag}" for tag, ws in rules.INTENTS.items()) + " FROM b GROUP BY 1, 2, 3) SELECT source_system, username, CAST(session AS BIGINT) AS session, coalesce(nullif(array_to_string(list_filter([CASE WHEN CREDENTIAL THEN 'CREDENTIAL' END, CASE WHEN LATERAL_ THEN 'LATERAL' END, CASE WHEN RECON THEN 'RECON' END, CASE WHEN STAGING THEN 'STAGING' END], lambda x: x IS NOT NULL), ','), ''), 'UNKNOWN') AS intent FROM t",
+    "sessionize": f"WITH {DENSE}, {_S} SELECT source_system, username, CAST(session AS BIGINT) AS session, min(timestamp_utc) AS start, max(timestamp_utc) AS \"end\", count(*) AS n, count(DISTINCT process_name) AS processes, count(DISTINCT dest_ip) AS ips, (epoch_us(max(timestamp_utc)) - epoch_us(min(timestamp_utc))) / 1e6 AS duration FROM b GROUP BY 1, 2, 3",
+    "session_intent": f"WITH {DENSE}, {_S}, t AS (SELECT source_system, username, session, " + ", ".join(f"bool_or({' OR '.join(f'contains(lower(command_line), {chr(39)}{w}{chr(39)})' for w in ws)}) AS {tag}" for tag, ws in rules.INTENTS.items()) + " FROM b GROUP BY 1, 2, 3) SELECT source_system, username, CAST(session AS BIGINT) AS session, coalesce(nullif(array_to_string(list_filter([CASE WHEN CREDENTIAL THEN 'CREDENTIAL' END, CASE WHEN LATERAL_ THEN 'LATERAL' END, CASE WHEN RECON THEN 'RECON' END, CASE WHEN STAGING THEN 'STAGING' END], lambda x: x IS NOT NULL), ','), ''), 'UNKNOWN') AS intent FROM t",
     "time_gaps": f"WITH {SEC}, l AS (SELECT row_id, event_type AS after_type, lag(event_type) OVER w AS before_type, round((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER w)) / 1e6, 3) AS gap FROM sec WINDOW w AS (ORDER BY timestamp_utc, row_id)) SELECT * FROM l WHERE gap > 900",
     "proc_dedup": f"WITH {SEC}, {_P} SELECT id, host, pid FROM p",
     "proc_edges": f"WITH {SEC}, {_P} SELECT * FROM e",
@@ -275,14 +303,14 @@ ORACLES = {
     "tree_score": f"WITH RECURSIVE {SEC}, {_P}, {_F}, x AS (SELECT e.child_id, c.process_name AS child, q.process_name AS parent FROM e JOIN p c ON c.id = e.child_id JOIN p q ON q.id = e.parent_id), k AS (SELECT child_id, CASE {_CLS} WHEN 'HIGHLY_SUSPICIOUS' THEN 10 WHEN 'SUSPICIOUS' THEN 5 ELSE 0 END AS pts FROM x), g AS (SELECT root, sum(coalesce(pts, 0)) AS s, max(depth) AS m FROM f LEFT JOIN k ON k.child_id = f.id GROUP BY 1) SELECT root, CAST(s * (m + 1) AS BIGINT) AS score FROM g WHERE s > 0",
     "ancestors": f"WITH {SEC}, {_P} SELECT child_id AS id, parent_id AS ancestor, CAST(1 AS BIGINT) AS level FROM e UNION ALL SELECT a.child_id, b.parent_id, 2 FROM e a JOIN e b ON b.child_id = a.parent_id UNION ALL SELECT a.child_id, c.parent_id, 3 FROM e a JOIN e b ON b.child_id = a.parent_id JOIN e c ON c.child_id = b.parent_id",
     "xsys_refs": f"WITH {SEC}, s AS (SELECT DISTINCT source_system AS target, source_ip AS ip FROM sec), n AS (SELECT source_system, '10.0.0.' || (k % 20) AS ip, count(*) AS n FROM sec GROUP BY 1, 2) SELECT source_system, target, CAST(sum(n) AS BIGINT) AS n FROM n JOIN s USING (ip) WHERE source_system <> target GROUP BY 1, 2",
-    "xsys_nearest": f"WITH {SEC}, h AS (SELECT row_id AS id, 'host' || (row_id % 7) AS host, timestamp_utc AS ts FROM sec WHERE {_HIT}), j AS (SELECT id, host, row_id AS other_id, (epoch_us(timestamp_utc) - epoch_us(ts)) / 1e6 AS g FROM h JOIN sec ON source_system = host AND abs(epoch_us(timestamp_utc) - epoch_us(ts)) <= 1800e6) SELECT id, host, other_id, round(g, 3) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY id, host ORDER BY abs(g), other_id) AS nr FROM j) WHERE nr = 1",
-    "ctx_before_after": f"WITH {SEC}, j AS (SELECT h.row_id AS id, o.row_id AS other_id, epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) AS g FROM sec h JOIN sec o ON h.source_system = o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 3600e6 AND o.row_id <> h.row_id WHERE h.{_HIT}), r AS (SELECT id, other_id, CASE WHEN g < 0 THEN 'before' ELSE 'after' END AS side, row_number() OVER (PARTITION BY id, g < 0 ORDER BY abs(g), other_id) AS nr FROM j) SELECT id, side, other_id, nr FROM r WHERE nr <= 3",
-    "ctx_cross_system": f"WITH {SEC} SELECT h.row_id AS id, o.row_id AS other_id FROM sec h JOIN sec o ON h.source_system <> o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 300e6 WHERE h.{_HIT}",
-    "hot_windows": f"WITH {SEC} SELECT h.row_id AS id, count(*) AS n FROM sec h JOIN sec o ON h.source_system = o.source_system AND epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) BETWEEN -3600e6 AND 5400e6 WHERE h.{_HIT} GROUP BY 1 HAVING count(*) >= 3",
+    "xsys_nearest": f"WITH {DENSE}, h AS (SELECT row_id AS id, 'host' || (row_id % 7) AS host, timestamp_utc AS ts FROM sec WHERE {_HIT}), j AS (SELECT id, host, row_id AS other_id, (epoch_us(timestamp_utc) - epoch_us(ts)) / 1e6 AS g FROM h JOIN sec ON source_system = host AND abs(epoch_us(timestamp_utc) - epoch_us(ts)) <= 5e6) SELECT id, host, other_id, round(g, 3) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY id, host ORDER BY abs(g), other_id) AS nr FROM j) WHERE nr = 1",
+    "ctx_before_after": f"WITH {DENSE}, j AS (SELECT h.row_id AS id, o.row_id AS other_id, epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) AS g FROM sec h JOIN sec o ON h.source_system = o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 30e6 AND o.row_id <> h.row_id WHERE h.{_HIT}), r AS (SELECT id, other_id, CASE WHEN g < 0 THEN 'before' ELSE 'after' END AS side, row_number() OVER (PARTITION BY id, g < 0 ORDER BY abs(g), other_id) AS nr FROM j) SELECT id, side, other_id, nr FROM r WHERE nr <= 10",
+    "ctx_cross_system": f"WITH {DENSE} SELECT id, other_id FROM (SELECT h.row_id AS id, o.row_id AS other_id, row_number() OVER (PARTITION BY h.row_id ORDER BY abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)), o.row_id) AS nr FROM sec h JOIN sec o ON h.source_system <> o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 5e6 WHERE h.{_HIT}) WHERE nr <= 10",
+    "hot_windows": f"WITH {DENSE} SELECT h.row_id AS id, count(*) AS n FROM sec h JOIN sec o ON h.source_system = o.source_system AND epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) BETWEEN -30e6 AND 90e6 WHERE h.{_HIT} GROUP BY 1 HAVING count(*) >= 3",
     "merge_windows": f"WITH {SEC}, x AS (SELECT source_system, epoch_us(timestamp_utc) // 1000000 AS begin, epoch_us(timestamp_utc) // 1000000 + 7200 AS fin, k AS n FROM sec WHERE {_HIT}), y AS (SELECT *, max(fin) OVER (PARTITION BY source_system ORDER BY begin, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), z AS (SELECT *, sum(CASE WHEN reach IS NULL OR begin > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source_system ORDER BY begin, fin ROWS UNBOUNDED PRECEDING) AS isl FROM y) SELECT source_system, CAST(min(begin) AS BIGINT) AS begin, CAST(max(fin) AS BIGINT) AS \"end\", count(*) AS windows, max(n) AS most FROM z GROUP BY source_system, isl",
     "usn_renames": f"WITH {_U}, r AS (SELECT file, usn, name, reason, last_value(CASE WHEN reason = 'OLD' THEN name END IGNORE NULLS) OVER (PARTITION BY file ORDER BY usn, name, ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM u) SELECT file, usn, old, name AS new FROM r WHERE reason = 'NEW' AND old IS NOT NULL",
-    "usn_staged_delete": f"WITH {_U}, j AS (SELECT a.file AS made_in, a.usn AS made_usn, b.file AS gone_in, b.usn AS gone_usn, row_number() OVER (PARTITION BY a.file, a.usn ORDER BY b.ts, b.file, b.usn) AS nr FROM u a JOIN u b ON a.name = b.name AND a.reason = 'OLD' AND b.reason = 'NEW' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 DAY) SELECT made_in, made_usn, gone_in, gone_usn FROM j WHERE nr = 1",
-    "usn_rapid_ops": f"WITH {_U} SELECT date_trunc('day', ts) AS at, count(*) AS n, count(*) FILTER (name % 7 = 0) AS odd FROM u GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (name % 7 = 0) >= 2",
+    "usn_staged_delete": f"WITH {_U}, j AS (SELECT a.file AS made_in, a.usn AS made_usn, b.file AS gone_in, b.usn AS gone_usn, row_number() OVER (PARTITION BY a.file, a.usn ORDER BY b.ts, b.file, b.usn) AS nr FROM u a JOIN u b ON a.name = b.name AND a.reason = 'OLD' AND b.reason = 'NEW' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR) SELECT made_in, made_usn, gone_in, gone_usn FROM j WHERE nr = 1",
+    "usn_rapid_ops": f"WITH {_U} SELECT date_trunc('minute', ts) AS at, count(*) AS n, count(*) FILTER (name % 7 = 0) AS odd FROM u GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (name % 7 = 0) >= 2",
     "unified_timeline": f"WITH {SEC} SELECT row_id, timestamp_utc, event_type, source_file FROM sec ORDER BY timestamp_utc, row_id",
     "except_pids": f"WITH {SEC} SELECT DISTINCT parent_process_id FROM sec WHERE parent_process_id NOT IN (SELECT process_id FROM sec WHERE event_code = 1 AND source_system = 'host1')",
     "hidden_by_crossref": f"WITH {SEC} SELECT DISTINCT process_id AS pid FROM sec WHERE process_id > 4 AND process_id NOT IN (SELECT process_id FROM sec WHERE event_code = 4688 AND source_system = 'host1')",
@@ -292,7 +320,7 @@ ORACLES = {
 }
 ORACLES["session_intent"] = ORACLES["session_intent"].replace("AS LATERAL,", "AS LATERAL_,")
 ORACLES["burst_groups"] = (
-    f"WITH RECURSIVE {SEC}, h AS (SELECT source_system, timestamp_utc::DATE AS day, epoch_us(timestamp_utc) / 1e6 AS t, row_number() OVER (PARTITION BY source_system, timestamp_utc::DATE ORDER BY timestamp_utc, row_id) AS nr FROM sec WHERE command_line LIKE '%exe%'), "
-    "w AS (SELECT source_system, day, nr, t, t AS start FROM h WHERE nr = 1 UNION ALL SELECT h.source_system, h.day, h.nr, h.t, CASE WHEN h.t - w.start <= 21600 THEN w.start ELSE h.t END FROM w JOIN h ON h.source_system = w.source_system AND h.day = w.day AND h.nr = w.nr + 1) "
-    "SELECT source_system, round(start, 3) AS start, round(max(t), 3) AS last, count(*) AS n FROM w GROUP BY source_system, day, start HAVING count(*) >= 3"
+    f"WITH RECURSIVE {DENSE}, h AS (SELECT source_system, epoch_us(timestamp_utc) AS t, row_number() OVER (PARTITION BY source_system ORDER BY timestamp_utc, row_id) AS nr FROM sec WHERE command_line LIKE '%exe%'), "
+    "w AS (SELECT source_system, nr, t, t AS start FROM h WHERE nr = 1 UNION ALL SELECT h.source_system, h.nr, h.t, CASE WHEN h.t - w.start <= 60000000 THEN w.start ELSE h.t END FROM w JOIN h ON h.source_system = w.source_system AND h.nr = w.nr + 1) "
+    "SELECT source_system, make_timestamp(start) AS start, make_timestamp(max(t)) AS last, count(*) AS n FROM w GROUP BY source_system, start HAVING count(*) >= 3"
 )
