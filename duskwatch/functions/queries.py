@@ -44,13 +44,13 @@ QUERIES = {
     "logon_type_name": _ev(lambda ev: ev.select("row_id", S.logon_type_name(F.col("logon_type")).alias("name"))),
     "event_summary": _ev(lambda ev: ev.select("row_id", S.event_summary(F.when(F.col("row_id") % 3 == 0, F.col("uri")), F.col("http_method"), F.when(F.col("row_id") % 4 != 1, F.col("process_name")), F.when(F.col("row_id") % 2 == 0, F.col("command_line")), F.col("event_type")).alias("summary"))),
     "hour_bucket": _ev(lambda ev: ev.select("row_id", F.date_format(F.date_trunc("hour", "timestamp_utc"), "yyyy-MM-dd HH:00").alias("hour"))),
-    "shannon_entropy": _docs(lambda d: d.select("doc_id", F.round(S.entropy(F.substring("text", 1, 40)), 6).alias("entropy"), F.round(S.entropy(F.regexp_extract("text", r"[^\n]*", 0)), 6).alias("line_entropy"))),
+    "shannon_entropy": _docs(lambda d: d.select("doc_id", F.round(S.entropy(F.col("text")), 6).alias("entropy"))),
     "norm_entropy": _ev(lambda ev: ev.select("row_id", F.round(S.norm_entropy(F.col("service_name")), 6).alias("entropy"))),
     "payload_format": _ev(lambda ev: ev.select("row_id", S.payload_format(F.element_at(F.array(F.lit('{"a": 1}'), F.concat(F.lit("user: "), F.col("username"), F.lit("\nx: 1")), F.concat(F.lit("a=1|b="), F.col("username")), F.col("command_line")), (F.col("row_id") % 4 + 1).cast("int"))).alias("format"))),
     "kv_parse": _ev(lambda ev: ev.withColumn("m", S.kv_parse(F.concat(F.lit("User = "), F.col("username"), F.lit("|ip="), F.col("source_ip"), F.lit("|junk|url=a=b")), r"\|", "=")).select("row_id", F.col("m")["User"].alias("user"), F.col("m")["ip"].alias("ip"), F.col("m")["url"].alias("url"), F.size("m").cast("long").alias("n"))),
     "ts_normalize": _ev(lambda ev: _written(ev).select("row_id", F.floor(F.unix_micros(S.timestamp_of(F.col("text"))) / 1000000).alias("seconds"))),
     "sev_http_status": _ev(lambda ev: ev.select("row_id", S.severity_of_status(F.col("status_code"), F.col("uri")).alias("severity"))),
-    "severity_sort": _ev(lambda ev: ev.select("row_id", "severity", S.severity_rank(F.col("severity")).cast("long").alias("rank")).orderBy("rank", "row_id").limit(500)),
+    "severity_sort": _ev(lambda ev: ev.select("row_id", "severity", S.severity_rank(F.col("severity")).cast("long").alias("rank")).orderBy("rank", "row_id")),
     "url_host": lambda s, d: table(s, d, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host")),
     "risk_score": _ev(lambda ev: ev.select("row_id", S.risk_score(F.col("k") % 9, F.col("k") % 3, F.col("k")).cast("long").alias("score"))),
     "host_from_file": _ev(lambda ev: ev.select("row_id", F.upper(F.regexp_extract(F.concat("source_system", F.lit("_Security_"), "source_file"), "^([A-Za-z0-9-]+)_", 1)).alias("host"))),
@@ -82,13 +82,13 @@ ORACLES = {
     "logon_type_name": f"WITH {SEC} SELECT row_id, CASE logon_type WHEN 3 THEN 'Network' WHEN 10 THEN 'RemoteInteractive' WHEN 2 THEN 'Interactive' ELSE 'Unknown(99)' END AS name FROM sec",
     "event_summary": f"WITH {SEC} SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'Web: ' || http_method || ' ' || uri WHEN row_id % 4 <> 1 AND row_id % 2 = 0 THEN 'Process: ' || process_name || ' | ' || left(command_line, 100) WHEN row_id % 4 <> 1 THEN 'Process: ' || process_name ELSE 'Event: ' || event_type END AS summary FROM sec",
     "hour_bucket": f"WITH {SEC} SELECT row_id, strftime(timestamp_utc, '%Y-%m-%d %H:00') AS hour FROM sec",
-    "shannon_entropy": f"SELECT doc_id, round({_ENT.format('left(text, 40)')}, 6) AS entropy, round({_ENT.format(_LINE)}, 6) AS line_entropy FROM documents",
+    "shannon_entropy": f"SELECT doc_id, round({_ENT.format('text')}, 6) AS entropy FROM documents",
     "norm_entropy": f"WITH {SEC} SELECT row_id, round(CASE WHEN len(list_distinct(string_split(service_name, ''))) <= 1 THEN 0 ELSE {_ENT.format('service_name')} / log2(len(list_distinct(string_split(service_name, '')))) END, 6) AS entropy FROM sec",
     "payload_format": f"WITH {SEC} SELECT row_id, CASE WHEN row_id % 4 = 0 THEN 'json' WHEN row_id % 4 = 1 THEN 'kv_newline' WHEN row_id % 4 = 2 THEN 'kv_pipe' WHEN command_line LIKE '%|%=%' THEN 'kv_pipe' ELSE 'raw' END AS format FROM sec",
     "kv_parse": f"WITH {SEC} SELECT row_id, username AS user, source_ip AS ip, 'a=b' AS url, CAST(3 AS BIGINT) AS n FROM sec",
     "ts_normalize": f"WITH {SEC} SELECT row_id, CAST(floor(epoch_us(timestamp_utc) / 1e6) AS BIGINT) AS seconds FROM sec",
     "sev_http_status": f"WITH {SEC} SELECT row_id, CASE WHEN regexp_matches(uri, '(?i)\\.\\./|cmd|shell|passwd|union|<script|exec') THEN 'high' WHEN status_code >= 500 THEN 'medium' WHEN status_code >= 400 THEN 'low' ELSE 'info' END AS severity FROM sec",
-    "severity_sort": f"WITH {SEC} SELECT row_id, severity, CAST(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END AS BIGINT) AS rank FROM sec ORDER BY rank, row_id LIMIT 500",
+    "severity_sort": f"WITH {SEC} SELECT row_id, severity, CAST(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END AS BIGINT) AS rank FROM sec ORDER BY rank, row_id",
     "url_host": "SELECT page_id, nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1), '') AS host FROM pages",
     "risk_score": f"WITH {SEC} SELECT row_id, CAST(least(100, CASE WHEN k % 9 > 5 THEN 50 WHEN k % 9 > 0 THEN 30 ELSE 0 END + CASE WHEN k % 3 > 0 THEN 10 ELSE 0 END + least(40, k // 2)) AS BIGINT) AS score FROM sec",
     "host_from_file": f"WITH {SEC} SELECT row_id, upper(source_system) AS host FROM sec",

@@ -36,6 +36,22 @@ def b64_decode(text: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")) & ~F.hex(raw).rlike("^(..)*?00"), raw.cast("string")).when(F.hex(raw).rlike("^(..)*?00"), wide_text(raw))
 
 
+def printable(text: Column) -> Column:
+    """Share of letters, digits, marks and blanks among the characters of a text."""
+    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\p{P}\p{S}\s]", "")) / F.length(text)
+
+
+def b64_forms(text: Column) -> Column:
+    """(form, decoded) of base64 as it stands, written backwards, or of UTF-16LE: the one with the most printable text, the first of equals."""
+    def tried(form: str, place: int, t: Column, wide: bool) -> Column:
+        raw = F.try_to_binary(padded(t), F.lit("base64"))
+        out = wide_text(raw) if wide else F.when(F.is_valid_utf8(raw.cast("string")) & ~F.hex(raw).rlike("^(..)*?00"), raw.cast("string"))
+        return F.when(F.length(out) > 0, F.struct(printable(out).alias("share"), F.lit(-place).alias("place"), F.lit(form).alias("form"), out.alias("decoded")))
+
+    turned = F.reverse(F.regexp_replace(text, "^=+", ""))
+    return F.array_max(F.array_compact(F.array(tried("direct", 0, text, False), tried("reversed", 1, turned, False), tried("wide", 2, text, True))))
+
+
 def b64_candidates(df: DataFrame, key: str, column: str, least: int = 8) -> DataFrame:
     """Base64-shaped runs of a column that are not digests, ids or too short, with what they decode to."""
     runs = F.regexp_extract_all(F.col(column), F.lit("[A-Za-z0-9+/]{%d,}={0,2}" % least), F.lit(0))
@@ -139,22 +155,25 @@ def path_registry_iocs(ev: DataFrame) -> DataFrame:
     return paths.union(keys).where(F.col("value").rlike(r"^([A-Za-z]:\\|HK)")).distinct()
 
 
-def printable_share(raw: np.ndarray) -> float:
-    return float(((raw >= 32) & (raw < 127) | np.isin(raw, (9, 10, 13))).mean()) if len(raw) else 0.0
+#: Line b of the table tells which bytes are printable after an exclusive or with b.
+_PRINTABLE = np.isin(np.arange(256)[:, None] ^ np.arange(256)[None, :], [9, 10, 13, *range(32, 127)]).astype(np.int64)
 
 
 def xor_bruteforce(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, byte, share, text) of the single-byte key with the most printable text over 0.7; the first of equals."""
+    """(key, byte, share, text) of the single-byte key with the most printable text over 0.7; the first of equals.
+
+    The bytes of a row are counted once; a table of 256 x 256 then gives the share of every key.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, data in zip(batch[key], batch[column], strict=True):
                 raw = np.frombuffer(data or b"", np.uint8)
-                shares = [printable_share(raw ^ np.uint8(b)) for b in range(256)]
-                best = int(np.argmax(shares))
-                if shares[best] > 0.7:
-                    out.append((k, best, shares[best], (raw ^ np.uint8(best)).tobytes().decode("latin-1")))
+                hits = _PRINTABLE @ np.bincount(raw, minlength=256)
+                best = int(np.argmax(hits))
+                if len(raw) and hits[best] > 0.7 * len(raw):
+                    out.append((k, best, hits[best] / len(raw), (raw ^ np.uint8(best)).tobytes().decode("latin-1")))
             yield pd.DataFrame(out, columns=[key, "byte", "share", "text"])
 
     return df.select(key, column).mapInPandas(run, f"{key} long, byte int, share double, text string")
@@ -195,11 +214,17 @@ def _ev(f):
     return lambda s, d: f(security_events(s, d))
 
 
+def _turned(text: Column) -> Column:
+    """Base64 of a text: for every third document as it is, backwards, and of UTF-16LE."""
+    return F.when(F.col("doc_id") % 3 == 0, b64(F.encode(text, "UTF-8"))).when(F.col("doc_id") % 3 == 1, F.reverse(b64(F.encode(text, "UTF-8")))).otherwise(b64(F.encode(text, "UTF-16LE")))
+
+
 def _lines(s, d):
-    return table(s, d, "documents").select("doc_id", F.regexp_extract("text", r"[^\n]*", 0).alias("line"))
+    """Every line of every document."""
+    return table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
-_L = "l AS (SELECT doc_id, regexp_extract(text, '[^\\n]*', 0) AS line FROM documents)"
+_L = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
 _IOC = " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for k, p in rules.IOC_PATTERNS.items())
 _PRIVATE = "regexp_matches(value, '^(10\\.|127\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.0\\.0\\.0$)')"
 _PHASE = "CASE WHEN regexp_matches(lower(command_line), 'whoami|ipconfig|systeminfo|hostname') THEN 'recon' WHEN regexp_matches(lower(command_line), 'mimikatz|lsass|procdump|password') THEN 'credential' WHEN regexp_matches(lower(command_line), 'wmic|psexec|invoke-') THEN 'lateral' WHEN regexp_matches(lower(command_line), 'net user|net group|dir |tasklist') THEN 'discovery' WHEN regexp_matches(lower(command_line), 'cmd|powershell|download') THEN 'execution' ELSE 'other' END"
@@ -211,12 +236,12 @@ QUERIES = {
     "url_decode_n": lambda s, d: _lines(s, d).select("doc_id", url_decode_n(F.url_encode(F.replace(F.url_encode("line"), F.lit("+"), F.lit("%20")))).alias("decoded")),
     "ps_encoded": _ev(lambda ev: ev.select("row_id", ps_encoded(F.concat(F.lit("powershell.exe -nop -enc "), b64(F.encode("command_line", "UTF-16LE")))).alias("decoded"))),
     "ps_command": _ev(lambda ev: ev.select("row_id", ps_command(F.col("command_line")).alias("command"))),
-    "nested_decode": lambda s, d: _lines(s, d).select("doc_id", nested(b64(F.encode(b64(F.encode("line", "UTF-8")), "UTF-8"))).alias("decoded"), "line").where("line LIKE '% %' AND NOT line RLIKE '%[0-9A-Fa-f]'").drop("line"),
+    "nested_decode": lambda s, d: _lines(s, d).select("doc_id", nested(b64(F.encode(b64(F.encode(F.concat(F.lit("line: "), F.replace("line", F.lit("%"), F.lit(""))), "UTF-8")), "UTF-8"))).alias("decoded")),
     "hex_decode": lambda s, d: _lines(s, d).select("doc_id", hex_decode(F.regexp_replace(F.hex(F.encode("line", "UTF-8")), "(..)", "$1_")).cast("string").alias("decoded")),
     "strip_fillers": _ev(lambda ev: ev.select("row_id", strip_fillers(F.concat(F.lit("po`w^er"), F.col("command_line"))).alias("clean"))),
     "concat_eval": _ev(lambda ev: ev.select("row_id", concat_eval(F.concat(F.lit('x = "'), F.col("process_name"), F.lit('" + "'), F.col("username"), F.lit('"'))).alias("joined"))),
     "charcode_decode": _ev(lambda ev: ev.select("row_id", charcode_decode(F.concat(F.lit("chr("), (F.col("k") % 26 + 65).cast("string"), F.lit(") + [char]"), (F.col("k") % 10 + 48).cast("string"))).alias("text"))),
-    "b64_reversed": lambda s, d: _lines(s, d).select("doc_id", b64_decode(F.reverse(F.reverse(b64(F.encode("line", "UTF-8"))))).alias("decoded")),
+    "b64_reversed": lambda s, d: _lines(s, d).select("doc_id", b64_forms(_turned(F.concat(F.lit("powershell -command "), "line"))).alias("b")).select("doc_id", "b.form", "b.decoded"),
     "obf_types": _ev(lambda ev: ev.select("row_id", obf_types(F.col("command_line")).alias("types"))),
     "script_type": _ev(lambda ev: ev.select("row_id", script_type(F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ["ps1", "bat", "txt", "js"])), (F.col("row_id") % 4 + 1).cast("int"))), F.col("command_line")).alias("type"))),
     "decoded_phase": _ev(lambda ev: ev.select("row_id", decoded_phase(F.col("command_line")).alias("phase"))),
@@ -224,7 +249,7 @@ QUERIES = {
     "text_iocs": lambda s, d: text_iocs(table(s, d, "documents"), "doc_id", "text"),
     "ioc_table": _ev(ioc_table),
     "ioc_by_type": _ev(lambda ev: ioc_table(ev).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "HIGH").alias("high"))),
-    "risk_sort": _ev(lambda ev: ioc_table(ev).select("kind", "value", "risk").orderBy(S.severity_rank(F.col("risk")), "value").limit(50)),
+    "risk_sort": _ev(lambda ev: ioc_table(ev).select("kind", "value", "risk").orderBy(S.severity_rank(F.col("risk")), "value")),
     "path_registry_iocs": _ev(path_registry_iocs),
     "scan_strings_iocs": lambda s, d: text_iocs(table(s, d, "pages").select("page_id", F.col("html")), "page_id", "html").where("kind IN ('url', 'email')"),
     "xor_bruteforce": lambda s, d: xor_bruteforce(_lines(s, d).select("doc_id", F.encode("line", "UTF-8").alias("data")), "doc_id", "data"),
@@ -237,16 +262,17 @@ ORACLES = {
     "b64_params": f"WITH {SEC} SELECT row_id, command_line AS decoded FROM sec",
     "url_decode_n": f"WITH {_L} SELECT doc_id, line AS decoded FROM l",
     "ps_command": f"WITH {SEC} SELECT row_id, nullif(regexp_extract(command_line, '(?i)(?:powershell|pwsh)(?:\\.exe)?.*?\\s-c(?:ommand)?\\s+(.+)$', 1), '') AS command FROM sec",
-    "hex_decode": f"WITH {_L} SELECT doc_id, line AS decoded FROM l",
+    "hex_decode": f"WITH {_L} SELECT doc_id, nullif(line, '') AS decoded FROM l",
     "strip_fillers": f"WITH {SEC} SELECT row_id, 'power' || replace(replace(replace(command_line, '`', ''), '^', ''), '#', '') AS clean FROM sec",
     "concat_eval": f"WITH {SEC} SELECT row_id, process_name || username AS joined FROM sec",
     "charcode_decode": f"WITH {SEC} SELECT row_id, chr(CAST(k % 26 + 65 AS INT)) || chr(CAST(k % 10 + 48 AS INT)) AS text FROM sec",
-    "b64_reversed": f"WITH {_L} SELECT doc_id, line AS decoded FROM l",
+    "b64_reversed": f"WITH {_L} SELECT doc_id, ['direct', 'reversed', 'wide'][CAST(doc_id % 3 + 1 AS INT)] AS form, 'powershell -command ' || line AS decoded FROM l",
+    "b64_find": f"WITH {_L} SELECT doc_id, to_base64(encode(line)) AS candidate, line AS decoded FROM l WHERE length(rtrim(to_base64(encode(line)), '=')) >= 8",
     "obf_types": f"WITH {SEC} SELECT row_id, CASE WHEN regexp_matches(command_line, '[`^]') THEN 'filler' ELSE '' END AS types FROM sec",
     "script_type": f"WITH {SEC} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'powershell' WHEN 1 THEN 'batch' WHEN 3 THEN 'javascript' ELSE CASE WHEN regexp_matches(command_line, '(?i)\\$[a-z]+\\s*=|invoke-') THEN 'powershell' WHEN regexp_matches(command_line, '(?i)@echo|%[a-z]+%') THEN 'batch' WHEN regexp_matches(command_line, '(?i)\\bfunction\\b|\\bvar\\b') THEN 'javascript' ELSE 'unknown' END END AS type FROM sec",
     "decoded_phase": f"WITH {SEC} SELECT row_id, {_PHASE} AS phase FROM sec",
     "decoded_indicators": f"WITH {SEC} SELECT row_id, array_to_string(regexp_extract_all(command_line, 'https?://[^\\s''\"<>]+'), ',') AS urls, array_to_string(list_filter(['DownloadString', 'Net.WebClient', 'New-Object', 'IEX'], lambda w: contains(command_line, w)), ',') AS commands FROM sec",
-    "nested_decode": f"WITH {_L} SELECT doc_id, line AS decoded FROM l WHERE line LIKE '% %' AND NOT regexp_matches(line, '%[0-9A-Fa-f]')",
+    "nested_decode": f"WITH {_L} SELECT doc_id, 'line: ' || replace(line, '%', '') AS decoded FROM l",
     "text_iocs": f"SELECT * FROM ({_IOC}) WHERE kind <> 'ipv4' OR NOT {_PRIVATE}",
     "ioc_table": f"WITH {SEC}, x AS (SELECT timestamp_utc, username, process_name, 'ipv4' AS kind, dest_ip AS value FROM sec WHERE dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5') UNION ALL SELECT timestamp_utc, username, process_name, 'url', unnest(regexp_extract_all(command_line, 'https?://[^\\s<>\"'']+')) FROM sec) SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(*) AS n, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, CASE WHEN kind = 'url' THEN 'HIGH' WHEN count(DISTINCT username) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x GROUP BY kind, value",
     "path_registry_iocs": f"WITH {SEC} SELECT DISTINCT * FROM (SELECT 'path' AS kind, file_path AS value, regexp_matches(lower(file_path), '\\\\(temp|public|appdata|downloads)\\\\') AS suspicious FROM sec UNION ALL SELECT 'registry', registry_key, regexp_matches(lower(registry_key), 'currentversion\\\\run|\\\\services\\\\') FROM sec)",
@@ -255,4 +281,4 @@ ORACLES = {
     "union_decoded": f"WITH {SEC} SELECT DISTINCT 'cmd' AS source, md5(command_line) AS id FROM sec UNION SELECT 'query', md5(query_string) FROM sec",
 }
 ORACLES["ioc_by_type"] = f"SELECT kind, count(*) AS n, count(*) FILTER (risk = 'HIGH') AS high FROM ({ORACLES['ioc_table']}) GROUP BY 1"
-ORACLES["risk_sort"] = f"SELECT kind, value, risk FROM ({ORACLES['ioc_table']}) ORDER BY CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, value LIMIT 50"
+ORACLES["risk_sort"] = f"SELECT kind, value, risk FROM ({ORACLES['ioc_table']}) ORDER BY CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, value"
