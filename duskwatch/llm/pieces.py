@@ -7,28 +7,29 @@ score sum through its lattice is not what it encodes, so the fold applies the mo
 lattice, the best-ranked edge over two neighbouring symbols first, leftmost of equals; it gives the
 library's ids. Characters without a piece become their bytes.
 
-1. The words of the whole corpus are counted. The most frequent, ``DICTIONARY`` at most, are encoded once,
-   their edges grouped by a shuffle and folded by a higher-order aggregate.
-2. Texts are never exchanged: their words are exploded in order and joined to that dictionary, a broadcast
-   of bounded size. Edges of a word that it lacks are found by the same equi-join in the stream of words, where
-   they stand next to one another, so they are grouped and folded in place.
+1. The words of the whole corpus are counted. The most frequent, ``DICTIONARY`` at most, are encoded once:
+   their edges are found by the equi-join, grouped by a shuffle and folded by a higher-order aggregate.
+2. Texts are never exchanged: that dictionary, of bounded size, goes to the tasks that hold them. Words
+   that it lacks get the same lattice and the same fold where they stand, whatever their length.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import cut, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of the broadcast dictionary at most, and their length; all other words are folded where they stand.
+#: Words of the broadcast dictionary at most, and their length; all other words are encoded where they stand.
 DICTIONARY, DICTIONARY_CHARS = 1 << 18, 48
 WORD = "\n|▁+[^▁\n]*|[^▁\n]+"
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
@@ -55,11 +56,11 @@ def _pieces(spark: SparkSession, table: list[tuple[int, str, float]]) -> tuple[D
 
 
 def _edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """Rows of ``words`` with (s, n, piece, id, rank) for each piece in ``word`` and each of its characters; a null word keeps its row."""
-    spans = words.withColumn("s", F.explode_outer(F.when(F.col("word").isNotNull(), F.sequence(F.lit(0), F.length("word") - 1))))
-    spans = spans.withColumn("n", F.explode_outer(F.when(F.col("s").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s"))))))
+    """(word, s, n, piece, id, rank) for each piece in a word and each of its characters."""
+    spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    spans = spans.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n")))
-    return spans.join(pieces, "piece", "left").where("id IS NOT NULL OR n = 1 OR n IS NULL")
+    return spans.join(pieces, "piece", "left").where("id IS NOT NULL OR n = 1")
 
 
 def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
@@ -109,87 +110,51 @@ def _dictionary(texts: DataFrame, most: int, model: str) -> DataFrame:
     return cut(encode_words(counts.where(F.col("grade") >= least).select("word"), model))
 
 
-def _fold(s: list[int], n: list[int], rank: list[float], ids: list[int | None], chars: list[str], first_byte: int) -> list[int]:
-    """Ids of one word from its edges."""
-    size = max(a + b for a, b in zip(s, n))
-    known = {(a, a + b): (r, i) for a, b, r, i in zip(s, n, rank, ids) if i is not None}
-    end, start = list(range(1, size + 1)), list(range(-1, size))  # end of the symbol at a place; start of the one before it
-    heap = [(known[a, a + 2][0], a, a + 1, a + 2) for a in range(size - 1) if (a, a + 2) in known]
+def _fold(word: str, pieces: dict[str, tuple[float, int]], longest: int, first_byte: int) -> list[int]:
+    """Ids of one word: its lattice, and the merges in it, in time n log n."""
+    size = len(word)
+    edges = {(a, e): found for a in range(size) for e in range(a + 1, min(a + longest, size) + 1) if (found := pieces.get(word[a:e]))}
+    end, start = list(range(1, size + 1)), list(range(-1, size))  # end of the symbol at a place; place of the one before it
+    heap = [(edges[a, a + 2][0], a, a + 1, a + 2) for a in range(size - 1) if (a, a + 2) in edges]
     heapq.heapify(heap)
     while heap:
         _, a, m, e = heapq.heappop(heap)
-        if end[a] != m or m >= size or end[m] != e:
+        if end[a] != m or end[m] != e:
             continue
         end[a], end[m] = e, -1
         if e < size:
             start[e] = a
         for x, y in ((start[a], a), (a, e)):
-            if x >= 0 and y < size and (x, end[y]) in known:
-                heapq.heappush(heap, (known[x, end[y]][0], x, y, end[y]))
-    out, a, byte = [], 0, {p: c for p, k, i, c in zip(s, n, ids, chars) if k == 1 and i is None}
+            if x >= 0 and y < size and (x, end[y]) in edges:
+                heapq.heappush(heap, (edges[x, end[y]][0], x, y, end[y]))
+    out, a = [], 0
     while a < size:
-        out += [known[a, end[a]][1]] if (a, end[a]) in known else [first_byte + b for b in byte[a].encode()]
+        out += [edges[a, end[a]][1]] if (a, end[a]) in edges else [first_byte + b for b in word[a].encode()]
         a = end[a]
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], first_byte: int) -> Iterator[pa.RecordBatch]:
-    """Documents from rows of their words and edges, which come in order: a row with ``head`` begins a document."""
-
-    def words(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole words of the rows, and the number of ids of each row."""
-        lists = t.column("ids").combine_chunks()
-        sizes = np.asarray(lists.value_lengths().fill_null(0))
-        known = np.asarray(lists.flatten())
-        at, spelt = t.column("at").to_numpy(), t.column("s").is_valid().to_numpy()
-        begins = np.flatnonzero(spelt & ~np.concatenate(([False], spelt[:-1] & (at[1:] == at[:-1]) & ~t.column("head").to_numpy()[1:])))
-        rows = np.flatnonzero(spelt)
-        cols = [t.column(c).take(pa.array(rows)).to_pylist() for c in ("s", "n", "rank", "id", "piece")]
-        to = np.searchsorted(rows, begins)
-        folded = [_fold(*[c[i:j] for c in cols], first_byte) for i, j in zip(to, [*to[1:], len(rows)])]
-        length = sizes.copy()
-        length[begins] = [len(f) for f in folded]
-        flat = np.zeros(length.sum(), np.int32)
-        own = np.repeat(~spelt, length)
-        flat[own] = known
-        flat[~own] = np.fromiter((i for f in folded for i in f), np.int32)
-        return flat, length
-
-    def rows(doc: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-        ids = np.concatenate(parts)
-        return pa.RecordBatch.from_arrays([*doc, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], ["doc_id", "text", "ids"])
-
-    left, doc, parts = None, None, []
-    while True:
-        batch = next(batches, None)
-        t = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        if t is None or not t.num_rows:
-            break
-        at, head = t.column("at").to_numpy(), t.column("head").to_numpy()
-        fresh = np.concatenate(([True], (at[1:] != at[:-1]) | head[1:]))
-        if ((at[1:] != at[:-1]) & (at[1:] != at[:-1] + 1) & ~head[1:]).any():
-            raise ValueError("the words of a text came out of order")
-        stop = t.num_rows if batch is None else int(np.flatnonzero(fresh)[-1])  # the last word may go on in the next batch
-        left, t, head = None if batch is None else t.slice(stop), t.slice(0, stop), head[:stop]
-        if stop:
-            flat, length = words(t)
-            ends = np.concatenate(([0], np.cumsum(length)))
-            heads = np.flatnonzero(head)
-            parts.append(flat[: ends[heads[0]] if len(heads) else len(flat)])
-            if len(heads):
-                if doc is not None:
-                    yield rows(doc, parts)
-                bounds = ends[heads].astype(np.int32)
-                if len(heads) > 1:
-                    whole = t.take(pa.array(heads[:-1])).combine_chunks()
-                    lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), pa.array(flat[bounds[0] : bounds[-1]]))
-                    yield pa.RecordBatch.from_arrays([whole.column("doc_id").combine_chunks(), whole.column("text").combine_chunks(), lists], ["doc_id", "text", "ids"])
-                last = t.slice(int(heads[-1]), 1)
-                doc, parts = [last.column(c).combine_chunks() for c in ("doc_id", "text")], [flat[bounds[-1] :]]
-        if batch is None:
-            break
-    if doc is not None:
-        yield rows(doc, parts)
+def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, kept: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Ids of whole texts: of the dictionary's words by look-up, of others by their own lattice; the last of those are kept."""
+    words, offsets, ids, pieces, longest, first_byte = shared.value
+    known = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, offsets, offsets[1:])}
+    find, other = re.compile(WORD).findall, {}
+
+    def coded(word: str) -> bytes:
+        found = other.get(word)
+        if found is None:
+            if len(other) >= kept:
+                other.clear()
+            found = other[word] = array("i", _fold(word, pieces, longest, first_byte)).tobytes()
+        return found
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            packed = [b"".join([known.get(w) or coded(w) for w in find("▁" + t.replace(" ", "▁"))]) if t else b"" for t in part.column(1).to_pylist()]
+            sizes = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(packed))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes), values)], ["doc_id", "text", "ids"])
 
 
 def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY) -> DataFrame:
@@ -197,22 +162,18 @@ def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY) ->
 
     Null and empty texts get no ids. A text's own ``▁`` decodes as a blank, as in the library. Repeated rows give
     repeated rows, null ids stay null, an empty table gives an empty table; columns other than doc_id and text
-    are not read. The ids of a very long text are gathered in one task; words of any length are folded.
+    are not read. A very long text is encoded in one task, words of any length are folded.
     """
     data = docs.select("doc_id", "text")
     table = piece_table(model)
-    first_byte = next(i for i, p, _ in table if p == "<0x00>")
-    coded = F.broadcast(_dictionary(data, dictionary, model))  # ``dictionary`` rows of words of DICTIONARY_CHARS at most
-    rows = data.select("doc_id", "text", F.posexplode_outer(_words(F.col("text"))).alias("at", "word"))
-    head = F.coalesce("at", F.lit(0)) == 0
-    rows = rows.select(*[F.when(head, F.col(c)).alias(c) for c in ("doc_id", "text")], F.coalesce("at", F.lit(0)).alias("at"), "word")
-    rows = rows.join(coded, "word", "left").select("doc_id", "text", "at", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
-    rows = _edges(rows, *_pieces(data.sparkSession, table))
-    begins = (F.col("at") == 0) & (F.coalesce("s", F.lit(0)) == 0) & (F.coalesce("n", F.lit(1)) == 1)
-    only = lambda c: F.when(begins, F.col(c)).alias(c)
-    rows = rows.select(only("doc_id"), only("text"), begins.alias("head"), "at", "ids", "s", "n", "rank", "id", F.when(F.col("id").isNull(), F.col("piece")).alias("piece"))
+    pieces = {p: (-score, i) for i, p, score in table if not _BYTE.fullmatch(p)}
+    coded = _dictionary(data, dictionary, model).toArrow()  # ``dictionary`` rows of words of DICTIONARY_CHARS at most
+    lists = pa.concat_arrays(coded.column("ids").chunks) if coded.num_rows else pa.array([], pa.list_(pa.int32()))
+    offsets = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
+    flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), offsets, flat, pieces, max(map(len, pieces)), next(i for i, p, _ in table if p == "<0x00>")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _gathered(b, first_byte), f"doc_id {kind}, text string, ids array<int>")
+    return data.mapInArrow(lambda b: _encoded(b, shared), f"doc_id {kind}, text string, ids array<int>")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
