@@ -9,8 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import documents
+from .store import documents, unpacked
 from .words import row_groups, shingle_hashes, text_buffer, word_hashes, word_spans
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -34,8 +36,16 @@ class LineRules:
 
 #: Separators of menus, and marks of boilerplate.
 SEPARATOR_WORDS = ("|", "»", "«", ">", "<", "·", "•", "/", "::", "-")
-BOILERPLATE = ("lorem ipsum", "javascript", "cookie", "all rights reserved", "terms of use", "privacy policy", "{", "}")
+BOILERPLATE = (
+    "lorem ipsum", "javascript", "cookie", "all rights reserved", "terms of use", "privacy policy",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal",
+)
 _MARKS = re.compile("|".join(map(re.escape, BOILERPLATE)))
+#: A line of code opens a block at its end or closes one at its beginning.
+CODE = r"\{\s*$|^\s*\}"
+_CODE = re.compile(CODE)
 _STOP = re.compile("[.!?:;…。！？]")
 _NOISE = re.compile("[#*$%&|<>~^=]|!!")
 _BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -45,7 +55,7 @@ def line_fails(words: list[str], line: str, rules: LineRules = LineRules()) -> s
     """The first rule that a line with words breaks: ``navigation``, ``boilerplate``, ``punctuation`` or None."""
     if 100 * sum(w in SEPARATOR_WORDS for w in words) > rules.separators * len(words):
         return "navigation"
-    if _MARKS.search(line.lower()):
+    if _MARKS.search(line.lower()) or _CODE.search(line):
         return "boilerplate"
     if 100 * len(_NOISE.findall(line)) > rules.symbols * len(words):
         return "punctuation"
@@ -125,7 +135,7 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), columns: tuple[str,
 
     Null and empty texts have no words: all counts are 0 and ``base_failed`` holds. Repeated rows give
     repeated rows, null ids stay null, an empty table gives an empty table, other columns are not read.
-    A line without a word never fails and never counts as repeated.
+    A line without a word never fails and never counts as repeated. A very long text is measured whole, in one batch of its own.
     """
     data = docs.select(*columns, docs["text"].alias("text"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
@@ -138,11 +148,10 @@ def keep_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
     ``n_chars``, where present, is brought up to date. Columns of the same name as a measure are no
     problem: only the text travels with a private copy of the row.
     """
-    names = docs.columns
-    packed = docs.selectExpr("struct(*) AS _row", "text")
-    done = packed.mapInArrow(lambda b: _measured(b, rules, True), f"_row {packed.schema['_row'].dataType.simpleString()}, text string, {SCHEMA}").where("kept")
-    fresh = {"text": "text", "n_chars": "CAST(length(text) AS BIGINT) AS n_chars"}
-    return done.selectExpr(*[fresh.get(c, f"_row.`{c}` AS `{c}`") for c in names])
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    kind = T.StructType([*packed.schema.fields, *T.StructType.fromDDL(SCHEMA).fields])  # a schema, as names may need no quotes
+    done = packed.mapInArrow(lambda b: _measured(b, rules, True), kind).where("kept")
+    return unpacked(done, docs.columns, F.col("text"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +159,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEPS = ", ".join(f"'{x}'" for x in SEPARATOR_WORDS)
-_BOIL = " OR ".join(f"contains(low, '{x}')" for x in BOILERPLATE)
+_BOIL = " OR ".join([*(f"contains(low, '{x.replace(chr(39), chr(39) * 2)}')" for x in BOILERPLATE), f"regexp_matches(line, '{CODE}')"])
 _R = LineRules()
 ORACLE_SQL = f"""
 WITH d AS (

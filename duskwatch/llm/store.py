@@ -76,7 +76,7 @@ def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
 def unpacked(rows: DataFrame, names: list[str], text: Column) -> DataFrame:
     """The packed rows with a new ``text``; n_chars, where present, follows."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])  # the names of ``rows`` may be any
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

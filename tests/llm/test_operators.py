@@ -39,7 +39,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     # columns whose names clash with the operators' own
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit("own"), "node": F.lit(1), "copies": F.lit(7)}).repartition(3)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit("own"), "node": F.lit(1), "copies": F.lit(7), "_id": F.lit(2), "_gone": F.lit(3), "row": F.lit(4), "odd name": F.lit("x"), "kept": F.lit(5), "spans": F.lit(6)}).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -153,6 +153,8 @@ def test_line_rules():
     assert quality_rules.line_fails("a b".split(), "Please enable JavaScript") == "boilerplate"
     assert quality_rules.line_fails("a b c d e f g h".split(), "a b c d e f g h") == "punctuation"
     assert quality_rules.line_fails("A clean line.".split(), "A clean line.") is None
+    assert quality_rules.line_fails(["Impressum"], "Impressum") == "boilerplate"
+    assert quality_rules.line_fails("for x {".split(), "for x {") == "boilerplate" and quality_rules.line_fails("a {b} c".split(), "a {b} c") is None
 
 
 def labelled(spark, toxic_word):
