@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,26 @@ def piece_table(model: str = MODEL) -> list[tuple[int, str, float]]:
     return [(i, m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))]
 
 
-def _words(text: Column) -> Column:
-    """Words of the text as the model sees it: a blank in front, blanks as ``▁``; no text, no words."""
-    seen = F.when(F.length(text) > 0, F.concat(F.lit("▁"), F.translate(text, " ", "▁"))).otherwise(F.lit(""))
-    return F.regexp_extract_all(seen, F.lit(WORD), F.lit(0))
+def words_of_text(text: str | None) -> list[str]:
+    """Words of a text as the model sees it: a blank in front, blanks as ``▁``; no text, no words."""
+    return re.findall(WORD, "▁" + text.replace(" ", "▁")) if text else []
+
+
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(word, n) of words that the dictionary may hold, added up as far as ``most`` different ones fit."""
+    seen: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        short = [w for w in seen if len(w) <= DICTIONARY_CHARS]
+        return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([seen[w] for w in short], pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update(words_of_text(text.as_py()))
+            if len(seen) > most:
+                yield out()
+                seen.clear()
+    yield out()
 
 
 def _pieces(spark: SparkSession, table: list[tuple[int, str, float]]) -> tuple[DataFrame, int]:
@@ -100,7 +117,7 @@ def _dictionary(texts: DataFrame, most: int, model: str) -> DataFrame:
 
     Words fall into classes by the logarithm of their count; whole classes are taken, the most frequent first.
     """
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count("*").alias("n"))
+    counts = texts.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("grade")))
     room, least = most, 1 << 30
     for grade, n in counts.groupBy("grade").count().orderBy(F.desc("grade")).collect():  # a few hundred grades
@@ -110,12 +127,11 @@ def _dictionary(texts: DataFrame, most: int, model: str) -> DataFrame:
     return cut(encode_words(counts.where(F.col("grade") >= least).select("word"), model))
 
 
-def _fold(word: str, pieces: dict[str, tuple[float, int]], longest: int, first_byte: int) -> list[int]:
-    """Ids of one word: its lattice, and the merges in it, in time n log n."""
+def _fold_long(word: str, ranks: dict[str, float]) -> list[str]:
+    """Symbols of a long word, by a heap of the edges over neighbouring symbols: n log n."""
     size = len(word)
-    edges = {(a, e): found for a in range(size) for e in range(a + 1, min(a + longest, size) + 1) if (found := pieces.get(word[a:e]))}
     end, start = list(range(1, size + 1)), list(range(-1, size))  # end of the symbol at a place; place of the one before it
-    heap = [(edges[a, a + 2][0], a, a + 1, a + 2) for a in range(size - 1) if (a, a + 2) in edges]
+    heap = [(ranks[word[a : a + 2]], a, a + 1, a + 2) for a in range(size - 1) if word[a : a + 2] in ranks]
     heapq.heapify(heap)
     while heap:
         _, a, m, e = heapq.heappop(heap)
@@ -125,33 +141,55 @@ def _fold(word: str, pieces: dict[str, tuple[float, int]], longest: int, first_b
         if e < size:
             start[e] = a
         for x, y in ((start[a], a), (a, e)):
-            if x >= 0 and y < size and (x, end[y]) in edges:
-                heapq.heappush(heap, (edges[x, end[y]][0], x, y, end[y]))
+            if x >= 0 and y < size and (rank := ranks.get(word[x : end[y]])) is not None:
+                heapq.heappush(heap, (rank, x, y, end[y]))
     out, a = [], 0
     while a < size:
-        out += [edges[a, end[a]][1]] if (a, end[a]) in edges else [first_byte + b for b in word[a].encode()]
+        out.append(word[a : end[a]])
         a = end[a]
     return out
 
 
+def _fold(word: str, ranks: dict[str, float]) -> list[str]:
+    """Symbols of one word: of the lattice's edges over two neighbouring symbols the best one is merged, leftmost of
+    equals, until there is none. An edge is looked up when its two symbols come to stand side by side."""
+    if len(word) > DICTIONARY_CHARS:
+        return _fold_long(word, ranks)
+    none, get, parts = float("inf"), ranks.get, list(word)
+    near = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while near:
+        best = min(near)
+        if best == none:
+            break
+        i = near.index(best)
+        parts[i] += parts.pop(i + 1)
+        del near[i]
+        if i < len(near):
+            near[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            near[i - 1] = get(parts[i - 1] + parts[i], none)
+    return parts
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, kept: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """Ids of whole texts: of the dictionary's words by look-up, of others by their own lattice; the last of those are kept."""
-    words, offsets, ids, pieces, longest, first_byte = shared.value
+    words, offsets, ids, ranks, numbers, first_byte = shared.value
     known = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, offsets, offsets[1:])}
-    find, other = re.compile(WORD).findall, {}
+    other: dict[str, bytes] = {}
 
     def coded(word: str) -> bytes:
         found = other.get(word)
         if found is None:
             if len(other) >= kept:
                 other.clear()
-            found = other[word] = array("i", _fold(word, pieces, longest, first_byte)).tobytes()
+            parts = _fold(word, ranks)
+            found = other[word] = array("i", [i for p in parts for i in ((numbers[p],) if p in numbers else (first_byte + b for b in p.encode()))]).tobytes()
         return found
 
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            packed = [b"".join([known.get(w) or coded(w) for w in find("▁" + t.replace(" ", "▁"))]) if t else b"" for t in part.column(1).to_pylist()]
+            packed = [b"".join([known.get(w) or coded(w) for w in words_of_text(t)]) for t in part.column(1).to_pylist()]
             sizes = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(packed))])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes), values)], ["doc_id", "text", "ids"])
@@ -166,12 +204,13 @@ def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY) ->
     """
     data = docs.select("doc_id", "text")
     table = piece_table(model)
-    pieces = {p: (-score, i) for i, p, score in table if not _BYTE.fullmatch(p)}
+    ranks = {p: -score for _, p, score in table if not _BYTE.fullmatch(p)}
+    numbers = {p: i for i, p, _ in table if not _BYTE.fullmatch(p)}
     coded = _dictionary(data, dictionary, model).toArrow()  # ``dictionary`` rows of words of DICTIONARY_CHARS at most
     lists = pa.concat_arrays(coded.column("ids").chunks) if coded.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
     flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
-    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), offsets, flat, pieces, max(map(len, pieces)), next(i for i, p, _ in table if p == "<0x00>")))
+    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), offsets, flat, ranks, numbers, next(i for i, p, _ in table if p == "<0x00>")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return data.mapInArrow(lambda b: _encoded(b, shared), f"doc_id {kind}, text string, ids array<int>")
 
@@ -182,7 +221,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[
         texts = []
         for ids in batch.column(at):
             own = ids.values.to_numpy().tolist() if ids.is_valid else []
-            text = b"".join([table[i] for i in own]).decode("utf-8", "replace")
+            text = b"".join(map(table.__getitem__, own)).decode("utf-8", "replace")
             texts.append(text[1:] if text.startswith(" ") else text)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
