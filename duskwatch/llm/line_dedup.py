@@ -27,7 +27,7 @@ LEAST_WORDS = 1
 #: A class of more lines than a 1 / MANY of all, and than COPIES, enters the join as one row.
 MANY, COPIES = 1 << 16, 64
 #: Cells of more classes are first compared with their earliest class only, then by rarity.
-FEW = 16
+FEW = 64
 
 
 def _needed(n: Column) -> Column:
@@ -86,7 +86,7 @@ def _sets(docs: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
     """(o, set) of the first lines of the classes ``known`` (o, rank), each once."""
     first = known.select("o", *[F.col(f"rank.{c}").alias(f"_{c}") for c in ("doc_id", "k1", "k2", "line_no")])
     first = F.broadcast(first) if n_known <= BROADCAST_ROWS else first
-    lines = _lines(docs)
+    lines = _lines(keyed_rows(docs, known.select(F.col("rank.doc_id").alias("doc_id")).distinct(), "doc_id", n_known))
     same = lines["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("line_no") == F.col("_line_no"))
     once = lines.join(first, same).select("o", "line").groupBy("o").agg(F.first("line").alias("line"))
     return cut(_with_sets(once).select("o", "set"))
@@ -102,24 +102,6 @@ def _entries(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
 
 
-def _pruned(pairs: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that all shared tokens of their prefixes still allow.
-
-    Of two sets, every common token up to the end of the prefix that ends first is in both prefixes. So
-    beyond those tokens only as many can be common as the smaller rest has.
-    """
-    own = entries.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("cell", "pos"))).alias("t")).join(known.select("o", "n", "last"), "o")
-    left, right = (own.select(*[F.col(c).alias(f"{c}_{x}") for c in own.columns]) for x in "ab")
-    both = pairs.join(left.withColumnRenamed("o_a", "a"), "a").join(right.withColumnRenamed("o_b", "b"), "b")
-    both = both.withColumn("common", F.array_intersect("t_a.cell", "t_b.cell"))
-    top = F.array_max("common")
-    for x, y in ("ab", "ba"):
-        seen = F.get(F.filter(f"t_{x}", lambda e: e["cell"] == top), F.lit(0))["pos"] + 1
-        both = both.withColumn(f"rest_{x}", F.col(f"n_{x}") - F.when(F.col(f"last_{x}") <= F.col(f"last_{y}"), _prefix_size(F.col(f"n_{x}"))).otherwise(seen))
-    most = F.size("common") + F.least("rest_a", "rest_b")
-    return cut(both.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b"))
-
-
 def _by_rarity(sets: DataFrame) -> DataFrame:
     """(cell, o, n, pos, alone) of the prefixes of ``sets`` (o, set), their tokens ordered by how many of them have each."""
     shared = _shared(sets.select("o", F.size("set").alias("n"), F.explode("set").alias("cell")).select("cell", "o", "n"), "o")
@@ -130,13 +112,22 @@ def _by_rarity(sets: DataFrame) -> DataFrame:
     return cut(placed.where(F.col("pos") < _prefix_size(F.col("n"))))
 
 
-def _sides(late: DataFrame, early: DataFrame) -> DataFrame:
-    """(a, b) of entries of one cell, b before a, that sizes and places allow."""
-    names = ("o", "n", "pos", "alone")
+def _sides(late: DataFrame, early: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (a, b, n_a, n_b, ...) of entries of one cell, b before a, that sizes and places allow."""
+    names = ("o", "n", "pos", "alone", *more)
     a, b = ({c: F.col(f"{c}_{x}") for c in names} for x in "ab")
     late, early = (t.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in names]) for t, x in ((late, "a"), (early, "b")))
     met = late.join(early, "cell").where((b["o"] < a["o"]) & _may_match(a, b))
-    return cut(met.select(a["o"].alias("a"), b["o"].alias("b")).distinct())
+    return met.select(a["o"].alias("a"), b["o"].alias("b"), *[side[c].alias(f"{c}_{x}") for c in ("n", *more) for side, x in ((a, "a"), (b, "b"))])
+
+
+def _shared_enough(met: DataFrame) -> DataFrame:
+    """(a, b) whose number of common cells can suffice: all common tokens of the prefix that ends first are among
+    them, but for those in large cells, of which a class has ``wide``; the rest of the set may be common too."""
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "wide_a", "wide_b")])
+    rest = F.greatest(F.col("n_a") - _prefix_size(F.col("n_a")), F.col("n_b") - _prefix_size(F.col("n_b")))
+    most = F.col("c") + F.least("wide_a", "wide_b") + rest
+    return cut(pairs.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b"))
 
 
 def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
@@ -157,29 +148,33 @@ def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
     shared = cut(_shared(_entries(whole, classes), "d1").select("cell", "d1", "pos").distinct())
     some = cut(shared.select("d1").distinct())
     n_some = some.count()
-    sizes = keyed_rows(whole.select("d1", "d2", "n", F.element_at("prefix", -1).alias("last")), some, "d1", n_some)
-    sizes = cut(sizes.groupBy("d1", "d2").agg(F.max("n").alias("n"), F.max("last").alias("last")))
+    sizes = cut(keyed_rows(whole.select("d1", "d2", "n"), some, "d1", n_some).distinct())
     discard(whole)
     # o numbers the classes in the order of their ranks
     known = keyed_rows(classes, some, "d1", n_some).join(sizes, ["d1", "d2"])
     known = cut(known.orderBy("rank").withColumn("o", F.monotonically_increasing_id()))
     entries = cut(shared.join(known.select("d1", "o", "n"), "d1").select("cell", "o", "n", "pos", F.lit(0).alias("alone")))
     first = cut(entries.groupBy("cell").agg(F.min(F.struct("o", "n", "pos", "alone")).alias("f"), F.count("*").alias("members")))
-    few = entries.join(first.where(F.col("members") <= FEW).select("cell"), "cell").select("cell", "o", "n", "pos", "alone")
-    early = few.unionByName(first.where(F.col("members") > FEW).select("cell", "f.*"))
-    pairs = _pruned(_sides(entries, early), entries, known)
-    many = entries.join(first.where(F.col("members") > FEW), "cell").select("cell", "o", (F.col("o") != F.col("f.o")).alias("open"))
+    marked = entries.join(first, "cell")
+    wide = marked.where(F.col("members") > FEW).groupBy("o").agg(F.count("*").alias("wide"))
+    marked = cut(marked.join(wide, "o", "left").withColumn("wide", F.coalesce("wide", F.lit(0))))
+    few = marked.where(F.col("members") <= FEW)
+    to_first = marked.where((F.col("members") > FEW) & (F.col("o") != F.col("f.o")))
+    to_first = to_first.where(_may_match({c: F.col(c) for c in ("n", "pos", "alone")}, {c: F.col(f"f.{c}") for c in ("n", "pos", "alone")}))
+    to_first = to_first.select(F.col("o").alias("a"), F.col("f.o").alias("b"), F.col("n").alias("n_a"), F.col("f.n").alias("n_b"), F.col("wide").alias("wide_a"), F.col("wide").alias("wide_b"))
+    pairs = _shared_enough(_sides(few, few, ("wide",)).unionByName(to_first))
+    many = marked.where(F.col("members") > FEW).select("cell", "o", (F.col("o") != F.col("f.o")).alias("open"))
     nodes = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).union(many.select("o"))
     sets = _sets(docs, keyed_rows(known, (wanted := cut(nodes.distinct())), "o", n_wanted := wanted.count()), n_wanted)
     gone = cut(_similar(pairs, sets))
     many = cut(many.join(gone.withColumn("_gone", F.lit(True)), "o", "left").select("cell", "o", (F.col("open") & F.col("_gone").isNull()).alias("open")))
     open_ = many.where("open")
     rest = _by_rarity(sets.join(many.join(open_.select("cell").distinct(), "cell", "left_semi").select("o").distinct(), "o", "left_semi"))
-    more = _sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest)
+    more = cut(_sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest).select("a", "b").distinct())
     gone = cut(gone.union(_similar(more, sets)).distinct())
     out = known.join(gone, "o", "left_semi").select("d1", "d2", F.lit(True).alias("gone"))
     marked = classes.join(out, ["d1", "d2"], "left").where("copies > 1 OR gone").select("d1", "d2", "rank", "gone")
-    return lines.join(marked, ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
+    return lines.join(marked.hint("shuffle_hash"), ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -200,7 +195,7 @@ def remove(docs: DataFrame) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines and the numbers of those removed."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    n_lines = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
     both = with_found(docs.select(F.col("doc_id").alias("id"), *text_digests(), n_lines.alias("n_lines")), removed_lines(docs))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select(F.col("id").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
