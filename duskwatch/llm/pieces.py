@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import cut, documents
 
@@ -44,26 +44,15 @@ def piece_table(model: str = MODEL) -> list[tuple[int, str, float]]:
     return [(i, m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))]
 
 
-def words_of_text(text: str | None) -> list[str]:
-    """Words of a text as the model sees it: a blank in front, blanks as ``▁``; no text, no words."""
-    return re.findall(WORD, "▁" + text.replace(" ", "▁")) if text else []
-
-
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """(word, n) of words that the dictionary may hold, added up as far as ``most`` different ones fit."""
-    seen: Counter[str] = Counter()
+def _words(text: Column) -> Column:
+    """Words of the text as the model sees it: a blank in front, blanks as ``▁``; no text, no words."""
+    seen = F.when(F.length(text) > 0, F.concat(F.lit("▁"), F.translate(text, " ", "▁"))).otherwise(F.lit(""))
+    return F.regexp_extract_all(seen, F.lit(WORD), F.lit(0))
 
-    def out() -> pa.RecordBatch:
-        short = [w for w in seen if len(w) <= DICTIONARY_CHARS]
-        return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([seen[w] for w in short], pa.int64())], ["word", "n"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(words_of_text(text.as_py()))
-            if len(seen) > most:
-                yield out()
-                seen.clear()
-    yield out()
+def words_of_text(text: str | None) -> list[str]:
+    """The same words of one text in a task."""
+    return re.findall(WORD, "▁" + text.replace(" ", "▁")) if text else []
 
 
 def _pieces(spark: SparkSession, table: list[tuple[int, str, float]]) -> tuple[DataFrame, int]:
@@ -117,7 +106,7 @@ def _dictionary(texts: DataFrame, most: int, model: str) -> DataFrame:
 
     Words fall into classes by the logarithm of their count; whole classes are taken, the most frequent first.
     """
-    counts = texts.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count("*").alias("n"))
     counts = cut(counts.where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("grade")))
     room, least = most, 1 << 30
     for grade, n in counts.groupBy("grade").count().orderBy(F.desc("grade")).collect():  # a few hundred grades
@@ -171,70 +160,73 @@ def _fold(word: str, ranks: dict[str, float]) -> list[str]:
     return parts
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, kept: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Ids of whole texts: of the dictionary's words by look-up, of others by their own lattice; the last of those are kept."""
-    words, offsets, ids, ranks, numbers, first_byte = shared.value
+def _spelt(table: list[tuple[int, str, float]]) -> list[bytes]:
+    """The bytes of each id."""
+    pieces = {i: p for i, p, _ in table}
+    return [bytes([int(p[3:5], 16)]) if _BYTE.fullmatch(p) else p.replace("▁", " ").encode() for p in (pieces.get(i, "") for i in range(max(pieces) + 1))]
+
+
+def _text(ids: list[int], spelt: list[bytes]) -> str:
+    return b"".join(map(spelt.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """Ids of whole texts: of the dictionary's words by look-up, of others by their own lattice; with ``decoded``, their text too."""
+    words, offsets, ids, table = shared.value
     known = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, offsets, offsets[1:])}
-    other: dict[str, bytes] = {}
+    ranks = {p: -score for _, p, score in table if not _BYTE.fullmatch(p)}
+    numbers, first_byte, spelt = {p: i for i, p, _ in table if p in ranks}, next(i for i, p, _ in table if p == "<0x00>"), _spelt(table)
 
     def coded(word: str) -> bytes:
-        found = other.get(word)
-        if found is None:
-            if len(other) >= kept:
-                other.clear()
-            parts = _fold(word, ranks)
-            found = other[word] = array("i", [i for p in parts for i in ((numbers[p],) if p in numbers else (first_byte + b for b in p.encode()))]).tobytes()
-        return found
+        parts = _fold(word, ranks)
+        own = list(map(numbers.get, parts))
+        if None in own:  # a character without a piece becomes its bytes
+            own = [i for p, i in zip(parts, own) for i in ((i,) if i is not None else (first_byte + b for b in p.encode()))]
+        return array("i", own).tobytes()
 
+    names = ["doc_id", "text", "ids", *["decoded"] * decoded]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             packed = [b"".join([known.get(w) or coded(w) for w in words_of_text(t)]) for t in part.column(1).to_pylist()]
             sizes = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(packed))])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes), values)], ["doc_id", "text", "ids"])
+            more = [pa.array([_text(memoryview(p).cast("i").tolist(), spelt) for p in packed], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(sizes), values), *more], names)
 
 
-def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY) -> DataFrame:
-    """(doc_id, text, ids) per row of ``docs``.
+def encode(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+    """(doc_id, text, ids) per row of ``docs``; with ``decoded``, the text of the ids in the same pass.
 
     Null and empty texts get no ids. A text's own ``▁`` decodes as a blank, as in the library. Repeated rows give
     repeated rows, null ids stay null, an empty table gives an empty table; columns other than doc_id and text
     are not read. A very long text is encoded in one task, words of any length are folded.
     """
     data = docs.select("doc_id", "text")
-    table = piece_table(model)
-    ranks = {p: -score for _, p, score in table if not _BYTE.fullmatch(p)}
-    numbers = {p: i for i, p, _ in table if not _BYTE.fullmatch(p)}
     coded = _dictionary(data, dictionary, model).toArrow()  # ``dictionary`` rows of words of DICTIONARY_CHARS at most
     lists = pa.concat_arrays(coded.column("ids").chunks) if coded.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
     flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
-    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), offsets, flat, ranks, numbers, next(i for i, p, _ in table if p == "<0x00>")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return data.mapInArrow(lambda b: _encoded(b, shared), f"doc_id {kind}, text string, ids array<int>")
+    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), offsets, flat, piece_table(model)))
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>" + ", decoded string" * decoded
+    return data.mapInArrow(lambda b: _encoded(b, shared, decoded), kind)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], spelt: list[bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("ids")
-        texts = []
-        for ids in batch.column(at):
-            own = ids.values.to_numpy().tolist() if ids.is_valid else []
-            text = b"".join(map(table.__getitem__, own)).decode("utf-8", "replace")
-            texts.append(text[1:] if text.startswith(" ") else text)
+        lists = batch.column(batch.schema.get_field_index("ids"))
+        texts = [_text(ids.values.to_numpy().tolist() if ids.is_valid else [], spelt) for ids in lists]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """``coded`` with a column ``decoded``: the text of ``ids`` (null ids: empty)."""
-    pieces = {i: p for i, p, _ in piece_table(model)}
-    table = [bytes([int(p[3:5], 16)]) if _BYTE.fullmatch(p) else p.replace("▁", " ").encode() for p in (pieces.get(i, "") for i in range(max(pieces) + 1))]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(lambda b: _decoded(b, table), f"{kind}, decoded string")
+    spelt = _spelt(piece_table(model))
+    kind = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
+    return coded.mapInArrow(lambda b: _decoded(b, spelt), kind)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and digest of its ids, and whether decoding them gives the text back."""
-    coded = decode(encode(documents(spark, sf_dir)))
+    coded = encode(documents(spark, sf_dir), decoded=True)
     return coded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))

@@ -321,6 +321,8 @@ def test_pieces(spark, docs, none, rows, dictionary):
     extra = spark.createDataFrame([(50, t, None, None, 0) for t in texts], SCHEMA)
     both = docs.select("doc_id", "text").union(extra.select("doc_id", "text")).repartition(2)
     got = pieces.decode(pieces.encode(both, dictionary=dictionary)).collect()
+    again = pieces.encode(both, dictionary=dictionary, decoded=True).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
     for r in got:
         assert r.ids == model.encode(r.text or "") and r.decoded == (r.text or "")
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, map(tuple, both.collect())))
