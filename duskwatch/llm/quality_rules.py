@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import documents, unpacked
-from .words import row_groups, shingle_hashes, text_buffer, word_hashes, word_spans
+from .words import PIECE, row_groups, shingle_hashes, text_buffer, word_hashes, word_spans
 
 SPACE = " \t\n\x0b\x0c\r"
 _SYMBOL = np.zeros(256, np.int64)
@@ -106,7 +106,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def _measured(batches: Iterator[pa.RecordBatch], rules: LineRules, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = text_buffer(batch.column("text"))
-        for lo, hi in row_groups(offsets):
+        for lo, hi in row_groups(offsets, PIECE):  # counts of bytes take eight times the room of the bytes
             n = hi - lo
             words, rows = word_hashes(buf, offsets, lo, hi)
             first, last = word_spans(buf, offsets, lo, hi)
@@ -148,7 +148,8 @@ def keep_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
     ``n_chars``, where present, is brought up to date. Columns of the same name as a measure are no
     problem: only the text travels with a private copy of the row.
     """
-    packed = docs.select(F.struct("*").alias("row"), "text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]  # the text travels once
+    packed = docs.select(F.struct(*others).alias("row"), "text")
     kind = T.StructType([*packed.schema.fields, *T.StructType.fromDDL(SCHEMA).fields])  # a schema, as names may need no quotes
     done = packed.mapInArrow(lambda b: _measured(b, rules, True), kind).where("kept")
     return unpacked(done, docs.columns, F.col("text"))
