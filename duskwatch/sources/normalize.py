@@ -138,16 +138,50 @@ def norm_suricata(df: DataFrame) -> DataFrame:
     return df.select("row_id", S.timestamp_of(field("$.timestamp")).alias("timestamp_utc"), F.concat(F.lit("Suricata_"), field("$.event_type")).alias("event_type"), field("$.src_ip").alias("source_ip"), field("$.dest_ip").alias("dest_ip"), field("$.dest_port").try_cast("bigint").alias("dest_port"), F.concat(F.lit("http://"), field("$.http.hostname"), field("$.http.url")).alias("uri"), F.when(level == 1, "high").when(level == 2, "medium").when(level == 3, "low").otherwise("info").alias("severity"))
 
 
-# Names of risky operations of cloud and identity logs.
-RISKY = ["DeleteTrail", "StopLogging", "CreateAccessKey", "ConsoleLogin", "Add member to role", "Reset password", "SetIamPolicy", "New-InboxRule", "user.account.lock", "system.api_token.create"]
+# Risky operations of each source.
+CLOUDTRAIL_RISKY = [
+    "ConsoleLogin", "CreateUser", "CreateAccessKey", "DeleteTrail", "StopLogging", "PutBucketPolicy", "PutRolePolicy", "AttachUserPolicy", "AttachRolePolicy", "CreateRole", "AssumeRole", "GetSecretValue",
+    "CreateKeyPair", "RunInstances", "CreateSecurityGroup", "AuthorizeSecurityGroupIngress", "ModifySnapshotAttribute", "CreateDBSnapshot", "ModifyDBSnapshotAttribute",
+]
+AZURE_RISKY = [
+    "Add member to role", "Add owner to application", "Add owner to service principal", "Add app role assignment grant to user", "Consent to application", "Add delegated permission grant", "Add application credentials",
+    "Update application - Certificates and secrets management", "Add service principal credentials", "Reset password", "Add user", "Delete user", "Hard delete user", "Update user", "Add member to group", "Add owner to group",
+]
+GCP_RISKY = ["SetIamPolicy", "CreateServiceAccount", "CreateServiceAccountKey", "CreateRole", "UpdateRole", "CreateInstance", "DeleteInstance", "CreateFirewallRule", "UpdateFirewallRule", "CreateBucket", "UpdateBucket", "CreateSecret", "AccessSecretVersion", "AddMember", "RemoveMember"]
+O365_RISKY = [
+    "UserLoggedIn", "UserLoginFailed", "ForeignRealmIndexLogonInitialAuthUsingADFSFederatedToken", "MailboxLogin", "MailItemsAccessed", "SendAs", "SendOnBehalf", "FileDownloaded", "FileSyncDownloadedFull", "FileAccessed",
+    "Add-MailboxPermission", "Set-Mailbox", "New-InboxRule", "Set-InboxRule", "New-TransportRule", "Add member to role", "Add application", "Consent to application", "Add delegated permission grant",
+    "Add app role assignment grant to user", "Add service principal credentials", "Update application", "Disable account", "Reset user password", "Set domain authentication", "Set federation settings on domain",
+]
+OKTA_RISKY = [
+    "user.session.start", "user.authentication.sso", "user.authentication.auth_via_mfa", "user.account.lock", "user.account.unlock", "user.mfa.factor.deactivate", "user.mfa.factor.reset_all", "user.lifecycle.create",
+    "user.lifecycle.delete.initiated", "user.lifecycle.suspend", "user.lifecycle.unsuspend", "user.lifecycle.activate", "user.lifecycle.deactivate", "group.user_membership.add", "group.user_membership.remove",
+    "application.user_membership.add", "application.user_membership.remove", "policy.lifecycle.update", "policy.rule.update", "security.threat.detected", "security.password_spray.detected", "security.brute_force.detected",
+    "system.api_token.create", "system.api_token.revoke",
+]
+#: Source: (risky names, whether a part of the name counts, what marks a failed call, whether a failure outweighs the name).
+CLOUD_RULES = {
+    "CloudTrail": (CLOUDTRAIL_RISKY, False, "^.+$", False),
+    "AzureAD": (AZURE_RISKY, False, "^failure$", False),
+    "GCP": (GCP_RISKY, True, "^0*[1-9][0-9]*$", True),
+    "O365": (O365_RISKY, False, "(?i)^(failed|partialfailure)$", True),
+    "Okta": (OKTA_RISKY, False, "(?i)^(failure|deny)$", True),
+}
 
 
 def norm_cloud(df: DataFrame, kind: str, name: tuple[str, ...], user: tuple[str, ...], ip: tuple[str, ...], error: tuple[str, ...], at: tuple[str, ...]) -> DataFrame:
-    """One shape for audit logs: risky names are high, failed calls medium."""
+    """One shape for audit logs: risky names are high, failed calls medium, by the rules of each source; names of failures in O365 are medium, what Okta calls a threat is high."""
     op = field(*name)
-    risky = F.exists(F.array(*map(F.lit, RISKY)), lambda r: op.contains(r))
-    failed = F.lower(F.coalesce(field(*error), F.lit(""))).rlike("fail|denied|error|[1-9]")
-    return df.select("row_id", S.timestamp_of(field(*at)).alias("timestamp_utc"), F.concat(F.lit(kind + "_"), op).alias("event_type"), field(*user).alias("username"), field(*ip).alias("source_ip"), F.when(risky, "high").when(failed, "medium").otherwise("info").alias("severity"))
+    names, part, mark, outweighs = CLOUD_RULES[kind]
+    risky = F.exists(F.array(*map(F.lit, names)), lambda r: F.lower(op).contains(F.lower(r))) if part else op.isin(names)
+    failed = F.coalesce(field(*error), F.lit("")).rlike(mark)
+    first, second = ((failed, "medium"), (risky, "high")) if outweighs else ((risky, "high"), (failed, "medium"))
+    severity = F.when(*first).when(*second).otherwise("info")
+    if kind == "O365":
+        severity = F.when((severity == "info") & op.rlike("Failed|Error"), "medium").otherwise(severity)
+    if kind == "Okta":
+        severity = F.when(F.coalesce(field("$.securityContext.isThreat"), F.lit("")) == "true", "high").otherwise(severity)
+    return df.select("row_id", S.timestamp_of(field(*at)).alias("timestamp_utc"), F.concat(F.lit(kind + "_"), op).alias("event_type"), field(*user).alias("username"), field(*ip).alias("source_ip"), severity.alias("severity"))
 
 
 CLOUD = {
@@ -207,6 +241,11 @@ def _from(fmt: str, f):
     return lambda s, d: f(_lines(fmt)(s, d))
 
 
+#: What the test events say: all risky names and two others, and a failure of each source.
+CLOUD_NAMES = {kind: [*rule[0], "Read", "List"] for kind, rule in CLOUD_RULES.items()}
+CLOUD_FAILURES = {"CloudTrail": "AccessDenied", "AzureAD": "failure", "GCP": "7", "O365": "Failed", "Okta": "FAILURE"}
+
+
 def _cloud(name: str):
     kind, op, user, ip, error, at = CLOUD[name]
 
@@ -219,8 +258,8 @@ def _cloud(name: str):
             return F.struct(*[(sub[""] if "" in sub else build(sub)).alias(head) for head, sub in groups.items()])
 
         ev = security_events(s, d)
-        risky = F.element_at(F.array(*map(F.lit, [*RISKY, "Read", "List"])), (F.col("k") % 12 + 1).cast("int"))
-        leaves = {op[0][2:]: risky, user[0][2:]: F.col("username"), ip[0][2:]: F.col("source_ip"), error[0][2:]: F.when(F.col("row_id") % 2 == 0, "5").otherwise(""), at[0][2:]: _clock("yyyy-MM-dd'T'HH:mm:ss")}
+        risky = F.element_at(F.array(*map(F.lit, CLOUD_NAMES[kind])), (F.col("k") % len(CLOUD_NAMES[kind]) + 1).cast("int"))
+        leaves = {op[0][2:]: risky, user[0][2:]: F.col("username"), ip[0][2:]: F.col("source_ip"), error[0][2:]: F.when(F.col("row_id") % 2 == 0, CLOUD_FAILURES[kind]).otherwise(""), at[0][2:]: _clock("yyyy-MM-dd'T'HH:mm:ss")}
         return norm_cloud(ev.select("row_id", F.to_json(build(leaves)).alias("value")), kind, op, user, ip, error, at)
 
     return run
@@ -228,8 +267,10 @@ def _cloud(name: str):
 
 def _cloud_sql(name: str) -> str:
     kind = CLOUD[name][0]
-    names = "[" + ", ".join(f"'{x}'" for x in [*RISKY, "Read", "List"]) + "]"
-    return f"WITH {SEC} SELECT row_id, date_trunc('second', timestamp_utc) AS timestamp_utc, '{kind}_' || {names}[CAST(k % 12 + 1 AS INT)] AS event_type, username, source_ip, CASE WHEN k % 12 < {len(RISKY)} THEN 'high' WHEN row_id % 2 = 0 THEN 'medium' ELSE 'info' END AS severity FROM sec"
+    n, names = len(CLOUD_NAMES[kind]), "[" + ", ".join(f"'{x}'" for x in CLOUD_NAMES[kind]) + "]"
+    high, medium = f"WHEN k % {n} < {n - 2} THEN 'high'", "WHEN row_id % 2 = 0 THEN 'medium'"
+    order = f"{medium} {high}" if kind in ("GCP", "O365", "Okta") else f"{high} {medium}"
+    return f"WITH {SEC} SELECT row_id, date_trunc('second', timestamp_utc) AS timestamp_utc, '{kind}_' || {names}[CAST(k % {n} + 1 AS INT)] AS event_type, username, source_ip, CASE {order} ELSE 'info' END AS severity FROM sec"
 
 
 _STATUS = "CASE WHEN status_code >= 500 THEN 'medium' WHEN status_code >= 400 THEN 'low' ELSE 'info' END"
