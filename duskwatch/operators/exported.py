@@ -224,12 +224,8 @@ def lineage_file(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     Few distinct values and file names are compared, then joined back to their rows by equality.
     """
-    values, names = findings.select("value").where("value <> ''").distinct(), files.groupBy("file_path").agg(F.min("other_id").alias("other_id"))
-    # equal parts of up to three letters bring value and name together: no nested loop
-    part = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.lower(F.substring(c, i, F.lit(n))))
-    grams = lambda c: F.array_distinct(F.concat(part(c, 1), part(c, 2), part(c, 3)))
-    rare = values.select("value", F.lower(F.substring("value", 1, 3)).alias("g"))
-    met = rare.join(names.select("file_path", "other_id", F.explode(grams(F.col("file_path"))).alias("g")), "g").where(F.lower("file_path").contains(F.lower("value")))
+    names = files.groupBy("file_path").agg(F.min("other_id").alias("other_id"))
+    met = relate.contained(findings.select("value"), names.select(F.col("file_path").alias("text"))).join(names, F.col("text") == F.col("file_path"))
     first = met.groupBy("value").agg(F.min(F.struct("other_id", "file_path")).alias("m"))
     return findings.join(first, "value").select("id", "m.other_id", "m.file_path")
 

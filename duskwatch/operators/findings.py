@@ -121,18 +121,26 @@ def claims(s, d) -> DataFrame:
     )
 
 
-def claim_checks(s, d) -> DataFrame:
-    """Each claim's four checks against the events, joined by keys: user, time within two seconds, file, quote."""
-    ev = security_events(s, d)
-    c = claims(s, d)
-    users = ev.select(F.col("username").alias("entity"), F.lit(True).alias("has_user")).distinct()
-    times = ev.select(F.col("row_id").alias("event"), "timestamp_utc")
-    at = c.join(times, "event").select("claim_id", F.lit(1).alias("one"), (F.col("timestamp_utc") + F.make_interval(secs=F.col("shift"))).alias("ts"))
-    near = relate.interval_join(at, ev.select(F.lit(1).alias("one"), F.col("timestamp_utc").alias("other_ts")), ["one"], "ts", "other_ts", 2, 2).select("claim_id", F.lit(True).alias("has_time")).distinct()
-    files = ev.select(F.col("source_file").alias("ref"), F.lit(True).alias("has_ref")).distinct()
-    quotes = ev.select(F.col("command_line").alias("quote"), F.lit(True).alias("has_quote")).distinct()
-    j = c.join(users, "entity", "left").join(near, "claim_id", "left").join(files, "ref", "left").join(quotes, "quote", "left")
-    return j.select("claim_id", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("has_user", "has_time", "has_ref", "has_quote")])
+CHECKS = ("has_user", "has_time", "has_ref", "has_quote")
+
+
+def claim_checks(s, d, names: tuple[str, ...] = CHECKS, parts: int = 16) -> DataFrame:
+    """The named checks of each claim against the events: its user is there, an event lies within two seconds, its
+    file is part of a file's name, its quote part of a command. Only what is asked for is joined. Events are
+    dealt to ``parts`` by their id and claims go to all of them, so that no task has all events of a time."""
+    ev, out = security_events(s, d), claims(s, d)
+    if "has_user" in names:
+        out = out.join(ev.select(F.col("username").alias("entity"), F.lit(True).alias("has_user")).distinct(), "entity", "left")
+    if "has_time" in names:
+        at = out.select("claim_id", "event", "shift").join(ev.select(F.col("row_id").alias("event"), "timestamp_utc"), "event")
+        at = at.select("claim_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), (F.col("timestamp_utc") + F.make_interval(secs=F.col("shift"))).alias("ts"))
+        events = ev.select(F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias("part"), F.col("timestamp_utc").alias("other_ts"))
+        out = out.join(relate.interval_join(at, events, ["part"], "ts", "other_ts", 2, 2).select("claim_id", F.lit(True).alias("has_time")).distinct(), "claim_id", "left")
+    for name, column, text in (("has_ref", "ref", "source_file"), ("has_quote", "quote", "command_line")):
+        if name in names:
+            held = relate.contained(out.select(F.col(column).alias("value")), ev.select(F.col(text).alias("text"))).select(F.col("value").alias(column), F.lit(True).alias(name)).distinct()
+            out = out.join(held, column, "left")
+    return out.select("claim_id", *[F.coalesce(x, F.lit(False)).alias(x) for x in names])
 
 
 def claim_status(checks: DataFrame) -> DataFrame:
@@ -229,10 +237,10 @@ QUERIES = {
     "adjust_confidence": _ev(lambda ev: adjusted(ev.select("row_id", F.upper("severity").alias("confidence"), (F.col("k") % 4).cast("int").alias("counter"))).select("row_id", "adjusted")),
     "counter_evidence": _ev(lambda ev: counter_evidence(ev, ev.where("event_code IN (7045, 1102, 4720, 4769)"))),
     "merge_findings": _ev(lambda ev: merge_findings(detect.triage(ev).where("priority < 3").select("row_id", "pattern"), detect.triage(ev).where("priority < 4").select("row_id", "pattern"))),
-    "claim_entities": lambda s, d: claim_checks(s, d).select("claim_id", "has_user"),
-    "claim_timestamps": lambda s, d: claim_checks(s, d).select("claim_id", "has_time"),
-    "claim_refs": lambda s, d: claim_checks(s, d).select("claim_id", "has_ref"),
-    "claim_quotes": lambda s, d: claim_checks(s, d).select("claim_id", "has_quote"),
+    "claim_entities": lambda s, d: claim_checks(s, d, ("has_user",)).select("claim_id", "has_user"),
+    "claim_timestamps": lambda s, d: claim_checks(s, d, ("has_time",)).select("claim_id", "has_time"),
+    "claim_refs": lambda s, d: claim_checks(s, d, ("has_ref",)).select("claim_id", "has_ref"),
+    "claim_quotes": lambda s, d: claim_checks(s, d, ("has_quote",)).select("claim_id", "has_quote"),
     "claim_status": lambda s, d: claim_status(claim_checks(s, d)),
     "claim_duplicates": lambda s, d: claims(s, d).groupBy("entity", "ref", "quote").agg(F.count("*").alias("n"), F.min("claim_id").alias("first")).where("n > 1"),
     "claim_timeline": lambda s, d: claims(s, d).join(security_events(s, d).select(F.col("row_id").alias("event"), "timestamp_utc"), "event").select("claim_id", "timestamp_utc").orderBy("timestamp_utc", "claim_id").limit(20),

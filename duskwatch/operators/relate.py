@@ -208,6 +208,17 @@ def cross_system(findings: DataFrame, events: DataFrame, within: float = 5, k: i
     return j.select("id", "other_id")
 
 
+def contained(values: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, text) of distinct values and the distinct texts that hold them, whatever the case.
+
+    Equal parts of up to three letters, of which a value has its first, bring the two together: no nested loop.
+    """
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.lower(F.substring("text", i, F.lit(n))))
+    values = values.where("value <> ''").distinct().select("value", F.lower(F.substring("value", 1, 3)).alias("_part"))
+    texts = texts.where("text <> ''").distinct().select("text", F.explode(F.array_distinct(F.concat(part(1), part(2), part(3)))).alias("_part"))
+    return values.join(texts, "_part").where(F.lower("text").contains(F.lower("value"))).select("value", "text")
+
+
 def host_references(ev: DataFrame) -> DataFrame:
     """Pairs of hosts of which one's events name an address that is seen on the other as a source."""
     seen = ev.select(F.col("source_system").alias("target"), F.col("source_ip").alias("ip")).distinct()
