@@ -22,7 +22,6 @@ def _in(values):
 
 
 _ENT = "coalesce(list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c: -(len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0})::DOUBLE) * log2(len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0})::DOUBLE))), 0)"
-_LINE = "regexp_extract(text, '[^\\n]*', 0)"
 _TS = "strftime(timestamp_utc, '{}')"
 _TS_FORMATS = [("%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd'T'HH:mm:ss"), ("%Y/%m/%d %H:%M:%S", "yyyy/MM/dd HH:mm:ss"), ("%d/%b/%Y:%H:%M:%S +0000", "dd/MMM/yyyy:HH:mm:ss '+0000'")]
 
