@@ -172,6 +172,7 @@ def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
     rest = _by_rarity(sets.join(many.join(open_.select("cell").distinct(), "cell", "left_semi").select("o").distinct(), "o", "left_semi"))
     more = cut(_sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest).select("a", "b").distinct())
     gone = cut(gone.union(_similar(more, sets)).distinct())
+    discard(shared, entries, first, sets, pairs, many, rest, more)  # all that is left to do reads lines, classes, known and gone
     out = known.join(gone, "o", "left_semi").select("d1", "d2", F.lit(True).alias("gone"))
     marked = classes.join(out, ["d1", "d2"], "left").where("copies > 1 OR gone").select("d1", "d2", "rank", "gone")
     return lines.join(marked.hint("shuffle_hash"), ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
