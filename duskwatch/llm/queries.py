@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, pieces, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from . import alignment, fingerprints, hard_negatives, jaccard_join, line_dedup, mixing, pieces, quality_classifier, quality_rules, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_secrets": secrets.op13_secrets,
 }
-ORACLES = {"op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
