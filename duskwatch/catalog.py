@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate", "functions.queries", "operators.detect", "operators.relate", "operators.decode", "operators.findings", "operators.exported", "sources.normalize", "sources.exports")
+MODULES = ("operators.aggregate", "functions.queries", "functions.flatten", "operators.detect", "operators.relate", "operators.processes", "operators.decode", "operators.findings", "operators.exported", "sources.normalize", "sources.headers", "sources.exports")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

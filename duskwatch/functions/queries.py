@@ -54,7 +54,6 @@ QUERIES = {
     "risk_score": _ev(lambda ev: ev.select("row_id", S.risk_score(F.col("k") % 9, F.col("k") % 3, F.col("k")).cast("long").alias("score"))),
     "host_from_file": _ev(lambda ev: ev.select("row_id", F.upper(F.regexp_extract(F.concat("source_system", F.lit("_Security_"), "source_file"), "^([A-Za-z0-9-]+)_", 1)).alias("host"))),
     "canonical_coalesce": _ev(lambda ev: ev.select("row_id", F.coalesce(F.when(F.col("row_id") % 3 == 0, F.col("command_line")), F.when(F.col("row_id") % 3 == 1, F.col("process_name")), F.col("service_name")).alias("command"))),
-    "json_flatten": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("props_k"), F.size(F.map_keys(F.from_json("props", "map<string,string>"))).cast("long").alias("n_keys")),
     "col_normalize": lambda s, d: table(s, d, "events").select(F.col("event_id").alias("raw_event_id"), F.col("ts").cast("timestamp").alias("timestamp_utc"), F.col("user_id").cast("string").alias("username"), F.coalesce(F.get_json_object("props", "$.none").try_cast("bigint"), F.lit(0)).alias("event_id")),
     "usn_reasons": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", usn_reasons(F.pmod(F.col("l_partkey") * 3 + F.col("l_linenumber"), F.lit(4096))).alias("reasons")),
 }
@@ -92,7 +91,6 @@ ORACLES = {
     "risk_score": f"WITH {SEC} SELECT row_id, CAST(least(100, CASE WHEN k % 9 > 5 THEN 50 WHEN k % 9 > 0 THEN 30 ELSE 0 END + CASE WHEN k % 3 > 0 THEN 10 ELSE 0 END + least(40, k // 2)) AS BIGINT) AS score FROM sec",
     "host_from_file": f"WITH {SEC} SELECT row_id, upper(source_system) AS host FROM sec",
     "canonical_coalesce": f"WITH {SEC} SELECT row_id, CASE row_id % 3 WHEN 0 THEN command_line WHEN 1 THEN process_name ELSE service_name END AS command FROM sec",
-    "json_flatten": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events",
     "col_normalize": "SELECT event_id AS raw_event_id, ts AS timestamp_utc, CAST(user_id AS VARCHAR) AS username, CAST(0 AS BIGINT) AS event_id FROM events",
     "usn_reasons": f"SELECT l_orderkey, l_linenumber, {_REASON_SQL} AS reasons FROM lineitem",
 }

@@ -146,7 +146,6 @@ def _plain(where: str, *columns: str) -> str:
 
 #: Categories that are one condition over fields; both engines take it as it is.
 FILTERS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "fe_process_trees": ("event_code IN (1, 4688) AND (parent_process_name = 'w3wp.exe' OR parent_process_name = 'services.exe' OR lower(process_name) LIKE '%mimikatz%')", ("process_name", "parent_process_name", "command_line")),
     "fe_credential_access": ("event_code IN (4648, 4769, 4771, 4776) OR lower(command_line) LIKE '%mimikatz%' OR lower(command_line) LIKE '%procdump%' OR lower(command_line) LIKE '%lsass%' OR (event_code = 10 AND lower(target_image) LIKE '%lsass%')", ("event_code", "command_line")),
     "fe_lateral_movement": ("(event_code = 4624 AND logon_type = 3) OR (event_code = 3 AND dest_port IN (445, 135, 139, 5985, 5986, 3389)) OR lower(command_line) LIKE '%invoke-%' OR parent_process_name IN ('wmiprvse.exe', 'wsmprovhost.exe')", ("event_code", "dest_port")),
     "fe_persistence": ("event_code = 7045 OR event_code = 4698 OR (event_code = 13 AND (lower(registry_key) LIKE '%currentversion%run%' OR lower(registry_key) LIKE '%services%'))", ("event_code", "service_name", "registry_key")),

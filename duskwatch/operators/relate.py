@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..adapters import DENSE, SEC, dense_events, security_events, table
+from ..store import stored
 
 
 def seconds(ts: Column) -> Column:
@@ -60,25 +61,17 @@ def classify(pairs: DataFrame) -> DataFrame:
     return j.withColumn("class", F.when(F.col("bad"), "HIGHLY_SUSPICIOUS").when(F.col("parent").isin(rules.RARE_PARENTS), "SUSPICIOUS").when(F.col("fine"), "EXPECTED").otherwise("UNUSUAL")).drop("bad", "fine")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names in spark.checkpoint.dir; kept in memory where it names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
-
-
 def forest(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Root and depth of each node, by doubling: each round follows the ancestor found so far to its own."""
     up = nodes.select("id").join(edge.select(F.col("child_id").alias("id"), "parent_id"), "id", "left")
-    state = up.select("id", F.coalesce("parent_id", "id").alias("top"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    state = stored(up.select("id", F.coalesce("parent_id", "id").alias("top"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")))
     while True:
-        state = stored(state)
         next_ = state.join(state.select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("depth").alias("more")), "top").select("id", F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("far") != F.col("top")).alias("moved"))
+        next_ = stored(next_, over=state)
         if next_.where("moved").isEmpty():
-            return state.select("id", F.col("top").alias("root"), "depth")
+            return next_.select("id", F.col("top").alias("root"), "depth")
         state = next_.drop("moved")
+        state._stored_at = next_._stored_at
 
 
 def trees(ev: DataFrame) -> DataFrame:
@@ -146,29 +139,49 @@ def time_gaps(ev: DataFrame, over: float = 900) -> DataFrame:
     return both.withColumn("gap", F.round(micros / 1e6, 3)).where(micros > int(over * 1_000_000)).select("row_id", "gap", "before_type", F.col("event_type").alias("after_type"))
 
 
+def next_after(hits: DataFrame, width: int) -> DataFrame:
+    """(host, slot, m, n, head, next) for the times m of hits (host, m, n): the first time more than ``width`` later,
+    and whether no hit lies within ``width`` before.
+
+    Slots are as wide as ``width``: m + width falls into the slot after m's, so a window over one slot finds the next
+    time there; beyond it, a table with one row for each slot tells.
+    """
+    hits = hits.withColumn("slot", ((F.col("m") - F.pmod("m", F.lit(width))) / width).cast("long"))
+    along = W.partitionBy("host").orderBy("slot")
+    ends = hits.groupBy("host", "slot").agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    ends = ends.select("host", "slot", F.lag("last").over(along).alias("before"), F.lead("slot").over(along).alias("slot1"), F.lead("first").over(along).alias("first1"), F.lead("first", 2).over(along).alias("first2"))
+    later = ends.select("host", "slot", "before", F.when(F.col("slot1") > F.col("slot") + 1, F.col("first1")).otherwise(F.col("first2")).alias("beyond"))
+    own = hits.select("host", "slot", "m", F.col("m").alias("at"), F.lit(0).alias("asks"))
+    asked = hits.select("host", (F.col("slot") + 1).alias("slot"), "m", (F.col("m") + width).alias("at"), F.lit(1).alias("asks"))
+    down = W.partitionBy("host", "slot").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(W.unboundedPreceding, -1)  # later times come first; an equal one is not later
+    found = own.unionByName(asked).withColumn("inside", F.last(F.when(F.col("asks") == 0, F.col("at")), ignorenulls=True).over(down)).where("asks = 1").select("host", (F.col("slot") - 1).alias("slot"), "m", "inside")
+    up = W.partitionBy("host", "slot").orderBy("m")
+    rows = hits.withColumn("lag", F.lag("m").over(up)).join(later, ["host", "slot"]).join(found, ["host", "slot", "m"])
+    head = F.coalesce(F.col("m") - F.coalesce("lag", "before") > width, F.lit(True))
+    return rows.select("host", "slot", "m", "n", head.alias("head"), F.coalesce("inside", "beyond").alias("next"))
+
+
 def bursts(hits: DataFrame, within: float = 60, least: int = 3) -> DataFrame:
     """Groups of hits of a host: one starts at the first hit left and takes those within a time of its start.
 
-    A pause longer than ``within`` always ends a group, so runs of hits without one are grouped apart. Hits
-    fall into slots as wide as ``within``; only one row for each slot is ordered along a host's whole time.
+    A hit without another in the time before always starts a group. From there each start points to the next one, the first
+    hit beyond its time. Pointers are doubled: after round r those of length 2^r mark further starts from all marked
+    ones. No task holds a host's hits or a run of them, and a run of n groups takes log n rounds.
     """
     width = int(within * 1_000_000)
-    m = F.unix_micros("timestamp_utc")
-    slots = hits.select("source_system", m.alias("m"), ((m - F.pmod(m, F.lit(width))) / width).cast("long").alias("slot")).groupBy("source_system", "slot").agg(F.sort_array(F.collect_list("m")).alias("ts"))
-    w = W.partitionBy("source_system").orderBy("slot")
-    before = F.lag(F.element_at("ts", -1)).over(w)
-    runs = slots.withColumn("run", F.sum(F.when(before.isNull() | (F.get("ts", F.lit(0)) - before > width), 1).otherwise(0)).over(w))
-    times = runs.groupBy("source_system", "run").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ts"))), lambda s: s["ts"])).alias("ts"))
-    kind = "array<struct<start:bigint,last:bigint,n:int>>"
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), t.alias("last"), (last["n"] + 1).alias("n"))))
-        fresh = F.concat(acc, F.array(F.struct(t.alias("start"), t.alias("last"), F.lit(1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (t - last["start"] <= width), grown).otherwise(fresh)
-
-    groups = times.select("source_system", F.explode(F.aggregate("ts", F.array().cast(kind), step)).alias("g"))
-    return groups.select("source_system", F.timestamp_micros("g.start").alias("start"), F.timestamp_micros("g.last").alias("last"), F.col("g.n").cast("long").alias("n")).where(F.col("n") >= least)
+    times = hits.select(F.col("source_system").alias("host"), F.unix_micros("timestamp_utc").alias("m")).groupBy("host", "m").agg(F.count("*").alias("n"))
+    nodes = stored(next_after(times, width))
+    heads = nodes.where("head").select("host", "m")
+    jump = stored(nodes.select("host", "m", F.col("next").alias("to")).where("to IS NOT NULL").join(heads.withColumnRenamed("m", "to").withColumn("_head", F.lit(True)), ["host", "to"], "left").where("_head IS NULL").drop("_head"))
+    marked = stored(heads)
+    while not jump.isEmpty():
+        reached = marked.join(jump, ["host", "m"]).select("host", F.col("to").alias("m"))
+        marked = stored(marked.unionByName(reached), over=marked)
+        jump = stored(jump.join(jump.select("host", F.col("m").alias("to"), F.col("to").alias("far")), ["host", "to"]).select("host", "m", F.col("far").alias("to")), over=jump)
+    slot = ((F.col("m") - F.pmod("m", F.lit(width))) / width).cast("long")
+    starts = marked.select("host", F.col("m").alias("start"), F.explode(F.array(slot, slot + 1)).alias("slot"))
+    groups = nodes.join(starts, ["host", "slot"]).where(F.col("m").between(F.col("start"), F.col("start") + width)).groupBy("host", "start").agg(F.max("m").alias("last"), F.sum("n").alias("n"))
+    return groups.where(F.col("n") >= least).select(F.col("host").alias("source_system"), F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n")
 
 
 def merge_windows(spans: DataFrame, keys: list[str]) -> DataFrame:

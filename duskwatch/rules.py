@@ -160,3 +160,14 @@ IOC_PATTERNS = {
     "sha256": r"\b[a-fA-F0-9]{64}\b",
     "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
 }
+
+# Programs of the system and the only parents that start them; programs that documents exploit and
+# the parents that open those; words of credential dumpers.
+SYSTEM_PARENTS = {
+    "svchost.exe": ["services.exe"], "csrss.exe": ["smss.exe"], "wininit.exe": ["smss.exe"], "services.exe": ["wininit.exe"], "lsass.exe": ["wininit.exe"], "lsaiso.exe": ["wininit.exe"],
+    "taskhost.exe": ["svchost.exe", "services.exe"], "taskhostw.exe": ["svchost.exe", "services.exe"], "runtimebroker.exe": ["svchost.exe"], "dllhost.exe": ["svchost.exe", "services.exe"], "wmiprvse.exe": ["svchost.exe"],
+}
+EXPLOIT_PARENTS = {"acrord32.exe": ["firefox.exe", "iexplore.exe", "chrome.exe", "outlook.exe"], "winword.exe": ["explorer.exe"], "excel.exe": ["explorer.exe"], "powerpnt.exe": ["explorer.exe"]}
+DUMP_WORDS = ["pd.exe", "pd64.exe", "procdump", "mimikatz", "lsass", "-ma "]
+#: Programs that run commands or scripts.
+SHELLS = ["cmd.exe", "powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe", "bash.exe"]

@@ -101,8 +101,11 @@ def windows_event_type(code: Column, channel: Column, provider: Column) -> Colum
 
 
 def _windows(df: DataFrame, code: Column, channel: Column, provider: Column, at: Column, host: Column, maps: list[Column]) -> DataFrame:
-    fields = [(_number(_lookup(maps, keys)) if name in ("process_id", "parent_process_id", "logon_type") else _lookup(maps, keys)).alias(name) for name, keys in PAYLOAD_KEYS.items()]
-    return df.select("row_id", S.timestamp_of(at).alias("timestamp_utc"), windows_event_type(code, channel, provider).alias("event_type"), code.cast("string").alias("event_id"), host.alias("source_system"), *fields)
+    """The maps become columns first: each payload is parsed once, however many fields are looked up in it."""
+    df = df.select("row_id", code.alias("_code"), channel.alias("_channel"), provider.alias("_provider"), at.alias("_at"), host.alias("_host"), *[m.alias(f"_map{i}") for i, m in enumerate(maps)])
+    own = [F.col(f"_map{i}") for i in range(len(maps))]
+    fields = [(_number(_lookup(own, keys)) if name in ("process_id", "parent_process_id", "logon_type") else _lookup(own, keys)).alias(name) for name, keys in PAYLOAD_KEYS.items()]
+    return df.select("row_id", S.timestamp_of(F.col("_at")).alias("timestamp_utc"), windows_event_type(F.col("_code"), F.col("_channel"), F.col("_provider")).alias("event_type"), F.col("_code").cast("string").alias("event_id"), F.col("_host").alias("source_system"), *fields)
 
 
 def norm_winevent_rows(df: DataFrame) -> DataFrame:

@@ -86,30 +86,6 @@ def norm_vpcflow(df: DataFrame) -> DataFrame:
     return p.select("row_id", F.timestamp_seconds(F.col("t").cast("bigint")).alias("timestamp_utc"), F.concat_ws("_", F.lit("VPCFlow"), "action", proto).alias("event_type"), "source_ip", "dest_ip", F.col("sp").try_cast("bigint").alias("source_port"), F.col("dp").try_cast("bigint").alias("dest_port"), F.when(F.col("action") == "REJECT", "medium").when(F.col("state").isin("NODATA", "SKIPDATA"), "low").otherwise("info").alias("severity"))
 
 
-def norm_fields(df: DataFrame, header: list[str], separator: str) -> DataFrame:
-    """Lines whose columns are named by a header (W3C, Zeek, firewall logs): a map of the non-empty ones."""
-    cells = F.split("value", separator)
-    pairs = F.arrays_zip(F.array(*map(F.lit, header)).alias("k"), cells.alias("v"))
-    return df.where(~F.col("value").startswith("#")).select("row_id", F.map_from_entries(F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull() & ~x["v"].isin("-", "(empty)", ""))).alias("f"))
-
-
-def norm_iis(df: DataFrame, header: list[str]) -> DataFrame:
-    f = norm_fields(df, header, " ")
-    status = F.col("f")["sc-status"].try_cast("bigint")
-    return f.select("row_id", _at(F.concat_ws(" ", F.col("f")["date"], F.col("f")["time"]), "yyyy-MM-dd HH:mm:ss").alias("timestamp_utc"), F.col("f")["c-ip"].alias("source_ip"), F.col("f")["cs-method"].alias("http_method"), F.col("f")["cs-uri-stem"].alias("uri"), F.col("f")["cs-uri-query"].alias("query_string"), F.try_url_decode(F.col("f")["cs(User-Agent)"]).alias("user_agent"), status.alias("status_code"), S.severity_of_status(status, F.col("f")["cs-uri-stem"]).alias("severity"))
-
-
-def norm_zeek(df: DataFrame, header: list[str]) -> DataFrame:
-    f = norm_fields(df, header, "\t")
-    return f.select("row_id", F.timestamp_micros((F.col("f")["ts"].cast("double") * 1000000).cast("bigint")).alias("timestamp_utc"), F.col("f")["id.orig_h"].alias("source_ip"), F.col("f")["id.resp_h"].alias("dest_ip"), F.col("f")["id.resp_p"].try_cast("bigint").alias("dest_port"), F.when(F.col("f")["query"].isNotNull(), "Zeek_dns").otherwise("Zeek_conn").alias("event_type"))
-
-
-def norm_winfw(df: DataFrame, header: list[str]) -> DataFrame:
-    f = norm_fields(df, header, " ")
-    action = F.col("f")["action"]
-    return f.select("row_id", F.concat_ws("_", F.lit("Firewall"), action, F.col("f")["protocol"]).alias("event_type"), F.col("f")["src-ip"].alias("source_ip"), F.col("f")["dst-ip"].alias("dest_ip"), F.col("f")["dst-port"].try_cast("bigint").alias("dest_port"), F.when(action == "DROP", "medium").when(F.col("f")["path"] == "RECEIVE", "low").otherwise("info").alias("severity"))
-
-
 def norm_paloalto(df: DataFrame) -> DataFrame:
     """Comma-separated firewall lines: kind, first two addresses and first two ports by shape."""
     cells = F.split("value", ",")
@@ -221,16 +197,10 @@ LINES: dict[str, Callable[[], Column]] = {
     "haproxy": lambda: F.format_string('haproxy[1]: %s:%d [%s.000] fe be/s1 0/0/1/2/3 %d 99 - - ---- 1/1/0/0/0 0/0 "%s %s HTTP/1.1"', "source_ip", "dest_port", _clock("dd/MMM/yyyy:HH:mm:ss"), "status_code", "http_method", "uri"),
     "asa": lambda: F.format_string("Jan 1 00:00:00 fw %%ASA-%d-302013: Built connection for outside:%s/%d to inside:%s/80", (F.col("k") % 8).cast("int"), "source_ip", "dest_port", "dest_ip"),
     "vpcflow": lambda: F.format_string("2 acct eni %s %s %d 80 %d 1 1 %d 0 %s OK", "source_ip", "dest_ip", "dest_port", F.when(F.col("k") % 2 == 0, 6).otherwise(17), F.unix_seconds("timestamp_utc"), F.when(F.col("k") % 3 == 0, "REJECT").otherwise("ACCEPT")),
-    "iis": lambda: F.concat_ws(" ", _clock("yyyy-MM-dd HH:mm:ss"), "source_ip", "http_method", "uri", F.when(F.col("query_string") == "", "-").otherwise(F.replace("query_string", F.lit(" "), F.lit("+"))), "user_agent", F.col("status_code").cast("string")),
-    "zeek": lambda: F.concat_ws("\t", F.unix_seconds("timestamp_utc").cast("string"), "source_ip", "dest_ip", F.col("dest_port").cast("string"), F.when(F.col("k") % 2 == 0, F.col("query_name")).otherwise("-")),
-    "winfw": lambda: F.concat_ws(" ", _clock("yyyy-MM-dd HH:mm:ss"), F.when(F.col("k") % 2 == 0, "DROP").otherwise("ALLOW"), F.lit("TCP"), "source_ip", "dest_ip", F.col("dest_port").cast("string"), F.when(F.col("k") % 3 == 0, "RECEIVE").otherwise("SEND")),
     "paloalto": lambda: F.concat_ws(",", F.lit("x"), F.when(F.col("k") % 2 == 0, "THREAT").otherwise("TRAFFIC"), "source_ip", "dest_ip", F.col("dest_port").cast("string"), F.lit("80"), F.when(F.col("k") % 3 == 0, "high").otherwise("low")),
     "jsonl": lambda: F.to_json(F.struct(F.struct(_clock("yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_type").alias("type")).alias("event"), F.col("username").alias("user"), "source_ip")),
     "suricata": lambda: F.to_json(F.struct(_clock("yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit("alert").alias("event_type"), F.col("source_ip").alias("src_ip"), "dest_ip", "dest_port", F.struct((F.col("k") % 5).alias("severity")).alias("alert"), F.struct(F.col("query_name").alias("hostname"), F.col("uri").alias("url")).alias("http"))),
 }
-IIS_HEADER = ["date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "cs(User-Agent)", "sc-status"]
-ZEEK_HEADER = ["ts", "id.orig_h", "id.resp_h", "id.resp_p", "query"]
-WINFW_HEADER = ["date", "time", "action", "protocol", "src-ip", "dst-ip", "dst-port", "path"]
 
 
 def _lines(fmt: str):
@@ -287,9 +257,6 @@ QUERIES = {
     "norm_haproxy": _from("haproxy", norm_haproxy),
     "norm_cisco_asa": _from("asa", norm_asa),
     "norm_vpcflow": _from("vpcflow", norm_vpcflow),
-    "norm_iis": _from("iis", lambda x: norm_iis(x, IIS_HEADER)),
-    "norm_zeek": _from("zeek", lambda x: norm_zeek(x, ZEEK_HEADER)),
-    "norm_winfw": _from("winfw", lambda x: norm_winfw(x, WINFW_HEADER)),
     "norm_paloalto": _from("paloalto", norm_paloalto),
     "norm_jsonl": _from("jsonl", norm_jsonl),
     "norm_suricata": _from("suricata", norm_suricata),
@@ -306,9 +273,6 @@ ORACLES = {
     "norm_haproxy": f"WITH {SEC} SELECT row_id, {_SEC_TS}, source_ip, CAST(dest_port AS BIGINT) AS source_port, http_method, uri, CAST(status_code AS BIGINT) AS status_code, {_STATUS} AS severity FROM sec",
     "norm_cisco_asa": f"WITH {SEC} SELECT row_id, 'ASA_302013' AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS source_port, CAST(80 AS BIGINT) AS dest_port, CASE WHEN k % 8 <= 1 THEN 'critical' WHEN k % 8 <= 3 THEN 'high' WHEN k % 8 = 4 THEN 'medium' WHEN k % 8 = 5 THEN 'low' ELSE 'info' END AS severity FROM sec",
     "norm_vpcflow": f"WITH {SEC} SELECT row_id, {_SEC_TS}, 'VPCFlow_' || CASE WHEN k % 3 = 0 THEN 'REJECT' ELSE 'ACCEPT' END || '_' || CASE WHEN k % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS source_port, CAST(80 AS BIGINT) AS dest_port, CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'info' END AS severity FROM sec",
-    "norm_iis": f"WITH {SEC} SELECT row_id, {_SEC_TS}, source_ip, http_method, uri, nullif(replace(query_string, ' ', '+'), '') AS query_string, user_agent, CAST(status_code AS BIGINT) AS status_code, CASE WHEN regexp_matches(uri, '(?i)\\.\\./|cmd|shell|passwd|union|<script|exec') THEN 'high' ELSE {_STATUS} END AS severity FROM sec",
-    "norm_zeek": f"WITH {SEC} SELECT row_id, {_SEC_TS}, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, CASE WHEN k % 2 = 0 THEN 'Zeek_dns' ELSE 'Zeek_conn' END AS event_type FROM sec",
-    "norm_winfw": f"WITH {SEC} SELECT row_id, 'Firewall_' || CASE WHEN k % 2 = 0 THEN 'DROP' ELSE 'ALLOW' END || '_TCP' AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, CASE WHEN k % 2 = 0 THEN 'medium' WHEN k % 3 = 0 THEN 'low' ELSE 'info' END AS severity FROM sec",
     "norm_paloalto": f"WITH {SEC} SELECT row_id, CASE WHEN k % 2 = 0 THEN 'THREAT' ELSE 'TRAFFIC' END AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS source_port, CAST(80 AS BIGINT) AS dest_port, CASE WHEN k % 3 = 0 THEN 'high' ELSE 'info' END AS severity FROM sec",
     "norm_jsonl": f"WITH {SEC} SELECT row_id, {_SEC_TS}, 'JSONL_' || event_type AS event_type, username, source_ip FROM sec",
     "norm_suricata": f"WITH {SEC} SELECT row_id, {_SEC_TS}, 'Suricata_alert' AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, 'http://' || query_name || uri AS uri, CASE k % 5 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS severity FROM sec",
