@@ -121,15 +121,6 @@ def decoded_phase(text: Column) -> Column:
     return F.when(low.rlike("whoami|ipconfig|systeminfo|hostname"), "recon").when(low.rlike("mimikatz|lsass|procdump|password"), "credential").when(low.rlike("wmic|psexec|invoke-"), "lateral").when(low.rlike("net user|net group|dir |tasklist"), "discovery").when(low.rlike("cmd|powershell|download"), "execution").otherwise("other")
 
 
-def nested(text: Column, rounds: int = 5) -> Column:
-    """Decode base64 and URL escapes again and again, five rounds at most; stops when nothing changes."""
-
-    def step(t: Column, _: Column) -> Column:
-        return F.coalesce(F.when(t.rlike("^[A-Za-z0-9+/]{8,}={0,2}$") & (F.length(t) % 4 == 0), b64_decode(t)), F.when(t.rlike("%[0-9A-Fa-f]{2}"), url_decode(t)), t)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, step)
-
-
 def text_iocs(df: DataFrame, key: str, column: str) -> DataFrame:
     """Distinct (key, kind, value): addresses outside private ranges, URLs, digests and e-mail addresses."""
 
@@ -236,7 +227,6 @@ QUERIES = {
     "url_decode_n": lambda s, d: _lines(s, d).select("doc_id", url_decode_n(F.url_encode(F.replace(F.url_encode("line"), F.lit("+"), F.lit("%20")))).alias("decoded")),
     "ps_encoded": _ev(lambda ev: ev.select("row_id", ps_encoded(F.concat(F.lit("powershell.exe -nop -enc "), b64(F.encode("command_line", "UTF-16LE")))).alias("decoded"))),
     "ps_command": _ev(lambda ev: ev.select("row_id", ps_command(F.col("command_line")).alias("command"))),
-    "nested_decode": lambda s, d: _lines(s, d).select("doc_id", nested(b64(F.encode(b64(F.encode(F.concat(F.lit("line: "), F.replace("line", F.lit("%"), F.lit(""))), "UTF-8")), "UTF-8"))).alias("decoded")),
     "hex_decode": lambda s, d: _lines(s, d).select("doc_id", hex_decode(F.regexp_replace(F.hex(F.encode("line", "UTF-8")), "(..)", "$1_")).cast("string").alias("decoded")),
     "strip_fillers": _ev(lambda ev: ev.select("row_id", strip_fillers(F.concat(F.lit("po`w^er"), F.col("command_line"))).alias("clean"))),
     "concat_eval": _ev(lambda ev: ev.select("row_id", concat_eval(F.concat(F.lit('x = "'), F.col("process_name"), F.lit('" + "'), F.col("username"), F.lit('"'))).alias("joined"))),
@@ -245,7 +235,6 @@ QUERIES = {
     "obf_types": _ev(lambda ev: ev.select("row_id", obf_types(F.col("command_line")).alias("types"))),
     "script_type": _ev(lambda ev: ev.select("row_id", script_type(F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ["ps1", "bat", "txt", "js"])), (F.col("row_id") % 4 + 1).cast("int"))), F.col("command_line")).alias("type"))),
     "decoded_phase": _ev(lambda ev: ev.select("row_id", decoded_phase(F.col("command_line")).alias("phase"))),
-    "decoded_indicators": _ev(lambda ev: ev.select("row_id", F.array_join(F.regexp_extract_all(F.col("command_line"), F.lit(r"https?://[^\s'\"<>]+"), F.lit(0)), ",").alias("urls"), F.array_join(F.filter(F.array(*map(F.lit, ["DownloadString", "Net.WebClient", "New-Object", "IEX"])), lambda w: F.col("command_line").contains(w)), ",").alias("commands"))),
     "text_iocs": lambda s, d: text_iocs(table(s, d, "documents"), "doc_id", "text"),
     "ioc_table": _ev(ioc_table),
     "ioc_by_type": _ev(lambda ev: ioc_table(ev).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "HIGH").alias("high"))),
@@ -254,7 +243,6 @@ QUERIES = {
     "scan_strings_iocs": lambda s, d: text_iocs(table(s, d, "pages").select("page_id", F.col("html")), "page_id", "html").where("kind IN ('url', 'email')"),
     "xor_bruteforce": lambda s, d: xor_bruteforce(_lines(s, d).select("doc_id", F.encode("line", "UTF-8").alias("data")), "doc_id", "data"),
     "batch_var_expand": _ev(lambda ev: batch_var_expand(ev.select("row_id", F.concat(F.lit("set a="), F.col("process_name"), F.lit("\necho %a:~0,3%%a%")).alias("t")), "row_id", "t")),
-    "union_decoded": _ev(lambda ev: ev.select("row_id", F.lit("cmd").alias("source"), F.md5("command_line").alias("id")).unionByName(ev.select("row_id", F.lit("query").alias("source"), F.md5("query_string").alias("id"))).select("source", "id").dropDuplicates(["source", "id"])),
 }
 ORACLES = {
     "b64_decode": f"WITH {_L} SELECT doc_id, line AS decoded, line AS wide FROM l",
@@ -271,14 +259,11 @@ ORACLES = {
     "obf_types": f"WITH {SEC} SELECT row_id, CASE WHEN regexp_matches(command_line, '[`^]') THEN 'filler' ELSE '' END AS types FROM sec",
     "script_type": f"WITH {SEC} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'powershell' WHEN 1 THEN 'batch' WHEN 3 THEN 'javascript' ELSE CASE WHEN regexp_matches(command_line, '(?i)\\$[a-z]+\\s*=|invoke-') THEN 'powershell' WHEN regexp_matches(command_line, '(?i)@echo|%[a-z]+%') THEN 'batch' WHEN regexp_matches(command_line, '(?i)\\bfunction\\b|\\bvar\\b') THEN 'javascript' ELSE 'unknown' END END AS type FROM sec",
     "decoded_phase": f"WITH {SEC} SELECT row_id, {_PHASE} AS phase FROM sec",
-    "decoded_indicators": f"WITH {SEC} SELECT row_id, array_to_string(regexp_extract_all(command_line, 'https?://[^\\s''\"<>]+'), ',') AS urls, array_to_string(list_filter(['DownloadString', 'Net.WebClient', 'New-Object', 'IEX'], lambda w: contains(command_line, w)), ',') AS commands FROM sec",
-    "nested_decode": f"WITH {_L} SELECT doc_id, 'line: ' || replace(line, '%', '') AS decoded FROM l",
     "text_iocs": f"SELECT * FROM ({_IOC}) WHERE kind <> 'ipv4' OR NOT {_PRIVATE}",
     "ioc_table": f"WITH {SEC}, x AS (SELECT timestamp_utc, username, process_name, 'ipv4' AS kind, dest_ip AS value FROM sec WHERE dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5') UNION ALL SELECT timestamp_utc, username, process_name, 'url', unnest(regexp_extract_all(command_line, 'https?://[^\\s<>\"'']+')) FROM sec) SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(*) AS n, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, CASE WHEN kind = 'url' THEN 'HIGH' WHEN count(DISTINCT username) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x GROUP BY kind, value",
     "path_registry_iocs": f"WITH {SEC} SELECT DISTINCT * FROM (SELECT 'path' AS kind, file_path AS value, regexp_matches(lower(file_path), '\\\\(temp|public|appdata|downloads)\\\\') AS suspicious FROM sec UNION ALL SELECT 'registry', registry_key, regexp_matches(lower(registry_key), 'currentversion\\\\run|\\\\services\\\\') FROM sec)",
     "scan_strings_iocs": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT DISTINCT page_id, '{k}' AS kind, unnest(regexp_extract_all(html, '{rules.IOC_PATTERNS[k].replace(chr(39), chr(39) * 2)}')) AS value FROM pages" for k in ("url", "email")) + ")",
     "batch_var_expand": f"WITH {SEC} SELECT row_id, 'set a=' || process_name || chr(10) || 'echo ' || left(process_name, 3) || process_name AS expanded FROM sec",
-    "union_decoded": f"WITH {SEC} SELECT DISTINCT 'cmd' AS source, md5(command_line) AS id FROM sec UNION SELECT 'query', md5(query_string) FROM sec",
 }
 ORACLES["ioc_by_type"] = f"SELECT kind, count(*) AS n, count(*) FILTER (risk = 'HIGH') AS high FROM ({ORACLES['ioc_table']}) GROUP BY 1"
 ORACLES["risk_sort"] = f"SELECT kind, value, risk FROM ({ORACLES['ioc_table']}) ORDER BY CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, value"

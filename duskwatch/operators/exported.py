@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..adapters import SEC, security_events
 from ..sources.exports import first_match
+from ..store import stored
 from . import relate
 from .decode import b64, b64_candidates, b64_decode, charcode_decode, concat_eval, hex_decode, ps_encoded, strip_fillers, url_decode_n
+from .search import found_in
 
 # Registry places, programs and words that severities and findings go by.
 PERSISTENCE = [
@@ -31,15 +34,6 @@ PHASES = [
     ("reconnaissance", ["whoami", "ipconfig", "net user", "net localgroup", "nltest"]), ("credential_access", ["pd.exe", "procdump", "mimikatz", "lsass", "sekurlsa"]),
     ("lateral_movement", ["invoke-wmiexec", "invoke-smbexec", "-hash", "-target"]), ("discovery", ["tasklist", "netstat", "wmic process", "systeminfo", "dir"]), ("execution", ["cmd", "powershell", "execute"]),
 ]
-EVENT_IDS = [
-    (4624, "Successful Logon", "Credential", "INFO", 1000), (4625, "Failed Logon", "Credential", "MEDIUM", 50), (4634, "Logoff", "Credential", "INFO", 1000), (4648, "Explicit Credential Logon", "Credential", "HIGH", 10),
-    (4672, "Admin Logon", "Credential", "MEDIUM", 100), (4688, "Process Created", "Execution", "INFO", 5000), (4697, "Service Installed", "Persistence", "HIGH", 5), (4698, "Scheduled Task Created", "Persistence", "HIGH", 5),
-    (4720, "User Created", "Persistence", "HIGH", 1), (4732, "User Added to Group", "Persistence", "HIGH", 2), (4768, "Kerberos TGT Request", "Credential", "INFO", 500), (4769, "Kerberos TGS Request", "Credential", "MEDIUM", 100),
-    (4771, "Kerberos Pre-Auth Failed", "Credential", "HIGH", 10), (4776, "Credential Validation", "Credential", "INFO", 1000), (7045, "Service Installed", "Persistence", "HIGH", 5), (1102, "Audit Log Cleared", "Defense Evasion", "CRITICAL", 0),
-    (1, "Process Create", "Execution", "INFO", 5000), (3, "Network Connection", "Lateral", "MEDIUM", 1000), (7, "Image Loaded", "Execution", "LOW", 10000), (8, "CreateRemoteThread", "Execution", "HIGH", 10),
-    (10, "Process Access", "Credential", "MEDIUM", 100), (11, "File Create", "Collection", "LOW", 5000), (12, "Registry Create/Delete", "Persistence", "MEDIUM", 500), (13, "Registry Value Set", "Persistence", "MEDIUM", 500),
-    (15, "File Stream Created", "Collection", "MEDIUM", 100), (17, "Pipe Created", "Lateral", "MEDIUM", 50), (18, "Pipe Connected", "Lateral", "MEDIUM", 50), (22, "DNS Query", "Discovery", "LOW", 5000), (23, "File Delete", "Defense Evasion", "LOW", 500),
-]
 CLAIM_PATTERNS = {
     "process": (r"(?i)\b([a-zA-Z0-9_\-]+\.exe)\b", True), "dll": (r"(?i)\b([a-zA-Z0-9_\-]+\.dll)\b", True), "path": (r"([A-Za-z]:\\[^\s\"'<>|*?]+|\\\\[^\s\"'<>|*?]+)", False),
     "ip": (r"\b((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))\b", False), "domain": (r"(?i)\b([a-zA-Z0-9][-a-zA-Z0-9]*\.(?:com|net|org|io|xyz|ru|cn|tk|top|info|biz|cc))\b", True),
@@ -203,15 +197,16 @@ def suspicious_chains(ev: DataFrame) -> DataFrame:
 def descendants(ev: DataFrame, most: int = 10, levels: int = 64) -> DataFrame:
     """The first ``most`` descendants of each process, in the order of a walk that takes children by id.
 
-    A path of ids, padded to equal width, sorts as the walk does; each round goes one level down until none is left.
+    A path of ids, padded to equal width, sorts as the walk does; each round goes one level down until none is left. A row
+    below level ``most`` has that many before it and can't be among the first.
     """
-    e = relate.edges(ev)
+    e = stored(relate.edges(ev))
     step = e.select(F.col("parent_id").alias("id"), F.col("child_id").alias("at"), F.lpad(F.col("child_id").cast("string"), 19, "0").alias("path"), F.lit(1).alias("level"))
     out = step
-    for level in range(2, levels + 1):
+    for level in range(2, min(levels, most) + 1):
         step = step.join(e.select(F.col("parent_id").alias("at"), "child_id"), "at").select("id", F.col("child_id").alias("at"), F.concat("path", F.lit("/"), F.lpad(F.col("child_id").cast("string"), 19, "0")).alias("path"), F.lit(level).alias("level"))
         # only what can still be among the first of its process goes on
-        step = relate.stored(step.withColumn("nr", F.row_number().over(W.partitionBy("id").orderBy("path"))).where(F.col("nr") <= most).drop("nr"))
+        step = stored(step.withColumn("nr", F.row_number().over(W.partitionBy("id").orderBy("path"))).where(F.col("nr") <= most).drop("nr"))
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -225,7 +220,7 @@ def lineage_file(findings: DataFrame, files: DataFrame) -> DataFrame:
     Few distinct values and file names are compared, then joined back to their rows by equality.
     """
     names = files.groupBy("file_path").agg(F.min("other_id").alias("other_id"))
-    met = relate.contained(findings.select("value"), names.select(F.col("file_path").alias("text"))).join(names, F.col("text") == F.col("file_path"))
+    met = found_in(findings.select("value"), names.select(F.col("file_path").alias("text"))).join(names, F.col("text") == F.col("file_path"))
     first = met.groupBy("value").agg(F.min(F.struct("other_id", "file_path")).alias("m"))
     return findings.join(first, "value").select("id", "m.other_id", "m.file_path")
 
@@ -250,7 +245,7 @@ def file_exec_link(files: DataFrame, starts: DataFrame) -> DataFrame:
 
 def eventid_db(ev: DataFrame) -> DataFrame:
     """Counts of known event ids beside their name, category, significance and expected volume."""
-    known = F.broadcast(ev.sparkSession.createDataFrame(EVENT_IDS, "event_code int, name string, category string, significance string, expected long"))
+    known = F.broadcast(ev.sparkSession.createDataFrame(rules.EVENT_IDS, "event_code int, name string, category string, significance string, expected long"))
     return ev.groupBy("event_code").agg(F.count("*").alias("n")).join(known, "event_code").select("event_code", "name", "category", "significance", "expected", "n", (F.col("n") > F.col("expected")).alias("above"))
 
 
@@ -396,7 +391,7 @@ ORACLES = {
     "lineage_file": f"WITH {SEC}, v AS (SELECT row_id AS id, list_last(string_split(command_line, ' ')) AS value FROM sec), f AS (SELECT file_path, min(row_id) AS other_id FROM sec WHERE event_code = 11 GROUP BY 1), m AS (SELECT value, min(other_id) AS other_id, arg_min(file_path, other_id) AS file_path FROM (SELECT DISTINCT value FROM v WHERE length(value) >= 3) JOIN f ON contains(lower(file_path), lower(value)) GROUP BY 1) SELECT id, other_id, file_path FROM v JOIN m USING (value)",
     "lineage_auth": f"WITH {SEC} SELECT h.row_id AS id, min(o.row_id) AS other_id FROM sec h JOIN sec o ON h.source_system = o.source_system AND o.logon_type = 3 AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) < 10000000 WHERE h.event_code IN (4624, 4625, 4648) GROUP BY 1",
     "file_exec_link": f"WITH {SEC}, s AS (SELECT f.row_id AS id, o.row_id AS other_id, f.process_name AS image, row_number() OVER (PARTITION BY f.row_id ORDER BY o.timestamp_utc, o.row_id) AS nr FROM sec f JOIN sec o ON f.source_system = o.source_system AND f.process_name = o.process_name AND o.event_code IN (1, 4688) AND o.timestamp_utc > f.timestamp_utc WHERE f.event_code IN (11, 15)) SELECT id, other_id, image FROM s WHERE nr = 1",
-    "eventid_db": f"WITH {SEC}, t(event_code, name, category, significance, expected) AS (VALUES {', '.join(f'({c}, {_q(n)}, {_q(g)}, {_q(s)}, {e})' for c, n, g, s, e in EVENT_IDS)}) SELECT event_code, name, category, significance, CAST(expected AS BIGINT) AS expected, count(*) AS n, count(*) > expected AS above FROM sec JOIN t USING (event_code) GROUP BY event_code, name, category, significance, expected",
+    "eventid_db": f"WITH {SEC}, t(event_code, name, category, significance, expected) AS (VALUES {', '.join(f'({c}, {_q(n)}, {_q(g)}, {_q(s)}, {e})' for c, n, g, s, e in rules.EVENT_IDS)}) SELECT event_code, name, category, significance, CAST(expected AS BIGINT) AS expected, count(*) AS n, count(*) > expected AS above FROM sec JOIN t USING (event_code) GROUP BY event_code, name, category, significance, expected",
     "coverage_gaps": f"WITH {SEC} SELECT 'No process trees built (missing Sysmon/Windows process events)' AS gap WHERE NOT EXISTS (SELECT 1 FROM sec WHERE event_code IN (1, 4688)) UNION ALL SELECT 'No encoded content decoded' WHERE NOT EXISTS (SELECT 1 FROM sec WHERE contains(command_line, 'FromBase64String')) UNION ALL SELECT 'No cross-system correlations (single system or missing data)' WHERE NOT EXISTS (SELECT 1 FROM sec WHERE source_system = 'host99') UNION ALL SELECT 'No network profiles (missing Sysmon EID 3)' WHERE NOT EXISTS (SELECT 1 FROM sec WHERE event_code = 3)",
     "col_inventory": f"WITH {SEC} " + " UNION ALL ".join(f"SELECT source_file, '{c}' AS \"column\", '{kind}' AS kind, count({value}) AS filled FROM sec GROUP BY 1" for c, kind, value in (("command_line", "string", "command_line"), ("query_string", "string", "nullif(query_string, '')"), ("status_code", "int", "status_code"), ("value", "double", "value"))),
     "profile_structure": f"WITH {SEC} SELECT username AS file, CASE user_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' WHEN 2 THEN 'xml' ELSE 'text' END AS kind, count(*) AS n_lines, user_id % 4 = 1 AS has_times, user_id % 4 <= 1 AS has_ips FROM sec GROUP BY username, user_id",

@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from . import detect, relate
 from .decode import ORACLES as DECODE_SQL
 from .decode import ioc_table
+from .search import found_in
 
 # Trigger words of the hypotheses.
 HYPOTHESES = {
@@ -138,7 +139,7 @@ def claim_checks(s, d, names: tuple[str, ...] = CHECKS, parts: int = 16) -> Data
         out = out.join(relate.interval_join(at, events, ["part"], "ts", "other_ts", 2, 2).select("claim_id", F.lit(True).alias("has_time")).distinct(), "claim_id", "left")
     for name, column, text in (("has_ref", "ref", "source_file"), ("has_quote", "quote", "command_line")):
         if name in names:
-            held = relate.contained(out.select(F.col(column).alias("value")), ev.select(F.col(text).alias("text"))).select(F.col("value").alias(column), F.lit(True).alias(name)).distinct()
+            held = found_in(out.select(F.col(column).alias("value")), ev.select(F.col(text).alias("text"))).select(F.col("value").alias(column), F.lit(True).alias(name)).distinct()
             out = out.join(held, column, "left")
     return out.select("claim_id", *[F.coalesce(x, F.lit(False)).alias(x) for x in names])
 
@@ -204,7 +205,7 @@ def stix(iocs: DataFrame) -> DataFrame:
 def sigma(found: DataFrame) -> DataFrame:
     """One rule text for each signature that matched."""
     g = found.groupBy("rule", "field", "severity").agg(F.min("matched").alias("sample"))
-    return g.select("rule", F.format_string("title: %s\\ndetection:\\n  %s|contains: %s\\nlevel: %s", "rule", "field", "sample", F.lower("severity")).alias("text"))
+    return g.select("rule", F.format_string("title: %s\ndetection:\n  %s|contains: %s\nlevel: %s", "rule", "field", "sample", F.lower("severity")).alias("text"))
 
 
 def _ev(f):
@@ -237,12 +238,9 @@ QUERIES = {
     "adjust_confidence": _ev(lambda ev: adjusted(ev.select("row_id", F.upper("severity").alias("confidence"), (F.col("k") % 4).cast("int").alias("counter"))).select("row_id", "adjusted")),
     "counter_evidence": _ev(lambda ev: counter_evidence(ev, ev.where("event_code IN (7045, 1102, 4720, 4769)"))),
     "merge_findings": _ev(lambda ev: merge_findings(detect.triage(ev).where("priority < 3").select("row_id", "pattern"), detect.triage(ev).where("priority < 4").select("row_id", "pattern"))),
-    "claim_entities": lambda s, d: claim_checks(s, d, ("has_user",)).select("claim_id", "has_user"),
     "claim_timestamps": lambda s, d: claim_checks(s, d, ("has_time",)).select("claim_id", "has_time"),
     "claim_refs": lambda s, d: claim_checks(s, d, ("has_ref",)).select("claim_id", "has_ref"),
-    "claim_quotes": lambda s, d: claim_checks(s, d, ("has_quote",)).select("claim_id", "has_quote"),
     "claim_status": lambda s, d: claim_status(claim_checks(s, d)),
-    "claim_duplicates": lambda s, d: claims(s, d).groupBy("entity", "ref", "quote").agg(F.count("*").alias("n"), F.min("claim_id").alias("first")).where("n > 1"),
     "claim_timeline": lambda s, d: claims(s, d).join(security_events(s, d).select(F.col("row_id").alias("event"), "timestamp_utc"), "event").select("claim_id", "timestamp_utc").orderBy("timestamp_utc", "claim_id").limit(20),
     "package_domains": _ev(lambda ev: packages(ev).groupBy("package").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))),
     "size_check": _ev(size_check),
@@ -266,12 +264,9 @@ ORACLES = {
     "adjust_confidence": f"WITH {SEC} SELECT row_id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][CAST(greatest(1, CASE upper(severity) WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'CRITICAL' THEN 4 ELSE 3 END - least(2, k % 4)) AS INT)] AS adjusted FROM sec",
     "counter_evidence": f"WITH {SEC}, u AS (SELECT username, min(timestamp_utc) AS uf FROM sec GROUP BY 1), p AS (SELECT dest_ip, min(timestamp_utc) AS pf FROM sec GROUP BY 1), r AS (SELECT row_id, list_filter([CASE WHEN uf < timestamp_utc - INTERVAL 1 DAY THEN 'user known' END, CASE WHEN pf < timestamp_utc - INTERVAL 1 DAY THEN 'address known' END, CASE WHEN service_name IN ('Spooler', 'WinDefend') THEN 'known service' END], lambda x: x IS NOT NULL) AS l FROM sec JOIN u USING (username) JOIN p USING (dest_ip) WHERE event_code IN (7045, 1102, 4720, 4769)) SELECT row_id, array_to_string(l, ',') AS reasons, CAST(len(l) AS BIGINT) AS counter FROM r",
     "merge_findings": f"WITH {SEC}, {detect._T} SELECT row_id, pattern, CAST(CASE WHEN priority < 3 THEN 1 ELSE 2 END AS BIGINT) AS rank FROM f WHERE priority < 4",
-    "claim_entities": f"WITH {SEC}, {_CH} SELECT claim_id, has_user FROM ch",
     "claim_timestamps": f"WITH {SEC}, {_CH} SELECT claim_id, has_time FROM ch",
     "claim_refs": f"WITH {SEC}, {_CH} SELECT claim_id, has_ref FROM ch",
-    "claim_quotes": f"WITH {SEC}, {_CH} SELECT claim_id, has_quote FROM ch",
     "claim_status": f"WITH {SEC}, {_CH}, n AS (SELECT claim_id, CAST(has_user::INT + has_time::INT + has_ref::INT + has_quote::INT AS BIGINT) AS passed FROM ch) SELECT *, CASE WHEN passed = 4 THEN 'VERIFIED' WHEN passed > 2 THEN 'PARTIAL' ELSE 'UNVERIFIED' END AS status FROM n",
-    "claim_duplicates": f"WITH {_C} SELECT entity, ref, quote, count(*) AS n, min(claim_id) AS first FROM c GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "claim_timeline": f"WITH {SEC}, {_C} SELECT claim_id, timestamp_utc FROM c JOIN sec ON row_id = event ORDER BY timestamp_utc, claim_id LIMIT 20",
     "package_domains": f"WITH {SEC}, x AS ({_PK}) SELECT package, count(*) AS n, count(DISTINCT text) AS texts FROM x GROUP BY 1",
     "size_check": f"WITH {SEC}, x AS ({_PK}) SELECT package, count(*) AS n, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens, sum(length(text)) // 4 > 150000 AS too_large FROM x GROUP BY 1",

@@ -221,24 +221,6 @@ def cross_system(findings: DataFrame, events: DataFrame, within: float = 5, k: i
     return j.select("id", "other_id")
 
 
-def contained(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value, text) of distinct values and the distinct texts that hold them, whatever the case.
-
-    Equal parts of up to three letters, of which a value has its first, bring the two together: no nested loop.
-    """
-    part = lambda n: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.lower(F.substring("text", i, F.lit(n))))
-    values = values.where("value <> ''").distinct().select("value", F.lower(F.substring("value", 1, 3)).alias("_part"))
-    texts = texts.where("text <> ''").distinct().select("text", F.explode(F.array_distinct(F.concat(part(1), part(2), part(3)))).alias("_part"))
-    return values.join(texts, "_part").where(F.lower("text").contains(F.lower("value"))).select("value", "text")
-
-
-def host_references(ev: DataFrame) -> DataFrame:
-    """Pairs of hosts of which one's events name an address that is seen on the other as a source."""
-    seen = ev.select(F.col("source_system").alias("target"), F.col("source_ip").alias("ip")).distinct()
-    named = ev.select("source_system", F.concat(F.lit("10.0.0."), (F.col("k") % 20).cast("string")).alias("ip")).groupBy("source_system", "ip").agg(F.count("*").alias("n"))
-    return named.join(seen, "ip").where("source_system <> target").groupBy("source_system", "target").agg(F.sum("n").alias("n"))
-
-
 def _ids(where: str):
     return lambda ev: ev.where(where).select(F.col("row_id").alias("id"), F.col("source_system").alias("host"), F.col("timestamp_utc").alias("ts"))
 
@@ -298,7 +280,6 @@ QUERIES = {
     "proc_forest": _ev(trees),
     "tree_score": _ev(tree_scores),
     "ancestors": _ev(ancestors),
-    "xsys_refs": _ev(host_references),
     "xsys_nearest": _dense(lambda ev: nearest(_ids(_HIT)(ev).withColumn("host", F.concat(F.lit("host"), (F.col("id") % 7).cast("string"))), _others(ev), 5)),
     "ctx_before_after": _dense(lambda ev: context(_ids(_HIT)(ev), _others(ev))),
     "ctx_cross_system": _dense(lambda ev: cross_system(_ids(_HIT)(ev), _others(ev))),
@@ -326,7 +307,6 @@ ORACLES = {
     "proc_forest": f"WITH RECURSIVE {SEC}, {_P}, {_F} SELECT root, count(*) AS nodes, CAST(max(depth) AS BIGINT) AS max_depth, count(DISTINCT process_name) AS processes, count(DISTINCT username) AS users, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS span, count(*) - 1 AS edges FROM f JOIN p USING (id) GROUP BY 1",
     "tree_score": f"WITH RECURSIVE {SEC}, {_P}, {_F}, x AS (SELECT e.child_id, c.process_name AS child, q.process_name AS parent FROM e JOIN p c ON c.id = e.child_id JOIN p q ON q.id = e.parent_id), k AS (SELECT child_id, CASE {_CLS} WHEN 'HIGHLY_SUSPICIOUS' THEN 10 WHEN 'SUSPICIOUS' THEN 5 ELSE 0 END AS pts FROM x), g AS (SELECT root, sum(coalesce(pts, 0)) AS s, max(depth) AS m FROM f LEFT JOIN k ON k.child_id = f.id GROUP BY 1) SELECT root, CAST(s * (m + 1) AS BIGINT) AS score FROM g WHERE s > 0",
     "ancestors": f"WITH {SEC}, {_P} SELECT child_id AS id, parent_id AS ancestor, CAST(1 AS BIGINT) AS level FROM e UNION ALL SELECT a.child_id, b.parent_id, 2 FROM e a JOIN e b ON b.child_id = a.parent_id UNION ALL SELECT a.child_id, c.parent_id, 3 FROM e a JOIN e b ON b.child_id = a.parent_id JOIN e c ON c.child_id = b.parent_id",
-    "xsys_refs": f"WITH {SEC}, s AS (SELECT DISTINCT source_system AS target, source_ip AS ip FROM sec), n AS (SELECT source_system, '10.0.0.' || (k % 20) AS ip, count(*) AS n FROM sec GROUP BY 1, 2) SELECT source_system, target, CAST(sum(n) AS BIGINT) AS n FROM n JOIN s USING (ip) WHERE source_system <> target GROUP BY 1, 2",
     "xsys_nearest": f"WITH {DENSE}, h AS (SELECT row_id AS id, 'host' || (row_id % 7) AS host, timestamp_utc AS ts FROM sec WHERE {_HIT}), j AS (SELECT id, host, row_id AS other_id, (epoch_us(timestamp_utc) - epoch_us(ts)) / 1e6 AS g FROM h JOIN sec ON source_system = host AND abs(epoch_us(timestamp_utc) - epoch_us(ts)) <= 5e6) SELECT id, host, other_id, round(g, 3) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY id, host ORDER BY abs(g), other_id) AS nr FROM j) WHERE nr = 1",
     "ctx_before_after": f"WITH {DENSE}, j AS (SELECT h.row_id AS id, o.row_id AS other_id, epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) AS g FROM sec h JOIN sec o ON h.source_system = o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 30e6 AND o.row_id <> h.row_id WHERE h.{_HIT}), r AS (SELECT id, other_id, CASE WHEN g < 0 THEN 'before' ELSE 'after' END AS side, row_number() OVER (PARTITION BY id, g < 0 ORDER BY abs(g), other_id) AS nr FROM j) SELECT id, side, other_id, nr FROM r WHERE nr <= 10",
     "ctx_cross_system": f"WITH {DENSE} SELECT id, other_id FROM (SELECT h.row_id AS id, o.row_id AS other_id, row_number() OVER (PARTITION BY h.row_id ORDER BY abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)), o.row_id) AS nr FROM sec h JOIN sec o ON h.source_system <> o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 5e6 WHERE h.{_HIT}) WHERE nr <= 10",

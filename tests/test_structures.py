@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from duskwatch.functions import flatten
-from duskwatch.operators import processes, relate
+from duskwatch.operators import claims, layers, processes, relate, search
 from duskwatch.sources import headers
 
 UTC = datetime.timezone.utc
@@ -109,3 +109,40 @@ def test_burst_of_one_host(spark):
     df = spark.range(200_000).select(F.lit("h").alias("source_system"), F.timestamp_micros(F.col("id") * 1_100_000).alias("timestamp_utc"))
     got = relate.bursts(df).agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max("n").alias("m")).first()
     assert (got.c, got.m) == (-(-200_000 // 55), 55) and got.n in (200_000, 200_000 - 200_000 % 55)
+
+
+def test_search(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abAB.\\ ") for _ in range(rng.randrange(1, 40))) for _ in range(200)] + ["", None, "hot http://x", *[f"http://host{i}/p" for i in range(80)]]
+    values = ["".join(rng.choice("abAB.\\ ") for _ in range(rng.randrange(1, 6))) for _ in range(40)] + ["", None, "http", "HOST7", "h", "tp:", "nowhere"]
+    want = {(v, t) for v in values for t in texts if v and t and v.lower() in t.lower()}
+    frame = lambda name, xs: spark.createDataFrame([(x,) for x in xs], f"{name} string")
+    for bucket in (1 << 14, 7):  # with 7, the common parts are split
+        assert {(r.value, r.text) for r in search.found_in(frame("value", values), frame("text", texts), bucket).collect()} == want
+    assert search.found_in(frame("value", []), frame("text", texts)).isEmpty() and search.found_in(frame("value", values), frame("text", [])).isEmpty()
+
+
+def test_claims(spark):
+    schema = "claim_id long, affected_entities array<string>, supporting_evidence string, raw_evidence_refs array<struct<file:string,filter:string>>"
+    a, b = ("f1", "x"), ("f2", None)
+    df = spark.createDataFrame([(1, ["WEB01", "1.2.3.4", "emp\\e", "ghost"], "said 'calc' \"net user bob\" 'nothing here' \"abc\"", [a, b]), (2, [], None, [b, a, a]), (3, None, "", [a]), (4, ["x"], "no quotes", []), (5, ["x"], "", [b, a])], schema)
+    ev = spark.createDataFrame([("web01", "u", "p.exe", "C:\\Temp\\evil", "1.2.3.4", None, "NET USER BOB /add")], "source_system string, username string, process_name string, file_path string, source_ip string, dest_ip string, command_line string")
+    ev = ev.withColumns({c: F.lit(None).cast("string") for c in claims.TEXTS if c not in ev.columns})
+    assert {(r.claim_id, r.entity): r.found for r in claims.check_entities(df, claims.entities_of(ev)).collect()} == {(1, "WEB01"): True, (1, "1.2.3.4"): True, (1, "emp\\e"): True, (1, "ghost"): False, (4, "x"): False, (5, "x"): False}
+    assert sorted((r.claim_id, r.place, r.found) for r in claims.check_quotes(df, ev).collect()) == [(1, 1, True), (1, 4, False)]
+    assert sorted((r.claim_id, r.first, r.n) for r in claims.duplicates(df).collect()) == [(1, 1, 3), (2, 1, 3), (5, 1, 3)]
+
+
+def test_layers(spark):
+    import base64
+    from urllib.parse import quote
+
+    inner = "whoami and password=x at http://1.2.3.4/a"
+    wide = base64.b64encode(inner.encode("utf-16-le")).decode()
+    outer = f"powershell -enc {wide} " + quote("a b/c?", safe="")
+    twice = base64.b64encode(outer.encode()).decode()
+    got = {r.text: r for r in layers.layers(spark.createDataFrame([("cmd", twice), ("cmd", twice), ("uri", "d41d8cd98f00b204e9800998ecf8427e"), ("x", None)], "source string, text string")).collect()}
+    assert got[inner].chain == "Base64 UTF-8 > Base64 UTF-16LE" and got[inner].depth == 2 and got[inner].parent_id == got[outer].id and got[outer].parent_id == got[twice].id
+    assert got[outer.replace("a%20b%2Fc%3F", "a b/c?")].chain == "Base64 UTF-8 > URL" and len(got) == 5
+    row = layers.with_indicators(spark.createDataFrame([tuple(got[inner])], "id string, parent_id string, source string, depth int, chain string, text string")).first()
+    assert (row.urls, row.ips, row.commands, row.credentials) == ("http://1.2.3.4/a", "1.2.3.4", "", True)
