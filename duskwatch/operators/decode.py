@@ -122,14 +122,19 @@ def decoded_phase(text: Column) -> Column:
 
 
 def text_iocs(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Distinct (key, kind, value): addresses outside private ranges, URLs, digests and e-mail addresses."""
+    """Distinct (key, kind, value): addresses outside private ranges, IPv6 addresses, URLs, digests, e-mail addresses, and
+    domains but for well-known ones, names of files and what is as short as one."""
 
     def named(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     kinds = [named(k, F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(p), F.lit(0)))) for k, p in rules.IOC_PATTERNS.items()]
     out = df.select(key, F.explode(F.flatten(F.array(*kinds))).alias("x")).select(key, "x.*")
-    return out.where((F.col("kind") != "ipv4") | (S.ip_class(F.col("value")) == "EXTERNAL"))
+    low = F.lower("value")
+    name, tld = F.substring_index(low, ".", 1), F.substring_index(low, ".", -1)
+    short = (F.length(low) - F.length(F.replace(low, F.lit("."), F.lit(""))) == 1) & (F.length(low) < 20) & (F.length(name) < 12) & (F.length(tld) <= 4)
+    no_domain = F.exists(F.array(*map(F.lit, rules.NO_DOMAINS)), lambda x: low.contains(x)) | tld.isin(rules.FILE_ENDINGS) | short
+    return out.where(F.when(F.col("kind") == "ipv4", S.ip_class(F.col("value")) == "EXTERNAL").when(F.col("kind") == "domain", ~no_domain).otherwise(True))
 
 
 def ioc_table(ev: DataFrame) -> DataFrame:
@@ -216,7 +221,9 @@ def _lines(s, d):
 
 
 _L = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
-_IOC = " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for k, p in rules.IOC_PATTERNS.items())
+#: Letters outside ASCII are part of words, which DuckDB's \\b doesn't know.
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
+_IOC = " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all({_ASCII if k == 'domain' else 'text'}, '{p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for k, p in rules.IOC_PATTERNS.items())
 _PRIVATE = "regexp_matches(value, '^(10\\.|127\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.0\\.0\\.0$)')"
 _PHASE = "CASE WHEN regexp_matches(lower(command_line), 'whoami|ipconfig|systeminfo|hostname') THEN 'recon' WHEN regexp_matches(lower(command_line), 'mimikatz|lsass|procdump|password') THEN 'credential' WHEN regexp_matches(lower(command_line), 'wmic|psexec|invoke-') THEN 'lateral' WHEN regexp_matches(lower(command_line), 'net user|net group|dir |tasklist') THEN 'discovery' WHEN regexp_matches(lower(command_line), 'cmd|powershell|download') THEN 'execution' ELSE 'other' END"
 
@@ -240,7 +247,6 @@ QUERIES = {
     "ioc_by_type": _ev(lambda ev: ioc_table(ev).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "HIGH").alias("high"))),
     "risk_sort": _ev(lambda ev: ioc_table(ev).select("kind", "value", "risk").orderBy(S.severity_rank(F.col("risk")), "value")),
     "path_registry_iocs": _ev(path_registry_iocs),
-    "scan_strings_iocs": lambda s, d: text_iocs(table(s, d, "pages").select("page_id", F.col("html")), "page_id", "html").where("kind IN ('url', 'email')"),
     "xor_bruteforce": lambda s, d: xor_bruteforce(_lines(s, d).select("doc_id", F.encode("line", "UTF-8").alias("data")), "doc_id", "data"),
     "batch_var_expand": _ev(lambda ev: batch_var_expand(ev.select("row_id", F.concat(F.lit("set a="), F.col("process_name"), F.lit("\necho %a:~0,3%%a%")).alias("t")), "row_id", "t")),
 }
@@ -259,10 +265,9 @@ ORACLES = {
     "obf_types": f"WITH {SEC} SELECT row_id, CASE WHEN regexp_matches(command_line, '[`^]') THEN 'filler' ELSE '' END AS types FROM sec",
     "script_type": f"WITH {SEC} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'powershell' WHEN 1 THEN 'batch' WHEN 3 THEN 'javascript' ELSE CASE WHEN regexp_matches(command_line, '(?i)\\$[a-z]+\\s*=|invoke-') THEN 'powershell' WHEN regexp_matches(command_line, '(?i)@echo|%[a-z]+%') THEN 'batch' WHEN regexp_matches(command_line, '(?i)\\bfunction\\b|\\bvar\\b') THEN 'javascript' ELSE 'unknown' END END AS type FROM sec",
     "decoded_phase": f"WITH {SEC} SELECT row_id, {_PHASE} AS phase FROM sec",
-    "text_iocs": f"SELECT * FROM ({_IOC}) WHERE kind <> 'ipv4' OR NOT {_PRIVATE}",
+    "text_iocs": f"SELECT * FROM ({_IOC}) WHERE CASE kind WHEN 'ipv4' THEN NOT {_PRIVATE} WHEN 'domain' THEN NOT regexp_matches(value, '(?i){'|'.join(re.escape(x) for x in rules.NO_DOMAINS)}|[.]({'|'.join(rules.FILE_ENDINGS)})$') AND NOT (length(value) < 20 AND regexp_matches(value, '^[^.]{{1,11}}[.][^.]{{1,4}}$')) ELSE true END",
     "ioc_table": f"WITH {SEC}, x AS (SELECT timestamp_utc, username, process_name, 'ipv4' AS kind, dest_ip AS value FROM sec WHERE dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5') UNION ALL SELECT timestamp_utc, username, process_name, 'url', unnest(regexp_extract_all(command_line, 'https?://[^\\s<>\"'']+')) FROM sec) SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(*) AS n, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, CASE WHEN kind = 'url' THEN 'HIGH' WHEN count(DISTINCT username) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x GROUP BY kind, value",
     "path_registry_iocs": f"WITH {SEC} SELECT DISTINCT * FROM (SELECT 'path' AS kind, file_path AS value, regexp_matches(lower(file_path), '\\\\(temp|public|appdata|downloads)\\\\') AS suspicious FROM sec UNION ALL SELECT 'registry', registry_key, regexp_matches(lower(registry_key), 'currentversion\\\\run|\\\\services\\\\') FROM sec)",
-    "scan_strings_iocs": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT DISTINCT page_id, '{k}' AS kind, unnest(regexp_extract_all(html, '{rules.IOC_PATTERNS[k].replace(chr(39), chr(39) * 2)}')) AS value FROM pages" for k in ("url", "email")) + ")",
     "batch_var_expand": f"WITH {SEC} SELECT row_id, 'set a=' || process_name || chr(10) || 'echo ' || left(process_name, 3) || process_name AS expanded FROM sec",
 }
 ORACLES["ioc_by_type"] = f"SELECT kind, count(*) AS n, count(*) FILTER (risk = 'HIGH') AS high FROM ({ORACLES['ioc_table']}) GROUP BY 1"

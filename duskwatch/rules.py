@@ -154,6 +154,8 @@ INTENTS = {
 # Indicator patterns of free text.
 IOC_PATTERNS = {
     "ipv4": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
+    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "domain": r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b",
     "url": r"https?://[^\s<>\"']+",
     "md5": r"\b[a-fA-F0-9]{32}\b",
     "sha1": r"\b[a-fA-F0-9]{40}\b",
@@ -161,6 +163,13 @@ IOC_PATTERNS = {
     "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
 }
 
+# Parts that no domain of interest holds, and endings that files have.
+NO_DOMAINS = [
+    "microsoft.com", "windows.com", "windowsupdate.com", "google.com", "googleapis.com", "gstatic.com", "amazon.com", "amazonaws.com", "cloudflare.com", "cloudflare-dns.com", "localhost", "local",
+    ".exe", ".dll", ".sys", ".com", ".bat", ".cmd", ".ps1", ".log", ".txt", ".json", ".xml", ".csv", ".dat", ".tmp", ".dmp", ".evtx", ".etl", ".msi", ".cab",
+]
+FILE_ENDINGS = ["exe", "dll", "sys", "com", "bat", "cmd", "log", "txt", "dat", "dmp", "msi"]
+
 # Programs of the system and the only parents that start them; programs that documents exploit and
 # the parents that open those; words of credential dumpers.
 SYSTEM_PARENTS = {
