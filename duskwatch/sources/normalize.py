@@ -169,15 +169,6 @@ CLOUD = {
 }
 
 
-def detect_format(df: DataFrame) -> DataFrame:
-    """The format of each line: the first that fits, in the order of the list."""
-    tests = [("vpcflow", rf"^2 \S+ \S+ {IP} {IP} "), ("asa", r"%ASA-\d-\d+"), ("access", rf"^{IP} \S+ \S+ \["), ("syslog", r"^(?:<\d+>)?[A-Z][a-z]{2}\s+\d+ \d\d:"), ("squid", r"^\d+\.\d+\s+\d+ \d"), ("jsonl", r"^\s*\{"), ("csv", r"^[^,]+,[^,]+")]
-    out = F.when(F.col("value").rlike(tests[0][1]), tests[0][0])
-    for n, p in tests[1:]:
-        out = out.when(F.col("value").rlike(p), n)
-    return df.select("row_id", out.otherwise("unknown").alias("format"))
-
-
 def norm_csv(spark, path: str, aliases: dict[str, list[str]]) -> DataFrame:
     """Any CSV with a header: event columns by the first alias that the file has."""
     raw = spark.read.option("header", "true").csv(path)
@@ -260,7 +251,6 @@ QUERIES = {
     "norm_paloalto": _from("paloalto", norm_paloalto),
     "norm_jsonl": _from("jsonl", norm_jsonl),
     "norm_suricata": _from("suricata", norm_suricata),
-    "detect_format": lambda s, d: detect_format(_lines("access")(s, d).where("row_id % 3 = 0").union(_lines("vpcflow")(s, d).where("row_id % 3 = 1")).union(_lines("jsonl")(s, d).where("row_id % 3 = 2"))),
     **{name: _cloud(name) for name in CLOUD},
 }
 ORACLES = {
@@ -276,7 +266,6 @@ ORACLES = {
     "norm_paloalto": f"WITH {SEC} SELECT row_id, CASE WHEN k % 2 = 0 THEN 'THREAT' ELSE 'TRAFFIC' END AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS source_port, CAST(80 AS BIGINT) AS dest_port, CASE WHEN k % 3 = 0 THEN 'high' ELSE 'info' END AS severity FROM sec",
     "norm_jsonl": f"WITH {SEC} SELECT row_id, {_SEC_TS}, 'JSONL_' || event_type AS event_type, username, source_ip FROM sec",
     "norm_suricata": f"WITH {SEC} SELECT row_id, {_SEC_TS}, 'Suricata_alert' AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, 'http://' || query_name || uri AS uri, CASE k % 5 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS severity FROM sec",
-    "detect_format": f"WITH {SEC} SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'access' WHEN 1 THEN 'vpcflow' ELSE 'jsonl' END AS format FROM sec",
     **{name: _cloud_sql(name) for name in CLOUD},
 }
 ORACLES["norm_nginx"] = ORACLES["norm_apache"]

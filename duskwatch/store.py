@@ -23,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
-def stored(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; ``over``, an earlier result that nothing will read again, is deleted."""
+def stored(df: DataFrame, over: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; ``over``, an earlier result that nothing will read
+    again, is deleted. With ``by``, one folder for each value of that column: a filter on it reads only its own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     if over is not None:
