@@ -23,7 +23,9 @@ from .store import cut, documents, keyed, text_digests, unpacked, with_found
 #: Shorter sentences are joined to units of JOINED_WORDS; a passage of repeated units has at least PASSAGE_WORDS words.
 UNIT_WORDS, JOINED_WORDS, PASSAGE_WORDS = 3, 8, 20
 _UNIT = re.compile(r"[^\n.!?…]+[.!?…]*|[.!?…]+")
-SPAN = "struct<start:bigint,`end`:bigint,words:bigint,keeper:bigint>"
+SPAN = "struct<start:bigint,`end`:bigint,words:bigint,keeper:bigint,keepers:array<bigint>>"
+#: A digest is frequent from so many units on; beyond 2^19 x this many units the bound grows, so frequent digests are 2^19 at most.
+FREQUENT = 1 << 14
 
 
 def _digest(words: list[str], kind: bytes) -> bytes:
@@ -95,9 +97,10 @@ def spans_of(own: list[dict], least: int) -> list[dict]:
                 to = max(to, u["ord"] + u["words"])
                 spans[-1]["end"] = max(spans[-1]["end"], u["end"])
                 spans[-1]["words"] = to - spans[-1]["ord"]
+                spans[-1]["keepers"].add(u["keeper"])
             else:
                 to = u["ord"] + u["words"]
-                spans.append({k: u[k] for k in ("ord", "start", "end", "words", "keeper")})
+                spans.append({k: u[k] for k in ("ord", "start", "end", "words", "keeper")} | {"keepers": {u["keeper"]}})
         return spans
 
     out, lines, at = [], runs([u for u in own if u["line"]], 1), 0
@@ -107,18 +110,19 @@ def spans_of(own: list[dict], least: int) -> list[dict]:
             inside.append(lines[at])
             at += 1
         out += [run] if run["words"] >= least else inside
-    return [{k: s[k] for k in ("start", "end", "words", "keeper")} for s in out]
+    return [{k: s[k] for k in ("start", "end", "words", "keeper")} | {"keepers": sorted(s["keepers"], key=lambda x: (x is None, x))} for s in out]
 
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [spans_of(own, least) for own in batch.column(3).to_pylist()]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("keeper", pa.int64())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("keeper", pa.int64()), ("keepers", pa.list_(pa.int64()))]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], ["doc_id", "k1", "k2", "spans"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, spans) of the rows with something to remove; spans are sorted and don't overlap.
+    """(doc_id, k1, k2, spans) of the rows with something to remove; spans are sorted and don't overlap, and name all
+    documents that keep a part of them. Frequent digests, a bounded number, are sent to the tasks that hold the units.
 
     Null and empty texts have no units. Rows that repeat an id and its text count as one document,
     told from others by the digests k1 and k2 of the text; rows without an id rank last. An empty table gives an empty table; columns other
@@ -127,11 +131,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_digests(), "text")
     rows = cut(data.mapInArrow(_unit_rows, "doc_id long, k1 long, k2 long, ord int, start int, `end` int, words int, line boolean, digest binary"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "start", "end")
-    many = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    many = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
     # what overlaps its own first place stays, else nothing would keep the text
     other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))
     apart = other | (F.col("start") >= F.col("first.end"))
-    later = rows.join(many, "digest").where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "start", "end") > F.col("first")).where(apart)
+    many = cut(many)
+    least = max(FREQUENT, rows.count() >> 19)
+    hot = F.broadcast(many.where(F.col("n") > least).drop("n"))
+    common = rows.join(F.broadcast(many.where(F.col("n") > least).select("digest")), "digest", "left_anti").join(many.where(F.col("n") <= least).drop("n"), "digest")
+    later = rows.join(hot, "digest").unionByName(common).where(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2", "start", "end") > F.col("first")).where(apart)
     found = later.groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.collect_set(F.struct("ord", "start", "end", "words", "line", F.col("first.doc_id").alias("keeper")))).alias("us"))
     return found.mapInArrow(lambda b: _merge(b, PASSAGE_WORDS), f"doc_id long, k1 long, k2 long, spans array<{SPAN}>").where(F.size("spans") > 0)
 
@@ -156,5 +164,5 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     return rows.select(
         "doc_id", "n_chars", F.size(cuts).cast("long").alias("n_removed"), F.aggregate(cuts, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
-        F.transform(cuts, lambda s: s["start"]).alias("starts"), F.transform(cuts, lambda s: s["end"]).alias("ends"), F.array_sort(F.array_distinct(F.transform(cuts, lambda s: s["keeper"]))).alias("kept_in"),
+        F.transform(cuts, lambda s: s["start"]).alias("starts"), F.transform(cuts, lambda s: s["end"]).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.transform(cuts, lambda s: s["keepers"])))).alias("kept_in"),
     )

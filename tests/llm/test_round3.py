@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from duskwatch.llm import alignment, hard_negatives, secrets
+from duskwatch.llm import alignment, hard_negatives, secrets, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("pairs", "near", "row_no", "base", "n_a", "key", "odd name")
@@ -205,3 +205,61 @@ def test_marginal_bytes():
     assert secrets.marginal_bytes(random_key, b"some code around", b"") >= 0.9 * secrets.capacity(random_key)
     assert secrets.marginal_bytes(random_key, random_key.encode() + b" = x", b"") < 0.5 * secrets.capacity(random_key)
     assert secrets.marginal_bytes("connectionManagerFactory2", b"", b"connection\nconnectionManagerFactory\n") < 0.6 * secrets.capacity("connectionManagerFactory2")
+
+
+def plain_passages(texts):
+    """starts, ends and keepers by a plain pass: units in order, runs of repeated ones, lines outside of the runs."""
+    first = {}
+    for i, text in texts:
+        for u in substring_dedup.units(text or ""):
+            place = (i is None, -1 if i is None else i, text, u[1], u[2])
+            if u[5] not in first or place < first[u[5]]:
+                first[u[5]] = place
+    out = {}
+    for i, text in texts:
+        own = []
+        for at, start, end, words, line, digest in substring_dedup.units(text or ""):
+            late, keeper, other, _, stop = first[digest]
+            if (late, keeper, other, start, end) != (*first[digest][:3], *first[digest][3:]) or (i, text) != (None if late else keeper, other):
+                if (i, text) != (None if late else keeper, other) or start >= stop:
+                    own.append((at, start, end, words, line, None if late else keeper))
+        spans, lines = [], []
+        for which, gap, found in ((lambda u: True, 0, spans), (lambda u: u[4], 1, lines)):
+            for u in sorted((u for u in own if which(u)), key=lambda u: u[:4]):
+                if found and u[0] <= found[-1][1] - gap:
+                    last = found[-1]
+                    last[1], last[3] = max(last[1], u[0] + u[3]), max(last[3], u[2])
+                    last[4].add(u[5])
+                else:
+                    found.append([u[0], u[0] + u[3], u[1], u[2], {u[5]}])
+        kept = []
+        for s in spans:
+            kept += [s] if s[1] - s[0] >= substring_dedup.PASSAGE_WORDS else [x for x in lines if s[0] <= x[0] < s[1]]
+        out[i, text] = ([s[2] for s in kept], [s[3] for s in kept], sorted({k for s in kept for k in s[4]}, key=lambda k: (k is None, k or 0)))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 14, 2])
+def test_passages_query(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)  # with 2, common digests go by the broadcast
+    rng = random.Random(8)
+    sentences = [" ".join(rng.choice("one two three four five six seven eight nine ten".split()) + str(rng.randrange(30)) for _ in range(rng.randrange(2, 14))) + "." for _ in range(12)]
+    texts = []
+    for i in range(40):
+        parts = [rng.choice(sentences) if rng.random() < 0.6 else f"own{i} word{j} here{i} once{j}." for j in range(rng.randrange(1, 9))]
+        texts.append((i, "".join(p + rng.choice([" ", "\n"]) for p in parts)))
+    texts += [(40, None), (41, ""), (None, texts[3][1]), (None, texts[5][1] + "more. of. it."), (7, texts[7][1]), (8, texts[7][1] + "tail.")]
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) + "." for x in "ab")
+    texts += [(50, a + " own"), (51, b + " own too"), (52, f"{a} {b}")]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = plain_passages(texts)
+    got = substring_dedup.op6_substring_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append((r.starts, r.ends, r.kept_in))
+    wanted = collections.defaultdict(list)
+    for i, text in texts:
+        wanted[i].append(want[i, text])
+    assert {i: sorted(map(str, x)) for i, x in by_id.items()} == {i: sorted(map(str, x)) for i, x in wanted.items()}
+    assert by_id[52][0][2] == [50, 51]
