@@ -21,14 +21,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
     """Whole texts and 0/1 labels of at most ``most`` labelled rows outside the held-out fold.
 
     The sample takes the ids of least hash, half of the room for each class where both have as many,
-    and none of it depends on the order of rows. Null labels, ids and texts are left out.
+    and none of it depends on the order of rows. Of an id's rows one text, that of least hash, is taken. Null labels, ids and texts are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     order = F.xxhash64(F.lit("training sample"), "doc_id")
     some = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most // 2) for y in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # at most ``most`` rows of two numbers
-    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "y").toPandas()
+    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     return rows["text"].tolist(), rows["y"].to_numpy(np.float64)
 
