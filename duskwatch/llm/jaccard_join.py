@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import BROADCAST_ROWS, cut, documents, keyed_rows
+from .store import BROADCAST_ROWS, cut, documents, keyed_rows, settled
 from .words import list_array, mix, row_groups, shingle_hashes, text_buffer, word_hashes
 
 BUCKETS = 64
@@ -347,8 +347,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share an id stay or go together; rows without an id stay.
     """
-    found = join(docs, k, percent)
-    gone = cut(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    gone = settled(lambda: join(docs, k, percent).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # packed: no name of theirs can clash
     kept = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("id") == F.col("gone"), "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

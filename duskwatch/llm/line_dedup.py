@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, discard, documents, keyed, keyed_rows, text_digests, unpacked, with_found, words_of
+from .store import BROADCAST_ROWS, cut, discard, documents, keyed, keyed_rows, settled, text_digests, unpacked, with_found, words_of
 
 PERCENT = 80
 #: Lines of fewer words are kept: every line with a word is compared.
@@ -188,7 +188,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A document whose lines all go keeps an empty text.
     """
-    both = with_found(keyed(docs), removed_lines(docs))
+    both = with_found(keyed(docs), settled(lambda: removed_lines(docs)))
     left = F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     return unpacked(both, docs.columns, F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")))
 

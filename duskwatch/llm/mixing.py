@@ -107,12 +107,13 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     columns are not read unless named.
     """
     words = F.size(words_of(docs["text"])).cast("long")
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("source").alias("source"), words.alias("size"), F.xxhash64("doc_id", "text", "source").alias("hash"), F.spark_partition_id().alias("part"))
-    rows = cut(rows)  # the parts are fixed from here on
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("source").alias("source"), words.alias("size"), F.xxhash64("doc_id", "text", "source").alias("hash"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"))
+    whole = cut(rows)  # the parts are fixed from here on
+    rows = whole.drop("row")  # what a row holds is exchanged once, at the end
     # equal rows are numbered within their part, behind those of the parts before it: no task has all copies of a row
     counts = rows.groupBy("hash", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("hash").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("hash", "part", "before")
-    rows = rows.withColumn("nr", F.row_number().over(W.partitionBy("hash", "part").orderBy("size"))).join(before, ["hash", "part"])
+    rows = rows.withColumn("nr", F.row_number().over(W.partitionBy("hash", "part").orderBy("rid"))).join(before, ["hash", "part"])
     rows = rows.withColumn("key", F.xxhash64("hash", F.col("before") + F.col("nr"))).drop("nr", "before", "part")
     total = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     rows = rows.join(total.withColumnRenamed("source", "_s"), rows["source"].eqNullSafe(F.col("_s"))).drop("_s")
@@ -122,7 +123,8 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     # one verdict for each key of a source: two keys that are equal by chance can't multiply rows
     up = settle(open_).groupBy(F.col("source").alias("_s"), F.col("key").alias("_k")).agg(F.max("up").alias("up"))
     rows = rows.join(up, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k").withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + F.coalesce("up", F.lit(0))).otherwise(0))
-    return rows.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    rows = rows.select("rid", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return whole.select("rid", "row").join(rows, "rid").select("row.*", "size", "source_size", "target", "copies", "taken")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

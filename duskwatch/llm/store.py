@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ BROADCAST_ROWS = 1 << 20
 
 
 _local: list[str] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,9 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written to the shared folder; the tables that it cut on its way are then deleted."""
+    _scopes.append([])
+    try:
+        out = make()
+    finally:
+        made = _scopes.pop()
+    out = cut(out)
+    discard(*made)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` returned and that nothing will read again."""
     for df in tables:
