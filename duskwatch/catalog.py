@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate", "functions.queries", "functions.flatten", "operators.detect", "operators.relate", "operators.processes", "operators.decode", "operators.layers", "operators.spans", "operators.findings", "operators.claims", "operators.exported", "sources.normalize", "sources.headers", "sources.router", "sources.exports")
+MODULES = ("operators.aggregate", "functions.queries", "functions.flatten", "operators.detect", "operators.relate", "operators.processes", "operators.decode", "operators.layers", "operators.spans", "operators.findings", "operators.claims", "operators.exported", "sources.normalize", "sources.headers", "sources.router", "sources.exports", "sources.memory", "sources.scripts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

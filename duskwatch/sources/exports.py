@@ -178,15 +178,6 @@ def norm_usn(df: DataFrame) -> DataFrame:
     return out.groupBy("timestamp_utc", "event_type", "file_path").agg(F.min("row_id").alias("row_id"), F.min("severity").alias("severity"))
 
 
-def norm_memory_json(df: DataFrame) -> DataFrame:
-    """Rows of memory tools as JSON with the plugin's name; injected code, hidden processes and loader gaps are high."""
-    plugin = F.lower(F.element_at(F.split(_json("plugin"), r"\."), -1))
-    name, pid = _json("ImageFileName", "Process", "Owner", "Name"), _json("PID", "Pid", "pid").try_cast("bigint")
-    listed = [F.lower(F.coalesce(_json(k), F.lit("true"))) == "true" for k in ("InLoad", "InInit", "InMem")]
-    severity = F.when(plugin.isin("malfind", "psxview", "hashdump"), "high").when((plugin == "ldrmodules") & ~(listed[0] & listed[1] & listed[2]), "high").when(plugin.isin("callbacks", "ssdt"), "medium").when(plugin == "userassist", "low").otherwise("info")
-    return df.where(plugin.isNotNull()).select("row_id", F.concat(F.lit("Memory_"), F.when(plugin == "info", "system_info").otherwise(plugin)).alias("event_type"), name.alias("process_name"), pid.alias("process_id"), _json("PPID").try_cast("bigint").alias("parent_process_id"), _json("Args", "CommandLine", "Path").alias("command_line"), _json("ForeignAddr").alias("dest_ip"), _json("ForeignPort").try_cast("bigint").alias("dest_port"), severity.alias("severity"))
-
-
 def norm_packet_json(df: DataFrame) -> DataFrame:
     """Packets as JSON of layers whose fields are arrays: the first value counts; a later protocol names the event."""
     at = lambda k: F.get_json_object("value", f"$.layers['{k}'][0]")
@@ -194,20 +185,6 @@ def norm_packet_json(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.timestamp_micros((at("frame.time_epoch").try_cast("double") * 1_000_000).cast("long")).alias("timestamp_utc"), F.concat(F.lit("PCAP_"), kind).alias("event_type"), at("ip.src").alias("source_ip"), at("ip.dst").alias("dest_ip"), F.coalesce(at("tcp.dstport"), at("udp.dstport")).try_cast("bigint").alias("dest_port"), at("http.request.method").alias("http_method"), F.coalesce(at("http.request.uri"), at("dns.qry.name")).alias("uri"))
 
 
-SCRIPT_VALUES = {"ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "url": r"https?://[^\s'\"<>)]+", "path": r"[A-Za-z]:\\[^\s'\"<>|*?,]+", "unc": r"\\\\[A-Za-z0-9._-]+\\[^\s'\"<>|]+", "registry": r"HK(?:LM|CU|CR)\\[^\s'\"]+"}
-
-
-def norm_script(df: DataFrame) -> DataFrame:
-    """Values named in scripts (row_id, value = whole text), each once for each script with its first line, from 1."""
-    lines = df.select("row_id", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("found")))
-
-    found = F.flatten(F.array(*[named(k, p) for k, p in SCRIPT_VALUES.items()]))
-    return lines.select("row_id", (F.col("at") + 1).cast("long").alias("line"), F.explode(found).alias("x")).groupBy("row_id", F.col("x.kind").alias("kind"), F.col("x.found").alias("found")).agg(F.min("line").alias("line"))
-
-
 def _ev(f):
     return lambda s, d: f(security_events(s, d))
 
@@ -245,7 +222,6 @@ def _event_xml(ev: DataFrame) -> DataFrame:
 _WORDS = ["Threat found in x", "Scan failed", "Real-time disabled", "All fine", "Warning: old"]
 _URLS = ["https://pastebin.com/x", "https://example.org/a", "http://bit.ly/q", "https://mega.nz/f", "http://intra.example.net/"]
 _CACHED = ["C:\\Windows\\Temp\\a.exe", "C:\\Windows\\System32\\calc.exe", "C:\\Tools\\PsExec.exe", "C:\\Users\\Public\\b.exe", "C:\\Program Files\\x\\y.exe"]
-_PLUGINS = ["windows.pslist", "windows.malfind", "windows.netscan", "windows.ldrmodules", "windows.info", "windows.ssdt", "windows.userassist"]
 _NAMES = ["report.docx", "evil.exe", "CERTUTIL.EXE-1234.pf", "shell.aspx", "notes.txt"]
 _REASONS = [0x100, 0x200, 0x2000, 0x802, 0x101, 0x3, 0x80]
 
@@ -276,11 +252,6 @@ def _payload_rows(ev: DataFrame) -> DataFrame:
     return _event_rows(ev).select("row_id", *[_lookup(maps, [k]).alias(k.lower()) for k in ("Image", "CommandLine", "ServiceName", "TargetObject")])
 
 
-def _script(ev: DataFrame) -> DataFrame:
-    text = F.concat_ws("\n", F.concat(F.lit("rem "), "command_line"), F.concat(F.lit("copy "), "file_path", F.lit(" \\\\srv\\share\\x")), F.concat(F.lit("ping "), "dest_ip"), F.concat(F.lit("ping -n 2 "), "dest_ip"))
-    return norm_script(ev.select("row_id", text.alias("value")))
-
-
 QUERIES = {
     "norm_winevent_rows": _ev(lambda ev: norm_winevent_rows(_event_rows(ev)).drop("parent_process_id")),
     "norm_winevent_xml": _ev(lambda ev: norm_winevent_xml(_event_xml(ev)).drop("parent_process_id")),
@@ -291,9 +262,7 @@ QUERIES = {
     "norm_shimcache": _ev(lambda ev: norm_shimcache(ev.select("row_id", F.when(F.col("k") % 2 == 0, F.to_json(F.struct(_of(_CACHED).alias("Path"), _AT("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("LastModified"), F.lit("Yes").alias("Executed")))).otherwise(F.to_json(F.struct(_of(_CACHED).alias("FullPath"), _AT("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("LastWriteTime")))).alias("value")))),
     "norm_browser": _ev(_browser),
     "norm_usn": _ev(lambda ev: norm_usn(ev.select("row_id", F.date_trunc("hour", "timestamp_utc").alias("timestamp_utc"), _of(_REASONS, "k").alias("reason"), _of(_NAMES).alias("file_path")))),
-    "norm_memory_json": _ev(lambda ev: norm_memory_json(ev.select("row_id", F.to_json(F.struct(_of(_PLUGINS).alias("plugin"), F.col("process_name").alias("ImageFileName"), F.col("process_id").alias("PID"), F.col("parent_process_id").alias("PPID"), F.when(F.col("row_id") % 7 == 2, F.col("dest_ip")).alias("ForeignAddr"), F.when(F.col("row_id") % 7 == 3, F.col("k") % 2 == 0).alias("InMem"))).alias("value"))).drop("command_line", "dest_port")),
     "norm_packet_json": _ev(_packet),
-    "norm_script": _ev(_script),
 }
 
 _HEAD = "date_trunc('second', timestamp_utc) AS timestamp_utc, CASE WHEN k % 3 = 0 THEN 'Sysmon_' || event_code || '_' || CASE event_code {} ELSE CAST(event_code AS VARCHAR) END {} ELSE CASE WHEN k % 3 = 1 THEN 'Security' ELSE 'System' END END AS event_type, CAST(event_code AS VARCHAR) AS event_id, source_system".format(
@@ -315,7 +284,5 @@ ORACLES = {
     "norm_shimcache": f"WITH {SEC} SELECT row_id, date_trunc('second', timestamp_utc) AS timestamp_utc, 'Shimcache' AS event_type, {_list(_CACHED)} AS file_path, {_list(['a.exe', 'calc.exe', 'PsExec.exe', 'b.exe', 'y.exe'])} AS process_name, CASE WHEN row_id % 5 IN (0, 2, 3) THEN 'high' WHEN k % 2 = 0 THEN 'low' ELSE 'info' END AS severity FROM sec",
     "norm_browser": f"WITH {SEC} SELECT row_id, CASE WHEN k % 3 = 2 THEN date_trunc('second', timestamp_utc) ELSE timestamp_utc END AS timestamp_utc, CASE k % 3 WHEN 0 THEN 'Browser_Chrome' WHEN 1 THEN 'Browser_Firefox' ELSE 'Browser' END AS event_type, {_list(_URLS)} AS uri, CASE WHEN row_id % 5 IN (0, 2, 3) THEN 'medium' ELSE 'info' END AS severity FROM sec",
     "norm_usn": f"WITH {SEC}, {_USN}, e AS (SELECT *, 'USN_FileCreated' AS event_type, CASE WHEN regexp_matches(file_path, '(exe|aspx)$') THEN 'medium' ELSE 'info' END AS severity FROM u WHERE reason & 256 <> 0 UNION ALL SELECT *, 'USN_FileDeleted', 'high' FROM u WHERE reason & 512 <> 0 UNION ALL SELECT *, 'USN_FileRenamed', 'medium' FROM u WHERE reason & 8192 <> 0 UNION ALL SELECT *, 'USN_SecurityChanged', 'medium' FROM u WHERE reason & 2048 <> 0 UNION ALL SELECT *, 'USN_FileModified', 'medium' FROM u WHERE reason & 3 <> 0 AND regexp_matches(file_path, '(exe|aspx)$') UNION ALL SELECT *, 'USN_LOLBin_Detected', 'high' FROM u WHERE file_path LIKE 'CERTUTIL%') SELECT timestamp_utc, event_type, file_path, min(row_id) AS row_id, min(severity) AS severity FROM e GROUP BY 1, 2, 3",
-    "norm_memory_json": f"WITH {SEC} SELECT row_id, 'Memory_' || {_list(['pslist', 'malfind', 'netscan', 'ldrmodules', 'system_info', 'ssdt', 'userassist'])} AS event_type, process_name, process_id, parent_process_id, CASE WHEN row_id % 7 = 2 THEN dest_ip END AS dest_ip, CASE row_id % 7 WHEN 1 THEN 'high' WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'info' ELSE 'high' END WHEN 5 THEN 'medium' WHEN 6 THEN 'low' ELSE 'info' END AS severity FROM sec",
     "norm_packet_json": f"WITH {SEC} SELECT row_id, date_trunc('millisecond', timestamp_utc) AS timestamp_utc, CASE k % 3 WHEN 0 THEN 'PCAP_HTTP' WHEN 1 THEN 'PCAP_DNS' ELSE 'PCAP_TCP' END AS event_type, source_ip, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, CASE WHEN k % 3 = 0 THEN http_method END AS http_method, CASE k % 3 WHEN 0 THEN uri WHEN 1 THEN query_name END AS uri FROM sec",
-    "norm_script": f"WITH {SEC}, x AS (SELECT row_id, unnest([struct_pack(n := 1, t := 'rem ' || command_line), struct_pack(n := 2, t := 'copy ' || file_path || ' \\\\srv\\share\\x'), struct_pack(n := 3, t := 'ping ' || dest_ip), struct_pack(n := 4, t := 'ping -n 2 ' || dest_ip)], recursive := true) FROM sec), y AS (" + " UNION ALL ".join(f"SELECT row_id, n, '{k}' AS kind, unnest(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}')) AS found FROM x" for k, p in SCRIPT_VALUES.items()) + ") SELECT row_id, kind, found, CAST(min(n) AS BIGINT) AS line FROM y GROUP BY 1, 2, 3",
 }
