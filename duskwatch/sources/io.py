@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,38 @@ def sink_ioc_csv(iocs: DataFrame, path: str, least: int = 50) -> None:
     iocs.where(F.col("score") >= least).write.mode("overwrite").option("header", "true").csv(f"{path}/high")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of each file below a path."""
+#: Larger files are listed without a digest: a file's content is one value of a row.
+LARGEST = 1 << 30
+
+
+def manifest(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
+    """(path, size, modified, sha256) of each file below a folder, by its path from there. Files of more than ``largest`` bytes have no digest; empty files are not listed, as Spark
+    reads none."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    name = F.substring_index(F.col("path"), f"{root}/", -1)
+    small = files.where(F.col("length") <= largest).select(name.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > largest).select(name.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large)
 
 
 def verify_manifest(known: DataFrame, now: DataFrame) -> DataFrame:
-    """Files of a manifest that are missing or changed."""
-    j = known.join(now.select("name", F.col("sha256").alias("now")), "name", "left")
-    return j.where(F.col("now").isNull() | (F.col("now") != F.col("sha256"))).select("name", F.when(F.col("now").isNull(), "missing").otherwise("modified").alias("state"))
+    """(path, state) of the files of two manifests that differ: ``added``, ``missing`` or ``changed``, by path, so that files of one
+    name in two folders are told apart; without a digest on either side, sizes are compared."""
+    j = known.select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"), F.lit(True).alias("_known")).join(now.select("path", "size", "sha256", F.lit(True).alias("_now")), "path", "full_outer")
+    same = F.when(F.col("_sha").isNull() | F.col("sha256").isNull(), F.col("_size") == F.col("size")).otherwise(F.col("_sha") == F.col("sha256"))
+    state = F.when(F.col("_known").isNull(), "added").when(F.col("_now").isNull(), "missing").when(~F.coalesce(same, F.lit(False)), "changed")
+    return j.select("path", state.alias("state")).where("state IS NOT NULL")
+
+
+def altered(files: DataFrame) -> DataFrame:
+    """A manifest as it was before: without the table of nations, with another digest for the regions and one file more."""
+    past = files.where("path NOT LIKE 'nation%'").withColumn("sha256", F.when(F.col("path").startswith("region"), "0").otherwise(F.col("sha256")))
+    return past.unionByName(files.orderBy("path").limit(1).withColumn("path", F.lit("sub/gone.parquet")))
+
+
+QUERIES = {
+    "hash_manifest": lambda s, d: manifest(s, d).select("path", "size", "sha256"),
+    "verify_manifest": lambda s, d: verify_manifest(altered(now := manifest(s, d)), now),
+}
+ORACLES = {"verify_manifest": "SELECT 'nation.parquet' AS path, 'added' AS state UNION ALL SELECT 'region.parquet', 'changed' UNION ALL SELECT 'sub/gone.parquet', 'missing'"}

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from duskwatch.schema import EVENT_SCHEMA
@@ -15,6 +17,7 @@ def test_round_trip_and_manifest(spark, tmp_path):
     changed = known.withColumn("sha256", F.lit("0"))
     assert io.verify_manifest(changed, known).count() == known.count()
     assert io.verify_manifest(known, known.limit(0)).first().state == "missing"
+    assert io.verify_manifest(known.limit(0), known).where("state <> 'added'").isEmpty()
 
 
 def test_csv_and_lines(spark, tmp_path):
@@ -25,3 +28,24 @@ def test_csv_and_lines(spark, tmp_path):
     got = normalize.norm_syslog(lines, 2024).collect()
     assert len(got) == 1 and got[0].username == "root" and got[0].source_port == 22
     assert normalize.rejects(lines, "^<").first().value == "junk"
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, text in (("x.log", "one"), ("a/x.log", "two"), ("a/b/y", ""), ("a/big", "z" * 50)):
+        (tmp_path / name).write_text(text)
+    files = io.manifest(spark, str(tmp_path), largest=40)
+    got = {r.path: (r.size, r.sha256) for r in files.collect()}
+    assert got == {n: (len(t), hashlib.sha256(t.encode()).hexdigest() if len(t) <= 40 else None) for n, t in (("x.log", "one"), ("a/x.log", "two"), ("a/big", "z" * 50))}
+    known = spark.createDataFrame([("x.log", 3, got["a/x.log"][1]), ("a/x.log", 3, got["a/x.log"][1]), ("gone", 1, "0"), ("a/big", 49, None), ("a/b/y", 0, None)], "path string, size long, sha256 string")
+    assert sorted(tuple(r) for r in io.verify_manifest(known, files).collect()) == [("a/b/y", "missing"), ("a/big", "changed"), ("gone", "missing"), ("x.log", "changed")]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("ipv4", "1.2.3.4", 80), ("url", "http://x/,\"q\"", 10)], "kind string, value string, score int")
+    io.sink_ioc_csv(rows, str(tmp_path / "csv"))
+    back = spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "csv" / "all"))
+    assert sorted((r.kind, r.value) for r in back.collect()) == [("ipv4", "1.2.3.4"), ("url", 'http://x/,"q"')]
+    assert [r.value for r in spark.read.option("header", "true").csv(str(tmp_path / "csv" / "high")).collect()] == ["1.2.3.4"]
+    io.sink_json(rows, str(tmp_path / "json"))
+    assert sorted(r.value for r in spark.read.json(str(tmp_path / "json")).collect()) == ["1.2.3.4", 'http://x/,"q"']
