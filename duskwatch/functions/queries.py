@@ -55,21 +55,10 @@ QUERIES = {
     "host_from_file": _ev(lambda ev: ev.select("row_id", F.upper(F.regexp_extract(F.concat("source_system", F.lit("_Security_"), "source_file"), "^([A-Za-z0-9-]+)_", 1)).alias("host"))),
     "canonical_coalesce": _ev(lambda ev: ev.select("row_id", F.coalesce(F.when(F.col("row_id") % 3 == 0, F.col("command_line")), F.when(F.col("row_id") % 3 == 1, F.col("process_name")), F.col("service_name")).alias("command"))),
     "col_normalize": lambda s, d: table(s, d, "events").select(F.col("event_id").alias("raw_event_id"), F.col("ts").cast("timestamp").alias("timestamp_utc"), F.col("user_id").cast("string").alias("username"), F.coalesce(F.get_json_object("props", "$.none").try_cast("bigint"), F.lit(0)).alias("event_id")),
-    "usn_reasons": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", usn_reasons(F.pmod(F.col("l_partkey") * 3 + F.col("l_linenumber"), F.lit(4096))).alias("reasons")),
 }
 
-# Reason bits of a change journal.
-REASONS = [(0x1, "DATA_OVERWRITE"), (0x2, "DATA_EXTEND"), (0x4, "DATA_TRUNCATION"), (0x100, "FILE_CREATE"), (0x200, "FILE_DELETE"), (0x400, "EA_CHANGE"), (0x800, "SECURITY_CHANGE"), (0x1000, "RENAME_OLD_NAME"), (0x2000, "RENAME_NEW_NAME")]
-
-
-def usn_reasons(bits):
-    """Names of the bits that are set, set apart by commas."""
-    return F.array_join(F.array_compact(F.array(*[F.when(bits.bitwiseAND(b) != 0, F.lit(n)) for b, n in REASONS])), ",")
-
-
 _IPC = "CASE WHEN {0} LIKE '127.%' THEN 'LOOPBACK' WHEN {0} LIKE '169.254.%' THEN 'LINK_LOCAL' WHEN {0} LIKE '10.%' OR {0} LIKE '192.168.%' OR regexp_matches({0}, '^172\\.(1[6-9]|2[0-9]|3[01])\\.') THEN 'INTERNAL' ELSE 'EXTERNAL' END"
 _PC = "CASE WHEN {0} IN " + _in(rules.SYSTEM_PROCESSES) + " THEN 'SYSTEM_PROCESS' WHEN {0} IN " + _in(rules.WINDOWS_TOOLS) + " THEN 'WINDOWS_TOOL' WHEN {0} IN " + _in(rules.ATTACK_TOOLS) + " THEN 'KNOWN_ATTACK_TOOL' WHEN {0} IN " + _in(rules.WEB_SERVERS) + " THEN 'WEB_SERVER' ELSE 'UNKNOWN' END"
-_REASON_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN ((l_partkey * 3 + l_linenumber) % 4096) & {b} <> 0 THEN '{n}' END" for b, n in REASONS) + "], lambda x: x IS NOT NULL), ',')"
 
 ORACLES = {
     "ip_class": f"WITH {SEC} SELECT row_id, {_IPC.format('dest_ip')} AS dest_class, {_IPC.format('source_ip')} AS source_class FROM sec",
@@ -92,5 +81,4 @@ ORACLES = {
     "host_from_file": f"WITH {SEC} SELECT row_id, upper(source_system) AS host FROM sec",
     "canonical_coalesce": f"WITH {SEC} SELECT row_id, CASE row_id % 3 WHEN 0 THEN command_line WHEN 1 THEN process_name ELSE service_name END AS command FROM sec",
     "col_normalize": "SELECT event_id AS raw_event_id, ts AS timestamp_utc, CAST(user_id AS VARCHAR) AS username, CAST(0 AS BIGINT) AS event_id FROM events",
-    "usn_reasons": f"SELECT l_orderkey, l_linenumber, {_REASON_SQL} AS reasons FROM lineitem",
 }

@@ -201,7 +201,7 @@ QUERIES = {
     "os_indicators": _q(os_hints),
     "web_stats": _q(web_stats),
     "eventid_volume": lambda s, d: id_volume(security_events(s, d), known_ids(s)),
-    "rare_values": lambda s, d: rare_values(security_events(s, d).withColumn("command_line", F.concat("command_line", F.when(F.col("row_id") % 2000 == 0, F.col("row_id").cast("string")).otherwise(""))), RARE_COLUMNS, 2, 3),
+    "rare_values": lambda s, d: rare_values(security_events(s, d).withColumn("command_line", F.concat("command_line", F.when(F.col("row_id") % 2000 == 0, F.col("row_id").cast("string")).otherwise(""))), RARE_COLUMNS),
     "first_seen": _q(first_seen),
     "attack_window": lambda s, d: attack_window(security_events(s, d), security_events(s, d).where("command_line LIKE '%lsass%' AND event_code = 1")),
     "conversations": _q(conversations),
@@ -228,7 +228,7 @@ ORACLES = {
     "os_indicators": f"WITH {SEC} SELECT source_system, CASE WHEN bool_or(file_path LIKE 'C:%') THEN 'Windows' ELSE '' END AS hints FROM sec GROUP BY 1",
     "web_stats": f"WITH {SEC}, m AS (SELECT 'method' AS kind, http_method AS name, count(*) AS n FROM sec GROUP BY 2), s AS (SELECT 'status' AS kind, CAST(status_code AS VARCHAR) AS name, count(*) AS n FROM sec GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20), u AS (SELECT 'uri' AS kind, split_part(uri, '?', 1) AS name, count(*) AS n FROM sec GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20), a AS (SELECT 'agent' AS kind, left(user_agent, 100) AS name, count(*) AS n FROM sec GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10) FROM m UNION ALL FROM s UNION ALL FROM u UNION ALL FROM a",
     "eventid_volume": f"WITH {SEC}, {_KNOWN}, c AS (SELECT source_system, event_code AS id, count(*) AS n FROM sec GROUP BY 1, 2), j AS (SELECT * FROM c JOIN known USING (id)) SELECT source_system, CAST(id AS BIGINT) AS id, n, category, 'volume' AS flag FROM j WHERE n > 2 * expected AND significance IN ('MEDIUM', 'HIGH', 'CRITICAL') UNION ALL SELECT source_system, CAST(id AS BIGINT), n, category, 'significance' FROM j WHERE significance IN ('HIGH', 'CRITICAL')",
-    "rare_values": f"WITH {SEC}, e AS (SELECT * REPLACE (command_line || CASE WHEN row_id % 2000 = 0 THEN CAST(row_id AS VARCHAR) ELSE '' END AS command_line) FROM sec), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, timestamp_utc FROM e" for c in RARE_COLUMNS) + "), n AS (SELECT \"column\", value, count(*) AS n, min(timestamp_utc) AS first, max(timestamp_utc) AS last FROM l GROUP BY 1, 2), m AS (SELECT \"column\", median(n) AS med FROM n GROUP BY 1) SELECT \"column\", value, n, first, last, round(med / n, 6) AS score FROM n JOIN m USING (\"column\") WHERE med > 2 AND n <= 3",
+    "rare_values": f"WITH {SEC}, e AS (SELECT * REPLACE (command_line || CASE WHEN row_id % 2000 = 0 THEN CAST(row_id AS VARCHAR) ELSE '' END AS command_line) FROM sec), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, timestamp_utc FROM e" for c in RARE_COLUMNS) + "), n AS (SELECT \"column\", value, count(*) AS n, min(timestamp_utc) AS first, max(timestamp_utc) AS last FROM l GROUP BY 1, 2), m AS (SELECT \"column\", median(n) AS med FROM n GROUP BY 1) SELECT \"column\", value, n, first, last, round(med / n, 6) AS score FROM n JOIN m USING (\"column\") WHERE med > 50 AND n <= 3",
     "first_seen": f"WITH {SEC} SELECT kind, name, min(timestamp_utc) AS first FROM (SELECT 'user' AS kind, username AS name, timestamp_utc FROM sec UNION ALL SELECT 'process', process_name, timestamp_utc FROM sec UNION ALL SELECT 'ip', source_ip, timestamp_utc FROM sec UNION ALL SELECT 'service', service_name, timestamp_utc FROM sec) GROUP BY 1, 2",
     "attack_window": f"WITH {SEC}, w AS (SELECT min(timestamp_utc) - INTERVAL 30 MINUTE AS b, max(timestamp_utc) AS e FROM sec WHERE command_line LIKE '%lsass%' AND event_code = 1), f AS (SELECT kind, name, min(timestamp_utc) AS first FROM (SELECT 'user' AS kind, username AS name, timestamp_utc FROM sec UNION ALL SELECT 'process', process_name, timestamp_utc FROM sec UNION ALL SELECT 'ip', source_ip, timestamp_utc FROM sec UNION ALL SELECT 'service', service_name, timestamp_utc FROM sec) GROUP BY 1, 2) SELECT kind, name, first, first BETWEEN b AND e AS inside FROM f, w",
     "conversations": f"WITH {SEC} SELECT source_ip, dest_ip, count(*) AS n, count(DISTINCT dest_port) AS ports FROM sec GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20",

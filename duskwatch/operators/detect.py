@@ -62,7 +62,8 @@ def first_of(df: DataFrame, keys: list[str], order: list, k: int | Column, parts
 
 
 def triage_sample(found: DataFrame, critical: int = 200, high: int = 200, medium: int = 100, total: int = 500) -> DataFrame:
-    """Findings by priority: the first critical ones, then the first of each hour up to a quota, and low ones as long as there is room."""
+    """Findings by priority: the first critical ones, then the first of each hour up to a quota, and low ones that don't name splunk
+    as long as there is room."""
     h = found.withColumn("hour", F.date_trunc("hour", "timestamp_utc"))
     columns, order = ["row_id", "pattern", "priority"], ["row_id", "pattern"]
     some = h.where("priority IN (2, 3)")
@@ -73,7 +74,8 @@ def triage_sample(found: DataFrame, critical: int = 200, high: int = 200, medium
     some = first_of(some, ["priority"], ["hour", *order], quota)
     chosen = first_of(h.where("priority = 1"), ["priority"], order, critical).select(columns).unionByName(some.select(columns))
     room = chosen.agg((F.lit(total) - F.count("*")).alias("room")).withColumn("priority", F.lit(4).cast("long"))
-    low = first_of(h.where("priority = 4"), ["priority"], order, total).join(F.broadcast(room), "priority").where("place <= room")
+    quiet = h.where("priority = 4").where(~F.lower("pattern").contains("splunk"))
+    low = first_of(quiet, ["priority"], order, total).join(F.broadcast(room), "priority").where("place <= room")
     return chosen.unionByName(low.select(columns))
 
 
@@ -213,7 +215,7 @@ ORACLES = {
     "custom_rules": f"WITH {SEC} {_sql_scan(CUSTOM)}",
     "fp_suppress": f"WITH {SEC}, m AS ({_sql_scan(rules.SIGNATURES)}) SELECT * FROM m WHERE NOT regexp_matches(matched, '(?i)whoami|^cmd=')",
     "triage_scan": f"WITH {SEC}, {_T} SELECT row_id, pattern, CAST(priority AS BIGINT) AS priority FROM f",
-    "triage_sample": f"WITH {SEC}, {_T}, h AS (SELECT *, date_trunc('hour', timestamp_utc) AS hour FROM f), c AS (SELECT priority, count(DISTINCT hour) AS hours FROM h GROUP BY 1), a AS (SELECT h.*, CASE h.priority WHEN 1 THEN 200 WHEN 2 THEN 200 WHEN 3 THEN 100 END AS quota, hours, row_number() OVER (PARTITION BY h.priority, hour ORDER BY row_id, pattern) AS nr FROM h JOIN c ON h.priority = c.priority), b AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY CASE WHEN priority > 1 THEN hour END, row_id, pattern) AS place FROM a WHERE priority = 1 OR (priority < 4 AND nr <= greatest(1, quota // hours))), k AS (SELECT row_id, pattern, CAST(priority AS BIGINT) AS priority FROM b WHERE place <= quota) SELECT * FROM k UNION ALL SELECT row_id, pattern, CAST(4 AS BIGINT) FROM (SELECT row_id, pattern, row_number() OVER (ORDER BY row_id, pattern) AS nr FROM h WHERE priority = 4) WHERE nr <= 500 - (SELECT count(*) FROM k)",
+    "triage_sample": f"WITH {SEC}, {_T}, h AS (SELECT *, date_trunc('hour', timestamp_utc) AS hour FROM f), c AS (SELECT priority, count(DISTINCT hour) AS hours FROM h GROUP BY 1), a AS (SELECT h.*, CASE h.priority WHEN 1 THEN 200 WHEN 2 THEN 200 WHEN 3 THEN 100 END AS quota, hours, row_number() OVER (PARTITION BY h.priority, hour ORDER BY row_id, pattern) AS nr FROM h JOIN c ON h.priority = c.priority), b AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY CASE WHEN priority > 1 THEN hour END, row_id, pattern) AS place FROM a WHERE priority = 1 OR (priority < 4 AND nr <= greatest(1, quota // hours))), k AS (SELECT row_id, pattern, CAST(priority AS BIGINT) AS priority FROM b WHERE place <= quota) SELECT * FROM k UNION ALL SELECT row_id, pattern, CAST(4 AS BIGINT) FROM (SELECT row_id, pattern, row_number() OVER (ORDER BY row_id, pattern) AS nr FROM h WHERE priority = 4 AND pattern <> 'splunk-powershell') WHERE nr <= 500 - (SELECT count(*) FROM k)",
     "suspicious_event_ids": f"WITH {SEC} SELECT event_code, count(*) AS n FROM sec WHERE event_code IN ({', '.join(map(str, rules.FLAGGED_IDS))}) GROUP BY 1",
     "fe_lolbins": f"WITH {SEC}, l AS ({_LOL}) SELECT * FROM l WHERE indicator IS NOT NULL",
     "lolbin_by_type": f"WITH {SEC}, l AS ({_LOL}) SELECT \"binary\", count(*) AS n FROM l WHERE indicator IS NOT NULL GROUP BY 1",

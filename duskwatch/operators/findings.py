@@ -22,6 +22,7 @@ HYPOTHESES = {
     "Persistence Mechanism": ["schtasks", "service", "7045", "run key", "registry", "startup"],
     "Internal Reconnaissance": ["whoami", "net user", "net group", "systeminfo", "ipconfig", "nltest"],
     "Data Exfiltration": ["compress", "archive", "zip", "rar", "upload", "transfer", "external"],
+    "Defense Evasion": ["clear", "1102", "log", "disable", "tamper", "bypass"],
 }
 # Tactics of the techniques that signatures name, and the order of tactics.
 TACTICS = {"T1003": "Credential Access", "T1003.001": "Credential Access", "T1003.002": "Credential Access", "T1003.003": "Credential Access", "T1047": "Execution", "T1021.002": "Lateral Movement", "T1505.003": "Persistence", "T1033": "Discovery", "T1016": "Discovery", "T1082": "Discovery", "T1057": "Discovery", "T1053.005": "Persistence", "T1547.001": "Persistence", "T1543.003": "Persistence", "T1070.001": "Defense Evasion", "T1070.006": "Defense Evasion", "T1059.001": "Execution", "T1105": "Command and Control"}
@@ -70,10 +71,11 @@ def hypotheses(ev: DataFrame) -> DataFrame:
 
 def findings(ev: DataFrame) -> DataFrame:
     """Findings of six kinds under one schema: (kind, row_id, timestamp_utc, source_system, summary, severity)."""
-    at = ev.select("row_id", "timestamp_utc", "source_system")
+    # the columns that a finding keeps travel in its row's id: nothing has to be fetched from the events again
+    ev = ev.withColumn("row_id", F.struct("row_id", "timestamp_utc", "source_system"))
 
     def kind(name: str, df: DataFrame, summary: str, severity: str) -> DataFrame:
-        return df.select(F.lit(name).alias("kind"), "row_id", F.expr(summary).alias("summary"), F.expr(severity).alias("severity"))
+        return df.select(F.lit(name).alias("kind"), "row_id.*", F.expr(summary).alias("summary"), F.expr(severity).alias("severity"))
 
     parts = [
         kind("signature", matches(ev).where("severity IN ('HIGH', 'CRITICAL')"), "concat(rule, ': ', matched)", "severity"),
@@ -86,7 +88,7 @@ def findings(ev: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(at, "row_id")
+    return out
 
 
 def adjusted(df: DataFrame) -> DataFrame:

@@ -237,36 +237,10 @@ def _dense(f):
     return lambda s, d: f(dense_events(s, d))
 
 
-def usn(s, d) -> DataFrame:
-    """A change journal; a day of the table stands for two minutes."""
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("usn"), F.col("l_partkey").alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "OLD").otherwise("NEW").alias("reason"), F.timestamp_seconds(F.unix_date(F.col("l_shipdate").cast("date")) * 120).alias("ts"))
-
-
-def renames(journal: DataFrame) -> DataFrame:
-    """The last old name before each new name of a file."""
-    w = W.partitionBy("file").orderBy("usn", "name", "ts").rowsBetween(W.unboundedPreceding, -1)
-    j = journal.withColumn("old", F.last(F.when(F.col("reason") == "OLD", F.col("name")), ignorenulls=True).over(w))
-    return j.where("reason = 'NEW' AND old IS NOT NULL").select("file", "usn", "old", F.col("name").alias("new"))
-
-
-def staged_deletes(journal: DataFrame, within: float = 3600) -> DataFrame:
-    """The first deletion of a name within an hour of its creation."""
-    made = journal.where("reason = 'OLD'").select("name", F.col("ts").alias("made"), F.col("file").alias("made_in"), F.col("usn").alias("made_usn"))
-    gone = journal.where("reason = 'NEW'").select("name", F.col("ts").alias("gone"), F.col("file").alias("gone_in"), F.col("usn").alias("gone_usn"))
-    j = interval_join(made, gone, ["name"], "made", "gone", 0, within)
-    w = W.partitionBy("made_in", "made_usn").orderBy("gone", "gone_in", "gone_usn")
-    return j.withColumn("nr", F.row_number().over(w)).where("nr = 1").select("made_in", "made_usn", "gone_in", "gone_usn")
-
-
-def rapid_ops(journal: DataFrame, least: int = 5) -> DataFrame:
-    return journal.groupBy(F.date_trunc("minute", "ts").alias("at")).agg(F.count("*").alias("n"), F.count(F.when(F.col("name") % 7 == 0, 1)).alias("odd")).where((F.col("n") >= least) & (F.col("odd") >= 2))
-
-
 _P = "p0 AS (SELECT row_id AS id, source_system AS host, timestamp_utc AS ts, process_id AS pid, parent_process_id AS ppid, event_code, process_name, username, row_number() OVER (PARTITION BY source_system, process_id, round_even(epoch_us(timestamp_utc) / 1e6, 0) ORDER BY event_code, row_id) AS nr FROM sec WHERE event_code IN (1, 4688)), p AS (SELECT * FROM p0 WHERE nr = 1), e AS (SELECT child_id, parent_id FROM (SELECT c.id AS child_id, q.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY q.ts DESC, q.id DESC) AS nr FROM p c JOIN p q ON c.host = q.host AND c.ppid = q.pid AND q.ts < c.ts) WHERE nr = 1)"
 _F = "f AS (SELECT id, id AS root, 0 AS depth FROM p WHERE id NOT IN (SELECT child_id FROM e) UNION ALL SELECT e.child_id, f.root, f.depth + 1 FROM f JOIN e ON e.parent_id = f.id)"
 _CLS = "CASE WHEN parent || '>' || child IN (" + ", ".join(f"'{p}>{c}'" for p, c in rules.BAD_PAIRS) + ") THEN 'HIGHLY_SUSPICIOUS' WHEN parent IN (" + ", ".join(f"'{p}'" for p in rules.RARE_PARENTS) + ") THEN 'SUSPICIOUS' WHEN parent || '>' || child IN (" + ", ".join(f"'{p}>{c}'" for c, ps in rules.EXPECTED_PARENTS.items() for p in ps) + ") THEN 'EXPECTED' ELSE 'UNUSUAL' END"
 _S = "a AS (SELECT *, coalesce((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id))) / 1e6 > 1800, true)::INT AS fresh FROM sec), b AS (SELECT *, sum(fresh) OVER (PARTITION BY source_system, username ORDER BY timestamp_utc, row_id) AS session FROM a)"
-_U = "u AS (SELECT l_orderkey AS file, l_linenumber AS usn, l_partkey AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'OLD' ELSE 'NEW' END AS reason, make_timestamp(epoch_us(l_shipdate::TIMESTAMP) // 86400 * 120) AS ts FROM lineitem)"
 _HIT = "event_code IN (7045, 1102, 4720)"
 
 QUERIES = {
@@ -286,9 +260,6 @@ QUERIES = {
     "burst_groups": _dense(lambda ev: bursts(ev.where("command_line LIKE '%exe%'"))),
     "hot_windows": _dense(lambda ev: interval_join(_ids(_HIT)(ev), _others(ev).withColumn("hit", F.lit(1)), ["host"], "ts", "other_ts", 30, 90).groupBy("id").agg(F.count("*").alias("n")).where("n >= 3")),
     "merge_windows": _ev(lambda ev: merge_windows(ev.where(_HIT).select("source_system", (F.unix_micros("timestamp_utc") / 1000000).cast("long").alias("begin"), (F.unix_micros("timestamp_utc") / 1000000 + 7200).cast("long").alias("end"), F.col("k").alias("n")), ["source_system"])),
-    "usn_renames": lambda s, d: renames(usn(s, d)),
-    "usn_staged_delete": lambda s, d: staged_deletes(usn(s, d)),
-    "usn_rapid_ops": lambda s, d: rapid_ops(usn(s, d)),
     "unified_timeline": _ev(lambda ev: ev.select("row_id", "timestamp_utc", "event_type", "source_file").orderBy("timestamp_utc", "row_id")),
     "except_pids": _ev(lambda ev: ev.select("parent_process_id").distinct().join(ev.where("event_code = 1 AND source_system = 'host1'").select(F.col("process_id").alias("parent_process_id")).distinct(), "parent_process_id", "left_anti")),
     "hidden_by_crossref": _ev(lambda ev: ev.select(F.regexp_extract(F.concat("process_name", F.lit(" Pid "), F.col("process_id").cast("string")), r"Pid ([0-9]+)", 1).cast("bigint").alias("pid")).where("pid > 4").distinct().join(ev.where("event_code = 4688 AND source_system = 'host1'").select(F.col("process_id").alias("pid")).distinct(), "pid", "left_anti")),
@@ -312,9 +283,6 @@ ORACLES = {
     "ctx_cross_system": f"WITH {DENSE} SELECT id, other_id FROM (SELECT h.row_id AS id, o.row_id AS other_id, row_number() OVER (PARTITION BY h.row_id ORDER BY abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)), o.row_id) AS nr FROM sec h JOIN sec o ON h.source_system <> o.source_system AND abs(epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc)) <= 5e6 WHERE h.{_HIT}) WHERE nr <= 10",
     "hot_windows": f"WITH {DENSE} SELECT h.row_id AS id, count(*) AS n FROM sec h JOIN sec o ON h.source_system = o.source_system AND epoch_us(o.timestamp_utc) - epoch_us(h.timestamp_utc) BETWEEN -30e6 AND 90e6 WHERE h.{_HIT} GROUP BY 1 HAVING count(*) >= 3",
     "merge_windows": f"WITH {SEC}, x AS (SELECT source_system, epoch_us(timestamp_utc) // 1000000 AS begin, epoch_us(timestamp_utc) // 1000000 + 7200 AS fin, k AS n FROM sec WHERE {_HIT}), y AS (SELECT *, max(fin) OVER (PARTITION BY source_system ORDER BY begin, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), z AS (SELECT *, sum(CASE WHEN reach IS NULL OR begin > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source_system ORDER BY begin, fin ROWS UNBOUNDED PRECEDING) AS isl FROM y) SELECT source_system, CAST(min(begin) AS BIGINT) AS begin, CAST(max(fin) AS BIGINT) AS \"end\", count(*) AS windows, max(n) AS most FROM z GROUP BY source_system, isl",
-    "usn_renames": f"WITH {_U}, r AS (SELECT file, usn, name, reason, last_value(CASE WHEN reason = 'OLD' THEN name END IGNORE NULLS) OVER (PARTITION BY file ORDER BY usn, name, ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM u) SELECT file, usn, old, name AS new FROM r WHERE reason = 'NEW' AND old IS NOT NULL",
-    "usn_staged_delete": f"WITH {_U}, j AS (SELECT a.file AS made_in, a.usn AS made_usn, b.file AS gone_in, b.usn AS gone_usn, row_number() OVER (PARTITION BY a.file, a.usn ORDER BY b.ts, b.file, b.usn) AS nr FROM u a JOIN u b ON a.name = b.name AND a.reason = 'OLD' AND b.reason = 'NEW' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR) SELECT made_in, made_usn, gone_in, gone_usn FROM j WHERE nr = 1",
-    "usn_rapid_ops": f"WITH {_U} SELECT date_trunc('minute', ts) AS at, count(*) AS n, count(*) FILTER (name % 7 = 0) AS odd FROM u GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (name % 7 = 0) >= 2",
     "unified_timeline": f"WITH {SEC} SELECT row_id, timestamp_utc, event_type, source_file FROM sec ORDER BY timestamp_utc, row_id",
     "except_pids": f"WITH {SEC} SELECT DISTINCT parent_process_id FROM sec WHERE parent_process_id NOT IN (SELECT process_id FROM sec WHERE event_code = 1 AND source_system = 'host1')",
     "hidden_by_crossref": f"WITH {SEC} SELECT DISTINCT process_id AS pid FROM sec WHERE process_id > 4 AND process_id NOT IN (SELECT process_id FROM sec WHERE event_code = 4688 AND source_system = 'host1')",

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from duskwatch.functions import flatten
-from duskwatch.operators import claims, layers, processes, relate, search
+from duskwatch.operators import claims, journal, layers, processes, relate, search
 from duskwatch.sources import headers
 
 UTC = datetime.timezone.utc
@@ -146,3 +146,16 @@ def test_layers(spark):
     assert got[outer.replace("a%20b%2Fc%3F", "a b/c?")].chain == "Base64 UTF-8 > URL" and len(got) == 5
     row = layers.with_indicators(spark.createDataFrame([tuple(got[inner])], "id string, parent_id string, source string, depth int, chain string, text string")).first()
     assert (row.urls, row.ips, row.commands, row.credentials) == ("http://1.2.3.4/a", "1.2.3.4", "", True)
+
+
+def test_journal(spark):
+    rows = [
+        (1, 1, 0, 0x1000, "a.txt"), (1, 2, 1, 0x2000, "b.exe"), (1, 3, 2, 0x2000, "c.txt"), (2, 4, 3, 0x2000, "never.old"),
+        (3, 5, 10, 0x100, "Evil.EXE"), (3, 6, 11, 0x80000200, "evil.exe"), (4, 7, 20, 0x100, "x.dll"), (4, 8, 20 + 3600, 0x200, "x.dll"), (5, 9, 30, 0x100, "plain.doc"), (5, 10, 31, 0x200, "plain.doc"),
+        *[(6, 20 + i, 50 + i / 10, 0x2, f"f{i}.jpg" if i < 2 else "n.txt") for i in range(5)], *[(7, 40 + i, 60.5 + i / 10, 0x2, "m.exe") for i in range(6)],
+    ]
+    df = spark.createDataFrame([(f, u, at(int(t * 1_000_000)), r, n) for f, u, t, r, n in rows], "file_reference long, usn long, timestamp_utc timestamp, reason long, filename string")
+    assert sorted((r.usn, r.old, r.new) for r in journal.renames(df).collect()) == [(2, "a.txt", "b.exe"), (3, "a.txt", "c.txt")]
+    assert [(r.usn, r.deleted_usn, r.name, r.seconds) for r in journal.staged_deletions(df).collect()] == [(5, 6, "evil.exe", 1.0)]
+    assert sorted((r.n, r.files, r.suspicious) for r in journal.rapid_operations(df).collect()) == [(5, 1, 5), (5, 3, 2)]
+    assert df.where("usn = 6").select(journal.reason_names(F.col("reason")).alias("r")).first().r == "FILE_DELETE,CLOSE"
