@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SEC, security_events
 from ..store import stored
-from . import headers, normalize
+from . import headers, jsonlines, normalize
 from .io import conform
 
 HEAD_LINES, HEAD_CHARS = 20, 4096
@@ -137,7 +137,7 @@ FORMATS = [
     Format("o365", lambda: _words("Workload", "RecordType", "UserType", "AzureActiveDirectory", "Exchange", "SharePoint", "Operation") & F.try_parse_json("first").isNotNull(), cloud("norm_o365")),
     Format("okta", lambda: _words("eventType", "actor", "client", "authenticationContext", "displayMessage", "outcome", "target", "transaction", "uuid", least=4), cloud("norm_okta")),
     Format("vpcflow", lambda: F.col("first").startswith("version account-id") | F.col("first").rlike(r"^[2-5](\s+\S+){13,}") | _key("$.srcaddr", "$.dstaddr", "$.srcport"), by_line(normalize.norm_vpcflow)),
-    Format("jsonl", lambda: _ending(".jsonl", ".ndjson") | (_ending(".json") & F.try_parse_json("first").isNotNull() & F.try_parse_json(F.get("lines", F.lit(1))).isNotNull()), by_line(normalize.norm_jsonl)),
+    Format("jsonl", lambda: _ending(".jsonl", ".ndjson") | (_ending(".json") & F.try_parse_json("first").isNotNull() & F.try_parse_json(F.get("lines", F.lit(1))).isNotNull()), by_line(jsonlines.norm_jsonl)),
     Format("csv", lambda: _ending(".csv") & F.col("first").contains(","), norm_csv_lines),
 ]
 
@@ -242,8 +242,8 @@ _HIGH = "uri = '/a/../../etc/passwd'"
 _STATUS = "CASE WHEN status_code >= 500 THEN 'medium' WHEN status_code >= 400 THEN 'low' ELSE 'info' END"
 _WAY = [
     (0, ("access", ".log"), "'apache'", _STATUS, "apache", "AND k % 10 <> 0"),
-    (1, ("fw", ".txt"), "'ASA_302013'", "CASE WHEN k % 8 <= 1 THEN 'critical' WHEN k % 8 <= 3 THEN 'high' WHEN k % 8 = 4 THEN 'medium' WHEN k % 8 = 5 THEN 'low' ELSE 'info' END", "cisco_asa", "AND k % 10 <> 0"),
-    (2, ("flow", ".txt"), "'VPCFlow_' || CASE WHEN k % 3 = 0 THEN 'REJECT' ELSE 'ACCEPT' END || '_' || CASE WHEN k % 2 = 0 THEN 'TCP' ELSE 'UDP' END", "CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'info' END", "vpcflow", ""),
+    (1, ("fw", ".txt"), "CASE WHEN k % 3 = 0 THEN 'ASA_106023' ELSE 'ASA_302013' END", normalize.ASA_LEVEL, "cisco_asa", "AND k % 10 <> 0"),
+    (2, ("flow", ".txt"), normalize.FLOW_TYPE, normalize.FLOW_LEVEL, "vpcflow", ""),
     (3, ("eve", ".json"), "'Suricata_alert'", "CASE k % 5 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END", "suricata", ""),
     (4, ("trail", ".json"), "'CloudTrail_CreateUser'", "'high'", "cloudtrail", ""),
     (4, ("trail", ".json"), "'CloudTrail_Read'", "'info'", "cloudtrail", ""),
