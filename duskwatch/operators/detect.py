@@ -11,26 +11,66 @@ from ..adapters import SEC, security_events
 from ..functions import scalars as S
 
 
+def literal_of(pattern: str) -> str | None:
+    """The longest run of plain characters that every match of a pattern holds, in lower case; None where there is none.
+
+    Groups, classes and wildcards end a run, as does an optional or repeated character; a bar outside of groups leaves nothing sure.
+    """
+    runs, run, i = [""], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return None
+        if c == "[" and pattern[i + 3 : i + 4] == "]" and pattern[i + 1].lower() == pattern[i + 2].lower():
+            c, i = pattern[i + 1], i + 3  # both cases of a letter
+        elif c in "([":
+            depth, close = 1, {"(": ")", "[": "]"}[c]
+            while depth:
+                i += 2 if pattern[i + 1] == "\\" and i + 2 < len(pattern) else 1
+                depth += (pattern[i] == c == "(" and pattern[i - 1] != "\\") - (pattern[i] == close and pattern[i - 1] != "\\")
+            c = ""
+        elif c == "\\":
+            i += 1
+            c = "" if pattern[i].isalnum() else pattern[i]
+        elif c in ".^$":
+            c = ""
+        i += 1
+        if i < len(pattern) and pattern[i] in "*?+{":
+            c = ""
+            i = pattern.index("}", i) + 1 if pattern[i] == "{" else i + 1
+            i += i < len(pattern) and pattern[i] == "?"
+        if c:
+            run += c
+        else:
+            runs, run = [*runs, run], ""
+    best = max([*runs, run], key=len).lower()
+    return best if len(best) > 1 else None
+
+
+def _can_match(text: Column, pattern: str) -> Column:
+    """Whether a text can fit a pattern: by its literal part, or by the pattern where it has none."""
+    part = literal_of(pattern)
+    return F.lower(text).contains(part) if part else text.rlike(f"(?i){pattern}")
+
+
 def rule_scan(df: DataFrame, signatures: list[tuple], key: str = "row_id") -> DataFrame:
     """One row for each (event, field, rule) that matches, with the matched text.
 
-    A row is first tested against each field's alternation of all patterns; only rows that pass are
-    taken apart by rule, in one pass and without a join.
+    A row is first tested for the literal parts of the patterns; only rows that hold one are taken apart by rule, in one
+    pass and without a join, and only patterns whose literal part is there are tried.
     """
-    hits = []
+    hits, possible, unsure = [], F.lit(False), {}
     for name, pattern, fields, severity, technique in signatures:
         for f in fields:
-            found = F.regexp_extract(F.col(f), f"(?i){pattern}", 0)
-            hits.append(F.when(F.col(f).rlike(f"(?i){pattern}"), F.struct(F.lit(name).alias("rule"), F.lit(f).alias("field"), F.lit(severity).alias("severity"), F.lit(technique).alias("technique"), found.alias("matched"))))
-    by_field: dict[str, list[str]] = {}
-    for _, pattern, fields, *_ in signatures:
-        for f in fields:
-            by_field.setdefault(f, []).append(pattern)
-    some = [F.coalesce(F.col(f).rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)), F.lit(False)) for f, ps in by_field.items()]
-    any_field = some[0]
-    for s in some[1:]:
-        any_field = any_field | s
-    return df.where(any_field).select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
+            text, found = F.col(f), F.regexp_extract(F.col(f), f"(?i){pattern}", 0)
+            hits.append(F.when(_can_match(text, pattern) & text.rlike(f"(?i){pattern}"), F.struct(F.lit(name).alias("rule"), F.lit(f).alias("field"), F.lit(severity).alias("severity"), F.lit(technique).alias("technique"), found.alias("matched"))))
+            if part := literal_of(pattern):
+                possible = possible | F.coalesce(F.lower(text).contains(part), F.lit(False))
+            else:
+                unsure.setdefault(f, []).append(pattern)
+    for f, patterns in unsure.items():  # those without a literal part, by one alternation for each field
+        possible = possible | F.coalesce(F.col(f).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    return df.where(possible).select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
 
 
 def row_stats(matches: DataFrame, key: str = "row_id") -> DataFrame:
@@ -46,11 +86,15 @@ TEXT = ["process_name", "command_line", "uri", "query_string", "file_path", "ser
 
 
 def triage(ev: DataFrame) -> DataFrame:
-    """Priority patterns on the lower-cased text of an event, each once by event."""
+    """Priority patterns on the lower-cased text of an event, each once by event; a pattern is tried where its literal part is."""
     low = ev.select("row_id", "timestamp_utc", F.lower(full_text(TEXT)).alias("t"))
-    everything = "(?i)" + "|".join(f"(?:{p})" for p, _ in rules.TRIAGE)
-    hits = F.array_compact(F.array(*[F.when(F.col("t").rlike(f"(?i){p}"), F.struct(F.lit(p).alias("pattern"), F.lit(q).cast("long").alias("priority"))) for p, q in rules.TRIAGE]))
-    return low.where(F.col("t").rlike(everything)).select("row_id", "timestamp_utc", F.explode(hits).alias("h")).select("row_id", "timestamp_utc", "h.*")
+    text, possible, hits = F.col("t"), F.lit(False), []
+    for pattern, priority in rules.TRIAGE:
+        part = literal_of(pattern)
+        here = text.contains(part) if part else text.rlike(f"(?i){pattern}")
+        possible = possible | here
+        hits.append(F.when(here & text.rlike(f"(?i){pattern}"), F.struct(F.lit(pattern).alias("pattern"), F.lit(priority).cast("long").alias("priority"))))
+    return low.where(possible).select("row_id", "timestamp_utc", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("row_id", "timestamp_utc", "h.*")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, k: int | Column, parts: int = 64) -> DataFrame:

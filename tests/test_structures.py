@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from duskwatch.functions import flatten
-from duskwatch.operators import claims, journal, layers, processes, relate, search
+from duskwatch.operators import claims, detect, journal, layers, processes, relate, search
 from duskwatch.sources import headers
 
 UTC = datetime.timezone.utc
@@ -159,3 +159,17 @@ def test_journal(spark):
     assert [(r.usn, r.deleted_usn, r.name, r.seconds) for r in journal.staged_deletions(df).collect()] == [(5, 6, "evil.exe", 1.0)]
     assert sorted((r.n, r.files, r.suspicious) for r in journal.rapid_operations(df).collect()) == [(5, 1, 5), (5, 3, 2)]
     assert df.where("usn = 6").select(journal.reason_names(F.col("reason")).alias("r")).first().r == "FILE_DELETE,CLOSE"
+
+
+def test_literal_parts():
+    import re
+
+    from duskwatch import rules
+
+    patterns = [p for p, _ in rules.TRIAGE] + [s[1] for s in rules.SIGNATURES]
+    assert detect.literal_of(r"certutil.*-decode") == "certutil" and detect.literal_of("cmd=|exec=") is None and detect.literal_of(r"[a-z]{3,}") is None and detect.literal_of(r"ab?cde\.f+gh{2}i") == "cde."
+    texts = ["certutil -x -DECODE", "procdump64.exe -ma lsass", "<SCRIPT", "..\\../", "net  user", "-enc x", "SELECT a FROM b WHERE c", "x.asp?", "reg save hklm\\sam", "A" * 20, "-w hidden", "cmd /c x", "wmic /node:a", "b374k.asp", "rar a -pX", "%2E%2e%2f", "../../", "touch a -t"]
+    for p in patterns:
+        for t in texts:
+            if re.search(p, t, re.I) and (part := detect.literal_of(p)):
+                assert part in t.lower(), (p, t, part)
