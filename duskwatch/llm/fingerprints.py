@@ -117,6 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows are dealt by ranges of ids and read in order within each; only the first row of each range is
     handed to the range before. Null ids come last; rows of the same id follow by a hash of the text.
+    Null texts are empty, an empty table gives an empty one, other columns are not read, very long texts travel whole.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bucket, _ = _buckets(base)
@@ -135,6 +136,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fingerprints of its text and of its edited text, and their likeness, and that to the next document.
+
+    Null and empty texts have an empty fingerprint; two of those are alike. Rows without an id come last in the order of ids,
+    rows of one id follow by a hash of the text, so repeated rows are next to each other. One row is next to itself,
+    an empty table gives an empty one, other columns are not read, very long texts are taken whole.
+    """
     rows = with_next(documents(spark, sf_dir)).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))

@@ -354,4 +354,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its set of 3-word shingles and the least id that links at 0.9 reach, as in ``join``.
+
+    Nulls, empty texts, repeated rows, an empty table and other columns as stated there; a very long text gives its whole
+    set; a likeness of just 0.9 is a link.
+    """
     return join(documents(spark, sf_dir), k=3, percent=90)

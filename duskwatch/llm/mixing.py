@@ -128,4 +128,9 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and how many words the mix takes of it, as in ``mix``.
+
+    Null and blank texts have no words and are not taken, null sources are one source, repeated rows are drawn each for
+    itself, an empty table gives an empty one, other columns are not read, a very long text is only counted.
+    """
     return mix(documents(spark, sf_dir)).drop("copies")

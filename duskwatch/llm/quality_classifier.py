@@ -123,11 +123,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, held_out, score, predicted) per row of ``docs``.
 
     Null and empty texts score like a text without any n-gram. Repeated rows give repeated rows, null
-    ids stay null, an empty table gives an empty table; columns other than doc_id and text are not read.
+    ids stay null, an empty table gives an empty table; columns other than doc_id and text are not read. A very
+    long text is scored whole; a score just at the threshold becomes 0.3.
     """
     model = fit(*training_texts(docs, labels, "quality", FOLDS, HELD_OUT, sample))
     return answer(scored(docs, model.score, 2 << 20), FOLDS, HELD_OUT)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its quality, whether it was held out of training, and the prediction at 0.3, as in ``classify``.
+
+    Empty texts score as one without any n-gram; repeated rows give repeated rows; null ids stay null and count as held out;
+    an empty table gives an empty one; a very long text is scored whole; scores equal to the threshold are predicted 1.
+    """
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

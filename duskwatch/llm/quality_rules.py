@@ -146,7 +146,8 @@ def keep_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
     """The rows of ``docs`` that pass, all columns kept, texts without their failed lines.
 
     ``n_chars``, where present, is brought up to date. Columns of the same name as a measure are no
-    problem: only the text travels with a private copy of the row.
+    problem: only the text travels with a private copy of the row. Null and empty texts go, as too short; repeated rows stay or go
+    together; an empty table gives an empty one; a very long text is judged line by line and whole.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]  # the text travels once
     packed = docs.select(F.struct(*others).alias("row"), "text")
@@ -156,6 +157,11 @@ def keep_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the base measures and both verdicts.
+
+    Null and empty texts have no words and fail. Repeated rows give repeated rows, null ids stay null, an empty table gives an
+    empty one, other columns are not read, a very long text is measured whole. No ranks are formed, so there are no ties.
+    """
     return measure(documents(spark, sf_dir)).drop("failed_lines", "lost_chars")
 
 

@@ -97,4 +97,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its shard of 24 and its place there, by the law of equal rows, as in ``shard``.
+
+    Null texts count no bytes, null ids are rows like others, repeated rows get places of their own, an empty table gives an
+    empty one, other columns are not read, a very long text is only measured.
+    """
     return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
