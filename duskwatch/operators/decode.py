@@ -137,14 +137,6 @@ def text_iocs(df: DataFrame, key: str, column: str) -> DataFrame:
     return out.where(F.when(F.col("kind") == "ipv4", S.ip_class(F.col("value")) == "EXTERNAL").when(F.col("kind") == "domain", ~no_domain).otherwise(True))
 
 
-def ioc_table(ev: DataFrame) -> DataFrame:
-    """Outside addresses and URLs of events: when first and last seen, by how many users and processes, and their risk."""
-    values = ev.select("timestamp_utc", "username", "process_name", F.explode(F.concat(F.array(F.struct(F.lit("ipv4").alias("kind"), F.col("dest_ip").alias("value"))), F.transform(F.regexp_extract_all(F.col("command_line"), F.lit(r"https?://[^\s<>\"']+"), F.lit(0)), lambda v: F.struct(F.lit("url").alias("kind"), v.alias("value"))))).alias("x")).select("timestamp_utc", "username", "process_name", "x.*")
-    values = values.where((F.col("kind") != "ipv4") | (S.ip_class(F.col("value")) == "EXTERNAL"))
-    g = values.groupBy("kind", "value").agg(F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last"), F.count("*").alias("n"), F.countDistinct("username").alias("users"), F.countDistinct("process_name").alias("processes"))
-    return g.withColumn("risk", F.when(F.col("kind") == "url", "HIGH").when(F.col("users") > 5, "MEDIUM").otherwise("LOW"))
-
-
 def path_registry_iocs(ev: DataFrame) -> DataFrame:
     paths = ev.select(F.lit("path").alias("kind"), F.col("file_path").alias("value"), F.lower("file_path").rlike(r"\\(temp|public|appdata|downloads)\\").alias("suspicious"))
     keys = ev.select(F.lit("registry").alias("kind"), F.col("registry_key").alias("value"), F.lower("registry_key").rlike(r"currentversion\\run|\\services\\").alias("suspicious"))
@@ -243,9 +235,6 @@ QUERIES = {
     "script_type": _ev(lambda ev: ev.select("row_id", script_type(F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ["ps1", "bat", "txt", "js"])), (F.col("row_id") % 4 + 1).cast("int"))), F.col("command_line")).alias("type"))),
     "decoded_phase": _ev(lambda ev: ev.select("row_id", decoded_phase(F.col("command_line")).alias("phase"))),
     "text_iocs": lambda s, d: text_iocs(table(s, d, "documents"), "doc_id", "text"),
-    "ioc_table": _ev(ioc_table),
-    "ioc_by_type": _ev(lambda ev: ioc_table(ev).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "HIGH").alias("high"))),
-    "risk_sort": _ev(lambda ev: ioc_table(ev).select("kind", "value", "risk").orderBy(S.severity_rank(F.col("risk")), "value")),
     "path_registry_iocs": _ev(path_registry_iocs),
     "xor_bruteforce": lambda s, d: xor_bruteforce(_lines(s, d).select("doc_id", F.encode("line", "UTF-8").alias("data")), "doc_id", "data"),
     "batch_var_expand": _ev(lambda ev: batch_var_expand(ev.select("row_id", F.concat(F.lit("set a="), F.col("process_name"), F.lit("\necho %a:~0,3%%a%")).alias("t")), "row_id", "t")),
@@ -266,9 +255,6 @@ ORACLES = {
     "script_type": f"WITH {SEC} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'powershell' WHEN 1 THEN 'batch' WHEN 3 THEN 'javascript' ELSE CASE WHEN regexp_matches(command_line, '(?i)\\$[a-z]+\\s*=|invoke-') THEN 'powershell' WHEN regexp_matches(command_line, '(?i)@echo|%[a-z]+%') THEN 'batch' WHEN regexp_matches(command_line, '(?i)\\bfunction\\b|\\bvar\\b') THEN 'javascript' ELSE 'unknown' END END AS type FROM sec",
     "decoded_phase": f"WITH {SEC} SELECT row_id, {_PHASE} AS phase FROM sec",
     "text_iocs": f"SELECT * FROM ({_IOC}) WHERE CASE kind WHEN 'ipv4' THEN NOT {_PRIVATE} WHEN 'domain' THEN NOT regexp_matches(value, '(?i){'|'.join(re.escape(x) for x in rules.NO_DOMAINS)}|[.]({'|'.join(rules.FILE_ENDINGS)})$') AND NOT (length(value) < 20 AND regexp_matches(value, '^[^.]{{1,11}}[.][^.]{{1,4}}$')) ELSE true END",
-    "ioc_table": f"WITH {SEC}, x AS (SELECT timestamp_utc, username, process_name, 'ipv4' AS kind, dest_ip AS value FROM sec WHERE dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5') UNION ALL SELECT timestamp_utc, username, process_name, 'url', unnest(regexp_extract_all(command_line, 'https?://[^\\s<>\"'']+')) FROM sec) SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(*) AS n, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, CASE WHEN kind = 'url' THEN 'HIGH' WHEN count(DISTINCT username) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x GROUP BY kind, value",
     "path_registry_iocs": f"WITH {SEC} SELECT DISTINCT * FROM (SELECT 'path' AS kind, file_path AS value, regexp_matches(lower(file_path), '\\\\(temp|public|appdata|downloads)\\\\') AS suspicious FROM sec UNION ALL SELECT 'registry', registry_key, regexp_matches(lower(registry_key), 'currentversion\\\\run|\\\\services\\\\') FROM sec)",
     "batch_var_expand": f"WITH {SEC} SELECT row_id, 'set a=' || process_name || chr(10) || 'echo ' || left(process_name, 3) || process_name AS expanded FROM sec",
 }
-ORACLES["ioc_by_type"] = f"SELECT kind, count(*) AS n, count(*) FILTER (risk = 'HIGH') AS high FROM ({ORACLES['ioc_table']}) GROUP BY 1"
-ORACLES["risk_sort"] = f"SELECT kind, value, risk FROM ({ORACLES['ioc_table']}) ORDER BY CASE risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, value"

@@ -10,8 +10,8 @@ from .. import rules
 from ..adapters import SEC, security_events, table
 from ..functions import scalars as S
 from . import detect, relate
-from .decode import ORACLES as DECODE_SQL
-from .decode import ioc_table
+from .indicators import TABLE as _IOC
+from .indicators import indicator_events, ioc_table
 from .search import found_in
 
 # Trigger words of the hypotheses.
@@ -200,8 +200,12 @@ def enrich(iocs: DataFrame, rep: DataFrame) -> DataFrame:
 
 def stix(iocs: DataFrame) -> DataFrame:
     """Indicators as pattern texts with a deterministic id; kinds without a pattern are dropped."""
-    pattern = F.when(F.col("kind") == "ipv4", F.concat(F.lit("[ipv4-addr:value = '"), "value", F.lit("']"))).when(F.col("kind") == "url", F.concat(F.lit("[url:value = '"), F.replace("value", F.lit("'"), F.lit("\\'")), F.lit("']")))
-    return iocs.select(F.concat(F.lit("indicator--"), F.substring(F.sha2("value", 256), 1, 32)).alias("id"), pattern.alias("pattern"), F.when(F.col("risk") == "HIGH", 85).when(F.col("risk") == "MEDIUM", 65).otherwise(25).cast("long").alias("confidence")).where("pattern IS NOT NULL")
+    forms = {"ipv4": "[ipv4-addr:value = '%s']", "url": "[url:value = '%s']", "domain": "[domain-name:value = '%s']", "md5": "[file:hashes.MD5 = '%s']", "sha1": "[file:hashes.'SHA-1' = '%s']", "sha256": "[file:hashes.'SHA-256' = '%s']"}
+    quoted, pattern = F.replace("value", F.lit("'"), F.lit("\\'")), F.lit(None).cast("string")
+    for kind, form in forms.items():
+        pattern = F.when(F.col("kind") == kind, F.format_string(form, quoted)).otherwise(pattern)
+    level = F.when(F.col("risk").isin("CRITICAL", "HIGH"), 85).when(F.col("risk") == "MEDIUM", 65).otherwise(25)
+    return iocs.select(F.concat(F.lit("indicator--"), F.substring(F.sha2("value", 256), 1, 32)).alias("id"), pattern.alias("pattern"), level.cast("long").alias("confidence")).where("pattern IS NOT NULL")
 
 
 def sigma(found: DataFrame) -> DataFrame:
@@ -225,7 +229,6 @@ _CH = f"{_C}, tm AS (SELECT claim_id, epoch_us(timestamp_utc) + shift * 1000000
 _FIND = f"fd AS (SELECT 'signature' AS kind, row_id, rule || ': ' || matched AS summary, severity FROM m WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'lolbin', row_id, \"binary\" || ' ' || indicator, severity FROM ({detect.ORACLES['fe_lolbins']}) UNION ALL SELECT 'account', row_id, action, severity FROM ({detect.ORACLES['fe_account_mgmt']}) UNION ALL SELECT 'sensor', row_id, action, severity FROM ({detect.ORACLES['fe_sysmon_ext']}) UNION ALL SELECT 'web', row_id, family, severity FROM ({detect.ORACLES['fe_web_attack_rules']}) WHERE family IS NOT NULL UNION ALL SELECT 'cleared', row_id, 'log cleared', 'CRITICAL' FROM sec WHERE event_code IN (1102, 104)), ff AS (SELECT fd.*, timestamp_utc, source_system FROM fd JOIN sec USING (row_id))"
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
 _PK = " UNION ALL ".join(f"SELECT row_id, '{p}' AS package, concat_ws(' ', {', '.join(cs)}) AS text FROM sec" for p, cs in PACKAGES.items())
-_IOC = DECODE_SQL["ioc_table"]
 
 QUERIES = {
     "union_indicators": _ev(indicators),
@@ -248,8 +251,8 @@ QUERIES = {
     "size_check": _ev(size_check),
     "coverage_score": lambda s, d: coverage(table(s, d, "documents"), KEY),
     "exec_metrics": _ev(metrics),
-    "ioc_enrich": lambda s, d: enrich(ioc_table(security_events(s, d)), reputation(s, d)),
-    "sink_stix": _ev(lambda ev: stix(ioc_table(ev))),
+    "ioc_enrich": lambda s, d: enrich(ioc_table(indicator_events(s, d)), reputation(s, d)),
+    "sink_stix": lambda s, d: stix(ioc_table(indicator_events(s, d))),
     "sigma_rows": _ev(lambda ev: sigma(matches(ev))),
     "entropy_top": _ev(lambda ev: detect.high_entropy(ev).orderBy(F.desc("entropy"), "kind", "name").limit(100)),
 }
@@ -275,6 +278,6 @@ ORACLES = {
     "coverage_score": " UNION ALL ".join(f"SELECT '{f}' AS finding, count(*) FILTER ({(' AND ' if m == 'ALL' else ' OR ').join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in ts)}) AS documents, CAST(CASE WHEN count(*) FILTER ({(' AND ' if m == 'ALL' else ' OR ').join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in ts)}) > 0 THEN {p} ELSE 0 END AS BIGINT) AS points FROM documents" for f, m, ts, p in KEY),
     "exec_metrics": f"WITH {SEC} SELECT count(DISTINCT username) AS users, count(*) FILTER (process_name = 'mimikatz.exe') AS tools, count(*) FILTER (dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5')) AS outside, count(*) FILTER (severity = 'critical') AS critical FROM sec",
     "ioc_enrich": f"WITH i AS ({_IOC}), r AS (SELECT ['198.51.100.7', '203.0.113.9', '172.32.0.5'][CAST(s_suppkey % 3 + 1 AS INT)] AS value, max(s_suppkey % 9) AS m, max(s_suppkey % 3) AS s, max(s_suppkey % 90) AS c FROM supplier GROUP BY 1) SELECT kind, value, CAST(coalesce(least(100, CASE WHEN m > 5 THEN 50 WHEN m > 0 THEN 30 ELSE 0 END + CASE WHEN s > 0 THEN 10 ELSE 0 END + least(40, c // 2)), 0) AS BIGINT) AS score FROM i LEFT JOIN r USING (value)",
-    "sink_stix": f"WITH i AS ({_IOC}) SELECT 'indicator--' || left(sha256(value), 32) AS id, CASE kind WHEN 'ipv4' THEN '[ipv4-addr:value = ''' || value || ''']' ELSE '[url:value = ''' || value || ''']' END AS pattern, CAST(CASE risk WHEN 'HIGH' THEN 85 WHEN 'MEDIUM' THEN 65 ELSE 25 END AS BIGINT) AS confidence FROM i",
+    "sink_stix": f"WITH i AS ({_IOC}), f(kind, a) AS (VALUES ('ipv4', 'ipv4-addr:value'), ('url', 'url:value'), ('domain', 'domain-name:value'), ('md5', 'file:hashes.MD5')) SELECT 'indicator--' || left(sha256(value), 32) AS id, '[' || a || ' = ''' || replace(value, '''', '\\''') || ''']' AS pattern, CAST(CASE WHEN risk IN ('HIGH', 'CRITICAL') THEN 85 WHEN risk = 'MEDIUM' THEN 65 ELSE 25 END AS BIGINT) AS confidence FROM i JOIN f USING (kind)",
     "entropy_top": f"SELECT * FROM ({detect.ORACLES['high_entropy']}) ORDER BY entropy DESC, kind, name LIMIT 100",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import aggregate, decode, detect, findings, relate
+from ..operators import aggregate, detect, findings, indicators, relate
 
 
 def triage_run(events: DataFrame) -> dict[str, DataFrame]:
@@ -16,7 +16,7 @@ def triage_run(events: DataFrame) -> dict[str, DataFrame]:
         "matches": findings.matches(events),
         "techniques": findings.technique_status(findings.indicators(events)),
         "findings": findings.findings(events),
-        "iocs": decode.ioc_table(events),
+        "iocs": indicators.ioc_table(events),
         "sessions": relate.session_table(events),
         "trees": relate.trees(events),
         "triage": detect.triage_sample(detect.triage(events)),
