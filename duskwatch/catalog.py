@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.aggregate", "functions.queries", "functions.flatten", "operators.detect", "operators.categories", "operators.relate", "operators.processes", "operators.journal", "operators.decode", "operators.layers", "operators.indicators", "operators.spans", "operators.findings", "operators.claims", "operators.exported", "sources.io", "sources.normalize", "sources.jsonlines", "sources.headers", "sources.router", "sources.exports", "sources.memory", "sources.scripts")
+MODULES = ("operators.aggregate", "functions.queries", "functions.flatten", "operators.detect", "operators.categories", "operators.relate", "operators.processes", "operators.journal", "operators.decode", "operators.layers", "operators.indicators", "operators.spans", "operators.findings", "operators.claims", "operators.packages", "operators.exported", "sources.io", "sources.normalize", "sources.jsonlines", "sources.headers", "sources.router", "sources.exports", "sources.memory", "sources.scripts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -151,20 +151,6 @@ def claim_status(checks: DataFrame) -> DataFrame:
     return checks.withColumn("passed", n.cast("long")).select("claim_id", "passed", F.when(F.col("passed") == 4, "VERIFIED").when(F.col("passed") > 2, "PARTIAL").otherwise("UNVERIFIED").alias("status"))
 
 
-PACKAGES = {"web": ["uri", "query_string"], "process": ["process_name", "command_line"], "service": ["service_name"], "file": ["file_path"]}
-
-
-def packages(ev: DataFrame) -> DataFrame:
-    """Rows of each package: what it holds and its size in tokens of four characters."""
-    parts = F.array(*[F.struct(F.lit(p).alias("package"), F.concat_ws(" ", *cs).alias("text")) for p, cs in PACKAGES.items()])
-    return ev.select("row_id", F.explode(parts).alias("x")).select("row_id", "x.*")
-
-
-def size_check(ev: DataFrame, most: int = 150_000) -> DataFrame:
-    g = packages(ev).groupBy("package").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    return g.select("package", "n", F.floor(F.col("chars") / 4).alias("tokens"), (F.floor(F.col("chars") / 4) > most).alias("too_large"))
-
-
 def coverage(docs: DataFrame, key: list[tuple[str, str, list[str], int]]) -> DataFrame:
     """Points of an answer key: a finding counts if some document holds any, or all, of its terms."""
     low = F.lower("text")
@@ -228,7 +214,6 @@ _C = "c AS (SELECT o_orderkey AS claim_id, 'user' || (o_custkey % 200) AS entity
 _CH = f"{_C}, tm AS (SELECT claim_id, epoch_us(timestamp_utc) + shift * 1000000 AS t FROM c JOIN sec ON row_id = event), nt AS (SELECT DISTINCT claim_id FROM tm JOIN sec ON epoch_us(timestamp_utc) BETWEEN t - 2000000 AND t + 2000000), ch AS (SELECT claim_id, entity IN (SELECT username FROM sec) AS has_user, claim_id IN (SELECT claim_id FROM nt) AS has_time, ref IN (SELECT source_file FROM sec) AS has_ref, quote IN (SELECT command_line FROM sec) AS has_quote FROM c)"
 _FIND = f"fd AS (SELECT 'signature' AS kind, row_id, rule || ': ' || matched AS summary, severity FROM m WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'lolbin', row_id, \"binary\" || ' ' || indicator, severity FROM ({detect.ORACLES['fe_lolbins']}) UNION ALL SELECT 'account', row_id, action, severity FROM ({detect.ORACLES['fe_account_mgmt']}) UNION ALL SELECT 'sensor', row_id, action, severity FROM ({detect.ORACLES['fe_sysmon_ext']}) UNION ALL SELECT 'web', row_id, family, severity FROM ({detect.ORACLES['fe_web_attack_rules']}) WHERE family IS NOT NULL UNION ALL SELECT 'cleared', row_id, 'log cleared', 'CRITICAL' FROM sec WHERE event_code IN (1102, 104)), ff AS (SELECT fd.*, timestamp_utc, source_system FROM fd JOIN sec USING (row_id))"
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
-_PK = " UNION ALL ".join(f"SELECT row_id, '{p}' AS package, concat_ws(' ', {', '.join(cs)}) AS text FROM sec" for p, cs in PACKAGES.items())
 
 QUERIES = {
     "union_indicators": _ev(indicators),
@@ -247,8 +232,6 @@ QUERIES = {
     "claim_refs": lambda s, d: claim_checks(s, d, ("has_ref",)).select("claim_id", "has_ref"),
     "claim_status": lambda s, d: claim_status(claim_checks(s, d)),
     "claim_timeline": lambda s, d: claims(s, d).join(security_events(s, d).select(F.col("row_id").alias("event"), "timestamp_utc"), "event").select("claim_id", "timestamp_utc").orderBy("timestamp_utc", "claim_id").limit(20),
-    "package_domains": _ev(lambda ev: packages(ev).groupBy("package").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))),
-    "size_check": _ev(size_check),
     "coverage_score": lambda s, d: coverage(table(s, d, "documents"), KEY),
     "exec_metrics": _ev(metrics),
     "ioc_enrich": lambda s, d: enrich(ioc_table(indicator_events(s, d)), reputation(s, d)),
@@ -273,11 +256,10 @@ ORACLES = {
     "claim_refs": f"WITH {SEC}, {_CH} SELECT claim_id, has_ref FROM ch",
     "claim_status": f"WITH {SEC}, {_CH}, n AS (SELECT claim_id, CAST(has_user::INT + has_time::INT + has_ref::INT + has_quote::INT AS BIGINT) AS passed FROM ch) SELECT *, CASE WHEN passed = 4 THEN 'VERIFIED' WHEN passed > 2 THEN 'PARTIAL' ELSE 'UNVERIFIED' END AS status FROM n",
     "claim_timeline": f"WITH {SEC}, {_C} SELECT claim_id, timestamp_utc FROM c JOIN sec ON row_id = event ORDER BY timestamp_utc, claim_id LIMIT 20",
-    "package_domains": f"WITH {SEC}, x AS ({_PK}) SELECT package, count(*) AS n, count(DISTINCT text) AS texts FROM x GROUP BY 1",
-    "size_check": f"WITH {SEC}, x AS ({_PK}) SELECT package, count(*) AS n, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens, sum(length(text)) // 4 > 150000 AS too_large FROM x GROUP BY 1",
     "coverage_score": " UNION ALL ".join(f"SELECT '{f}' AS finding, count(*) FILTER ({(' AND ' if m == 'ALL' else ' OR ').join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in ts)}) AS documents, CAST(CASE WHEN count(*) FILTER ({(' AND ' if m == 'ALL' else ' OR ').join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in ts)}) > 0 THEN {p} ELSE 0 END AS BIGINT) AS points FROM documents" for f, m, ts, p in KEY),
     "exec_metrics": f"WITH {SEC} SELECT count(DISTINCT username) AS users, count(*) FILTER (process_name = 'mimikatz.exe') AS tools, count(*) FILTER (dest_ip IN ('198.51.100.7', '203.0.113.9', '172.32.0.5')) AS outside, count(*) FILTER (severity = 'critical') AS critical FROM sec",
     "ioc_enrich": f"WITH i AS ({_IOC}), r AS (SELECT ['198.51.100.7', '203.0.113.9', '172.32.0.5'][CAST(s_suppkey % 3 + 1 AS INT)] AS value, max(s_suppkey % 9) AS m, max(s_suppkey % 3) AS s, max(s_suppkey % 90) AS c FROM supplier GROUP BY 1) SELECT kind, value, CAST(coalesce(least(100, CASE WHEN m > 5 THEN 50 WHEN m > 0 THEN 30 ELSE 0 END + CASE WHEN s > 0 THEN 10 ELSE 0 END + least(40, c // 2)), 0) AS BIGINT) AS score FROM i LEFT JOIN r USING (value)",
     "sink_stix": f"WITH i AS ({_IOC}), f(kind, a) AS (VALUES ('ipv4', 'ipv4-addr:value'), ('url', 'url:value'), ('domain', 'domain-name:value'), ('md5', 'file:hashes.MD5')) SELECT 'indicator--' || left(sha256(value), 32) AS id, '[' || a || ' = ''' || replace(value, '''', '\\''') || ''']' AS pattern, CAST(CASE WHEN risk IN ('HIGH', 'CRITICAL') THEN 85 WHEN risk = 'MEDIUM' THEN 65 ELSE 25 END AS BIGINT) AS confidence FROM i JOIN f USING (kind)",
+    "sigma_rows": f"WITH {SEC}, {_M} SELECT rule, 'title: ' || rule || chr(10) || 'detection:' || chr(10) || '  ' || field || '|contains: ' || min(matched) || chr(10) || 'level: ' || lower(severity) AS text FROM m GROUP BY rule, field, severity",
     "entropy_top": f"SELECT * FROM ({detect.ORACLES['high_entropy']}) ORDER BY entropy DESC, kind, name LIMIT 100",
 }

@@ -62,15 +62,25 @@ def indicator_events(s, d) -> DataFrame:
     return ev.withColumns({"command_line": F.when(F.col("row_id") % 50 == 0, hidden).otherwise(F.col("command_line")), "query_string": F.when(F.col("row_id") % 70 == 3, F.concat(F.lit("h=198.51.100.77&m=d41d8cd98f00b204e9800998ecf8427e&n="), F.col("username"))).otherwise(F.col("query_string"))})
 
 
-_IND = (
-    SEC.replace("sec AS", "sec0 AS", 1) + ", sec AS (SELECT * REPLACE (CASE WHEN row_id % 50 = 0 THEN 'run ' || to_base64(encode('get http://198.51.100.77/x from 198.51.100.7 by ' || row_id)) ELSE command_line END AS command_line, CASE WHEN row_id % 70 = 3 THEN 'h=198.51.100.77&m=d41d8cd98f00b204e9800998ecf8427e&n=' || username ELSE query_string END AS query_string) FROM sec0), "
-    "t AS (" + " UNION ALL ".join(f"SELECT timestamp_utc, username, process_name, '{f}' AS field, {f} AS text FROM sec" for f in FIELDS) + "), "
-    "x AS (" + " UNION ALL ".join(f"SELECT timestamp_utc, username, process_name, field, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM t" for k, p in KINDS.items())
-    + " UNION ALL SELECT timestamp_utc, username, process_name, 'decoded_content', unnest(['url', 'ipv4', 'ipv4']), unnest(['http://198.51.100.77/x', '198.51.100.77', '198.51.100.7']) FROM sec WHERE row_id % 50 = 0), "
-    "y AS (SELECT * FROM x WHERE CASE kind WHEN 'ipv4' THEN NOT regexp_matches(value, '^(10|127|0|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') WHEN 'domain' THEN NOT regexp_matches(lower(value), 'localhost|internal|[.]local|microsoft[.]com|windows[.]com') ELSE true END), "
-    "g AS (SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(DISTINCT field) AS sources, string_agg(DISTINCT field, ',' ORDER BY field) AS named, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, bool_or(process_name IN ('cmd.exe', 'powershell.exe', 'w3wp.exe') OR field = 'decoded_content') AS high FROM y GROUP BY 1, 2)"
+_EVENTS = (
+    SEC.replace("sec AS", "sec0 AS", 1) + ", sec AS (SELECT * REPLACE (CASE WHEN row_id % 50 = 0 THEN 'run ' || to_base64(encode('get http://198.51.100.77/x from 198.51.100.7 by ' || row_id)) ELSE command_line END AS command_line, CASE WHEN row_id % 70 = 3 THEN 'h=198.51.100.77&m=d41d8cd98f00b204e9800998ecf8427e&n=' || username ELSE query_string END AS query_string) FROM sec0)"
 )
-TABLE = f"WITH {_IND} SELECT kind, value, first, last, sources, named, users, processes, CASE WHEN high AND sources >= 3 THEN 'CRITICAL' WHEN high THEN 'HIGH' WHEN sources >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g"
+_HIDDEN = " UNION ALL SELECT timestamp_utc, username, process_name, 'decoded_content', unnest(['url', 'ipv4', 'ipv4']), unnest(['http://198.51.100.77/x', '198.51.100.77', '198.51.100.7']) FROM sec WHERE row_id % 50 = 0"
+
+
+def table_sql(events: str, hidden: str = "") -> str:
+    """The table for DuckDB, over events defined as ``sec`` and what is known to be hidden in them."""
+    texts = " UNION ALL ".join(f"SELECT timestamp_utc, username, process_name, '{f}' AS field, {f} AS text FROM sec" for f in FIELDS)
+    found = " UNION ALL ".join(f"SELECT timestamp_utc, username, process_name, field, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM t" for k, p in KINDS.items())
+    return (
+        f"WITH {events}, t AS ({texts}), x AS ({found}{hidden}), "
+        "y AS (SELECT * FROM x WHERE CASE kind WHEN 'ipv4' THEN NOT regexp_matches(value, '^(10|127|0|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') WHEN 'domain' THEN NOT regexp_matches(lower(value), 'localhost|internal|[.]local|microsoft[.]com|windows[.]com') ELSE true END), "
+        "g AS (SELECT kind, value, min(timestamp_utc) AS first, max(timestamp_utc) AS last, count(DISTINCT field) AS sources, string_agg(DISTINCT field, ',' ORDER BY field) AS named, count(DISTINCT username) AS users, count(DISTINCT process_name) AS processes, bool_or(process_name IN ('cmd.exe', 'powershell.exe', 'w3wp.exe') OR field = 'decoded_content') AS high FROM y GROUP BY 1, 2) "
+        "SELECT kind, value, first, last, sources, named, users, processes, CASE WHEN high AND sources >= 3 THEN 'CRITICAL' WHEN high THEN 'HIGH' WHEN sources >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g"
+    )
+
+
+TABLE = table_sql(_EVENTS, _HIDDEN)
 
 
 def _ev(f):
