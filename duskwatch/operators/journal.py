@@ -5,12 +5,13 @@ Records are (file_reference, usn, timestamp_utc, reason, filename); the reason i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import table
-from .relate import interval_join
 
 # Reasons by bit, and what makes a name suspicious.
 REASONS = {
@@ -33,7 +34,7 @@ def reason_names(reason: Column) -> Column:
 
 def suspicious(name: Column) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
-    return F.exists(F.array(*map(F.lit, NAMES)), lambda n: low.contains(n)) | F.exists(F.array(*map(F.lit, ENDINGS)), lambda e: low.endswith(e))
+    return low.rlike("|".join(map(re.escape, NAMES)) + "|(?:" + "|".join(map(re.escape, ENDINGS)) + r")\z")  # one test: the name is worked out once
 
 
 def renames(journal: DataFrame) -> DataFrame:
@@ -44,13 +45,24 @@ def renames(journal: DataFrame) -> DataFrame:
 
 
 def staged_deletions(journal: DataFrame, within: float = 3600) -> DataFrame:
-    """(usn, deleted_usn, name, seconds): creations of a suspicious name, and its first deletion after it if that comes within the time."""
-    some = journal.where(has(CREATE | DELETE) & suspicious(F.col("filename"))).withColumn("name", F.lower("filename"))
-    made = some.where(has(CREATE)).select("name", F.col("timestamp_utc").alias("made"), "usn")
-    gone = some.where(has(DELETE)).select("name", F.col("timestamp_utc").alias("gone"), F.col("usn").alias("deleted_usn"))
-    micros = F.unix_micros("gone") - F.unix_micros("made")
-    near = interval_join(made, gone, ["name"], "made", "gone", 0, within).where((micros > 0) & (micros < int(within * 1_000_000)))
-    first = near.groupBy("usn").agg(F.min(F.struct("gone", "deleted_usn", "name", (micros / 1e6).alias("seconds"))).alias("f"))
+    """(usn, deleted_usn, name, seconds): creations of a suspicious name, and its first deletion after it if that comes within the time.
+
+    Times are collapsed first, of a time's deletions the one of least usn stays. The next deletion lies in the creation's
+    own slot of time, or is the first of the name's next slot, so no pairs are formed.
+    """
+    limit = int(within * 1_000_000)
+    width = max(limit // 60, 1)
+    some = journal.where(has(CREATE | DELETE) & suspicious(F.col("filename"))).select(F.lower("filename").alias("name"), F.unix_micros("timestamp_utc").alias("m"), "usn", "reason")
+    some = some.withColumn("slot", ((F.col("m") - F.pmod("m", F.lit(width))) / width).cast("long"))
+    times = some.groupBy("name", "slot", "m").agg(F.min(F.when(has(DELETE), F.struct("m", F.col("usn").alias("deleted_usn")))).alias("gone"), F.bool_or(has(CREATE)).alias("made"))
+    along = W.partitionBy("name").orderBy("slot")
+    slots = times.groupBy("name", "slot").agg(F.min("gone").alias("head"))
+    slots = slots.select("name", "slot", F.first("head", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("beyond"))
+    down = W.partitionBy("name", "slot").orderBy(F.desc("m")).rowsBetween(W.unboundedPreceding, -1)  # later times come first
+    found = times.withColumn("inside", F.last("gone", ignorenulls=True).over(down)).where("made").join(slots, ["name", "slot"])
+    found = found.select("name", "m", F.coalesce("inside", "beyond").alias("next")).where(F.col("next.m") - F.col("m") < limit)
+    near = some.where(has(CREATE)).select("usn", "name", "m").join(found, ["name", "m"])
+    first = near.groupBy("usn").agg(F.min(F.struct(F.col("next.m").alias("gone"), F.col("next.deleted_usn").alias("deleted_usn"), "name", ((F.col("next.m") - F.col("m")) / 1e6).alias("seconds"))).alias("f"))
     return first.select("usn", "f.deleted_usn", "f.name", F.round("f.seconds", 6).alias("seconds"))
 
 

@@ -161,6 +161,15 @@ def test_journal(spark):
     assert df.where("usn = 6").select(journal.reason_names(F.col("reason")).alias("r")).first().r == "FILE_DELETE,CLOSE"
 
 
+def test_staged_deletions_form_no_pairs(spark):
+    rows = [(i, i * 1000, 0x100 if i % 2 else 0x200, "A.exe" if i % 4 < 2 else "a.exe") for i in range(400)] + [(900, 7_000_000_000, 0x100, "b.dll"), (902, 7_000_000_000 + 3_599_999_999, 0x200, "b.dll"), (901, 7_000_000_000 + 3_599_999_999, 0x200, "b.dll"), (903, 0, 0x300, "c.bat"), (904, 1, 0x300, "c.bat")]
+    df = spark.createDataFrame([(u, at(m), r, n) for u, m, r, n in rows], "usn long, timestamp_utc timestamp, reason long, filename string")
+    done = journal.staged_deletions(df)
+    want = sorted((i, i + 1, "a.exe", 0.001) for i in range(1, 399, 2)) + [(900, 901, "b.dll", 3599.999999), (903, 904, "c.bat", 0.000001)]
+    assert sorted(tuple(r) for r in done.collect()) == want
+    assert "sequence(" not in done._jdf.queryExecution().toString()  # no record is spread over slots to be paired with all others there
+
+
 def test_literal_parts():
     import re
 
