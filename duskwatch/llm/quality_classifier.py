@@ -1,20 +1,24 @@
 """Quality classifier: naive Bayes support vectors.
 
 N-gram indicators (words and word pairs, hashed) are scaled by the log-count ratio of the two classes,
-then a linear hinge loss is fitted by dual coordinate descent in numpy on a bounded sample of
-labelled rows (``SAMPLE``). Scoring runs in Spark tasks over every whole text.
+then a linear hinge loss is fitted by dual coordinate descent in numpy on all labelled rows: on more than
+``SAMPLE`` in shards, whose weights are averaged. Scoring runs in Spark tasks over every whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .labelled import answer, at_cut, best_cut, hashed, scored, training_texts
-from .store import documents
+from .labelled import answer, at_cut, best_cut, collected, counted, fitted_by_shard, hashed, scored, training_shards
+from .store import discard, documents
 from .words import shingle_hashes
 
-#: At most so many labelled documents are read for the fit; the model does not grow with the corpus.
+#: Labelled rows of one shard, so that a task's memory doesn't grow with the corpus; all rows take part.
 SAMPLE = 4000
 BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 5, 0
@@ -52,8 +56,11 @@ class Model:
 def log_count_ratio(ids: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log of (share of the bucket in class 1) / (share in class 0), counts smoothed by one."""
     doc = np.repeat(np.arange(len(y)), np.diff(at))
-    p = 1.0 + np.bincount(ids[y[doc] > 0], minlength=BUCKETS)
-    q = 1.0 + np.bincount(ids[y[doc] == 0], minlength=BUCKETS)
+    return _ratio(np.bincount(ids[y[doc] > 0], minlength=BUCKETS), np.bincount(ids[y[doc] == 0], minlength=BUCKETS))
+
+
+def _ratio(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    p, q = p + 1.0, q + 1.0
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     return np.where(p + q > 3, ratio, 0.0)  # a bucket of one document says nothing about others
 
@@ -79,15 +86,15 @@ def dual_coordinate_descent(ids: np.ndarray, at: np.ndarray, ratio: np.ndarray,
     return w * ratio, bias
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic map by Newton steps on smoothed targets."""
-    n1, n0 = y.sum(), (1 - y).sum()
+def _logistic(margin: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic map by Newton steps on smoothed targets; each margin stands for ``n`` rows."""
+    n1, n0 = (y * n).sum(), ((1 - y) * n).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        v = p * (1 - p) + 1e-9
+        g = np.array([((p - target) * n * margin).sum() + 1e-3 * (a - 1), ((p - target) * n).sum()])
+        v = n * (p * (1 - p) + 1e-9)
         h = np.array([[(v * margin * margin).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
@@ -113,9 +120,57 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     model = Model(weights, bias, 1.0, 0.0, 0.3)
     words, rows, n, own = sets[1]
     margin = model.margins(words, rows, n)
-    if 0 < own.sum() < n:
-        model.slope, model.shift = _logistic(margin, own)
-        model.cut = best_cut(1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -50, 50))), own)
+    _calibrate(model, margin, own, np.ones(n))
+    return model
+
+
+def _calibrate(model: Model, margin: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+    if 0 < (y * n).sum() < n.sum():
+        model.slope, model.shift = _logistic(margin, y, n)
+        model.cut = best_cut(1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -50, 50))), y, n)
+
+
+def fit_by_shard(rows: DataFrame) -> Model:
+    """As ``fit``, over any number of ``training_shards``: n-grams are counted over all, each shard gives weights, and their mean counts."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                y, texts = (c.to_pylist() for c in batch.slice(i, 64).columns)
+                ids, at = indicators(*hashed(texts), len(texts))
+                label = np.repeat(np.array(y), np.diff(at))
+                for k in (0, 1):
+                    held[k] += np.bincount(ids[label == k], minlength=BUCKETS)
+        some = np.flatnonzero(held.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[0][some]), pa.array(held[1][some])], ["bucket", "q", "p"])
+
+    learn = rows.where("NOT test")
+    c = learn.select("y", "text").mapInArrow(counts, "bucket long, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).toPandas()  # a row for each bucket
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    p[c["bucket"]], q[c["bucket"]] = c["p"], c["q"]
+    ratio = _ratio(p, q)
+
+    def one(texts: list[str], y: np.ndarray) -> np.ndarray:
+        weights, bias = dual_coordinate_descent(*indicators(*hashed(texts), len(texts)), ratio, y)
+        return np.append(weights, bias)
+
+    mean = fitted_by_shard(learn, one)
+    model = Model(mean[:-1], float(mean[-1]), 1.0, 0.0, 0.3)
+    _, margin, y, count = counted(rows.where("test"), lambda texts: (np.zeros(len(texts), np.int64), model.margins(*hashed(texts), len(texts))))
+    _calibrate(model, margin, y, count)
+    return model
+
+
+def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
+    """The model of all labelled rows: those of one shard are fitted at once, more of them in tasks."""
+    rows = training_shards(docs, labels, "quality", FOLDS, HELD_OUT, size)
+    n, positive = rows.selectExpr("count(*)", "coalesce(sum(y), 0)").first()
+    if n <= size:
+        model = fit(*collected(rows))
+    else:
+        model = fit_by_shard(rows) if 0 < positive < n else fit([], np.array([float(positive > 0)]))
+    discard(rows)
     return model
 
 
@@ -126,7 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     ids stay null, an empty table gives an empty table; columns other than doc_id and text are not read. A very
     long text is scored whole; a score just at the threshold becomes 0.3.
     """
-    model = fit(*training_texts(docs, labels, "quality", FOLDS, HELD_OUT, sample))
+    model = fitted(docs, labels, sample)
     return answer(scored(docs, model.score, 2 << 20), FOLDS, HELD_OUT)
 
 

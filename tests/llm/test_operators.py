@@ -176,6 +176,19 @@ def test_classifiers(spark, module, label, folds, held):
     assert len({r.score for r in module.classify(docs.limit(5), labels.limit(0)).collect()}) >= 1
 
 
+@pytest.mark.parametrize("module,label,folds,held", [(toxicity, "toxic", 4, 2), (quality_classifier, "quality", 5, 0)])
+def test_classifiers_learn_from_all_rows(spark, monkeypatch, module, label, folds, held):
+    docs, labels = labelled(spark, "grobian")
+    seen = spark.sparkContext.accumulator(0)
+    inner = module.fitted_by_shard
+    monkeypatch.setattr(module, "fitted_by_shard", lambda rows, fit: inner(rows, lambda texts, y: seen.add(len(texts)) or fit(texts, y)))
+    got = {r.doc_id: r for r in module.classify(docs, labels, 60).collect()}
+    known = [i for i in range(300) if zlib.crc32(str(i).encode()) % folds != held]
+    passes = 8 if module is toxicity else 1
+    assert seen.value % passes == 0 and 0.7 * len(known) < seen.value // passes < 0.9 * len(known)  # all but the fifth that thresholds come from
+    assert len(got) == 303 and all(0 <= r.score <= 1 for r in got.values())
+
+
 def test_toxicity_is_fitted_whole(monkeypatch):
     steps = []
     monkeypatch.setattr(toxicity, "_step", lambda net, ids, rows, y, weight: steps.append(len(y)) or {k: np.zeros_like(x) for k, x in net.p.items()})
