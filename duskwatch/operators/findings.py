@@ -127,18 +127,16 @@ def claims(s, d) -> DataFrame:
 CHECKS = ("has_user", "has_time", "has_ref", "has_quote")
 
 
-def claim_checks(s, d, names: tuple[str, ...] = CHECKS, parts: int = 16) -> DataFrame:
+def claim_checks(s, d, names: tuple[str, ...] = CHECKS) -> DataFrame:
     """The named checks of each claim against the events: its user is there, an event lies within two seconds, its
-    file is part of a file's name, its quote part of a command. Only what is asked for is joined. Events are
-    dealt to ``parts`` by their id and claims go to all of them, so that no task has all events of a time."""
+    file is part of a file's name, its quote part of a command. Only what is asked for is joined."""
     ev, out = security_events(s, d), claims(s, d)
     if "has_user" in names:
         out = out.join(ev.select(F.col("username").alias("entity"), F.lit(True).alias("has_user")).distinct(), "entity", "left")
     if "has_time" in names:
         at = out.select("claim_id", "event", "shift").join(ev.select(F.col("row_id").alias("event"), "timestamp_utc"), "event")
-        at = at.select("claim_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), (F.col("timestamp_utc") + F.make_interval(secs=F.col("shift"))).alias("ts"))
-        events = ev.select(F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias("part"), F.col("timestamp_utc").alias("other_ts"))
-        out = out.join(relate.interval_join(at, events, ["part"], "ts", "other_ts", 2, 2).select("claim_id", F.lit(True).alias("has_time")).distinct(), "claim_id", "left")
+        at = at.select("claim_id", (F.unix_micros("timestamp_utc") + F.col("shift") * 1_000_000).alias("m"))
+        out = out.join(relate.any_near(at, ev.select(F.unix_micros("timestamp_utc").alias("m")), 2).select("claim_id", F.lit(True).alias("has_time")).distinct(), "claim_id", "left")
     for name, column, text in (("has_ref", "ref", "source_file"), ("has_quote", "quote", "command_line")):
         if name in names:
             held = found_in(out.select(F.col(column).alias("value")), ev.select(F.col(text).alias("text"))).select(F.col("value").alias(column), F.lit(True).alias(name)).distinct()

@@ -30,6 +30,21 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
     return left.join(right, [*keys, "_bucket"]).where(gap.between(-int(before * 1_000_000), int(after * 1_000_000))).drop("_bucket")
 
 
+def any_near(rows: DataFrame, others: DataFrame, within: float) -> DataFrame:
+    """The rows that have one of ``others`` within some seconds, by the microseconds ``m`` of both.
+
+    Slots are as wide as the time: any other in a row's own slot is near, of the slots beside it the last and the first one
+    tell. One row a slot is joined, so the work doesn't grow with the pairs.
+    """
+    width = int(within * 1_000_000)
+    slot = ((F.col("m") - F.pmod("m", F.lit(width))) / width).cast("long")
+    ends = others.select(slot.alias("slot"), "m").groupBy("slot").agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    beside = F.explode(F.array(*[F.struct((F.col("slot") + k).alias("slot"), (F.col("first") if k <= 0 else F.lit(None)).alias("first"), (F.col("last") if k >= 0 else F.lit(None)).alias("last"), F.lit(k == 0).alias("own")) for k in (-1, 0, 1)]))
+    ends = ends.select(beside.alias("x")).select("x.*").groupBy("slot").agg(F.bool_or("own").alias("_own"), F.min(F.when(~F.col("own"), F.col("first"))).alias("_next"), F.max(F.when(~F.col("own"), F.col("last"))).alias("_before"))
+    near = F.col("_own") | F.coalesce(F.col("_next") - F.col("m") <= width, F.lit(False)) | F.coalesce(F.col("m") - F.col("_before") <= width, F.lit(False))
+    return rows.withColumn("slot", slot).join(ends, "slot").where(near).drop("slot", "_own", "_next", "_before")
+
+
 def asof_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
     """The latest start of the parent's pid on the same host strictly before each child's, by one sorted pass."""
     p = parents.select("host", F.col("pid").alias("key"), "ts", F.lit(0).alias("is_child"), "id", F.lit(None).cast("long").alias("pid"))

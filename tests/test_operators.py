@@ -47,6 +47,15 @@ def test_joins_have_no_nested_loop(spark):
     assert "NestedLoop" not in j._jdf.queryExecution().toString()
 
 
+def test_any_near_forms_no_pairs(spark):
+    rows = [0, 2_000_000, 5_000_000, 5_000_001, 9_999_999, 12_000_000, 12_000_001, -1, -2_000_001]
+    others = [0, 7_000_000, 10_000_000, 10_000_000] * 50
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "m long")
+    got = relate.any_near(frame(rows), frame(others), 2)
+    assert sorted(r.m for r in got.collect()) == sorted(m for m in rows if any(abs(m - o) <= 2_000_000 for o in others))
+    assert got.count() == 7  # each row once, however many others are near
+
+
 def test_sessions_keep_all_events_and_exact_gap(spark):
     rows = [(1, "a", "u", 0), (2, "a", "u", 1800), (3, "a", "u", 3601), (4, "a", "u", 9000)]
     ev = spark.createDataFrame(rows, "row_id long, source_system string, username string, t long").withColumn("timestamp_utc", F.timestamp_seconds("t"))
