@@ -75,3 +75,17 @@ def test_nearest_is_bounded(crowd):
         want += [(i, h, near[0][1], round(near[0][2] / 1e6, 3))]
     assert got == sorted(want)
     assert max(join_rows(df)) <= 350 * 2
+
+
+def test_base64_forms_are_decoded_once(spark):
+    import base64
+
+    from duskwatch.operators.decode import b64_forms
+
+    text = "powershell -command whoami /all é"
+    direct, wide = base64.b64encode(text.encode()).decode(), base64.b64encode(text.encode("utf-16-le")).decode()
+    df = spark.createDataFrame([(0, direct), (1, direct[::-1]), (2, wide), (3, "no base64"), (4, None), (5, base64.b64encode(b"a\x01bcdef").decode())], "i int, t string").select("i", b64_forms(F.col("t")).alias("b"))
+    got = {r.i: (r.b.form, r.b.decoded, r.b.share) if r.b else None for r in df.collect()}
+    assert got[0] == ("direct", text, 1.0) and got[1] == ("reversed", text, 1.0) and got[2] == ("wide", text, 1.0)
+    assert got[3] is None and got[4] is None and got[5] == ("direct", "a\x01bcdef", 6 / 7)
+    assert df._jdf.queryExecution().analyzed().toString().count("try_to_binary") == 3
