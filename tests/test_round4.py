@@ -89,3 +89,18 @@ def test_base64_forms_are_decoded_once(spark):
     assert got[0] == ("direct", text, 1.0) and got[1] == ("reversed", text, 1.0) and got[2] == ("wide", text, 1.0)
     assert got[3] is None and got[4] is None and got[5] == ("direct", "a\x01bcdef", 6 / 7)
     assert df._jdf.queryExecution().analyzed().toString().count("try_to_binary") == 3
+
+
+def test_entropy_of_many_characters(spark):
+    import math
+    import time
+
+    from duskwatch.functions.scalars import entropy
+
+    many = "".join(chr(0x3400 + i) for i in range(0x5000))
+    df = spark.createDataFrame([(0, many), (1, "aab"), (2, ""), (3, None), (4, "a\U0001f600"), (5, "bbbb")], "i int, t string")
+    began = time.time()
+    got = {r.i: r.e for r in df.select("i", entropy(F.col("t")).alias("e")).collect()}
+    assert time.time() - began < 30
+    third = -(1 / 3 * math.log2(1 / 3) + 2 / 3 * math.log2(2 / 3))
+    assert [round(got[i], 9) for i in range(6)] == [round(math.log2(0x5000), 9), round(third, 9), 0, 0, 1, 0]
