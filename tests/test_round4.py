@@ -104,3 +104,16 @@ def test_entropy_of_many_characters(spark):
     assert time.time() - began < 30
     third = -(1 / 3 * math.log2(1 / 3) + 2 / 3 * math.log2(2 / 3))
     assert [round(got[i], 9) for i in range(6)] == [round(math.log2(0x5000), 9), round(third, 9), 0, 0, 1, 0]
+
+
+def test_indicator_table_searches_each_text_once(spark):
+    from duskwatch.operators.indicators import ioc_table
+
+    fields = ["command_line", "uri", "file_path"]
+    rows = [(T0 + i, f"u{i % 90}", "cmd.exe" if i % 7 == 0 else f"p{i % 11}.exe", "get http://198.51.100.7/a", "/x?h=198.51.100.7", "198.51.100.7" if i % 2 else "") for i in range(900)]
+    ev = spark.createDataFrame(rows, "m long, username string, process_name string, command_line string, uri string, file_path string").withColumn("timestamp_utc", F.timestamp_micros("m"))
+    df = ioc_table(ev, fields)
+    got = {(r.kind, r.value): (r.sources, r.named, r.users, r.processes, r.risk) for r in df.collect()}
+    assert got == {("ipv4", "198.51.100.7"): (3, "command_line,file_path,uri", 90, 12, "CRITICAL"), ("url", "http://198.51.100.7/a"): (1, "command_line", 90, 12, "HIGH")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "username" not in next(line for line in plan.splitlines() if "Generate explode(flatten" in line)
