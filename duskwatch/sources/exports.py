@@ -248,8 +248,9 @@ def _packet(ev: DataFrame) -> DataFrame:
 
 
 def _payload_rows(ev: DataFrame) -> DataFrame:
-    maps = payload_maps(F.get_json_object("value", "$.Payload"))
-    return _event_rows(ev).select("row_id", *[_lookup(maps, [k]).alias(k.lower()) for k in ("Image", "CommandLine", "ServiceName", "TargetObject")])
+    # columns of their own: each payload is parsed once, whatever number of fields is looked up
+    own = _event_rows(ev).select("row_id", F.get_json_object("value", "$.Payload").alias("payload")).select("row_id", *[m.alias(f"map{i}") for i, m in enumerate(payload_maps(F.col("payload")))])
+    return own.select("row_id", *[_lookup([F.col(f"map{i}") for i in range(4)], [k]).alias(k.lower()) for k in ("Image", "CommandLine", "ServiceName", "TargetObject")])
 
 
 QUERIES = {

@@ -117,3 +117,10 @@ def test_indicator_table_searches_each_text_once(spark):
     assert got == {("ipv4", "198.51.100.7"): (3, "command_line,file_path,uri", 90, 12, "CRITICAL"), ("url", "http://198.51.100.7/a"): (1, "command_line", 90, 12, "HIGH")}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "username" not in next(line for line in plan.splitlines() if "Generate explode(flatten" in line)
+
+
+def test_payloads_are_parsed_once(spark):
+    from duskwatch.sources import exports
+
+    plan = exports.QUERIES["payload_normalize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") <= 4
