@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import stored
 from . import categories, detect, indicators
 
 #: Tokens of four characters that a package may have, and rows of each of its sources that a summary keeps.
@@ -46,7 +47,8 @@ def sizes(rows: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
 
 def bounded(rows: DataFrame, most: int = MOST_TOKENS, keep: int = SUMMARY, parts: int = 64) -> DataFrame:
     """All rows of packages that fit, and of too large ones the first ``keep`` of each source by their text: each of ``parts``
-    keeps its own first ones, so no task orders a whole source."""
+    keeps its own first ones, so no task orders a whole source. The rows are made once."""
+    rows = stored(rows)
     large = F.broadcast(sizes(rows, most).select("package", "too_large"))  # a row for each package
     marked = rows.join(large, "package")
     cut = marked.where("too_large").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))

@@ -124,3 +124,12 @@ def test_payloads_are_parsed_once(spark):
 
     plan = exports.QUERIES["payload_normalize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("jsontostructs") <= 4
+
+
+def test_package_rows_are_made_once(spark):
+    from duskwatch.operators.packages import bounded
+
+    rows = spark.range(300).select(F.lit("p").alias("package"), F.lit("s").alias("source"), F.format_string("%05d", "id").alias("text"))
+    df = bounded(rows, most=10, keep=5)
+    assert sorted(r.text for r in df.collect()) == [f"{i:05d}" for i in range(5)]
+    assert "Range (" not in df._jdf.queryExecution().optimizedPlan().toString()
