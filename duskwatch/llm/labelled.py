@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import BROADCAST_ROWS, cut, keyed_rows
 from .words import row_groups, text_buffer, word_hashes
 
 
@@ -18,16 +18,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(folds)), F.lit(0)).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """(h, doc_id, y, text, test) of all labelled rows outside the held-out fold, with a hash of the id that deals them to shards, and a fifth to test on.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, shards: int, n_labels: int) -> DataFrame:
+    """(h, doc_id, y, text, test, shard) of all labelled rows outside the held-out fold, dealt to shards by a hash of the id, and a fifth to test on.
 
     Of an id's rows one text, that of least hash, is taken; none of it depends on the order of rows. Null labels, ids and texts are left out.
+    Texts are exchanged once: they and the labels go to their shard side by side and are matched where they lie. If the
+    ``n_labels`` labels fit a broadcast, texts without a label stay behind.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    known = known.select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    h = F.xxhash64(F.lit("training rows"), "doc_id")
-    return rows.select(h.alias("h"), "doc_id", "y", "text", (F.pmod(F.shiftright(h, 20), F.lit(5)) == 4).alias("test"))
+    outside = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)
+    known = labels.where(F.col(label).isNotNull() & outside).select("doc_id", F.lit(None).cast("string").alias("text"), F.col(label).cast("int").alias("y"))
+    texts = docs.select("doc_id", "text", F.lit(None).cast("int").alias("y")).where(F.col("text").isNotNull() & outside)
+    texts = keyed_rows(texts, known, "doc_id", n_labels) if n_labels <= BROADCAST_ROWS else texts
+    both = texts.unionByName(known).withColumn("h", F.xxhash64(F.lit("training rows"), "doc_id"))
+    both = both.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    text = F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), "text"))).alias("text")
+    own = both.groupBy("shard", "h", "doc_id").agg(text, F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("ys")).where("text IS NOT NULL")
+    rows = own.select("h", "doc_id", F.explode("ys").alias("y"), "text", "shard").where("y IS NOT NULL")
+    return rows.select("h", "doc_id", "y", "text", (F.pmod(F.shiftright("h", 20), F.lit(5)) == 4).alias("test"), "shard")
 
 
 def collected(rows: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -42,9 +49,9 @@ SLICE, STEPS = 1 << 12, 1000
 
 def training_shards(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, size: int) -> DataFrame:
     """``training_rows`` in the shared folder, dealt once to shards of about ``size`` rows that lie together in its files."""
-    shards = max(1, -(-labels.where(F.col(label).isNotNull()).count() // size))
-    rows = training_rows(docs, labels, label, folds, held_out).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return cut(rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "y"))
+    n = labels.where(F.col(label).isNotNull()).count()
+    rows = training_rows(docs, labels, label, folds, held_out, max(1, -(-n // size)), n)
+    return cut(rows.sortWithinPartitions("shard", "doc_id", "y"))
 
 
 def fitted_by_shard(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarray]) -> np.ndarray:
