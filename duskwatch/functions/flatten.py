@@ -9,7 +9,7 @@ from ..adapters import SEC, security_events
 from ..store import stored
 
 
-def _text(v: Column) -> Column:
+def leaf_text(v: Column) -> Column:
     """A leaf as text: strings bare, lists joined by ``;``, other values as JSON writes them."""
     part = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null"))
     items = F.try_variant_get(v, "$", "array<variant>")
@@ -33,7 +33,7 @@ def flatten_json(df: DataFrame, text: str = "value") -> DataFrame:
         entries = frontier.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
         level = entries.select(*others, F.concat_ws(".", "_path", "key").alias("_path"), F.col("value").alias("_v")).withColumn("_deeper", is_object(F.col("_v")))
         level = stored(level)
-        leaves.append(level.where("NOT _deeper").select(*others, F.col("_path").alias("key"), _text(F.col("_v")).alias("found")))
+        leaves.append(level.where("NOT _deeper").select(*others, F.col("_path").alias("key"), leaf_text(F.col("_v")).alias("found")))
         frontier = level.where("_deeper").drop("_deeper")
         if frontier.isEmpty():
             break

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import SEC, security_events
 from ..functions import scalars as S
-from ..functions.flatten import flatten_json
+from ..functions.flatten import leaf_text
 from ..store import stored
 
 # Names of the time, at the top or in these objects, and of other fields at any depth, in the order in which they are taken.
@@ -28,24 +31,63 @@ def _time(text: Column) -> Column:
     return F.when(n.isNotNull(), F.timestamp_micros((F.when(n > 10**12, n * 1000).otherwise(n * 1_000_000)).cast("bigint"))).otherwise(S.timestamp_of(text))
 
 
+#: Levels of nesting that one pass over the rows takes; only rows with deeper objects go on to another pass.
+LEVELS = 4
+_MAP = "map<string,variant>"
+
+
+def _first(m: Column, names: list[str], as_: Callable[[Column], Column]) -> Column:
+    """The first of ``names`` whose text in the map ``m`` isn't empty and fits ``as_``."""
+    texts = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.try_variant_get(F.try_element_at(m, n), "$", "string"))
+    return F.get(F.filter(F.transform(F.filter(texts, lambda x: x != ""), as_), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _candidates(entry: Column) -> Column:
+    """(field, place, depth, key, found) for each known name that a leaf has, alone or as a path joined by ``_``."""
+    places = F.create_map(*[x for f, ns in NAMES.items() for i, n in enumerate(ns) for x in (F.lit(n), F.struct(F.lit(f).alias("field"), F.lit(i).alias("place")))])
+    key = entry["key"]
+    path, short, depth = F.replace(key, F.lit("."), F.lit("_")), F.substring_index(key, ".", -1), F.length(key) - F.length(F.replace(key, F.lit("."), F.lit("")))
+    known = F.filter(F.transform(F.array_distinct(F.array(short, path)), lambda n: F.try_element_at(places, n)), lambda p: p.isNotNull())
+    return F.transform(known, lambda p: F.struct(p["field"].alias("field"), p["place"].alias("place"), depth.alias("depth"), key.alias("key"), leaf_text(entry["v"]).alias("found")))
+
+
+def _deeper(rows: DataFrame) -> DataFrame:
+    """``rows`` with the objects of ``open`` taken apart: known leaves added to ``found``, objects in them left open."""
+    inner = lambda o: F.transform(F.map_entries(o["m"]), lambda e: F.struct(F.concat_ws(".", o["key"], e["key"]).alias("key"), e["value"].alias("v"), F.try_variant_get(e["value"], "$", _MAP).alias("m")))
+    rows = rows.withColumn("entries", F.flatten(F.transform("open", inner)))
+    leaves = F.flatten(F.transform(F.filter("entries", lambda e: e["m"].isNull()), _candidates))
+    objects = F.transform(F.filter("entries", lambda e: e["m"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), e["m"].alias("m")))
+    return rows.withColumns({"found": F.concat("found", F.filter(leaves, lambda c: c["found"] != "")), "open": objects}).drop("entries")
+
+
+def _best(field: str) -> Column:
+    return F.array_min(F.filter("found", lambda c: c["field"] == field))["found"]
+
+
 def norm_jsonl(df: DataFrame) -> DataFrame:
-    """Lines (row_id, value) that hold JSON objects, as events. Each line is parsed once for its time and type; its leaves
-    are exploded for the other fields, and only those with a known name, alone or as a path joined by ``_``, are exchanged. Of
-    several the first name of the list counts, then the one least deep."""
-    rows = df.select("row_id", "value", F.try_parse_json("value").alias("v")).where("v IS NOT NULL").where(F.schema_of_variant("v").startswith("OBJECT"))
-    at = lambda *path: F.nullif(F.try_variant_get("v", "$" + "".join(f"['{p}']" for p in path), "string"), F.lit(""))
-    texts = F.array(*[at(*prefix, n) for prefix in ((), *((i,) for i in INSIDE)) for n in TIMES])
-    time = F.get(F.filter(F.transform(F.array_compact(texts), _time), lambda t: t.isNotNull()), F.lit(0))
-    kind = F.coalesce(*[at(n) for n in TYPES], *[at("event", n) for n in INNER_TYPES])
-    base = stored(rows.select("row_id", time.alias("timestamp_utc"), F.concat_ws("_", F.lit("JSONL"), kind).alias("event_type"))).where("timestamp_utc IS NOT NULL")
-
-    leaves = flatten_json(rows.select("row_id", "value")).where("found <> ''")
-    path, short, depth = F.replace("key", F.lit("."), F.lit("_")), F.substring_index("key", ".", -1), F.length("key") - F.length(F.replace("key", F.lit("."), F.lit("")))
-    known = F.broadcast(df.sparkSession.createDataFrame([(n, f, i) for f, ns in NAMES.items() for i, n in enumerate(ns)], "name string, field string, place int"))
-    found = leaves.select("row_id", F.explode(F.array_distinct(F.array(short, path))).alias("name"), depth.alias("depth"), "key", "found").join(known, "name")
-    best = found.groupBy("row_id", "field").agg(F.min(F.struct("place", "depth", "key", "found")).alias("best"))
-    fields = best.groupBy("row_id").pivot("field", list(NAMES)).agg(F.first("best.found"))
-    return base.join(fields, "row_id", "left").select("row_id", "timestamp_utc", "event_type", *[(F.col(f).try_cast("bigint") if f in _NUMBERS else F.col(f)).alias(f) for f in NAMES])
+    """Lines (row_id, value) that hold JSON objects, as events. Each line is parsed once and stays one row: its objects are
+    taken apart level by level in place, and of its leaves only those with a known name, alone or as a path joined by ``_``, are
+    kept, so nothing is exchanged. Of several the first name of the list counts, then the one least deep. A line that is no
+    object has no time and so no row."""
+    parsed = df.select("row_id", F.try_parse_json("value").alias("v"))
+    maps = parsed.select("row_id", F.try_variant_get("v", "$", _MAP).alias("top"), *[F.try_variant_get("v", f"$['{i}']", _MAP).alias(i) for i in INSIDE])
+    time = F.coalesce(*[_first(F.col(m), TIMES, _time) for m in ("top", *INSIDE)])
+    kind = F.coalesce(_first(F.col("top"), TYPES, lambda x: x), _first(F.col("event"), INNER_TYPES, lambda x: x))
+    rows = maps.select("row_id", time.alias("timestamp_utc"), F.concat_ws("_", F.lit("JSONL"), kind).alias("event_type"), F.col("top"))
+    # a line without a time gets no row: nothing of it is taken apart
+    rows = rows.select("row_id", "timestamp_utc", "event_type", F.when(F.col("timestamp_utc").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("top").alias("m")))).otherwise(F.array()).alias("open"), F.array().cast("array<struct<field:string,place:int,depth:int,key:string,found:string>>").alias("found"))
+    done = []
+    while True:
+        for _ in range(LEVELS):
+            rows = _deeper(rows)
+        rows = stored(rows)
+        done.append(rows.where("timestamp_utc IS NOT NULL AND size(open) = 0").drop("open"))
+        rows = rows.where("size(open) > 0")
+        if rows.isEmpty():
+            break
+    out = functools.reduce(DataFrame.unionByName, done)
+    best = {f: _best(f) for f in NAMES}
+    return out.select("row_id", "timestamp_utc", "event_type", *[(x.try_cast("bigint") if f in _NUMBERS else x).alias(f) for f, x in best.items()])
 
 
 def lines(ev: DataFrame) -> DataFrame:
