@@ -1,15 +1,16 @@
 """Line dedup: an exact set-similarity join of lines.
 
 A line's tokens are its five-word shingles (of one to four words, all of them as one). Lines of equal
-sets are one class, whose rank is that of its first line. In any fixed order of tokens two sets of
+words are one class, whose rank is that of its first line. In any fixed order of tokens two sets of
 similarity t share one of their first n - ceil(t n) + 1 (prefix filter); sizes (length filter) and the
 places of the shared token (positional filter) bound the similarity before full sets are intersected.
 A line goes if an earlier line, kept or not, is as similar as ``PERCENT``.
 
-1. The order of token hashes, which needs no count of all tokens, leaves the classes that share a token
-   of their prefixes with another class. In cells of ``FEW`` classes or less all are compared, in larger
-   ones each with the earliest.
-2. Classes of larger cells that this leaves open, and all of their cells, count their tokens and order
+1. Tokens in the order of their first words' hashes: only the prefix is hashed, and no count of all tokens
+   is needed. Classes that share a token of their prefixes with another class are left, with their sets.
+2. Their prefixes in the order of token hashes. In cells of ``FEW`` classes or less all are compared, in
+   larger ones each with the earliest.
+3. Classes of larger cells that this leaves open, and all of their cells, count their tokens and order
    them by rarity; whatever then shares a token of its prefix is compared.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import with_shingles
-from .store import BROADCAST_ROWS, cut, discard, documents, keyed, keyed_rows, settled, text_digests, unpacked, with_found, words_of
+from .store import BROADCAST_ROWS, cut, discard, documents, keyed, keyed_rows, settled, text_digests, unpacked, with_found
 
 PERCENT = 80
 #: Lines of fewer words are kept: every line with a word is compared.
@@ -38,20 +39,49 @@ def _prefix_size(n: Column) -> Column:
     return n - _needed(n) + 1
 
 
-def _with_sets(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``lines`` with ``set``, the sorted distinct tokens of the column ``line``."""
-    lines = with_shingles(lines.withColumn("w", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x))), "w", "s")
-    own = F.when(F.size("w") >= least_words, F.sort_array(F.array_distinct("s"))).otherwise(F.array().cast("array<bigint>"))
-    return lines.withColumn("set", own).drop("w", "s", "line")
+def _plain(text: Column) -> Column:
+    """Lower case, all white space but line ends as blanks."""
+    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", *text_digests(), F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+    """(doc_id, k1, k2, n_lines, line_no, line) of the plain texts."""
+    split = docs.select("doc_id", *text_digests(), F.split(_plain(F.coalesce("text", F.lit(""))), "\n").alias("all"))
+    return split.select("doc_id", "k1", "k2", F.size("all").alias("n_lines"), F.posexplode("all").alias("line_no", "line"))
+
+
+def _words() -> Column:
+    return F.array_remove(F.split("line", " "), "")
+
+
+def _with_sets(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``set``, the sorted distinct tokens of the column ``line``."""
+    lines = with_shingles(lines.withColumn("w", F.transform(_words(), lambda x: F.xxhash64(x))).drop("line"), "w", "s")
+    return lines.withColumn("set", F.sort_array(F.array_distinct("s"))).drop("w", "s")
 
 
-def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, k1, k2, line_no, set, n, d1, d2) per line: sorted distinct tokens, their number and two digests of them."""
-    return _with_sets(_lines(docs), least_words).withColumns({"n": F.size("set"), "d1": F.xxhash64("set"), "d2": F.xxhash64(F.lit(7), "set")})
+def _with_prefix(lines: DataFrame, least_words: int) -> DataFrame:
+    """``lines`` with m, d1, d2 (two digests of the words) and ``prefix`` instead of ``line``.
+
+    m is the number of shingles, repeats counted, 0 for a line of too few words. In the order of (hash of the
+    first word, token) the prefix holds the tokens that a prefix filter asks for, and those of equal first words.
+    """
+    low = (1 << 32) - 1
+    w = F.col("w")
+    token = lambda at: F.xxhash64(*[F.get(w, at + j) for j in range(5)])
+    lines = lines.withColumn("w", _words()).drop("line")
+    size = F.when(F.size(w) >= least_words, F.greatest(F.size(w) - 4, F.least(F.size(w), F.lit(1)))).otherwise(0)
+    lines = lines.withColumns({"m": size, "d1": F.xxhash64("w"), "d2": F.xxhash64(F.lit(7), "w")})
+    # the upper half of the first word's hash, and the place
+    keys = F.transform(F.slice(w, F.lit(1), F.col("m")), lambda x, i: F.xxhash64(x).bitwiseAND(~low).bitwiseOR(i.cast("long")))
+    lines = lines.withColumn("keys", F.sort_array(keys)).withColumn("last", F.get("keys", _prefix_size(F.col("m")) - 1).bitwiseOR(low))
+    tied = F.get("keys", _prefix_size(F.col("m"))) <= F.col("last")
+    first = F.when(tied, F.filter("keys", lambda k: k <= F.col("last"))).otherwise(F.slice("keys", F.lit(1), _prefix_size(F.col("m"))))
+    lines = lines.withColumn("prefix", F.array_distinct(F.transform(first, lambda k: token(k.bitwiseAND(low).cast("int")))))
+    # a line that repeats shingles may have too few distinct ones there: then all of them
+    every = F.array_distinct(F.transform("keys", lambda k: token(k.bitwiseAND(low).cast("int"))))
+    own = F.when(F.size("prefix") >= _prefix_size(F.col("m")), F.col("prefix")).when(F.col("m") > 0, every)
+    return lines.withColumn("prefix", own).drop("w", "keys", "last")
 
 
 def _rank() -> Column:
@@ -60,9 +90,14 @@ def _rank() -> Column:
 
 def _shared(entries: DataFrame, who: str) -> DataFrame:
     """Entries (cell, ...) of the cells with more than one value of ``who``, and the cells' number of rows as ``members``."""
-    dealt = entries.repartition("cell")  # one exchange for the counts and for the join
-    many = dealt.groupBy("cell").agg(F.count("*").alias("members"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo < hi").select("cell", "members")
-    return dealt.join(many.hint("shuffle_hash"), "cell")
+    dealt = entries.repartition("cell")
+    # the counts ask for all columns, so that the exchange written for them serves the join as well
+    all_ = [F.max(c).alias(f"_{c}") for c in entries.columns if c not in ("cell", who)]
+    many = dealt.groupBy("cell").agg(F.count("*").alias("members"), F.min(who).alias("lo"), F.max(who).alias("hi"), *all_)
+    kept = F.col("lo") < F.col("hi")
+    for c in entries.columns:
+        kept = kept & F.col(f"_{c}").isNotNull() if c not in ("cell", who) else kept
+    return dealt.join(many.where(kept).select("cell", "members").hint("shuffle_hash"), "cell")
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -83,23 +118,28 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
-    """(o, set) of the first lines of the classes ``known`` (o, rank), each once."""
-    first = known.select("o", *[F.col(f"rank.{c}").alias(f"_{c}") for c in ("doc_id", "k1", "k2", "line_no")])
-    first = F.broadcast(first) if n_known <= BROADCAST_ROWS else first
-    lines = _lines(keyed_rows(docs, known.select(F.col("rank.doc_id").alias("doc_id")).distinct(), "doc_id", n_known))
-    same = lines["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("line_no") == F.col("_line_no"))
-    once = lines.join(first, same).select("o", "line").groupBy("o").agg(F.first("line").alias("line"))
-    return cut(_with_sets(once).select("o", "set"))
+    """(o, set, n) of the first lines of the classes ``known`` (o, rank), each once."""
+    wanted = known.groupBy(*[F.col(f"rank.{c}").alias(f"_{c}") for c in ("doc_id", "k1", "k2")]).agg(F.collect_list(F.struct("rank.line_no", "o")).alias("wanted"))
+    wanted = F.broadcast(wanted) if n_known <= BROADCAST_ROWS else wanted
+    same = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    texts = docs.select("doc_id", "text", *text_digests()).join(wanted, same).select("wanted", F.split("text", "\n").alias("all"))
+    found = texts.select(F.explode(F.transform("wanted", lambda x: F.struct(x["o"].alias("o"), F.get("all", x["line_no"]).alias("line")))).alias("x"))
+    sets = cut(_with_sets(found.select("x.o", _plain(F.col("x.line")).alias("line"))).select("o", "set", F.size("set").alias("n")))
+    if sets.count() == n_known:
+        return sets
+    once = cut(sets.groupBy("o", "n").agg(F.first("set").alias("set")).select("o", "set", "n"))  # rows that repeat an id and its text
+    discard(sets)
+    return once
 
 
 def _entries(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cell, d1, pos) of the prefixes under the order of hashes; sets of up to three tokens match equal sets only."""
+    """(cell, d1) of the prefixes."""
     bound = max(COPIES, lines.count() // MANY)
     hot = classes.where(F.col("copies") > bound).select("d1", "d2")  # fewer than MANY classes
-    rows = lines.where("n > 3").select("d1", "d2", "prefix")
+    rows = lines.where("m > 0").select("d1", "d2", "prefix")
     once = rows.join(F.broadcast(hot), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.first("prefix").alias("prefix"))
     rows = rows.join(F.broadcast(hot), ["d1", "d2"], "left_anti").unionByName(once) if not hot.isEmpty() else rows
-    return rows.select("d1", F.posexplode("prefix").alias("pos", "cell")).select("cell", "d1", "pos")
+    return rows.select(F.explode("prefix").alias("cell"), "d1")
 
 
 def _by_rarity(sets: DataFrame) -> DataFrame:
@@ -139,22 +179,25 @@ def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
     gives an empty table; columns other than doc_id and text are not read. A very long text is taken line by
     line, a very long line as one array of its tokens.
     """
+    return _matches(docs, least_words)[1]
+
+
+def _matches(docs: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, k1, k2, n_lines) of every row of ``docs``, and the lines to remove."""
     docs = docs.select("doc_id", "text")
-    sets = line_sets(docs, least_words)
-    # a filter on n before the write would be pushed below the sets and compute them twice
-    whole = cut(sets.select("doc_id", "k1", "k2", "line_no", "n", "d1", "d2", F.slice("set", F.lit(1), F.greatest(_prefix_size(F.col("n")), F.lit(0))).alias("prefix")))
-    lines = cut(whole.where("n > 0").drop("prefix", "n"))
+    whole = cut(_with_prefix(_lines(docs), least_words))
+    rows = cut(whole.where("m > 0 OR line_no = 0").drop("prefix"))
+    lines = rows.where("m > 0").drop("m", "n_lines")
     classes = cut(lines.groupBy("d1", "d2").agg(F.min(_rank()).alias("rank"), F.count("*").alias("copies")))
-    shared = cut(_shared(_entries(whole, classes), "d1").select("cell", "d1", "pos").distinct())
-    some = cut(shared.select("d1").distinct())
+    some = cut(_shared(_entries(whole, classes), "d1").select("d1").distinct())
     n_some = some.count()
-    sizes = cut(keyed_rows(whole.select("d1", "d2", "n"), some, "d1", n_some).distinct())
     discard(whole)
     # o numbers the classes in the order of their ranks
-    known = keyed_rows(classes, some, "d1", n_some).join(sizes, ["d1", "d2"])
-    known = cut(known.orderBy("rank").withColumn("o", F.monotonically_increasing_id()))
-    entries = cut(shared.join(known.select("d1", "o", "n"), "d1").select("cell", "o", "n", "pos", F.lit(0).alias("alone")))
-    first = cut(entries.groupBy("cell").agg(F.min(F.struct("o", "n", "pos", "alone")).alias("f"), F.count("*").alias("members")))
+    known = cut(keyed_rows(classes, some, "d1", n_some).orderBy("rank").withColumn("o", F.monotonically_increasing_id()))
+    sets = _sets(docs, known, known.count())
+    prefixes = sets.select("o", "n", F.posexplode(F.slice("set", F.lit(1), _prefix_size(F.col("n")))).alias("pos", "cell"))
+    entries = cut(_shared(prefixes.select("cell", "o", "n", "pos"), "o").select("cell", "o", "n", "pos", "members", F.lit(0).alias("alone")))
+    first = cut(entries.groupBy("cell").agg(F.min(F.struct("o", "n", "pos", "alone")).alias("f")))
     marked = entries.join(first, "cell")
     wide = marked.where(F.col("members") > FEW).groupBy("o").agg(F.count("*").alias("wide"))
     marked = cut(marked.join(wide, "o", "left").withColumn("wide", F.coalesce("wide", F.lit(0))))
@@ -164,23 +207,26 @@ def later_matches(docs: DataFrame, least_words: int = 3) -> DataFrame:
     to_first = to_first.select(F.col("o").alias("a"), F.col("f.o").alias("b"), F.col("n").alias("n_a"), F.col("f.n").alias("n_b"), F.col("wide").alias("wide_a"), F.col("wide").alias("wide_b"))
     pairs = _shared_enough(_sides(few, few, ("wide",)).unionByName(to_first))
     many = marked.where(F.col("members") > FEW).select("cell", "o", (F.col("o") != F.col("f.o")).alias("open"))
-    nodes = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).union(many.select("o"))
-    sets = _sets(docs, keyed_rows(known, (wanted := cut(nodes.distinct())), "o", n_wanted := wanted.count()), n_wanted)
     gone = cut(_similar(pairs, sets))
     many = cut(many.join(gone.withColumn("_gone", F.lit(True)), "o", "left").select("cell", "o", (F.col("open") & F.col("_gone").isNull()).alias("open")))
     open_ = many.where("open")
     rest = _by_rarity(sets.join(many.join(open_.select("cell").distinct(), "cell", "left_semi").select("o").distinct(), "o", "left_semi"))
     more = cut(_sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest).select("a", "b").distinct())
     gone = cut(gone.union(_similar(more, sets)).distinct())
-    discard(shared, entries, first, sets, pairs, many, rest, more)  # all that is left to do reads lines, classes, known and gone
+    discard(entries, first, sets, pairs, many, rest, more)  # all that is left to do reads rows, classes, known and gone
     out = known.join(gone, "o", "left_semi").select("d1", "d2", F.lit(True).alias("gone"))
     marked = classes.join(out, ["d1", "d2"], "left").where("copies > 1 OR gone").select("d1", "d2", "rank", "gone")
-    return lines.join(marked.hint("shuffle_hash"), ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
+    found = lines.join(marked.hint("shuffle_hash"), ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
+    return rows.where("line_no = 0").select(F.col("doc_id").alias("id"), "k1", "k2", "n_lines"), found
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, removed): numbers of the lines to remove, from 0, of the documents that lose some."""
-    return later_matches(docs, LEAST_WORDS).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    return _listed(later_matches(docs, LEAST_WORDS))
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -195,8 +241,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines and the numbers of those removed."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    n_lines = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    both = with_found(docs.select(F.col("doc_id").alias("id"), *text_digests(), n_lines.alias("n_lines")), removed_lines(docs))
+    rows, found = _matches(documents(spark, sf_dir), LEAST_WORDS)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return both.select(F.col("id").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    both = with_found(rows, _listed(found))
+    return both.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

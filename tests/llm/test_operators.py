@@ -315,6 +315,26 @@ def test_line_dedup_of_short_lines(spark):
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(d).collect()} == {2: [0, 2], 3: [0]}
 
 
+def test_line_dedup_of_repeated_words(spark):
+    """Few words in all: equal first words, shingles repeated within a line, equal sets of different lines, white space of all kinds."""
+    rng = random.Random(5)
+    lines = [rng.choice([" ", "\t", " \r\x0b", "  "]).join(rng.choice(["ha", "Ho", "hi"][: rng.randrange(1, 4)]) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    lines += ["la " * n for n in range(1, 12)]
+    d = spark.createDataFrame([(i, x, None, None, 0) for i, x in enumerate(lines)] + [(0, lines[0], None, None, 0)], SCHEMA)
+    sets = [shingles(x, 5, False) for x in lines]
+    want = {i for i, x in enumerate(sets) if any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])}
+    assert {r.doc_id for r in line_dedup.later_matches(d, 1).collect()} == want
+
+
+def test_shared_cells_take_one_exchange(spark):
+    """The exchange of the entries, the largest table of op9, is written once for the counts and for the join."""
+    entries = spark.createDataFrame([(1, 5, 7, 0), (1, 6, 7, 1), (2, 5, 7, 1), (3, 6, 7, 0), (3, 6, 7, 2)], "cell long, o long, n int, pos int")
+    shared = line_dedup._shared(entries, "o")
+    assert sorted((r.cell, r.o, r.pos, r.members) for r in shared.collect()) == [(1, 5, 0, 2), (1, 6, 1, 2)]
+    plan = shared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_rows_without_id_are_told_apart(spark):
     line = "this line of many words is found in more than one document and in none of them it is the very first line of all of them"
     texts = [f"one own line here\n{line}", f"{line}\nsecond own line there\nmore of it", "third own line\nwith quite another text that is found nowhere else"]
