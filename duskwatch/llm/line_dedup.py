@@ -89,7 +89,7 @@ def _rank() -> Column:
 
 
 def _shared(entries: DataFrame, who: str) -> DataFrame:
-    """Entries (cell, ...) of the cells with more than one value of ``who``, and the cells' number of rows as ``members``."""
+    """Entries (cell, ...) of the cells with more than one value of ``who``, the cells' number of rows as ``members`` and least ``who`` as ``lo``."""
     dealt = entries.repartition("cell")
     # the counts ask for all columns, so that the exchange written for them serves the join as well
     all_ = [F.max(c).alias(f"_{c}") for c in entries.columns if c not in ("cell", who)]
@@ -97,7 +97,7 @@ def _shared(entries: DataFrame, who: str) -> DataFrame:
     kept = F.col("lo") < F.col("hi")
     for c in entries.columns:
         kept = kept & F.col(f"_{c}").isNotNull() if c not in ("cell", who) else kept
-    return dealt.join(many.where(kept).select("cell", "members").hint("shuffle_hash"), "cell")
+    return dealt.join(many.where(kept).select("cell", "members", "lo").hint("shuffle_hash"), "cell")
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -196,26 +196,28 @@ def _matches(docs: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     known = cut(keyed_rows(classes, some, "d1", n_some).orderBy("rank").withColumn("o", F.monotonically_increasing_id()))
     sets = _sets(docs, known, known.count())
     prefixes = sets.select("o", "n", F.posexplode(F.slice("set", F.lit(1), _prefix_size(F.col("n")))).alias("pos", "cell"))
-    entries = cut(_shared(prefixes.select("cell", "o", "n", "pos"), "o").select("cell", "o", "n", "pos", "members", F.lit(0).alias("alone")))
-    first = cut(entries.groupBy("cell").agg(F.min(F.struct("o", "n", "pos", "alone")).alias("f")))
-    marked = entries.join(first, "cell")
-    wide = marked.where(F.col("members") > FEW).groupBy("o").agg(F.count("*").alias("wide"))
-    marked = cut(marked.join(wide, "o", "left").withColumn("wide", F.coalesce("wide", F.lit(0))))
+    entries = cut(_shared(prefixes.select("cell", "o", "n", "pos"), "o").select("cell", "o", "n", "pos", "members", "lo", F.lit(0).alias("alone")))
+    wide = entries.where(F.col("members") > FEW).groupBy("o").agg(F.count("*").alias("wide"))
+    marked = cut(entries.join(wide, "o", "left").withColumn("wide", F.coalesce("wide", F.lit(0))))
+    discard(entries)
     few = marked.where(F.col("members") <= FEW)
-    to_first = marked.where((F.col("members") > FEW) & (F.col("o") != F.col("f.o")))
+    large = marked.where(F.col("members") > FEW)
+    first = large.where(F.col("o") == F.col("lo")).select("cell", F.struct("o", "n", "pos", "alone").alias("f"))
+    to_first = large.where(F.col("o") != F.col("lo")).join(first, "cell")
     to_first = to_first.where(_may_match({c: F.col(c) for c in ("n", "pos", "alone")}, {c: F.col(f"f.{c}") for c in ("n", "pos", "alone")}))
     to_first = to_first.select(F.col("o").alias("a"), F.col("f.o").alias("b"), F.col("n").alias("n_a"), F.col("f.n").alias("n_b"), F.col("wide").alias("wide_a"), F.col("wide").alias("wide_b"))
     pairs = _shared_enough(_sides(few, few, ("wide",)).unionByName(to_first))
-    many = marked.where(F.col("members") > FEW).select("cell", "o", (F.col("o") != F.col("f.o")).alias("open"))
+    many = large.select("cell", "o", (F.col("o") != F.col("lo")).alias("open"))
     gone = cut(_similar(pairs, sets))
     many = cut(many.join(gone.withColumn("_gone", F.lit(True)), "o", "left").select("cell", "o", (F.col("open") & F.col("_gone").isNull()).alias("open")))
     open_ = many.where("open")
     rest = _by_rarity(sets.join(many.join(open_.select("cell").distinct(), "cell", "left_semi").select("o").distinct(), "o", "left_semi"))
     more = cut(_sides(rest.join(open_.select("o").distinct(), "o", "left_semi"), rest).select("a", "b").distinct())
     gone = cut(gone.union(_similar(more, sets)).distinct())
-    discard(entries, first, sets, pairs, many, rest, more)  # all that is left to do reads rows, classes, known and gone
-    out = known.join(gone, "o", "left_semi").select("d1", "d2", F.lit(True).alias("gone"))
-    marked = classes.join(out, ["d1", "d2"], "left").where("copies > 1 OR gone").select("d1", "d2", "rank", "gone")
+    discard(marked, sets, pairs, many, rest, more)  # all that is left to do reads rows, classes, known and gone
+    out = cut(known.join(gone, "o", "left_semi").select("d1", "d2", "rank", F.lit(True).alias("gone")))
+    kept = classes.where("copies > 1").join(out, ["d1", "d2"], "left_anti").select("d1", "d2", "rank", F.lit(False).alias("gone"))
+    marked = out.unionByName(kept)
     found = lines.join(marked.hint("shuffle_hash"), ["d1", "d2"]).where(F.col("gone") | (_rank() != F.col("rank"))).select("doc_id", "k1", "k2", "line_no")
     return rows.where("line_no = 0").select(F.col("doc_id").alias("id"), "k1", "k2", "n_lines"), found
 
