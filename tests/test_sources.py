@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.schema import EVENT_SCHEMA
@@ -41,6 +42,38 @@ def test_manifest(spark, tmp_path):
     assert sorted(tuple(r) for r in io.verify_manifest(known, files).collect()) == [("a/b/y", "missing"), ("a/big", "changed"), ("gone", "missing"), ("x.log", "changed")]
 
 
+def test_long_files(spark, tmp_path):
+    size = (1 << 30) + 1
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate(size)
+    sha, rest = hashlib.sha256(), size
+    while rest:
+        sha.update(bytes(step := min(rest, 1 << 20)))
+        rest -= step
+    (tmp_path / "short").write_text("one")
+    files = io.manifest(spark, str(tmp_path))
+    assert sorted((r.path, r.size, r.sha256) for r in files.collect()) == [("long", size, sha.hexdigest()), ("short", 3, hashlib.sha256(b"one").hexdigest())]
+    known = files.withColumn("sha256", F.when(F.col("path") == "long", "0").otherwise(F.col("sha256")))
+    assert [tuple(r) for r in io.verify_manifest(known, files).collect()] == [("long", "changed")]
+
+
+def test_pieces_of_any_store(spark, tmp_path):
+    names = ["plain", "a b%20.gz", "we[i]rd {a,b}*?\\x", "sub/ünder.log"]
+    (tmp_path / "sub").mkdir()
+    for i, name in enumerate(names):
+        (tmp_path / name).write_bytes(bytes(range(256)) * (8000 * i + 1))
+    want = {n: ((8000 * i + 1) * 256, hashlib.sha256(bytes(range(256)) * (8000 * i + 1)).hexdigest()) for i, n in enumerate(names)}
+    spark._jsc.sc().hadoopConfiguration().set("fs.viewfs.mounttable.pieces.link./in", f"file://{tmp_path}")
+    for path in (str(tmp_path), f"file://{tmp_path}", "viewfs://pieces/in"):
+        for whole in (0, 5000):
+            assert {r.path: (r.size, r.sha256) for r in io.manifest(spark, path, whole=whole).collect()} == want, (path, whole)
+    assert sorted(io.manifest(spark, str(tmp_path), whole=0).collect()) == sorted(io.manifest(spark, str(tmp_path)).collect())
+    assert {r.path: r.sha256 is None for r in io.manifest(spark, str(tmp_path), largest=3_000_000, whole=0).collect()} == {n: i > 1 for i, n in enumerate(names)}
+    with pytest.raises(OSError, match="too early"):
+        io._digest(iter([b"ab"]), 3)
+    assert io._digest(iter([b"ab", b"cd"]), 3) == hashlib.sha256(b"abc").hexdigest()
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("ipv4", "1.2.3.4", 80), ("url", "http://x/,\"q\"", 10)], "kind string, value string, score int")
     io.sink_ioc_csv(rows, str(tmp_path / "csv"))
